@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -48,11 +48,15 @@ def clear_scratch(spark: SparkSession) -> None:
     _made.clear()
 
 
-def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` cut to ``row, doc_id, text``.  ``row`` is the id itself where ids are unique and
-    not null, which one count by id checks; else it is a hash of id and text, so that rows
-    of one id are told apart and identical rows get the same result."""
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A key for each row: the id itself where ids are unique and not null, which one count by id
+    checks; else a hash of id and text, so that rows of one id are told apart and identical rows
+    get the same result."""
     ids = docs.select(F.col(id_col).alias("doc_id"))
     odd = ids.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
-    key = F.xxhash64(id_col, text_col) if odd else F.col(id_col).cast("long")
-    return docs.select(key.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return F.xxhash64(id_col, text_col) if odd else F.col(id_col).cast("long")
+
+
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` cut to ``row, doc_id, text``."""
+    return docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
