@@ -30,6 +30,8 @@ RULES = (
 FEATURES, MOST_RULES = 1 << 14, 500
 #: Rows of the labelled table that the fit may use.
 TRAIN_ROWS = 20_000
+#: Below one half: a junk page costs more than a lost one, and labelled junk is scarce.
+THRESHOLD = 0.3
 
 # Words of the labelled hosts, and the paths they are combined with (fixed values).
 BLOCKED_HOSTS = (
@@ -42,8 +44,9 @@ ALLOWED_HOSTS = (
 )
 TOPS = ("example.com", "example.net", "example.org")
 PREFIXES = ("", "www.", "blog.", "m.")
-BLOCKED_PATHS = ("/en/buy-now", "/viagra/1", "/bonus", "/free-download.exe", "/de/12", "/en/728", "/fr/31.html")
-ALLOWED_PATHS = ("/en/12", "/de/345.html", "/fr/about", "/articles/2020/report.html", "/", "/en/853/", "/es/97")
+PLAIN_PATHS = ("/en/12", "/de/345.html", "/en/728", "/fr/31/", "/es/97", "/de/608.html", "/")
+BLOCKED_PATHS = (*PLAIN_PATHS, "/en/buy-now", "/viagra/1", "/bonus", "/free-download.exe")
+ALLOWED_PATHS = (*PLAIN_PATHS, "/fr/about", "/articles/2020/report.html", "/en/contact", "/docs/index.html")
 # Syllables of ordinary names, from which neutral labelled hosts are put together (fixed values).
 SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "nt", "ea", "ti", "st", "ou", "ly", "ing", "tion", "ble", "wh", "sh")
 
@@ -115,7 +118,7 @@ def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
     labelled: DataFrame | None = None,
-    threshold: float = 0.5,
+    threshold: float = THRESHOLD,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
