@@ -5,17 +5,15 @@ over a piece's byte positions keeps, at its root, the leftmost pair of smallest
 changes three leaves (the pair's, its left neighbour's and the one that vanishes), each in
 logarithmic time, so that a piece of n bytes takes O(n log n) and not O(n**2).
 
-Pieces repeat, so each worker keeps the ids of up to ``CACHE`` pieces; the cache only saves time.
+Pieces repeat, so a worker keeps the ids of those it has merged (see ``pieces``).
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .pieces import PieceIds
 
-CACHE = 600_000
-#: Longer pieces are merged but not kept.
-CACHED_CHARS = 48
 NONE = 1 << 62
 _LOW = (1 << 32) - 1
 
@@ -88,27 +84,19 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Pieces(dict):
-    """piece -> its ids, merged when first seen."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(merge_piece(piece.encode(), self.ranks))
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str):
-    import regex
+def _encoder(path: str, pattern: str) -> PieceIds:
+    ranks = read_ranks(path)
+
+    def merge(new: list[bytes]) -> tuple[list[int], list[int]]:
+        ids: list[int] = []
+        ends = [0]
+        for piece in new:
+            ids += merge_piece(piece, ranks)
+            ends.append(len(ids))
+        return ids, np.diff(ends)
 
-    return regex.compile(pattern).findall, _Pieces(read_ranks(path)).__getitem__
+    return PieceIds(pattern, merge)
 
 
 @lru_cache(maxsize=2)
@@ -132,15 +120,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     schema = docs.select(rest).withColumn(out_col, F.array(F.lit(0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall, ids_of = _encoder(path, pattern)
+        encoder = _encoder(path, pattern)
         for batch in tv.slices(batches, text_col):
-            every, counts = array("i"), []
-            for text in batch[text_col].to_pylist():
-                had = len(every)
-                if text:
-                    every.extend(chain.from_iterable(map(ids_of, findall(text))))
-                counts.append(len(every) - had)
-            ids = tv.lists(np.frombuffer(every, dtype=np.int32), np.array(counts), pa.int32())
+            ids = tv.lists(*encoder.encode(batch[text_col]), pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), ids], [*rest, out_col])
 
     return docs.select(rest).mapInArrow(run, schema)

@@ -85,12 +85,7 @@ class Words:
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self):
-            return np.zeros(0, dtype=U64)
-        up, down = _powers(WORD_BASE, self.data.size)
-        sums = np.zeros(self.data.size + 1, dtype=U64)
-        np.cumsum(_byte_values(seed)[self.data] * up[: self.data.size], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        return span_hashes(self.data, self.start, self.end, seed)
 
     def window_ok(self, n: int) -> np.ndarray:
         """Indices of words at which a window of n words of one text starts."""
@@ -102,6 +97,16 @@ class Words:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j]))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    if not start.size:
+        return np.zeros(0, dtype=U64)
+    up, down = _powers(WORD_BASE, data.size)
+    sums = np.zeros(data.size + 1, dtype=U64)
+    np.cumsum(_byte_values(seed)[data] * up[: data.size], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+
+
 def window_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of the n word hashes from each position in ``at`` on."""
     if not at.size:
@@ -112,8 +117,8 @@ def window_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[at + n] - sums[at]) * down[at])
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes with a space after each text, and where each text starts (plus the end)."""
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes, one text after the other, and where each text starts (plus the end)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
@@ -125,7 +130,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, values = texts.buffers()
     off = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + n + 1]
     raw = np.frombuffer(values, dtype=np.uint8)[off[0] : off[-1]] if values is not None else np.zeros(0, np.uint8)
-    bounds = off - off[0] + np.arange(n + 1)
+    return raw, off - off[0]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes with a space after each text, and where each text starts (plus the end)."""
+    raw, off = raw_bytes(texts)
+    n = off.size - 1
+    bounds = off + np.arange(n + 1)
     data = np.full(raw.size + n, 0x20, dtype=np.uint8)
     keep = np.ones(data.size, dtype=bool)
     keep[bounds[1:] - 1] = False

@@ -21,7 +21,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .pieces import PieceIds
 from .scratch import shared_dir
 
 #: A shard is closed at so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 21, 1 << 16
 #: Bits of a level for each key, and levels before what is left is stored sorted.
 GAMMA, LEVELS = 2.0, 24
-CACHE, CACHED_CHARS = 600_000, 48
 MAGIC = b"TMX1"
 SCHEMA = "part int, seq int, n_before long, first_id long, last_id long, n_docs long, n_null long, n_tokens long, keys binary, offsets binary, index binary, payload binary"
 
@@ -111,41 +110,23 @@ def find(index: bytes, key: int) -> int:
 # ---- encoding by the library
 
 
-class _Pieces(dict):
-    """piece -> ids, by the tokenizers library.  Its own byte-level pattern splits a text into
-    pieces that do not influence each other, so a piece's ids are the same in every text."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[piece] = tuple(got.ids)
-
-
 @lru_cache(maxsize=2)
-def _pieces(path: str, pattern: str):
+def _encoder(path: str, pattern: str) -> PieceIds:
+    """Ids of new pieces come from the tokenizers library.  Its own byte-level pattern splits a text into
+    the same pieces, which do not influence each other, so a piece's ids are the same in every text."""
     import os
 
-    import regex
+    from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return regex.compile(pattern).findall, _Pieces(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    def merge(new: list[bytes]) -> tuple[list[int], np.ndarray]:
+        got = tokenizer.encode([p.decode() for p in new], is_pretokenized=True, add_special_tokens=False)
+        return got.ids, np.bincount(got.word_ids, minlength=len(new))
 
-def _encode(path: str, pattern: str, texts: Sequence[str | None]) -> list[np.ndarray]:
-    findall, known = _pieces(path, pattern)
-    split = [findall(text) if text else [] for text in texts]
-    known.learn({p for pieces in split for p in pieces})
-    out = [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), dtype="<u4") for pieces in split]
-    if len(known) > CACHE:
-        known.clear()
-    return out
+    return PieceIds(pattern, merge)
 
 
 # ---- writing and reading
@@ -166,11 +147,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
         tokens: list[np.ndarray] = []
         held = 0
         end = np.array([end_id], dtype="<u4")
-        for batch in tv.slices(batches, "text", most=1 << 20):
-            for doc_id, own in zip(batch["doc_id"].to_pylist(), _encode(tokenizer, pattern, batch["text"].to_pylist())):
+        encoder = _encoder(tokenizer, pattern)
+        for batch in tv.slices(batches, "text"):
+            every, counts = encoder.encode(batch["text"])
+            own = np.split(every.astype("<u4"), np.cumsum(counts)[:-1])
+            for doc_id, piece in zip(batch["doc_id"].to_pylist(), own):
                 ids.append(doc_id)
-                tokens += [own, end]
-                held += own.size + 1
+                tokens += [piece, end]
+                held += piece.size + 1
                 if held >= SHARD_IDS or len(ids) >= SHARD_DOCS:
                     yield _shard(part, seq, before, ids, tokens)
                     seq, before, ids, tokens, held = seq + 1, before + held, [], [], 0
@@ -233,7 +217,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_le"],
                 )
 
-    cut = shards.join(starts, "part").select("part_start", "n_before", "n_null", "keys", "offsets", "payload")
+    cut = shards.join(F.broadcast(starts), "part")  # one row for each range partition.select("part_start", "n_before", "n_null", "keys", "offsets", "payload")
     return cut.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_le binary")
 
 
