@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .scratch import materialize, with_row_key
 
-BANDS, ROWS, CENTERS = 24, 5, 3
+BANDS, ROWS, CENTERS = 24, 5, 8
 #: Attempts of the densification before it takes the next filled bin.
 ATTEMPTS = 96
 
@@ -113,7 +113,7 @@ def _confirm(width: int, num: int, den: int):
     """Pairs of texts -> pairs whose full sets have den * intersection >= num * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.slices(batches, "text_b"):
+        for batch in tv.slices(tv.slices(batches, "text_a"), "text_b"):
             values, counts, pair = [], [], []
             for name in ("text_a", "text_b"):
                 v, c = shingle_sets(batch[name], width)
@@ -139,7 +139,6 @@ def components(edges: DataFrame) -> DataFrame:
     and a join on the node; the edge list is written between steps.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -147,14 +146,32 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == mark:
+        # done when every node has one edge and no edge leads to a node that has one
+        more = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        if more.union(edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
             break
-        mark = now
     comp = edges.groupBy("u").agg(F.min("v").alias("comp"))
     return comp.select(F.col("u").alias("node"), "comp").union(comp.select(F.col("comp").alias("node"), "comp").distinct())
 
 
+def _centers(state: DataFrame, first: bool, most: int) -> DataFrame:
+    """``bucket, center, cn, ccomp``: the members that a round compares with the rest of their bucket.
+
+    The first round takes the smallest member, which is the same one in most bands, so that a
+    member has one edge.  Later rounds take members of up to ``most`` components other than the
+    bucket's largest: what is linked already needs no center.
+    """
+    own = F.struct(F.col("cid").alias("center"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
+    if first:
+        return state.groupBy("bucket").agg(F.min_by(own, "cid").alias("c")).select("bucket", "c.*")
+    parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by(own, F.xxhash64("bucket", "cid")).alias("c"))
+    largest = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
+    others = parts.join(largest, "bucket").filter("comp <> largest")
+    picks = [F.min_by("c", F.xxhash64("comp", F.lit(i))) for i in range(most)]
+    picked = others.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("c"))
+    return picked.select("bucket", F.explode("c").alias("c")).select("bucket", "c.*")
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -190,34 +207,25 @@ def near_duplicates(
     spark = docs.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
     labels = None
-    first = True
-    while not member.isEmpty():
-        state = member.withColumn("comp", F.col("cid")) if labels is None else member.join(
-            labels.withColumnRenamed("node", "cid"), "cid", "left"
-        ).withColumn("comp", F.coalesce("comp", "cid"))
-        picks = [F.min("cid")] if first else []  # the same center in all bands: one edge per member
-        picks += [F.min_by("cid", F.xxhash64("bucket", "cid", F.lit(i))) for i in range(centers - len(picks))] if not first else []
-        picked = state.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("picks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        picked = picked.filter("lo <> hi").select("bucket", F.explode("picks").alias("center"))
-        star = state.select("bucket", F.col("cid").alias("center"), F.col("n").alias("cn"), F.col("comp").alias("ccomp")).join(picked, ["bucket", "center"])
-        star = materialize(star, "centers")
+    state = member.withColumn("comp", F.col("cid"))
+    while not state.isEmpty():
+        star = materialize(_centers(state, labels is None, centers), "centers")
         fits = F.least("n", "cn") * den >= F.greatest("n", "cn") * num
         pairs = state.join(star, "bucket").filter((F.col("comp") != F.col("ccomp")) & fits)
         pairs = pairs.select(F.least("cid", "center").alias("a"), F.greatest("cid", "center").alias("b")).distinct()
-        if not first:
+        if labels is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         judged = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, num, den), "a long, b long, linked boolean"), "judged")
         links, tested = links.union(judged.filter("linked").select("a", "b")), tested.union(judged.filter("not linked").select("a", "b"))
         labels = materialize(components(links), "labels")
         # a bucket goes on without its centers, if it still holds two components
-        rest = member.join(star.select("bucket").distinct(), "bucket", "left_semi").join(
-            star.select("bucket", F.col("center").alias("cid")), ["bucket", "cid"], "left_anti"
-        )
+        rest = state.drop("comp").join(star.select("bucket").distinct(), "bucket", "left_semi")
+        rest = rest.join(star.select("bucket", F.col("center").alias("cid")), ["bucket", "cid"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        rest = materialize(rest.select("bucket", "cid", "n", "comp"), "rest")
         live = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        member = materialize(rest.join(live, "bucket", "left_semi").select("bucket", "cid", "n"), "buckets")
-        first = False
+        state = materialize(rest.join(live, "bucket", "left_semi"), "buckets")
 
     if labels is None:
         labels = spark.createDataFrame([], "node long, comp long")
