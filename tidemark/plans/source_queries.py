@@ -1,2 +1,325 @@
+"""Queries of the JSON ingest, sinks, run reports and streams.
+
+Payloads are made from the driver's tables; files go to a scratch folder that all workers share.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import leaderboard as L
+from ..operators import wallets
+from ..params import QUERY_PARAMS as P
+from ..sources import ingest, sinks
+from ..sources import trades as T
+from ..streaming import stream as Z
+from . import base as B
+from .base import BASE, WALLETS, WINDOWS, r, rounded, table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *names: str):
+    def keep(f):
+        for name in names or (f.__name__,):
+            QUERIES[name] = f
+            if sql:
+                ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/queries/{name}-{uuid.uuid4().hex}"
+
+
+# ---- JSON ingest
+
+
+@query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)
+SELECT 'U' || user_id AS w, CASE WHEN k % 3 = 0 THEN 'BUY' ELSE 'SELL' END AS side, event_type AS asset, CASE WHEN k % 2 = 0 THEN round(value, 6) ELSE 0 END AS price, 2.0::DOUBLE AS size,
+ round(CASE WHEN k % 5 = 0 THEN value * 3 WHEN k % 2 = 0 THEN value * 2 ELSE 0 END, 6) AS usdc_size, 1700000000000 + event_id * 1000 AS timestamp_ms FROM e WHERE k % 7 <> 0""", "ingest_trades_json")
+def ingest_trades_json(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("long"))
+    wallet = F.concat(F.lit("U"), "user_id")
+    ms = F.lit(1_700_000_000_000) + F.col("event_id") * 1000
+    payload = F.to_json(F.struct(
+        F.when(F.col("k") % 4 == 0, wallet).alias("proxyWallet"), F.when(F.col("k") % 4 != 0, wallet).alias("user"),
+        F.when(F.col("k") % 7 == 0, "HOLD").when(F.col("k") % 3 == 0, "buy").otherwise("Sell").alias("side"), F.col("event_type").alias("asset_id"),
+        F.when(F.col("k") % 2 == 0, F.col("value").cast("string")).otherwise("n/a").alias("price"), F.lit("2").alias("size"),
+        F.when(F.col("k") % 5 == 0, F.col("value") * 3).alias("usdc_size"), F.when(F.col("k") % 2 == 0, ms).otherwise(F.floor(ms / 1000)).alias("occurredAt"),
+    ))
+    out = ingest.ingest_trades(e.select(payload.alias("payload")))
+    return out.select(F.upper("wallet").alias("w"), "side", "asset", r("price"), "size", r("usdc_size"), "timestamp_ms")
+
+
+@query("SELECT 'h' || c_custkey AS wallet, 'a' || c_nationkey AS asset, round(c_acctbal, 4) AS amount FROM customer WHERE c_custkey % 5 <> 0")
+def ingest_holders_json(spark, sf):
+    c = table(spark, sf, "customer")
+    holder = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("H"), "c_custkey"))
+    payload = F.to_json(F.struct(holder.alias("holder"), F.concat(F.lit("a"), "c_nationkey").alias("asset"), F.col("c_acctbal").alias("balance")))
+    return ingest.ingest_holders(c.select(payload.alias("payload"))).select("wallet", "asset", r("amount", 4))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS market_id, 'ev' || (p_partkey % 10) AS event_id, 'T' || (p_partkey % 10) AS event_title, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'T' || (p_partkey % 10) END AS question,
+ p_partkey % 3 = 0 AS active, 2 AS n_outcomes, round(p_retailprice / 2000, 6) AS first_price, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END AS n_tokens, round(p_retailprice, 4) AS volume FROM part""")
+def ingest_market_json(spark, sf):
+    p = table(spark, sf, "part")
+    key = F.col("p_partkey")
+    payload = F.to_json(F.struct(
+        key.cast("string").alias("id"), F.when(key % 2 == 0, F.col("p_name")).alias("question"), (key % 3 == 0).alias("active"), F.lit('["Yes","No"]').alias("outcomes"),
+        F.array((F.col("p_retailprice") / 2000).cast("string"), F.lit("0.5")).alias("outcomePrices"), F.when(key % 4 == 0, F.lit('["t1","t2"]')).otherwise("none").alias("clobTokenIds"), F.col("p_retailprice").alias("volume"),
+    ))
+    event = F.to_json(F.struct(F.concat(F.lit("ev"), key % 10).alias("id"), F.concat(F.lit("T"), key % 10).alias("title")))
+    out = ingest.ingest_markets(p.select(payload.alias("payload"), event.alias("event")))
+    return out.select("market_id", "event_id", "event_title", "question", "active", F.size("outcomes").alias("n_outcomes"), r(F.get("outcome_prices", 0)).alias("first_price"), F.size("token_ids").alias("n_tokens"), r("volume", 4))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS asset, CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice / 4000, 9) END AS best_bid, round(p_retailprice / 3000, 9) AS best_ask, CASE WHEN p_size % 5 <> 0 THEN round((p_retailprice / 4000 + p_retailprice / 3000) / 2, 9) END AS midpoint, CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice / 3000 - p_retailprice / 4000, 9) END AS spread, CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice / 4000 * p_size + 0.2, 9) ELSE 0 END AS bid_depth_usd, round(p_retailprice / 3000 * 7, 9) AS ask_depth_usd FROM part")
+def ingest_book_json(spark, sf):
+    p = table(spark, sf, "part")
+    level = lambda price, size: F.struct(price.cast("string").alias("price"), size.cast("string").alias("size"))
+    bids = F.when(F.col("p_size") % 5 != 0, F.array(level(F.col("p_retailprice") / 4000, F.col("p_size")), level(F.lit(0.1), F.lit(2))))
+    payload = F.to_json(F.struct(bids.alias("bids"), F.array(level(F.col("p_retailprice") / 3000, F.lit(7))).alias("asks")))
+    out = ingest.ingest_books(p.select(F.col("p_partkey").cast("string").alias("asset"), payload.alias("payload")))
+    return rounded(out.select("asset", "best_bid", "best_ask", "midpoint", "spread", "bid_depth_usd", "ask_depth_usd"), "best_bid", "best_ask", "midpoint", "spread", "bid_depth_usd", "ask_depth_usd", digits=9)
+
+
+@query("SELECT event_type AS asset, 1700000000000 + event_id * 1000 AS timestamp_ms, round(value, 6) AS price FROM events WHERE event_id % 3 <> 0")
+def ingest_price_history_json(spark, sf):
+    e = table(spark, sf, "events")
+    t = F.when(F.col("event_id") % 3 != 0, F.lit(1_700_000_000) + F.col("event_id")).otherwise(F.lit(-5))
+    one = F.struct(t.alias("t"), F.col("value").alias("p"))
+    # a payload holds a few points: one history for each group of neighbouring events
+    rows = e.groupBy(F.col("event_type").alias("asset"), F.floor(F.col("event_id") / 50)).agg(F.to_json(F.struct(F.collect_list(one).alias("history"))).alias("payload"))
+    return rounded(ingest.ingest_price_history(rows), "price")
+
+
+@query("SELECT 'u' || c_custkey AS wallet, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) END AS total_markets_traded, CASE WHEN c_custkey % 4 <> 0 THEN 1700000000000 + c_custkey * 1000 END AS first_seen_ms FROM customer")
+def ingest_profile_json(spark, sf):
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    traded = F.when(k % 3 == 0, F.col("c_nationkey").cast("string")).when(k % 3 == 1, F.to_json(F.struct(F.col("c_nationkey").alias("total")))).otherwise("null")
+    activity = F.when(k % 4 != 0, F.to_json(F.array(F.struct((F.lit(1_700_000_000) + k).alias("occurred_at"))))).otherwise("[]")
+    return ingest.ingest_profiles(c.select(F.concat(F.lit("u"), k).alias("wallet"), traded.alias("traded"), activity.alias("activity")))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS condition_id, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE round(p_retailprice, 4) END AS open_interest FROM part")
+def ingest_open_interest_json(spark, sf):
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    payload = F.when(k % 3 == 0, F.col("p_retailprice").cast("string")).when(k % 3 == 1, F.to_json(F.struct(F.col("p_retailprice").alias("oi")))).otherwise("null")
+    return rounded(ingest.ingest_open_interest(p.select(k.cast("string").alias("condition_id"), payload.alias("payload"))), "open_interest", digits=4)
+
+
+@query("""WITH m AS (SELECT p_size AS event_id, p_partkey AS market_id, 's' || p_partkey AS slug, lower(p_name) AS question, p_partkey % 2 = 0 AS active, p_partkey % 5 = 0 AS closed, p_partkey % 7 = 0 AS resolved, p_partkey % 3 <> 0 AS tokens, TIMESTAMP '2024-01-01' + to_hours(CAST(p_partkey % 50 AS BIGINT)) AS d, p_retailprice AS worth,
+ CASE WHEN p_size % 4 = 0 THEN (SELECT 's' || min(q.p_partkey) FROM part q WHERE q.p_size = part.p_size) END AS want FROM part),
+g AS (SELECT *, CASE WHEN slug = want THEN 0 ELSE 1 END AS a, CASE WHEN tokens AND active AND NOT closed AND NOT resolved THEN 0 WHEN tokens AND active AND NOT closed THEN 1 WHEN tokens AND NOT resolved THEN 2 WHEN tokens THEN 3 ELSE 4 END AS b FROM m)
+SELECT event_id, market_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY a, b, d, worth DESC, market_id) AS k FROM g) WHERE k = 1""")
+def select_event_market(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    none = F.lit(None).cast("timestamp_ntz")
+    m = p.select(
+        F.col("p_size").alias("event_id"), k.alias("market_id"), F.concat(F.lit("s"), k).alias("slug"), F.lower("p_name").alias("question"), F.lit(None).cast("string").alias("title"),
+        (k % 2 == 0).alias("active"), (k % 5 == 0).alias("closed"), (k % 7 == 0).alias("resolved"), F.when(k % 3 != 0, F.array(F.lit("t"))).otherwise(F.array().cast("array<string>")).alias("token_ids"),
+        F.timestamp_add("HOUR", k % 50, F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).alias("close_time"), none.alias("end_date"), none.alias("resolution_date"), F.col("p_retailprice").alias("volume"), F.lit(0.0).alias("liquidity"),
+    )
+    first = p.groupBy(F.col("p_size").alias("event_id")).agg(F.min(k).alias("least"))
+    wanted = first.select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("s"), "least")).alias("market_slug"), F.lit(None).cast("string").alias("label"))
+    return ingest.select_event_market(m, wanted).select("event_id", "market_id")
+
+
+# ---- sinks and what is read back
+
+
+@query(f"WITH {BASE} SELECT transaction_hash, role, year_month FROM labeled", "sink_partitioned_parquet", "scan_dataset_glob")
+def sink_partitioned_parquet(spark, sf):
+    path = scratch(spark, "labeled")
+    sinks.write_partitioned(B.labeled(spark, sf).withColumn("year_month", F.date_format("trade_time", "yyyy-MM")), path, "year_month")
+    return T.scan_dataset(spark, path).select("transaction_hash", "role", F.col("year_month").cast("string"))
+
+
+@query(f"WITH {BASE} SELECT transaction_hash, round(usd_amount, 6) AS usd_amount FROM prepared WHERE market_id <> 'view'", "sink_overwrite_guard", "sink_plain_parquet")
+def sink_overwrite_guard(spark, sf):
+    """The second write without ``overwrite`` is refused, the third one replaces the table."""
+    path = scratch(spark, "prepared")
+    rows = B.prepared(spark, sf).select("transaction_hash", "usd_amount", "market_id")
+    sinks.write_parquet(rows, path)
+    try:
+        sinks.write_parquet(rows, path)
+        raise AssertionError("an existing stage was overwritten")
+    except Exception as e:
+        if isinstance(e, AssertionError) or "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+    sinks.write_parquet(rows.filter("market_id <> 'view'"), path, overwrite=True)
+    return rounded(spark.read.parquet(path).select("transaction_hash", "usd_amount"), "usd_amount")
+
+
+@query(f"WITH {BASE} SELECT 'label_user_trades' AS stage, count(*) AS row_count, min(trade_time) AS min_time, max(trade_time) AS max_time FROM labeled")
+def stage_manifest(spark, sf):
+    return sinks.stage_manifest(B.labeled(spark, sf), "label_user_trades", "labeled", "trade_time", P).select("stage", "row_count", "min_time", "max_time")
+
+
+@query(f"WITH {BASE}, n AS (SELECT count(*) AS n FROM labeled) SELECT d AS dataset_dir, d <> 'c' AS manifest_found, CASE d WHEN 'a' THEN n WHEN 'b' THEN n + 1 END AS manifest_row_count, n AS actual_row_count, CASE d WHEN 'a' THEN true WHEN 'b' THEN false END AS row_count_matches FROM n, (SELECT unnest(['a', 'b', 'c']) AS d)")
+def manifest_consistency(spark, sf):
+    n = B.labeled(spark, sf).agg(F.count("*").alias("n"))
+    actual = n.select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("dataset_dir"), F.col("n").alias("actual_row_count"))
+    stored = n.select(F.inline(F.array(F.struct(F.lit("a").alias("dataset_dir"), F.col("n").alias("row_count")), F.struct(F.lit("b").alias("dataset_dir"), (F.col("n") + 1).alias("row_count")))))
+    return sinks.manifest_consistency(actual, stored)
+
+
+@query(f"WITH {BASE} SELECT market_id, count(*) AS n FROM labeled GROUP BY 1")
+def sink_json_report(spark, sf):
+    path = scratch(spark, "report-json")
+    sinks.write_json_report(B.labeled(spark, sf).groupBy("market_id").agg(F.count("*").alias("n")), path)
+    return spark.read.schema("market_id string, n long").json(path)
+
+
+@query(f"WITH {BASE} SELECT market_id, max(trade_time) AS last, count(*) AS n FROM labeled GROUP BY 1", "sink_csv_report", "scan_report_csv")
+def sink_csv_report(spark, sf):
+    path = scratch(spark, "report-csv")
+    report = B.labeled(spark, sf).groupBy("market_id").agg(F.date_format(F.max("trade_time"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last"), F.count("*").alias("n"))
+    sinks.write_csv_report(report, path)
+    back = sinks.read_csv_report(spark, path, "market_id string, last string, n long")
+    return back.select("market_id", F.to_timestamp_ntz("last", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("last"), "n")
+
+
+@query("SELECT doc_id AS key, CASE WHEN n_chars % 1000 >= 500 THEN 1 ELSE 0 END AS prediction FROM labels JOIN documents USING (doc_id)")
+def sink_predictions(spark, sf):
+    from ..operators.evaluate import predictions
+
+    path = scratch(spark, "predictions")
+    sinks.write_parquet(predictions(B.scores(spark, sf)), path)
+    return spark.read.parquet(path).select("key", "prediction")
+
+
+@query("SELECT event_type AS market, max(event_id) AS version FROM events GROUP BY 1")
+def sink_snapshot_upsert(spark, sf):
+    """Two writes by key: the later version of every market stays."""
+    path = scratch(spark, "snapshots")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("market"), F.col("event_id").alias("version"))
+    half = e.agg((F.max("version") / 2).alias("half")).first()[0]
+    for part in (e.filter(F.col("version") <= half), e.filter(F.col("version") > half)):
+        sinks.upsert_snapshot(part.groupBy("market").agg(F.max("version").alias("version")), path, "market", "version")
+    return spark.read.parquet(path)
+
+
+# ---- run reports: runs are made from the windows of every market, so that they grow with the data
+
+
+def _runs(spark, sf) -> DataFrame:
+    """``summary, metrics`` as JSON, one run for each market and split size."""
+    w = B.model_windows(spark, sf).groupBy("market_id").agg(F.count("*").alias("n"), F.avg("label").alias("rate"))
+    auc = F.round(0.5 + F.col("rate") / 4, 6)
+    summary = F.struct(
+        F.concat(F.lit("model-"), F.length("market_id") % 2).alias("model_name"), F.lit("2024-01-01T00:00:00").alias("created_at_utc"), F.concat(F.lit("/data/"), "market_id").alias("dataset_dir"), F.lit(8).alias("window_size"),
+        F.lit(16).alias("feature_count"), F.array(F.lit("a"), F.lit("b")).alias("feature_order"), F.struct(F.col("n").alias("seed"), F.lit("last").alias("pooling")).alias("training_config"),
+    )
+    scores = F.struct(auc.alias("auc_roc"), F.round("rate", 6).alias("pr_auc"), F.round(F.col("rate") * (1 - F.col("rate")), 6).alias("brier_score"))
+    return w.select("market_id", F.to_json(summary).alias("summary"), F.to_json(F.struct(F.lit(3).alias("best_epoch"), scores.alias("validation"), scores.alias("test"))).alias("metrics"))
+
+
+def _written_runs(spark, sf) -> str:
+    """Writes every run as JSON files below run folders; a run with an even name length has no metrics."""
+    root = scratch(spark, "runs")
+    rows = _runs(spark, sf)
+    for row in rows.toLocalIterator():  # a run report covers some dozen runs
+        folder = f"{root}/{row.market_id}"
+        for name, text in (("summary", row.summary), ("metrics", row.metrics)):
+            if name == "summary" or row.market_id != "view":
+                at, fs = sinks._fs(spark, f"{folder}/{name}.json")
+                out = fs.create(at)
+                out.write(bytearray(text.encode()))
+                out.close()
+    return root
+
+
+_REPORT = f"WITH {WINDOWS}, w AS (SELECT market_id, count(*) AS n, avg(label) AS rate FROM mw WHERE market_id <> 'view' GROUP BY 1), rep AS (SELECT *, 'model-' || (length(market_id) % 2) AS model_name, '/data/' || market_id AS dataset_dir, round(rate, 6) AS validation_pr_auc, round(0.5 + rate / 4, 6) AS validation_auc_roc, round(rate * (1 - rate), 6) AS validation_brier_score FROM w)"
+
+
+@query(f"{_REPORT} SELECT model_name, dataset_dir, 8 AS window_size, 2 AS feature_width, n AS seed, 'best_epoch' AS selector_name, 3 AS selector_value, validation_pr_auc, validation_auc_roc, validation_brier_score FROM rep", "model_leaderboard", "scan_run_artifacts", "run_artifact_join", "leaderboard_order")
+def model_leaderboard(spark, sf):
+    report = L.leaderboard_order(L.model_leaderboard(L.scan_run_artifacts(spark, _written_runs(spark, sf))))
+    return report.select("model_name", "dataset_dir", "window_size", "feature_width", "seed", "selector_name", "selector_value", "validation_pr_auc", "validation_auc_roc", "validation_brier_score")
+
+
+@query(f"{_REPORT} SELECT model_name, dataset_dir, CAST(k AS INTEGER) AS run_rank FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY validation_pr_auc DESC, validation_auc_roc DESC, validation_brier_score, dataset_dir DESC) AS k FROM rep) WHERE k <= 2")
+def top_runs_per_model(spark, sf):
+    report = L.model_leaderboard(L.scan_run_artifacts(spark, _written_runs(spark, sf)))
+    return L.top_runs_per_model(report, 2).select("model_name", "dataset_dir", "run_rank")
+
+
+# ---- streams: the events as frames of messages, drained once
+
+
+def _frames(spark, sf) -> str:
+    path = scratch(spark, "frames")
+    e = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("long"))
+    kind = F.when(F.col("k") % 4 == 0, "book").otherwise("last_trade_price")
+    message = F.struct(
+        kind.alias("event_type"), F.col("event_type").alias("market"), F.concat(F.lit("u"), "user_id").alias("wallet"), F.when(F.col("k") % 3 == 0, "SELL").otherwise("BUY").alias("side"),
+        F.lit("0.5").alias("price"), F.col("value").cast("string").alias("size"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"),
+    )
+    text = F.when(F.col("event_id") % 10 == 9, F.lit("{broken")).when(F.col("event_id") % 2 == 0, F.to_json(message)).otherwise(F.to_json(F.array(message)))
+    e.select(text.alias("value")).write.text(path)
+    return path
+
+
+def _messages(spark, sf) -> DataFrame:
+    return Z.filter_events(Z.parse_messages(spark.readStream.text(_frames(spark, sf))))
+
+
+def _drained(spark, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs the stream over what is there; the sink and the checkpoint are files."""
+    out = scratch(spark, name)
+    Z.drain(df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", out + ".state"))
+    return spark.read.schema(df.schema).parquet(out)
+
+
+_MSG = "msg AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 9)"
+
+
+@query(f"WITH {_MSG} SELECT event_type AS market, 'u' || user_id AS wallet, round(value, 6) AS size, epoch_us(ts) AS us FROM msg WHERE k % 4 <> 0", "stream_parse_messages", "stream_filter_events", "stream_periodic_refresh")
+def stream_parse_messages(spark, sf):
+    out = _drained(spark, _messages(spark, sf), "messages")
+    return out.select("market", "wallet", r("size"), F.unix_micros("ts").alias("us"))
+
+
+@query(None)
+def stream_throttle(spark, sf):
+    return _drained(spark, Z.throttle(_messages(spark, sf), 600), "throttled").select("market", F.unix_micros("ts").alias("us"))
+
+
+@query(f"WITH {_MSG} SELECT event_type AS market, 'u' || user_id AS wallet, CAST(floor(epoch_us(ts) / 300000000) * 300000000 AS BIGINT) AS us, round(sum((CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END) * 0.5 * value), 6) + 0 AS flow, count(*) AS n FROM msg WHERE k % 4 <> 0 GROUP BY 1, 2, 3")
+def stream_flow_5m(spark, sf):
+    """Complete mode through a batch sink, so that the windows still open are shown too."""
+    out = scratch(spark, "flow")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    Z.drain(Z.flow_5m(_messages(spark, sf)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", out + ".state"))
+    return spark.read.parquet(out).select("market", "wallet", F.unix_micros("bucket").alias("us"), r("flow"), "n")
+
+
+@query(f"WITH {WALLETS} SELECT market_id, n AS trade_count, w AS wallet_count FROM (SELECT market_id, count(*) AS n, count(DISTINCT wallet) AS w FROM wt GROUP BY 1)")
+def stream_snapshot(spark, sf):
+    """Every market with a message gets a new snapshot, which replaces the stored one."""
+    path = scratch(spark, "stream-snapshots")
+
+    def rebuild(markets: DataFrame) -> None:
+        t = B.wallet_trades(spark, sf).join(F.broadcast(markets.withColumnRenamed("market", "market_id")), "market_id")  # the markets of one batch
+        w = wallets.wallet_context(t)
+        snap = w.groupBy("market_id").agg(F.sum("trade_count").alias("trade_count"), F.count("*").alias("wallet_count")).withColumn("version", F.current_timestamp())
+        sinks.upsert_snapshot(snap, path, "market_id", "version")
+
+    Z.drain(Z.snapshot_stream(Z.throttle(_messages(spark, sf), 600), rebuild, path + ".state"))
+    return spark.read.parquet(path).select("market_id", "trade_count", "wallet_count")
