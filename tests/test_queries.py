@@ -25,11 +25,11 @@ def con(sf):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v + 0.0:.7g}".replace("-0", "0") if v == 0 else f"{v:.7g}"
+        return "nan" if math.isnan(v) else "0" if v == 0 else f"{v:.9g}"
     if isinstance(v, list):
         return str([plain(x) for x in v])
     if type(v).__name__ == "Decimal":
-        return f"{float(v):.7g}"
+        return f"{float(v):.9g}"
     return str(v)
 
 

@@ -168,9 +168,9 @@ def train_class_weights(spark, sf):
     return rounded(X.class_weights(_train(spark, sf)), "pos_weight")
 
 
-@query(f"WITH {WINDOWS} SELECT window_id, len(features) AS n, label FROM mw WHERE split = 'validation'")
+@query(f"WITH {WINDOWS} SELECT window_id, len(features) AS n, label FROM mw WHERE split = 'train'")
 def scan_split(spark, sf):
-    return X.split_rows(B.model_windows(spark, sf), "validation").select("window_id", F.size("features").cast("long").alias("n"), "label")
+    return X.split_rows(B.model_windows(spark, sf), "train").select("window_id", F.size("features").cast("long").alias("n"), "label")
 
 
 @query()
