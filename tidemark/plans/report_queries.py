@@ -199,7 +199,7 @@ def context_fallback(spark, sf):
 def user_markout_summary(spark, sf):
     out = B.labeled(spark, sf).groupBy("user", "role").agg(
         F.count("transaction_hash").alias("n_trades"), F.avg("markout").alias("avg_markout"), F.percentile("markout", F.lit(0.5)).alias("median_markout"), F.avg("markout_bps").alias("avg_markout_bps"),
-        F.avg((F.col("markout") > 0).cast("double")).alias("positive_markout_rate"), F.avg("usd_amount").alias("avg_usd_amount", digits=9),
+        F.avg((F.col("markout") > 0).cast("double")).alias("positive_markout_rate"), F.avg("usd_amount").alias("avg_usd_amount"),
     ).orderBy(F.col("avg_markout_bps").desc_nulls_last(), F.col("positive_markout_rate").desc(), F.col("n_trades").desc(), "user", "role")
     return rounded(out, "avg_markout", "median_markout", "avg_markout_bps", "positive_markout_rate", "avg_usd_amount", digits=9)
 
