@@ -156,11 +156,11 @@ def _window_places(length: int, period: int):
         places = Places()
         for batch in tv.slices(batches, "text"):
             words = tv.Words(batch["text"], tv.SPACED, lower=False)
-            doc, start, _ = _spans(batch["spans"])
+            doc, start, size = _spans(batch["spans"])
             from_word = words.first[doc]
             edge = np.zeros(len(words) + 1, dtype=np.int32)
             np.add.at(edge, from_word + np.maximum(0, start - (period - 1)), 1)
-            np.add.at(edge, from_word + start + 1, -1)
+            np.add.at(edge, from_word + start + size, -1)
             at = words.window_ok(length)
             at = at[np.cumsum(edge)[at] > 0]
             key = tv.window_hashes(words.hashes(), at, length)

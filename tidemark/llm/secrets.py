@@ -31,7 +31,6 @@ FORMATS = (
 LEARNED = "format"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}", re.ASCII)
 LETTER_DIGIT = re.compile(r"(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])", re.ASCII)
-#: No longer candidate is scored at once: the score of the first characters decides.
 END = ""
 _CLASSES = {**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")}
 SYMBOLS = ("9", "a", "g", "A", "+", "/", "_", ".", "=", "-", END)
