@@ -9,6 +9,9 @@
    Edges are confirmed on the full shingle sets.  A center is then done with this bucket; the
    bucket goes on with the rest until it has one component or one member left.  So a link of
    two texts that share a bucket is never lost, and the stars stop early where all is linked.
+   Jaccard distance is a metric: members whose distances to the bucket's first center differ by
+   more than the threshold allows cannot be linked and are not compared.  Later rounds also
+   compare 2048-bit sketches inside the join, so that only likely pairs leave it.
 5. Connected components by large-star/small-star, with a written table after every step.
 
 With 24 bands of 5 rows two texts of similarity 0.85 share no bucket with probability 8e-7,
@@ -21,13 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .scratch import materialize, with_row_key
 
-BANDS, ROWS, CENTERS = 24, 5, 8
+BANDS, ROWS, CENTERS = 24, 5, 256
+#: Bits of the sketch that later rounds compare before texts, the least set size it is used for, and how many
+#: standard deviations below the threshold it must be to rule a pair out (a miss has probability 3e-7).
+SKETCH, SKETCH_LEAST, SKETCH_SIGMAS = 2048, 64, 5.0
 #: Attempts of the densification before it takes the next filled bin.
 ATTEMPTS = 96
 
@@ -109,6 +115,29 @@ def _sign(width: int, bands: int, rows: int):
     return run
 
 
+def _sketch(width: int):
+    """One bit of every one of ``SKETCH`` densified bins, packed into longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in tv.slices(batches, "text"):
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                bits = tv.mix(signatures(*shingle_sets(batch["text"], width), SKETCH)) & np.uint64(1)
+                longs = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["row"], tv.lists(longs.ravel(), np.full(batch.num_rows, SKETCH // 64), pa.int64())], ["cid", "sketch"])
+
+    return run
+
+
+def _sketches_allow(num: int, den: int) -> Column:
+    """False where the sketches of a member and a center rule a link out."""
+    t = num / den
+    agree = (1 + t) / 2
+    cut = t - SKETCH_SIGMAS * 2 * (agree * (1 - agree) / SKETCH) ** 0.5
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("csketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return (F.least("n", "cn") < SKETCH_LEAST) | (differ <= int(SKETCH * (1 - cut) / 2))
+
+
 def _confirm(width: int, num: int, den: int):
     """Pairs of texts -> pairs whose full sets have den * intersection >= num * union."""
 
@@ -127,7 +156,7 @@ def _confirm(width: int, num: int, den: int):
             inter = np.bincount(p[1:][both], minlength=batch.num_rows)
             union = counts[0] + counts[1] - inter
             ok = den * inter >= num * union
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok)], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok), pa.array(inter / union)], ["a", "b", "linked", "sim"])
 
     return run
 
@@ -155,21 +184,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _centers(state: DataFrame, first: bool, most: int) -> DataFrame:
-    """``bucket, center, cn, ccomp``: the members that a round compares with the rest of their bucket.
+    """``bucket, center, cn, ccomp, clo, chi``: the members that a round compares with the rest of their bucket.
 
     The first round takes the smallest member, which is the same one in most bands, so that a
-    member has one edge.  Later rounds take members of up to ``most`` components other than the
+    member has one edge.  Later rounds take a member of up to ``most`` components other than the
     bucket's largest: what is linked already needs no center.
     """
-    own = F.struct(F.col("cid").alias("center"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
+    own = F.struct(F.col("cid").alias("center"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"), F.col("lo").alias("clo"), F.col("hi").alias("chi"))
     if first:
         return state.groupBy("bucket").agg(F.min_by(own, "cid").alias("c")).select("bucket", "c.*")
     parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by(own, F.xxhash64("bucket", "cid")).alias("c"))
     largest = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
     others = parts.join(largest, "bucket").filter("comp <> largest")
-    picks = [F.min_by("c", F.xxhash64("comp", F.lit(i))) for i in range(most)]
-    picked = others.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("c"))
-    return picked.select("bucket", F.explode("c").alias("c")).select("bucket", "c.*")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("comp"), "comp")
+    return others.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most).select("bucket", "c.*")
 
 
 def near_duplicates(
@@ -201,31 +229,50 @@ def near_duplicates(
     member = classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
     member = materialize(member.join(shared, "bucket"), "buckets")
-    texts = keyed.join(member.select(F.col("cid").alias("row")).distinct(), "row").groupBy("row").agg(F.first("text").alias("text"))
+    texts = keyed.join(member.select(F.col("cid").alias("row")).distinct().hint("merge"), "row").groupBy("row").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
 
     spark = docs.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
-    labels = None
-    state = member.withColumn("comp", F.col("cid"))
+    labels = sketches = None
+    state = member.select("bucket", "cid", "n", F.col("cid").alias("comp"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    reach = 1 - num / den + 1e-9
     while not state.isEmpty():
         star = materialize(_centers(state, labels is None, centers), "centers")
         fits = F.least("n", "cn") * den >= F.greatest("n", "cn") * num
-        pairs = state.join(star, "bucket").filter((F.col("comp") != F.col("ccomp")) & fits)
+        near = (F.col("lo") - F.col("chi") <= reach) & (F.col("clo") - F.col("hi") <= reach)
+        able = (F.col("bucket") == F.col("cbucket")) & (F.col("comp") != F.col("ccomp")) & fits & near
+        if labels is None:
+            members, hubs = state, star
+        else:
+            members = state.join(sketches, "cid")
+            hubs = star.join(sketches.withColumnsRenamed({"cid": "center", "sketch": "csketch"}), "center")
+            able = able & _sketches_allow(num, den)
+        pairs = members.join(hubs.withColumnRenamed("bucket", "cbucket"), able)
         pairs = pairs.select(F.least("cid", "center").alias("a"), F.greatest("cid", "center").alias("b")).distinct()
         if labels is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        judged = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, num, den), "a long, b long, linked boolean"), "judged")
+        judged = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, num, den), "a long, b long, linked boolean, sim double"), "judged")
         links, tested = links.union(judged.filter("linked").select("a", "b")), tested.union(judged.filter("not linked").select("a", "b"))
-        labels = materialize(components(links), "labels")
+        opening = labels is None
+        if opening or not judged.filter("linked").isEmpty():  # else the components are as before
+            labels = materialize(components(links), "labels")
         # a bucket goes on without its centers, if it still holds two components
         rest = state.drop("comp").join(star.select("bucket").distinct(), "bucket", "left_semi")
         rest = rest.join(star.select("bucket", F.col("center").alias("cid")), ["bucket", "cid"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        rest = materialize(rest.select("bucket", "cid", "n", "comp"), "rest")
+        if opening:  # distances to the bucket's first center, or their bounds by size
+            pivots = star.select("bucket", "center", "cn")
+            sims = judged.select("a", "b", "sim")
+            rest = rest.join(pivots, "bucket").withColumns({"a": F.least("cid", "center"), "b": F.greatest("cid", "center")}).join(sims, ["a", "b"], "left")
+            rest = rest.withColumns({"lo": 1 - F.coalesce("sim", F.least("n", "cn") / F.greatest("n", "cn")), "hi": F.coalesce(1 - F.col("sim"), F.lit(1.0))})
+        rest = materialize(rest.select("bucket", "cid", "n", "comp", "lo", "hi"), "rest")
         live = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
         state = materialize(rest.join(live, "bucket", "left_semi"), "buckets")
+        if opening:
+            sketches = texts.join(state.select(F.col("cid").alias("row")).distinct(), "row", "left_semi")
+            sketches = materialize(sketches.mapInArrow(_sketch(width), "cid long, sketch array<long>"), "sketches")
 
     if labels is None:
         labels = spark.createDataFrame([], "node long, comp long")
