@@ -246,8 +246,9 @@ def near_duplicates(
             members, hubs = state, star
         else:
             members = state.join(sketches, "cid")
-            hubs = star.join(sketches.withColumnsRenamed({"cid": "center", "sketch": "csketch"}), "center")
-            able = able & _sketches_allow(num, den)
+            hubs = star.join(sketches.withColumnsRenamed({"cid": "center", "sketch": "csketch", "bands": "cbands"}), "center")
+            # a pair counts only in the first bucket that it shares, and stays there until it is compared
+            able = able & _sketches_allow(num, den) & (F.col("bucket") == F.array_min(F.array_intersect("bands", "cbands")))
         pairs = members.join(hubs.withColumnRenamed("bucket", "cbucket"), able)
         pairs = pairs.select(F.least("cid", "center").alias("a"), F.greatest("cid", "center").alias("b")).distinct()
         if labels is not None:
@@ -272,7 +273,8 @@ def near_duplicates(
         state = materialize(rest.join(live, "bucket", "left_semi"), "buckets")
         if opening:
             sketches = texts.join(state.select(F.col("cid").alias("row")).distinct(), "row", "left_semi")
-            sketches = materialize(sketches.mapInArrow(_sketch(width), "cid long, sketch array<long>"), "sketches")
+            sketches = sketches.mapInArrow(_sketch(width), "cid long, sketch array<long>")
+            sketches = materialize(sketches.join(classes.select("cid", "bands"), "cid"), "sketches")
 
     if labels is None:
         labels = spark.createDataFrame([], "node long, comp long")
