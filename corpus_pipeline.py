@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (five words, similarity 0.8 or more)."""
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("row").alias("__row")).distinct()
+    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("row").alias("__row")).distinct().hint("merge")
     return docs.withColumn("__row", row_key(docs)).join(gone, "__row", "left_anti").select(*docs.columns)
 
 
