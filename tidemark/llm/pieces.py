@@ -22,7 +22,7 @@ from . import textvec as tv
 
 # The byte-level split pattern (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 600_000
+CACHE = 400_000
 OTHER, LETTER, NUMBER, BLANK = range(4)
 
 
