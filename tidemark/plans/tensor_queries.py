@@ -70,11 +70,12 @@ def flatten_long(spark, sf):
 _STATS = "[first(x0 ORDER BY position), last(x0 ORDER BY position), avg(x0), stddev_pop(x0), min(x0), max(x0), last(x0 ORDER BY position) - first(x0 ORDER BY position), avg(x0) FILTER (position >= 3)]"
 
 
-@query(f"""WITH {WINDOWS}, {_long("mw")}, a AS (SELECT window_id, feature, {_STATS} AS v FROM st GROUP BY ALL) SELECT window_id, ({[f"{f}__summary_" for f in FEATURES]})[list_position({_NAMES}, feature)] || (['first', 'last', 'mean', 'std', 'min', 'max', 'delta', 'last5_mean'])[k] AS name, round(v[k], 8) + 0 AS value FROM a, (SELECT unnest(range(1, 9)) AS k)""")
+@query(f"""WITH {WINDOWS}, {_long("mw")}, a AS (SELECT window_id, feature, {_STATS} AS v FROM st GROUP BY ALL) SELECT name, count(*) AS n, round(avg(x), 3) + 0 AS value FROM (SELECT ({[f"{f}__summary_" for f in FEATURES]})[list_position({_NAMES}, feature)] || (['first', 'last', 'mean', 'std', 'min', 'max', 'delta', 'last5_mean'])[k] AS name, v[k] AS x FROM a, (SELECT unnest(range(1, 9)) AS k)) GROUP BY 1""")
 def window_summary_features(spark, sf):
     w = B.model_windows(spark, sf).select("window_id", X.window_summary(F.col("features"), W).alias("v"))
     names = F.array(*map(F.lit, X.summary_names(N)))
-    return w.select("window_id", F.posexplode("v").alias("j", "value")).select("window_id", F.get(names, F.col("j")).alias("name"), r("value", 8))
+    long = w.select(F.posexplode("v").alias("j", "x")).select(F.get(names, F.col("j")).alias("name"), "x")
+    return long.groupBy("name").agg(F.count("*").alias("n"), F.avg("x").alias("value")).select("name", "n", r("value", 3))
 
 
 @query(f"""WITH {WINDOWS}, {_long("mw")}, a AS (SELECT window_id, feature, {_STATS} AS v FROM st GROUP BY ALL), b AS (SELECT window_id, sum(list_sum(v)) AS s FROM a GROUP BY 1) SELECT window_id, len(flatten(features)) + {8 * W} AS n, round(list_sum(flatten(features)) + s, 3) AS total FROM mw JOIN b USING (window_id)""")
