@@ -210,6 +210,25 @@ def test_lines(spark):
     assert (got[12].text, got[13].text, got[14].text) == (None, "", "\n")
 
 
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_passages_of_few_documents(spark, n):
+    own = [" ".join(f"d{chr(97 + i)}x{chr(97 + i * j % 26)}q{chr(97 + j)}" for j in range(30)) for i in range(9)]
+    passage = " ".join(f"p{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    texts = [f"{t}\n{passage}\nRead on" if i < n else t for i, t in enumerate(own)]
+    for apart in (False, True):
+        got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(frame(spark, texts), copies_apart=apart).collect()}
+        assert got == {i: texts[0] if i == 0 else t for i, t in enumerate(own)}
+
+
+def test_lines_of_copies(spark):
+    text = "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(5))
+    texts = [text, text, text.replace("wabc", "x") + " end", "Other words " + text.split("\n")[0][:40] + "\n" + text.split("\n")[2]]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(3)] == texts[:3] and got[3] == texts[3].split("\n")[0]
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(frame(spark, texts), copies_apart=True).collect()}
+    assert got == {0: 0, 1: 5, 2: 4, 3: 1}
+
+
 # ---- tokens
 
 

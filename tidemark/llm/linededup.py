@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neardup import near_duplicates
 from .quality import SPACES, words_of
 from .scratch import materialize, row_key
 
 FIELD = "<*>"
-DEPTH, SIMILAR, MIN_DOCS = 2, 0.7, 8
+DEPTH, SIMILAR, MIN_DOCS = 2, 0.7, 2
 
 
 def masked(line: Column) -> Column:
@@ -43,14 +44,16 @@ def lines_of(keyed: DataFrame) -> DataFrame:
     return lines.select("row", "nth", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("exact"))
 
 
-def recurring(keyed: DataFrame, min_docs: int, similar: float) -> DataFrame:
-    """``row, nth`` of lines whose template recurs, but for those in the template's first document."""
-    lines = materialize(lines_of(keyed), "lines")
-    reached = lines.select("leaf", "row").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame | None = None) -> DataFrame:
+    """``row, nth`` of lines whose template recurs, but for those in the template's first document.  ``units`` (``row,
+    unit``): rows of one unit count as one document."""
+    lines = lines_of(keyed)
+    lines = materialize(lines.withColumn("unit", F.col("row")) if units is None else lines.join(units, "row"), "lines")
+    reached = lines.select("leaf", "unit").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
     lines = materialize(lines.join(reached.select("leaf"), "leaf", "left_semi"), "reached")
     # the distinct lines of these leaves, and one place of each
-    spread = lines.groupBy("leaf", "exact", "row").agg(F.min("nth").alias("nth")).groupBy("leaf", "exact")
-    kinds = materialize(spread.agg(F.count("*").alias("n"), F.min(F.struct("row", "nth")).alias("at")).select("leaf", "exact", "n", "at.row", "at.nth"), "kinds")
+    spread = lines.groupBy("leaf", "exact", "unit").agg(F.min(F.struct("row", "nth")).alias("at")).groupBy("leaf", "exact")
+    kinds = materialize(spread.agg(F.count("*").alias("n"), F.min("at").alias("at")).select("leaf", "exact", "n", "at.row", "at.nth"), "kinds")
     wanted = kinds.groupBy("row").agg(F.collect_set("nth").alias("want"))
     there = keyed.join(wanted.hint("merge"), "row").select("row", "want", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     there = there.filter(F.array_contains("want", F.col("nth"))).select("row", "nth", masked(F.col("line")).alias("tokens"))
@@ -61,13 +64,13 @@ def recurring(keyed: DataFrame, min_docs: int, similar: float) -> DataFrame:
     same = F.size(F.filter(F.zip_with("tokens", "seed", lambda a, b: (a == b) | (a == FIELD) | (b == FIELD)), lambda x: x))
     template = F.when((F.size("tokens") == F.size("seed")) & (same >= F.size("seed") * similar), F.col("seed_exact")).otherwise(F.col("exact"))
     named = materialize(kinds.join(seed, "leaf").select("leaf", "exact", template.alias("template")), "named")
-    placed = materialize(lines.join(named, ["leaf", "exact"]).select("row", "nth", "leaf", "template"), "placed")
-    often = placed.select("leaf", "template", "row").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("row").alias("keeper"))
+    placed = materialize(lines.join(named, ["leaf", "exact"]).select("row", "unit", "nth", "leaf", "template"), "placed")
+    often = placed.select("leaf", "template", "unit").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("unit").alias("keeper"))
     often = materialize(often.filter(F.col("n") >= min_docs).select("leaf", "template", "keeper"), "often")
-    return placed.join(often, ["leaf", "template"]).filter("row <> keeper").select("row", "nth")
+    return placed.join(often, ["leaf", "template"]).filter("unit <> keeper").select("row", "nth")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, text_col: str = "text", copies_apart: bool = False) -> DataFrame:
     """``docs`` with recurring lines cut out of ``text``, plus ``n_lines`` and ``n_dropped`` (long; columns of these
     names are replaced).
 
@@ -75,10 +78,17 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: flo
     has one line and stays as it is.  Documents that share an id are told apart by their text;
     identical rows count as one document and are cut alike.  The first document of a template is
     the one with the smallest id.  An empty table gives no rows.
+
+    Near copies (five words, similarity 0.8 or more) are one document and are cut alike, so that a near-dedup
+    after this step still finds them; with ``copies_apart`` every row counts, and lines go from copies too.
     """
     docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "__row", "__gone")))
     keyed = docs.withColumn("__row", row_key(docs, text_col=text_col))
-    gone = recurring(keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), min_docs, similar).groupBy("row").agg(F.collect_set("nth").alias("__gone"))
+    units = None
+    if not copies_apart:
+        copies = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")))
+        units = materialize(copies.select(F.col("doc_id").alias("row"), F.col("component_id").alias("unit")).distinct(), "units")
+    gone = recurring(keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), min_docs, similar, units).groupBy("row").agg(F.collect_set("nth").alias("__gone"))
     # the same plan at every size: texts are shuffled once for each of the two joins
     out = keyed.join(materialize(gone.withColumnRenamed("row", "__row"), "gone").hint("merge"), "__row", "left")
     split = F.split(F.col(text_col), "\n")

@@ -37,7 +37,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), copies_apart=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
