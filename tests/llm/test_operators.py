@@ -220,6 +220,13 @@ def test_passages_of_few_documents(spark, n):
         assert got == {i: texts[0] if i == 0 else t for i, t in enumerate(own)}
 
 
+def test_lines_that_are_mostly_fields(spark):
+    logs = [f"2024-01-{i + 10} 10:{i + 33}:21 id={i * 8841} u{i * 77} {i + 42}ms OK" for i in range(9)]
+    texts = [f"Own{chr(97 + i)} words{chr(97 + i)} here{chr(97 + i)}\n{x}\n{i} {i * 7}" for i, x in enumerate(logs)]
+    got = {r.doc_id: r.text.split("\n") for r in linededup.drop_recurring_lines(frame(spark, texts), min_docs=8, copies_apart=True).collect()}
+    assert got == {i: [x for k, x in enumerate(t.split("\n")) if i == 0 or k != 1] for i, t in enumerate(texts)}
+
+
 def test_lines_of_copies(spark):
     text = "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(5))
     texts = [text, text, text.replace("wabc", "x") + " end", "Other words " + text.split("\n")[0][:40] + "\n" + text.split("\n")[2]]

@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree (operator 5).
 
 Lines are sorted into a tree of fixed depth: by token count, then by the leading tokens.  Tokens
-with a digit are variable fields and read ``<*>`` unless most tokens are such.  The line that most documents of a leaf hold is the
+with a digit are variable fields and read ``<*>`` unless all tokens are such.  The line that most documents of a leaf hold is the
 leaf's template; lines that agree with it in enough places belong to it and the places that
 differ are variable fields too.  Other lines of the leaf are templates of their own.  A template
 that recurs in ``min_docs`` documents or more is dropped from all of them but the first, so that its
@@ -25,11 +25,11 @@ DEPTH, SIMILAR, MIN_DOCS = 2, 0.7, 2
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens with variable fields for tokens that hold a digit.  A line that is mostly fields
+    """The line's tokens with variable fields for tokens that hold a digit.  A line of fields alone
     would say nothing, so it keeps its tokens."""
     words = words_of(line)
     fields = F.transform(words, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    telling = F.size(F.filter(fields, lambda t: t == FIELD)) * 2 <= F.size(fields)
+    telling = F.exists(fields, lambda t: t != FIELD)
     return F.when(line.rlike("[0-9]") & telling, fields).otherwise(words)
 
 
