@@ -227,6 +227,30 @@ def test_lines_that_are_mostly_fields(spark):
     assert got == {i: [x for k, x in enumerate(t.split("\n")) if i == 0 or k != 1] for i, t in enumerate(texts)}
 
 
+def test_families_of_one_leaf(spark):
+    def line(family, i):
+        return " ".join(["The", "and", *(f"{family}{chr(97 + j)}" for j in range(5)), f"x{chr(97 + i)}", f"y{chr(97 + i)}"])
+
+    texts = ["\n".join([f"Own{chr(97 + i)} words", *(line(f, i) for f in "klm"[: 3 if i % 2 else 2])]) for i in range(18)]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(frame(spark, texts), min_docs=8, copies_apart=True).collect()}
+    assert got == {i: t if i == 0 else "\n".join([f"Own{chr(97 + i)} words"] + ([line("m", 1)] if i == 1 else [])) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_templates_equal_one_line_at_a_time(rows):
+    rng = random.Random(rows)
+    lines = sorted({(leaf, -i, tuple(rng.randint(0, 3) for _ in range(4 + leaf % 3))) for i in range(150) for leaf in [rng.randint(1, 5)]})
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in lines]), pa.array([-x[1] for x in lines]), pa.array([list(x[2]) for x in lines], type=pa.list_(pa.int64()))], ["leaf", "exact", "tokens"])
+    got = [tuple(r.values()) for b in linededup._families(0.7)(batch.slice(a, rows) for a in range(0, batch.num_rows, rows)) for r in b.to_pylist()]
+    want, seeds = [], []
+    for leaf, i, t in lines:
+        found = next((e for at, e, s in seeds if at == leaf and sum(a == b or not a or not b for a, b in zip(s, t)) >= 0.7 * len(t)), None)
+        if found is None:
+            seeds.append((leaf, -i, t))
+        want.append((leaf, -i, -i if found is None else found))
+    assert got == want
+
+
 def test_lines_of_copies(spark):
     text = "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(5))
     texts = [text, text, text.replace("wabc", "x") + " end", "Other words " + text.split("\n")[0][:40] + "\n" + text.split("\n")[2]]

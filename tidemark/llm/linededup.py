@@ -2,17 +2,22 @@
 
 Lines are sorted into a tree of fixed depth: by token count, then by the leading tokens.  Tokens
 with a digit are variable fields and read ``<*>`` unless all tokens are such.  The line that most documents of a leaf hold is the
-leaf's template; lines that agree with it in enough places belong to it and the places that
-differ are variable fields too.  Other lines of the leaf are templates of their own.  A template
+leaf's first template; lines that agree with it in enough places belong to it and the places that
+differ are variable fields too.  Of the lines that are left the most frequent one is the next
+template, and so on until no line of the leaf is left.  A template
 that recurs in ``min_docs`` documents or more is dropped from all of them but the first, so that its
 content is not lost.
 
 Lines travel as hashes; texts of lines are fetched only for the distinct lines of leaves that enough
-documents reach.
+documents reach and that hold more than one.  The distinct lines of a leaf meet in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +49,63 @@ def lines_of(keyed: DataFrame) -> DataFrame:
     return lines.select("row", "nth", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("exact"))
 
 
+def templates(leaf: np.ndarray, exact: np.ndarray, tokens: np.ndarray, size: np.ndarray, similar: float) -> np.ndarray:
+    """``exact`` of each line's template.  Lines are sorted by leaf and falling rank; ``tokens`` (0: a field) come one
+    line after the other.  Each round takes the first line that is left in every leaf."""
+    first, out, todo = np.cumsum(size) - size, exact.copy(), np.arange(leaf.size)
+    while todo.size:
+        new = np.r_[True, leaf[todo][1:] != leaf[todo][:-1]]
+        seed = todo[new][np.cumsum(new) - 1]
+        same = np.where(todo == seed, size[todo], 0)
+        rest = np.flatnonzero((todo != seed) & (size[todo] == size[seed]))
+        for at in range(0, rest.size, 1 << 14):
+            part = rest[at : at + (1 << 14)]
+            long = size[todo[part]]
+            start = np.cumsum(long) - long
+            place = np.arange(long.sum()) - np.repeat(start, long)
+            a, b = (tokens[np.repeat(first[x[part]], long) + place] for x in (todo, seed))
+            same[part] = np.add.reduceat((a == b) | (a == 0) | (b == 0), start, dtype=np.int64)
+        own = same >= size[seed] * similar
+        own |= todo == seed
+        out[todo[own]] = exact[seed[own]]
+        todo = todo[~own]
+    return out
+
+
+def _families(similar: float):
+    """Distinct lines in the order of ``templates`` -> their templates.  A leaf may span batches."""
+
+    def named(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        leaf, exact = rows["leaf"].to_numpy(), rows["exact"].to_numpy()
+        once = np.r_[True, (leaf[1:] != leaf[:-1]) | (exact[1:] != exact[:-1])]  # identical rows bring a line twice
+        rows, leaf, exact = rows.filter(pa.array(once)).combine_chunks(), leaf[once], exact[once]
+        lists = rows["tokens"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        size = np.asarray(lists.value_lengths()).astype(np.int64)
+        found = templates(leaf, exact, np.asarray(lists.flatten()), size, similar)
+        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(exact), pa.array(found)], ["leaf", "exact", "template"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one leaf
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf = batch["leaf"].to_numpy()
+            other = np.flatnonzero(leaf != leaf[-1])
+            cut = int(other[-1]) + 1 if other.size else 0
+            if cut or (held and held[0]["leaf"][0].as_py() != leaf[-1]):
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield named(held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield named(held)
+
+    return run
+
+
 def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame | None = None) -> DataFrame:
     """``row, nth`` of lines whose template recurs, but for those in the template's first document.  ``units`` (``row,
     unit``): rows of one unit count as one document."""
@@ -54,17 +116,18 @@ def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame
     # the distinct lines of these leaves, and one place of each
     spread = lines.groupBy("leaf", "exact", "unit").agg(F.min(F.struct("row", "nth")).alias("at")).groupBy("leaf", "exact")
     kinds = materialize(spread.agg(F.count("*").alias("n"), F.min("at").alias("at")).select("leaf", "exact", "n", "at.row", "at.nth"), "kinds")
+    several = kinds.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf")
+    kinds = materialize(kinds.join(several, "leaf", "left_semi"), "several")
     wanted = kinds.groupBy("row").agg(F.collect_set("nth").alias("want"))
     there = keyed.join(wanted.hint("merge"), "row").select("row", "want", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    there = there.filter(F.array_contains("want", F.col("nth"))).select("row", "nth", masked(F.col("line")).alias("tokens"))
-    kinds = materialize(kinds.join(there, ["row", "nth"]).select("leaf", "exact", "n", "tokens"), "tokens")
-    # the leaf's template: the line in most documents, the largest hash among equals
-    first = F.struct("n", "exact")
-    seed = materialize(kinds.groupBy("leaf").agg(F.max_by("tokens", first).alias("seed"), F.max_by("exact", first).alias("seed_exact")), "seeds")
-    same = F.size(F.filter(F.zip_with("tokens", "seed", lambda a, b: (a == b) | (a == FIELD) | (b == FIELD)), lambda x: x))
-    template = F.when((F.size("tokens") == F.size("seed")) & (same >= F.size("seed") * similar), F.col("seed_exact")).otherwise(F.col("exact"))
-    named = materialize(kinds.join(seed, "leaf").select("leaf", "exact", template.alias("template")), "named")
-    placed = materialize(lines.join(named, ["leaf", "exact"]).select("row", "unit", "nth", "leaf", "template"), "placed")
+    tokens = F.transform(masked(F.col("line")), lambda t: F.when(t == FIELD, F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
+    there = there.filter(F.array_contains("want", F.col("nth"))).select("row", "nth", tokens.alias("tokens"))
+    kinds = kinds.join(there, ["row", "nth"]).select("leaf", "exact", "n", "tokens").repartition("leaf")
+    # the line in most documents first, the largest hash among equals
+    kinds = kinds.sortWithinPartitions("leaf", F.desc("n"), F.desc("exact")).select("leaf", "exact", "tokens")
+    named = materialize(kinds.mapInArrow(_families(similar), "leaf long, exact long, template long"), "named")
+    placed = lines.join(named, ["leaf", "exact"], "left").withColumn("template", F.coalesce("template", "exact"))
+    placed = materialize(placed.select("row", "unit", "nth", "leaf", "template"), "placed")
     often = placed.select("leaf", "template", "unit").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("unit").alias("keeper"))
     often = materialize(often.filter(F.col("n") >= min_docs).select("leaf", "template", "keeper"), "often")
     return placed.join(often, ["leaf", "template"]).filter("unit <> keeper").select("row", "nth")
