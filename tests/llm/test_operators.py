@@ -384,6 +384,18 @@ def test_urls(spark):
     assert verdict[9] == "block" and verdict[10] == "allow" and verdict[5] == "allow" and verdict[2] == "block"
 
 
+def test_urls_of_hosts_that_are_not_labelled(spark):
+    plain = ["https://kalender.se/a", "https://www.librairie.fr/page/2", "https://obchod.cz/", "https://gradina.ro/x/3", "https://bokklubb.no", "https://pogoda.pl/5", "https://chiesa.it/", "https://stadium.org.au/map", "https://bibliotek.dk/"]
+    assert not set(urls.UNLISTED) & {h for h, _ in urls.labelled_hosts()}
+    held = [*urls.labelled_urls(spark, held_out=True).collect(), *((u, 0.0) for u in plain), *((f"https://{h}.at/x", 1.0) for h in urls.UNLISTED)]
+    rows = urls.filter_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string"), rules=()).collect()
+    blocked = {r.page_id: r.verdict == "block" for r in rows}
+    junk = [blocked[i] for i, (_, b) in enumerate(held) if b]
+    fair = [blocked[i] for i, (_, b) in enumerate(held) if not b]
+    assert sum(junk) / len(junk) > 0.95 and sum(fair) / len(fair) < 0.02
+    assert not any(fair[-len(plain) :]) and all(junk[-2:])
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).select("doc_id", "text", "source")
     assert quality.judge(none).count() == 0
