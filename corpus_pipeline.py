@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, linededup, neardup, quality
-from tidemark.llm.scratch import materialize, row_key
+from tidemark.llm.scratch import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group (five words, similarity 0.8 or more)."""
-    gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("row").alias("__row")).distinct().hint("merge")
-    return docs.withColumn("__row", row_key(docs)).join(gone, "__row", "left_anti").select(*docs.columns)
+    """Keeps one row of each near-duplicate group (five words, similarity 0.8 or more): the one with the smallest
+    id, null ids last.  Rows without words are in no group and stay."""
+    # the number is written, so that it is the same whenever it is read
+    keyed = materialize(docs.withColumns({"__number": F.monotonically_increasing_id()}), "numbered")
+    found = neardup.near_duplicates(keyed.select(F.col("__number").alias("doc_id"), "text")).filter("n_shingles > 0")
+    groups = found.select(F.col("doc_id").alias("__number"), F.col("component_id").alias("__group"))
+    ids = keyed.select("__number", F.col("doc_id").isNull().alias("__null"), F.col("doc_id").alias("__id"))
+    groups = materialize(groups.join(ids, "__number"), "groups")
+    first = groups.groupBy("__group").agg(F.min(F.struct("__null", "__id", "__number")).alias("__first")).select("__group", F.col("__first.__number").alias("__keeper"))
+    gone = groups.join(first, "__group").filter("__number <> __keeper").select("__number")
+    return keyed.join(materialize(gone, "gone").hint("merge"), "__number", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

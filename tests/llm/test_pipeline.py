@@ -39,6 +39,14 @@ def test_stages(spark, sf):
         assert out.columns == docs.columns and out.count() == 0
 
 
+def test_one_row_of_each_near_duplicate_group(spark, sf):
+    text, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(4, text), (4, text), (None, text), (7, text + " end"), (None, other), (None, other), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in cp.near_dedup(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(4, text), (None, other), (None, None), (5, ""), (5, "")], key=str)
+
+
 def test_registered_queries(spark, sf):
     assert sorted(Q.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(Q.QUERIES) == 10
     for name in ("op4_quality_rules", "op9_secret_scan", "op1_url_filter"):
