@@ -24,6 +24,8 @@ from . import textvec as tv
 from .pieces import PieceIds
 
 NONE = 1 << 62
+#: Ids that are decoded at once; more only if one text has more.
+SLICE = 1 << 21
 _LOW = (1 << 32) - 1
 
 
@@ -113,7 +115,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     """Adds ``out_col``, the ids (array<int>) of the whole text; replaces a column of that name.
 
     Null texts count as empty and have no ids.  No special tokens: their strings are plain text.
-    All other columns, rows and repeated rows stay as they are.  ``path``: a rank file that all
+    All other columns, rows and repeated rows stay as they are; an empty table gives no rows.  ``path``: a rank file that all
     workers have; ``pattern``: splits text into pieces.
     """
     rest = [c for c in docs.columns if c != out_col]
@@ -130,24 +132,30 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``, the bytes (binary) of the ids; null ids give no bytes.  A sequence that was
-    cut inside a character may not be valid UTF-8, so the result is bytes."""
+    cut inside a character may not be valid UTF-8, so the result is bytes.  Rows are decoded in slices of
+    ``SLICE`` ids, so that only a value beyond Spark's own limit of 2 GiB could pass Arrow's.  An empty
+    table gives no rows."""
     rest = [c for c in encoded.columns if c != out_col]
     schema = encoded.select(rest).withColumn(out_col, F.lit(b"")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, start = _decoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                column = batch[ids_col]
-                ids = column.flatten().to_numpy(zero_copy_only=False)
-                counts = np.nan_to_num(np.asarray(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+            column = whole[ids_col]
+            counts = np.nan_to_num(np.asarray(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+            last = np.cumsum(counts)
+            row, a = 0, 0
+            while row < whole.num_rows:  # as many rows as have SLICE ids, at least one
+                upto = max(row + 1, int(np.searchsorted(last, a + SLICE, side="right")))
+                batch, own = whole.slice(row, upto - row), counts[row:upto]
+                ids = batch[ids_col].flatten().to_numpy(zero_copy_only=False)
                 size = start[ids + 1] - start[ids]
                 ends = np.cumsum(size)
                 source = np.repeat(start[ids] - (ends - size), size) + np.arange(ends[-1] if ends.size else 0)
-                off = np.r_[0, ends][np.r_[0, np.cumsum(counts)]].astype(np.int32)
-                text = pa.Array.from_buffers(pa.binary(), counts.size, [None, pa.py_buffer(off), pa.py_buffer(data[source])])
+                off = np.r_[0, ends][np.r_[0, np.cumsum(own)]]
+                text = pa.Array.from_buffers(pa.binary(), own.size, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data[source])])
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), text], [*rest, out_col])
+                row, a = upto, int(last[upto - 1])
 
     return encoded.mapInArrow(run, schema)
 

@@ -4,8 +4,9 @@ The byte-level pattern ``SPLIT`` only looks at character classes, so it is worke
 runs of letters, numbers, white space and others begin a piece, but for a space that goes with
 the run after it and for contractions.  Other patterns go through the regex library.
 
-Pieces of a batch are told apart by a 64-bit hash; each distinct one is looked up once by its
-bytes, in a table of known pieces that a worker keeps (``CACHE`` of them; it only saves time).
+Pieces of a batch are grouped by a 64-bit hash, and each is compared with the first of its group
+byte by byte; each distinct one is looked up once by its bytes, in a table of known pieces that a
+worker keeps (``CACHE`` of them; it only saves time).
 """
 
 from __future__ import annotations
@@ -89,6 +90,27 @@ def batch_pieces(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray,
     return data, np.r_[starts, data.size], counts
 
 
+def distinct_pieces(data: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each piece's kind, first piece of each kind); pieces of a kind have the same bytes."""
+    start, end = offset[:-1], offset[1:]
+    code, distinct = pd.factorize(tv.span_hashes(data, start, end))
+    first = np.zeros(distinct.size, dtype=np.int64)
+    first[code[::-1]] = np.arange(code.size)[::-1]
+    size = end - start
+    own = first[code]
+    odd = np.flatnonzero(size != size[own])
+    alike = np.flatnonzero(size == size[own])
+    odd = np.r_[odd, alike[~tv.same_bytes(data, start[alike], start[own[alike]], size[alike])]]
+    more: dict[bytes, int] = {}  # pieces that only share a hash
+    for i in np.sort(odd).tolist():
+        piece = data[start[i] : end[i]].tobytes()
+        if piece not in more:
+            more[piece] = first.size
+            first = np.r_[first, i]
+        code[i] = more[piece]
+    return code, first
+
+
 class PieceIds:
     """Ids of texts from the ids of their pieces; ``merge`` gives all ids of new pieces, one piece after
     the other, and how many each has."""
@@ -106,9 +128,7 @@ class PieceIds:
         data, offset, counts = batch_pieces(texts, self.pattern)
         if not counts.sum():
             return np.zeros(0, dtype=np.int32), np.zeros(counts.size, dtype=np.int64)
-        code, distinct = pd.factorize(tv.span_hashes(data, offset[:-1], offset[1:]))
-        first = np.zeros(distinct.size, dtype=np.int64)
-        first[code[::-1]] = np.arange(code.size)[::-1]
+        code, first = distinct_pieces(data, offset)
         whole = data.tobytes()
         keys = [whole[a:b] for a, b in zip(offset[first].tolist(), offset[first + 1].tolist())]
         if len(self.number) > CACHE:

@@ -1,22 +1,25 @@
 """Vectorised word handling over a batch of texts.
 
 A batch is an Arrow string column.  Its UTF-8 bytes stay in one NumPy array; words are
-found by looking bytes up in a 256-entry table, and words and word windows are hashed by
-prefix sums of ``value * base**position`` (mod 2**64), so that no Python object is made
-per word.  Null texts count as empty.
+found by looking bytes up in a 256-entry table.  Words are hashed eight bytes at a time, and
+word windows by joining the hashes of their halves, with a mixing step in between, so that no
+Python object is made per word.  Null texts count as empty.
+
+The step is not linear, so no family of words collides by its form, as all sums of
+``byte * base**position`` do; long words go through BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
-#: Odd multipliers, so that they have an inverse modulo 2**64.
+#: Odd multipliers.
 WORD_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 
@@ -29,21 +32,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-@lru_cache(maxsize=4)
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0 .. base**(n-1), and the same of its inverse."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, dtype=U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(base, 1 << max(20, int(n).bit_length()))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer: spreads all bits of a hash."""
     h = h ^ (h >> U64(33))
@@ -53,8 +41,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-def _byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F) + U64(seed))
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    h = (a ^ (a >> U64(32))) * U64(WORD_BASE) + (b ^ (b >> U64(29))) * U64(WINDOW_BASE)
+    h = (h ^ (h >> U64(31))) * U64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> U64(33))
 
 
 class Words:
@@ -97,24 +88,71 @@ class Words:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j]))
 
 
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number; zeros after the end."""
+    flat = np.zeros(data.size + 8, dtype=np.uint8)
+    flat[: data.size] = data
+    return np.ndarray((data.size + 1,), dtype="<u8", buffer=flat, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(U64) * U64(WORD_BASE) + U64((seed * 0xA0761D6478BD642F + 1) & ((1 << 64) - 1)))
     if not start.size:
-        return np.zeros(0, dtype=U64)
-    up, down = _powers(WORD_BASE, data.size)
-    sums = np.zeros(data.size + 1, dtype=U64)
-    np.cumsum(_byte_values(seed)[data] * up[: data.size], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+        return out
+    for i in np.flatnonzero(size > LONG):
+        key = seed.to_bytes(8, "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    chunk = eights(data)
+    todo = np.flatnonzero(size <= LONG)
+    at, left = start[todo], size[todo]
+    while todo.size:
+        part = chunk[at]
+        short = left < 8
+        part[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[todo] = join(out[todo], part)
+        go = left > 8
+        todo, at, left = todo[go], at[go] + 8, left[go] - 8
+    return out
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from a and from b on are the same, for each pair of places."""
+    out = np.ones(size.size, dtype=bool)
+    for i in np.flatnonzero(size > LONG):
+        out[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    chunk = eights(data)
+    todo = np.flatnonzero((size <= LONG) & (a != b) & (size > 0))
+    done = 0
+    while todo.size:
+        left = size[todo] - done
+        differ = chunk[a[todo] + done] ^ chunk[b[todo] + done]
+        short = left < 8
+        differ[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[todo[differ != 0]] = False
+        todo, done = todo[left > 8], done + 8
+    return out
 
 
 def window_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the n word hashes from each position in ``at`` on."""
+    """A 64-bit hash of the n word hashes from each position in ``at`` on: of blocks of 2**k words, made of
+    two halves each, from left to right."""
     if not at.size:
         return np.zeros(0, dtype=U64)
-    up, down = _powers(WINDOW_BASE, h.size)
-    sums = np.zeros(h.size + 1, dtype=U64)
-    np.cumsum(h * up[: h.size], out=sums[1:])
-    return mix((sums[at + n] - sums[at]) * down[at])
+    out, place, level, size = np.full(at.size, U64(n)), at, h, 1
+    while True:
+        if n & size:
+            out = join(out, level[place])
+            place = place + size
+        if n < 2 * size:
+            return out
+        level = join(level[:-size], level[size:]) if level.size > size else level[:0]
+        size *= 2
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
