@@ -1,15 +1,17 @@
-"""Written tables in the cluster's shared folder, and row keys.
+"""Written tables in the cluster's shared folder, and row numbers.
 
-``spark.checkpoint.dir`` names the folder.  Where it is unset (tests, a laptop) a temporary
-folder of the driver is used.  Tables stay until ``clear_scratch`` is called.
+``spark.checkpoint.dir`` names the folder.  Where it is unset, as in tests or on a laptop, a temporary
+folder is used if driver and executors share one machine; on a cluster that is an error.  Tables
+stay until ``clear_scratch`` is called.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,23 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def made(path: str) -> str:
+    """Notes a path for ``clear_scratch``."""
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet and reads it back: later steps start from the files, and
     the shuffle files behind it are dropped as soon as it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = made(f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        # small row groups: a task that writes whole texts keeps less in memory
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,15 +58,17 @@ def clear_scratch(spark: SparkSession) -> None:
     _made.clear()
 
 
-def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A key for each row: the id itself where ids are unique and not null, which one count by id
-    checks; else a hash of id and text, so that rows of one id are told apart and identical rows
-    get the same result."""
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    odd = ids.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
-    return F.xxhash64(id_col, text_col) if odd else F.col(id_col).cast("long")
+def tasks_for(df: DataFrame, most: int = 64 << 20) -> int:
+    """How many tasks a shuffle of ``df`` needs, so that each gets about ``most`` bytes: the session's number, or
+    more if the planner's estimate of the table's size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # the planner's "don't know" is larger
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most) if known else 0)
 
 
-def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` cut to ``row, doc_id, text``."""
-    return docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def numbered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``row, doc_id, text`` of every row, written: ``row`` is unique whatever the ids are, and stays the same if a
+    lost task reads the table again."""
+    return materialize(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "numbered"
+    )
