@@ -9,11 +9,15 @@
    Edges are confirmed on the full shingle sets.  A center is then done with this bucket; the
    bucket goes on with the rest until it has one component or one member left.  So a link of
    two texts that share a bucket is never lost, and the stars stop early where all is linked.
-   Jaccard distance is a metric: members whose distances to the bucket's first center differ by
-   more than the threshold allows cannot be linked and are not compared.  Later rounds also
-   compare 2048-bit sketches inside the join, so that only likely pairs leave it.
+   Rounds take more and more centers, so that their number stays small in a bucket whose members
+   are not linked.  Two exact bounds keep pairs inside the join.  Jaccard distance is a metric:
+   members whose distances to the bucket's first center differ by more than the threshold allows
+   cannot be linked.  And of a set, those shingles are in no intersection that fall where the
+   other set's map of 2048 hash cells is empty.
 5. Connected components by large-star/small-star, with a written table after every step.
 
+Members of a large bucket are dealt to several tasks by a salt, and its centers go to all of them.
+
 With 24 bands of 5 rows two texts of similarity 0.85 share no bucket with probability 8e-7,
 and at 0.8 with 7e-5.
 """
@@ -28,12 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import materialize, with_row_key
+from .scratch import materialize, numbered
 
-BANDS, ROWS, CENTERS = 24, 5, 256
-#: Bits of the sketch that later rounds compare before texts, the least set size it is used for, and how many
-#: standard deviations below the threshold it must be to rule a pair out (a miss has probability 3e-7).
-SKETCH, SKETCH_LEAST, SKETCH_SIGMAS = 2048, 64, 5.0
+#: Centers of a bucket in its second round, and how many times more each round after it takes.
+BANDS, ROWS, CENTERS, MORE_CENTERS = 24, 5, 256, 4
+#: Cells of the map of a set; members of a bucket that one task takes.
+CELLS, SPLIT = 2048, 512
 #: Attempts of the densification before it takes the next filled bin.
 ATTEMPTS = 96
 
@@ -115,27 +119,29 @@ def _sign(width: int, bands: int, rows: int):
     return run
 
 
-def _sketch(width: int):
-    """One bit of every one of ``SKETCH`` densified bins, packed into longs."""
+def _maps(width: int):
+    """Which of ``CELLS`` cells the hashes of a set fall into, as bits of longs, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in tv.slices(batches, "text"):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                bits = tv.mix(signatures(*shingle_sets(batch["text"], width), SKETCH)) & np.uint64(1)
-                longs = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch["row"], tv.lists(longs.ravel(), np.full(batch.num_rows, SKETCH // 64), pa.int64())], ["cid", "sketch"])
+                values, counts = shingle_sets(batch["text"], width)
+                bits = np.zeros((batch.num_rows, CELLS), dtype=np.uint8)
+                bits[np.repeat(np.arange(batch.num_rows), counts), (tv.mix(values) % np.uint64(CELLS)).astype(np.int64)] = 1
+                longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                columns = [batch["row"], tv.lists(longs.ravel(), np.full(batch.num_rows, CELLS // 64), pa.int64()), pa.array(bits.sum(axis=1, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "map", "filled"])
 
     return run
 
 
-def _sketches_allow(num: int, den: int) -> Column:
-    """False where the sketches of a member and a center rule a link out."""
-    t = num / den
-    agree = (1 + t) / 2
-    cut = t - SKETCH_SIGMAS * 2 * (agree * (1 - agree) / SKETCH) ** 0.5
-    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("csketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return (F.least("n", "cn") < SKETCH_LEAST) | (differ <= int(SKETCH * (1 - cut) / 2))
+def _maps_allow(num: int, den: int) -> Column:
+    """False where the maps of a member and a center rule a link out: cells that only one of them fills hold at
+    least one shingle each that the other lacks."""
+    common = sum((F.bit_count(F.col("map")[i].bitwiseAND(F.col("cmap")[i])) for i in range(CELLS // 64)), F.lit(0))
+    most = F.least(F.col("n") - F.col("filled"), F.col("cn") - F.col("cfilled")) + common
+    return most * (num + den) >= (F.col("n") + F.col("cn")) * num
 
 
 def _confirm(width: int, num: int, den: int):
@@ -184,42 +190,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _centers(state: DataFrame, first: bool, most: int) -> DataFrame:
-    """``bucket, center, cn, ccomp, clo, chi``: the members that a round compares with the rest of their bucket.
+    """``bucket, salts, center, cn, ccomp, clo, chi``: the members that a round compares with the rest of their bucket.
 
     The first round takes the smallest member, which is the same one in most bands, so that a
-    member has one edge.  Later rounds take a member of up to ``most`` components other than the
-    bucket's largest: what is linked already needs no center.
+    member has one edge.  Later rounds take a member of about ``most`` components other than the
+    bucket's largest, at least one of any: what is linked already needs no center.
     """
     own = F.struct(F.col("cid").alias("center"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"), F.col("lo").alias("clo"), F.col("hi").alias("chi"))
     if first:
-        return state.groupBy("bucket").agg(F.min_by(own, "cid").alias("c")).select("bucket", "c.*")
-    parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by(own, F.xxhash64("bucket", "cid")).alias("c"))
-    largest = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
-    others = parts.join(largest, "bucket").filter("comp <> largest")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("comp"), "comp")
-    return others.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most).select("bucket", "c.*")
-
-
-def near_duplicates(
-    docs: DataFrame,
-    width: int = 5,
-    num: int = 80,
-    den: int = 100,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    centers: int = CENTERS,
-) -> DataFrame:
-    """Near-duplicate components: ``doc_id, n_shingles, component_id, kept`` (and ``row``), one row
-    per input row.
+        return state.groupBy("bucket").agg(F.min_by(own, "cid").alias("c"), F.first("salts").alias("salts")).select("bucket", "salts", "c.*")
+    parts = state.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by(own, F.xxhash64("bucket", "cid")).alias("c"), F.first("salts").alias("salts"))
+    parts = materialize(salted(parts.withColumn("place", F.pmod(F.xxhash64("comp", F.lit(7)), F.lit(1 << 30))), "comp"), "parts")
+    whole = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("parts"), F.min("place").alias("least"), F.first("salts").alias("salts"))
+    some = (F.col("comp") != F.col("largest")) & (F.col("place") * F.col("parts") < F.lit(most << 30))
+    joined = parts.drop("salts").join(copied(materialize(whole, "whole")), ["bucket", "salt"])
+    return joined.filter(some | (F.col("place") == F.col("least"))).select("bucket", "salts", "c.*")
 
-    Two documents are linked if den * |A and B| >= num * |A or B| for their sets of distinct
-    ``width``-word shingles (words: runs without ASCII white space, A-Z lower-cased).
-    ``component_id`` is the smallest doc_id reachable; ``kept`` marks that document.  Null or
-    empty texts have no shingles and are linked with nothing.  Repeated rows have one class, and
-    all rows that carry the smallest id are kept.  Null ids: the component's id is the smallest
-    other one, or null.  Extra columns are left out.
-    """
-    keyed = with_row_key(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+
+def salted(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``salts``) with the salt that ``key`` gives them."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int"))
+
+
+def copied(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (with ``salts``) once for each salt."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)))
+
+
+def groups(
+    keyed: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, centers: int = CENTERS
+) -> DataFrame:
+    """``row, doc_id, n_shingles, comp, component_id`` of ``keyed`` (``row, doc_id, text``, rows unique): ``comp`` is the
+    smallest row reachable, ``component_id`` the smallest id."""
     signed = keyed.mapInArrow(_sign(width, bands, rows), "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
     signed = materialize(signed, "signatures")
     key = ["set_a", "set_b", "n_shingles"]
@@ -227,29 +229,31 @@ def near_duplicates(
     classes = materialize(classes, "classes")
 
     member = classes.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
+    shared = materialize(shared.select("bucket", (F.floor(F.col("k") / SPLIT) + 1).alias("salts")), "shared")
     member = materialize(member.join(shared, "bucket"), "buckets")
-    texts = keyed.join(member.select(F.col("cid").alias("row")).distinct().hint("merge"), "row").groupBy("row").agg(F.first("text").alias("text"))
+    texts = keyed.select("row", "text").join(member.select(F.col("cid").alias("row")).distinct().hint("merge"), "row")
     texts = materialize(texts, "texts")
 
-    spark = docs.sparkSession
+    spark = keyed.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
-    labels = sketches = None
-    state = member.select("bucket", "cid", "n", F.col("cid").alias("comp"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    labels = maps = None
+    state = salted(member, "cid").withColumns({"comp": F.col("cid"), "lo": F.lit(0.0), "hi": F.lit(1.0)})
+    columns = ["bucket", "salt", "salts", "cid", "n", "comp", "lo", "hi"]
     reach = 1 - num / den + 1e-9
     while not state.isEmpty():
         star = materialize(_centers(state, labels is None, centers), "centers")
         fits = F.least("n", "cn") * den >= F.greatest("n", "cn") * num
         near = (F.col("lo") - F.col("chi") <= reach) & (F.col("clo") - F.col("hi") <= reach)
-        able = (F.col("bucket") == F.col("cbucket")) & (F.col("comp") != F.col("ccomp")) & fits & near
-        if labels is None:
-            members, hubs = state, star
-        else:
-            members = state.join(sketches, "cid")
-            hubs = star.join(sketches.withColumnsRenamed({"cid": "center", "sketch": "csketch", "bands": "cbands"}), "center")
+        able = (F.col("bucket") == F.col("cbucket")) & (F.col("salt") == F.col("csalt")) & (F.col("comp") != F.col("ccomp")) & fits & near
+        members, hubs = state, copied(star)
+        if labels is not None:
+            members = state.join(maps, "cid")
+            hubs = hubs.join(maps.withColumnsRenamed({"cid": "center", "map": "cmap", "filled": "cfilled", "bands": "cbands"}), "center")
             # a pair counts only in the first bucket that it shares, and stays there until it is compared
-            able = able & _sketches_allow(num, den) & (F.col("bucket") == F.array_min(F.array_intersect("bands", "cbands")))
-        pairs = members.join(hubs.withColumnRenamed("bucket", "cbucket"), able)
+            able = able & _maps_allow(num, den) & (F.col("bucket") == F.array_min(F.array_intersect("bands", "cbands")))
+            centers *= MORE_CENTERS
+        pairs = members.join(hubs.drop("salts").withColumnsRenamed({"bucket": "cbucket", "salt": "csalt"}), able)
         pairs = pairs.select(F.least("cid", "center").alias("a"), F.greatest("cid", "center").alias("b")).distinct()
         if labels is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -260,27 +264,41 @@ def near_duplicates(
         if opening or not judged.filter("linked").isEmpty():  # else the components are as before
             labels = materialize(components(links), "labels")
         # a bucket goes on without its centers, if it still holds two components
-        rest = state.drop("comp").join(star.select("bucket").distinct(), "bucket", "left_semi")
-        rest = rest.join(star.select("bucket", F.col("center").alias("cid")), ["bucket", "cid"], "left_anti")
+        rest = state.drop("comp").join(star.select("bucket", F.col("center").alias("cid")), ["bucket", "cid"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         if opening:  # distances to the bucket's first center, or their bounds by size
-            pivots = star.select("bucket", "center", "cn")
+            pivots = copied(star.select("bucket", "salts", "center", "cn")).drop("salts")
             sims = judged.select("a", "b", "sim")
-            rest = rest.join(pivots, "bucket").withColumns({"a": F.least("cid", "center"), "b": F.greatest("cid", "center")}).join(sims, ["a", "b"], "left")
+            rest = rest.join(pivots, ["bucket", "salt"]).withColumns({"a": F.least("cid", "center"), "b": F.greatest("cid", "center")}).join(sims, ["a", "b"], "left")
             rest = rest.withColumns({"lo": 1 - F.coalesce("sim", F.least("n", "cn") / F.greatest("n", "cn")), "hi": F.coalesce(1 - F.col("sim"), F.lit(1.0))})
-        rest = materialize(rest.select("bucket", "cid", "n", "comp", "lo", "hi"), "rest")
-        live = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        state = materialize(rest.join(live, "bucket", "left_semi"), "buckets")
+        rest = materialize(rest.select(*columns), "rest")
+        live = rest.groupBy("bucket").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.first("salts").alias("salts")).filter("first <> last")
+        live = materialize(live.select("bucket", "salts"), "live")
+        state = materialize(rest.join(copied(live).drop("salts"), ["bucket", "salt"], "left_semi"), "buckets")
         if opening:
-            sketches = texts.join(state.select(F.col("cid").alias("row")).distinct(), "row", "left_semi")
-            sketches = sketches.mapInArrow(_sketch(width), "cid long, sketch array<long>")
-            sketches = materialize(sketches.join(classes.select("cid", "bands"), "cid"), "sketches")
+            maps = texts.join(state.select(F.col("cid").alias("row")).distinct(), "row", "left_semi")
+            maps = maps.mapInArrow(_maps(width), "cid long, map array<long>, filled long")
+            maps = materialize(maps.join(classes.select("cid", "bands"), "cid"), "maps")
 
     if labels is None:
         labels = spark.createDataFrame([], "node long, comp long")
     named = classes.select(*key, "cid", "cdoc").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    low = named.groupBy("comp").agg(F.min("cdoc").alias("component_id"))
-    named = materialize(named.join(low, "comp").select(*key, "component_id"), "named")
-    alone = signed.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = signed.filter("n_shingles > 0").join(named, key).select("row", "doc_id", "n_shingles", "component_id")
-    return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    low = materialize(named.groupBy("comp").agg(F.min("cdoc").alias("component_id")), "low")
+    named = materialize(named.join(low, "comp").select(*key, "comp", "component_id"), "named")
+    alone = signed.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("comp"), F.col("doc_id").alias("component_id"))
+    grouped = signed.filter("n_shingles > 0").join(named, key).select("row", "doc_id", "n_shingles", "comp", "component_id")
+    return grouped.union(alone)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, centers: int = CENTERS) -> DataFrame:
+    """Near-duplicate components: ``doc_id, n_shingles, component_id, kept``, one row per input row.
+
+    Two documents are linked if den * |A and B| >= num * |A or B| for their sets of distinct
+    ``width``-word shingles (words: runs without ASCII white space, A-Z lower-cased).
+    ``component_id`` is the smallest doc_id reachable; ``kept`` marks that document.  Null or
+    empty texts have no shingles and are linked with nothing.  Repeated rows have one class, and
+    all rows that carry the smallest id are kept.  Null ids: the component's id is the smallest
+    other one, or null.  Extra columns are left out; an empty table gives no rows.
+    """
+    found = groups(numbered(docs), width, num, den, bands, rows, centers)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
