@@ -8,7 +8,7 @@ positions: 5 of 21.  Steps:
 
 1. hash the anchors, find those that occur twice or more;
 2. extend: hash whole windows only around such anchors, find those that occur twice or more
-   (64 + 32 bits of two independent hashes);
+   (64 + 31 bits of two hashes with seeds of their own);
 3. cut the covered words out of each text.
 
 Hashes are compared by one shuffle on the hash and a sort.  A hash that occurs more than once
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import materialize, with_row_key
+from .scratch import materialize, numbered, tasks_for
 
 #: Optimal difference covers (fixed values): period -> residues.
 COVERS = {
@@ -122,10 +122,9 @@ def _out(row: np.ndarray, pos: np.ndarray, length: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(row), pa.array((pos << 32) | length)], ["row", "span"])
 
 
-def repeated_places(places: DataFrame) -> DataFrame:
+def repeated_places(places: DataFrame, n: int) -> DataFrame:
     """(key, row, aux) -> (row, spans): places whose hash occurs twice or more, gathered by row;
-    a span is start << 32 | length."""
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a span is start << 32 | length.  ``n``: tasks that compare them."""
     found = places.repartition(n, "key").sortWithinPartitions("key", "aux").mapInArrow(_settled, "row long, span long")
     return found.groupBy("row").agg(F.collect_list("span").alias("spans"))
 
@@ -205,11 +204,12 @@ def cut_spans(texts: pa.Array, spans: pa.Array, extra: int) -> tuple[tv.Words, n
 def repeated_windows(docs: DataFrame, length: int = 35) -> DataFrame:
     """``row, doc_id, text, spans``: for every document the starts of windows that occur elsewhere."""
     period, cover = cover_for(length)
-    keyed = with_row_key(docs)
+    keyed = numbered(docs)
+    n = tasks_for(keyed)
     anchors = keyed.select("row", "text").mapInArrow(_anchor_places(length, period, cover), _PLACES)
-    anchors = materialize(repeated_places(anchors), "anchors")
+    anchors = materialize(repeated_places(anchors, n), "anchors")
     windows = keyed.select("row", "text").join(anchors, "row").mapInArrow(_window_places(length, period), _PLACES)
-    windows = materialize(repeated_places(windows), "windows")
+    windows = materialize(repeated_places(windows, n), "windows")
     return keyed.join(windows, "row", "left")
 
 
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     Returns ``doc_id, text`` (kept words joined by one space), ``n_words, n_removed,
     kept_sha256``, one row per input row.  Null or empty texts: no words, nothing removed.
     Repeated rows are copies of each other, so their windows go from all of them.  Extra columns
-    are left out; null ids are kept.
+    are left out; null ids are kept; an empty table gives no rows.
     """
     schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string"
 
@@ -238,5 +238,4 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
                 ["doc_id", "text", "n_words", "n_removed", "kept_sha256"],
             )
 
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     return repeated_windows(docs, length).select("doc_id", "text", "spans").mapInArrow(run, schema)
