@@ -1,19 +1,26 @@
 """Line dedup with a log-template tree (operator 5).
 
 Lines are sorted into a tree of fixed depth: by token count, then by the leading tokens.  Tokens
-with a digit are variable fields and read ``<*>`` unless all tokens are such.  The line that most documents of a leaf hold is the
-leaf's first template; lines that agree with it in enough places belong to it and the places that
+with a digit are variable fields and read ``<*>`` unless all tokens are such.  The line that most documents of a leaf hold
+is the leaf's first template; lines that agree with it in enough places belong to it and the places that
 differ are variable fields too.  Of the lines that are left the most frequent one is the next
 template, and so on until no line of the leaf is left.  A template
 that recurs in ``min_docs`` documents or more is dropped from all of them but the first, so that its
 content is not lost.
 
+A leaf is dealt to ``PARTS`` parts by the hash of a line; templates of the parts are then sorted
+into templates of the leaf in the same way, so that a leaf with many lines has several tasks and
+only its templates meet in one.  A task reads lines in order and keeps templates alone.  Lines that
+agree in enough places agree in one of a few blocks of neighbouring places, so a line is compared
+with templates of which it shares a block.
+
 Lines travel as hashes; texts of lines are fetched only for the distinct lines of leaves that enough
-documents reach and that hold more than one.  The distinct lines of a leaf meet in one task.
+documents reach and that hold more than one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import near_duplicates
+from . import textvec as tv
+from .neardup import groups
 from .quality import SPACES, words_of
-from .scratch import materialize, row_key
+from .scratch import materialize
 
 FIELD = "<*>"
 DEPTH, SIMILAR, MIN_DOCS = 2, 0.7, 2
+PARTS = 16
 
 
 def masked(line: Column) -> Column:
@@ -38,99 +47,128 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]") & telling, fields).otherwise(words)
 
 
-def _lines(keyed: DataFrame) -> DataFrame:
-    return keyed.select("row", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("nth", "line"))
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def lines_of(keyed: DataFrame) -> DataFrame:
-    """``row, nth, leaf, exact`` of every line with a token; ``leaf`` and ``exact`` are hashes of the path in the
-    tree and of all tokens.  The tokens themselves stay behind."""
-    lines = _lines(keyed).filter(F.trim("line", F.lit(SPACES)) != "").select("row", "nth", masked(F.col("line")).alias("tokens"))
-    return lines.select("row", "nth", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("exact"))
-
-
-def templates(leaf: np.ndarray, exact: np.ndarray, tokens: np.ndarray, size: np.ndarray, similar: float) -> np.ndarray:
-    """``exact`` of each line's template.  Lines are sorted by leaf and falling rank; ``tokens`` (0: a field) come one
-    line after the other.  Each round takes the first line that is left in every leaf."""
-    first, out, todo = np.cumsum(size) - size, exact.copy(), np.arange(leaf.size)
-    while todo.size:
-        new = np.r_[True, leaf[todo][1:] != leaf[todo][:-1]]
-        seed = todo[new][np.cumsum(new) - 1]
-        same = np.where(todo == seed, size[todo], 0)
-        rest = np.flatnonzero((todo != seed) & (size[todo] == size[seed]))
-        for at in range(0, rest.size, 1 << 14):
-            part = rest[at : at + (1 << 14)]
-            long = size[todo[part]]
-            start = np.cumsum(long) - long
-            place = np.arange(long.sum()) - np.repeat(start, long)
-            a, b = (tokens[np.repeat(first[x[part]], long) + place] for x in (todo, seed))
-            same[part] = np.add.reduceat((a == b) | (a == 0) | (b == 0), start, dtype=np.int64)
-        own = same >= size[seed] * similar
-        own |= todo == seed
-        out[todo[own]] = exact[seed[own]]
-        todo = todo[~own]
-    return out
+    """``row, nth, leaf, exact`` (and ``unit``, if it is there) of every line with a token; ``leaf`` and ``exact`` are
+    hashes of the path in the tree and of all tokens.  The tokens themselves stay behind."""
+    rest = [c for c in ("row", "unit") if c in keyed.columns]
+    lines = keyed.select(*rest, F.posexplode(split_lines(F.col("text"))).alias("nth", "line"))
+    lines = lines.filter(F.trim("line", F.lit(SPACES)) != "").select(*rest, "nth", masked(F.col("line")).alias("tokens"))
+    return lines.select(*rest, "nth", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("exact"))
+
+
+class Templates:
+    """The templates of one leaf, in the order in which they were found."""
+
+    def __init__(self, similar: float):
+        self.similar = similar
+        self.tokens: list[np.ndarray] = []
+        self.blocks: dict[tuple[int, int, int], list[int]] = {}
+
+    def place(self, tokens: np.ndarray) -> int:
+        """The number of the first template that agrees with the line; a new one if none does."""
+        size = tokens.size
+        least = math.ceil(self.similar * size - 1e-9)
+        # so many places may differ, so one of one block more is free of them; leading tokens are alike anyway
+        rest = tokens[min(DEPTH, size) :]
+        n = size - least + 1 if rest.size > size - least else 1
+        edge = np.arange(n + 1) * rest.size // n if rest.size > size - least else np.zeros(2, dtype=np.int64)
+        sums = np.zeros(n, dtype=np.uint64)
+        if edge[-1]:
+            step = tv.mix(rest.view(np.uint64) + (np.arange(rest.size, dtype=np.uint64) << np.uint64(40)))
+            sums = np.add.reduceat(step, edge[:-1])
+        keys = [(size, b, s) for b, s in enumerate(sums.tolist())]
+        seen = set()
+        for key in keys:
+            seen.update(self.blocks.get(key, ()))
+        for k in sorted(seen):
+            if int((self.tokens[k] == tokens).sum()) >= least:
+                return k
+        self.tokens.append(tokens)
+        for key in keys:
+            self.blocks.setdefault(key, []).append(len(self.tokens) - 1)
+        return len(self.tokens) - 1
 
 
 def _families(similar: float):
-    """Distinct lines in the order of ``templates`` -> their templates.  A leaf may span batches."""
-
-    def named(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(batches).combine_chunks()
-        leaf, exact = rows["leaf"].to_numpy(), rows["exact"].to_numpy()
-        once = np.r_[True, (leaf[1:] != leaf[:-1]) | (exact[1:] != exact[:-1])]  # identical rows bring a line twice
-        rows, leaf, exact = rows.filter(pa.array(once)).combine_chunks(), leaf[once], exact[once]
-        lists = rows["tokens"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        size = np.asarray(lists.value_lengths()).astype(np.int64)
-        found = templates(leaf, exact, np.asarray(lists.flatten()), size, similar)
-        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(exact), pa.array(found)], ["leaf", "exact", "template"])
+    """Lines ``leaf, part, exact, n, tokens`` sorted by leaf, part and rank -> the same with ``seed``, their template's
+    ``exact``; tokens stay only with templates.  A leaf may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of one leaf
+        at, found, seeds = None, Templates(similar), []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaf = batch["leaf"].to_numpy()
-            other = np.flatnonzero(leaf != leaf[-1])
-            cut = int(other[-1]) + 1 if other.size else 0
-            if cut or (held and held[0]["leaf"][0].as_py() != leaf[-1]):
-                if cut:
-                    held.append(batch.slice(0, cut))
-                yield named(held)
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield named(held)
+            leaf, part, exact = (batch[c].to_numpy() for c in ("leaf", "part", "exact"))
+            lists = batch["tokens"]
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            flat, end = np.asarray(lists.flatten()), np.cumsum(size)
+            out = np.empty(leaf.size, dtype=np.int64)
+            for i in range(leaf.size):
+                if at != (leaf[i], part[i]):
+                    at, found, seeds = (leaf[i], part[i]), Templates(similar), []
+                k = found.place(flat[end[i] - size[i] : end[i]].copy())
+                if k == len(seeds):
+                    seeds.append(exact[i])
+                out[i] = seeds[k]
+            own = pa.array(out == exact)
+            columns = [batch["leaf"], batch["exact"], batch["n"], pa.array(out), pa.compute.if_else(own, lists, pa.nulls(leaf.size, lists.type))]
+            yield pa.RecordBatch.from_arrays(columns, ["leaf", "exact", "n", "seed", "tokens"])
 
     return run
 
 
+def _sorted_into(kinds: DataFrame, part: Column, similar: float) -> DataFrame:
+    """The line in most documents first, the largest hash among equals."""
+    kinds = kinds.select("leaf", part.cast("int").alias("part"), "exact", "n", "tokens").repartition("leaf", "part")
+    kinds = kinds.sortWithinPartitions("leaf", "part", F.desc("n"), F.desc("exact"))
+    return kinds.mapInArrow(_families(similar), "leaf long, exact long, n long, seed long, tokens array<long>")
+
+
 def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame | None = None) -> DataFrame:
-    """``row, nth`` of lines whose template recurs, but for those in the template's first document.  ``units`` (``row,
-    unit``): rows of one unit count as one document."""
+    """``row, nth`` of lines whose template recurs, but for those in the template's first document.  ``keyed``: ``row, text``
+    and ``unit``, what counts as one document (the smallest one is the first); or units come from ``units`` (``row,
+    unit``)."""
     lines = lines_of(keyed)
-    lines = materialize(lines.withColumn("unit", F.col("row")) if units is None else lines.join(units, "row"), "lines")
-    reached = lines.select("leaf", "unit").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    lines = materialize(lines.join(reached.select("leaf"), "leaf", "left_semi"), "reached")
-    # the distinct lines of these leaves, and one place of each
-    spread = lines.groupBy("leaf", "exact", "unit").agg(F.min(F.struct("row", "nth")).alias("at")).groupBy("leaf", "exact")
-    kinds = materialize(spread.agg(F.count("*").alias("n"), F.min("at").alias("at")).select("leaf", "exact", "n", "at.row", "at.nth"), "kinds")
-    several = kinds.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf")
-    kinds = materialize(kinds.join(several, "leaf", "left_semi"), "several")
-    wanted = kinds.groupBy("row").agg(F.collect_set("nth").alias("want"))
-    there = keyed.join(wanted.hint("merge"), "row").select("row", "want", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    lines = materialize(lines if units is None else lines.join(units, "row"), "lines")
+    line = ["leaf", "exact"]
+    each = lines.groupBy(*line, "unit").agg(F.min(F.struct("row", "nth")).alias("at"))
+    kinds = each.groupBy(*line).agg(F.count("*").alias("n"), F.min("unit").alias("keeper"), F.min("at").alias("at"))
+    kinds = materialize(kinds.select(*line, "n", "keeper", "at.row", "at.nth"), "kinds")
+
+    # leaves of several lines that enough documents may reach, and the tokens of their lines
+    several = kinds.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n").alias("docs")).filter((F.col("k") > 1) & (F.col("docs") >= min_docs))
+    several = materialize(several.select("leaf"), "several")
+    pool = materialize(kinds.join(several.hint("merge"), "leaf", "left_semi").select(*line, "n", "row", "nth"), "pool")
+    wanted = materialize(pool.groupBy("row").agg(F.collect_list("nth").alias("want")), "wanted")
+    picked = once(split_lines(F.col("text")), lambda s: F.transform("want", lambda k: F.struct(k.alias("nth"), F.get(s, k).alias("line"))))
+    there = keyed.select("row", "text").join(wanted.hint("merge"), "row").select("row", F.inline(picked))
     tokens = F.transform(masked(F.col("line")), lambda t: F.when(t == FIELD, F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
-    there = there.filter(F.array_contains("want", F.col("nth"))).select("row", "nth", tokens.alias("tokens"))
-    kinds = kinds.join(there, ["row", "nth"]).select("leaf", "exact", "n", "tokens").repartition("leaf")
-    # the line in most documents first, the largest hash among equals
-    kinds = kinds.sortWithinPartitions("leaf", F.desc("n"), F.desc("exact")).select("leaf", "exact", "tokens")
-    named = materialize(kinds.mapInArrow(_families(similar), "leaf long, exact long, template long"), "named")
-    placed = lines.join(named, ["leaf", "exact"], "left").withColumn("template", F.coalesce("template", "exact"))
-    placed = materialize(placed.select("row", "unit", "nth", "leaf", "template"), "placed")
-    often = placed.select("leaf", "template", "unit").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min("unit").alias("keeper"))
-    often = materialize(often.filter(F.col("n") >= min_docs).select("leaf", "template", "keeper"), "often")
-    return placed.join(often, ["leaf", "template"]).filter("unit <> keeper").select("row", "nth")
+    pool = pool.join(there.select("row", "nth", tokens.alias("tokens")).hint("merge"), ["row", "nth"])
+
+    parts = materialize(_sorted_into(pool, F.pmod(F.xxhash64("exact"), F.lit(PARTS)), similar), "parts")
+    whole = _sorted_into(parts.filter(F.col("tokens").isNotNull()), F.lit(0), similar)
+    whole = materialize(whole.select("leaf", F.col("exact").alias("seed"), F.col("seed").alias("template")), "templates")
+    named = parts.select(*line, "seed").join(whole, ["leaf", "seed"]).select(*line, "template")
+    # templates of one line are judged by what is known of the line
+    wide = named.groupBy("leaf", "template").agg(F.count("*").alias("k")).filter("k > 1").select("leaf", "template")
+    named = materialize(named.join(wide, ["leaf", "template"]), "named")
+    each = lines.select(*line, "unit").join(named.hint("merge"), line).select("leaf", "template", "unit")
+    each = materialize(each, "placed").distinct()
+    often = each.groupBy("leaf", "template").agg(F.count("*").alias("all"), F.min("unit").alias("first"))
+    often = materialize(named.join(often, ["leaf", "template"]).select(*line, "all", "first"), "often")
+    decided = kinds.select(*line, "n", "keeper").join(often.hint("merge"), line, "left")
+    decided = decided.filter(F.coalesce("all", "n") >= min_docs).select(*line, F.coalesce("first", "keeper").alias("keeper"))
+    decided = materialize(decided, "decided")
+    return materialize(lines.join(decided.hint("merge"), line).filter("unit <> keeper").select("row", "nth"), "gone")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, text_col: str = "text", copies_apart: bool = False) -> DataFrame:
@@ -138,28 +176,33 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: flo
     names are replaced).
 
     Lines are set apart by \\n; lines without a token stay and recur nowhere.  A null or empty text
-    has one line and stays as it is.  Documents that share an id are told apart by their text;
-    identical rows count as one document and are cut alike.  The first document of a template is
-    the one with the smallest id.  An empty table gives no rows.
+    has one line and stays as it is.  The first document of a template is the one with the smallest
+    id, null ids last; among rows of one id it is the one read first.  An empty table gives no rows.
 
-    Near copies (five words, similarity 0.8 or more) are one document and are cut alike, so that a near-dedup
-    after this step still finds them; with ``copies_apart`` every row counts, and lines go from copies too.
+    Near copies (five words, similarity 0.8 or more), repeated rows among them, are one document and are cut alike, so
+    that a near-dedup after this step still finds them; with ``copies_apart`` every row counts, and lines go
+    from copies and repeated rows too.
     """
     docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "__row", "__gone")))
-    keyed = docs.withColumn("__row", row_key(docs, text_col=text_col))
-    units = None
-    if not copies_apart:
-        copies = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")))
-        units = materialize(copies.select(F.col("doc_id").alias("row"), F.col("component_id").alias("unit")).distinct(), "units")
-    gone = recurring(keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), min_docs, similar, units).groupBy("row").agg(F.collect_set("nth").alias("__gone"))
-    # the same plan at every size: texts are shuffled once for each of the two joins
-    out = keyed.join(materialize(gone.withColumnRenamed("row", "__row"), "gone").hint("merge"), "__row", "left")
-    split = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    keyed = numbered.select(F.col("__row").alias("row"), F.col("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    if copies_apart:
+        gone = recurring(keyed.select("row", "text", own.alias("unit")), min_docs, similar)
+    else:
+        copies = groups(keyed.withColumn("doc_id", F.col("doc_id").cast("long"))).select("row", "comp")
+        named = materialize(copies.join(keyed.select("row", "doc_id"), "row").select("row", "comp", own.alias("own")), "members")
+        first = materialize(named.groupBy("comp").agg(F.min("own").alias("unit")), "firsts")
+        units = materialize(named.select("row", "comp").join(first, "comp").select("row", "unit"), "units")
+        gone = recurring(keyed.select("row", "text"), min_docs, similar, units)
+    gone = gone.groupBy(F.col("row").alias("__row")).agg(F.collect_list("nth").alias("__gone"))
+    # the same plan at every size
+    out = numbered.join(materialize(gone, "cuts").hint("merge"), "__row", "left")
+    kept = once(split_lines(F.col(text_col)), lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "__gone"), lambda k: F.get(s, k)), "\n"))
     return out.withColumns(
         {
-            "n_lines": F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).cast("long"),
+            "n_lines": F.size(split_lines(F.col(text_col))).cast("long"),
             "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-            text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left),
+            text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
         }
     ).select(*docs.columns, "n_lines", "n_dropped")
