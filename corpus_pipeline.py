@@ -33,13 +33,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group (five words, similarity 0.8 or more): the one with the smallest
     id, null ids last.  Rows without words are in no group and stay."""
     # the number is written, so that it is the same whenever it is read
-    keyed = materialize(docs.withColumns({"__number": F.monotonically_increasing_id()}), "numbered")
-    found = neardup.near_duplicates(keyed.select(F.col("__number").alias("doc_id"), "text")).filter("n_shingles > 0")
-    groups = found.select(F.col("doc_id").alias("__number"), F.col("component_id").alias("__group"))
-    ids = keyed.select("__number", F.col("doc_id").isNull().alias("__null"), F.col("doc_id").alias("__id"))
-    groups = materialize(groups.join(ids, "__number"), "groups")
-    first = groups.groupBy("__group").agg(F.min(F.struct("__null", "__id", "__number")).alias("__first")).select("__group", F.col("__first.__number").alias("__keeper"))
-    gone = groups.join(first, "__group").filter("__number <> __keeper").select("__number")
+    keyed = materialize(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+    ids = keyed.select(F.col("__number").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = neardup.groups(ids).filter("n_shingles > 0")
+    members = materialize(found.select("row", "comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("own")), "members")
+    first = members.groupBy("comp").agg(F.min("own").alias("first")).select("comp", F.col("first.row").alias("keeper"))
+    gone = members.join(materialize(first, "firsts"), "comp").filter("row <> keeper").select(F.col("row").alias("__number"))
     return keyed.join(materialize(gone, "gone").hint("merge"), "__number", "left_anti").select(*docs.columns)
 
 
