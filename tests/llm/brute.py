@@ -98,3 +98,58 @@ def phrases(text, every):
         places += hits
         labels |= {label} if hits else set()
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def masked(line):
+    words = spaced(line)
+    fields = ["<*>" if re.search("[0-9]", w) else w for w in words]
+    return fields if any(f != "<*>" for f in fields) else words
+
+
+def spark_hashes(spark):
+    """The engine's hashes of lines of tokens, which only break ties and deal lines out."""
+    from pyspark.sql import functions as F
+
+    def run(lines):
+        rows = spark.createDataFrame([(list(t),) for t in lines], "t array<string>").select("t", F.xxhash64("t").alias("h"))
+        rows = rows.select("t", "h", F.pmod(F.xxhash64("h"), F.lit(16)).alias("part"))
+        return {tuple(r.t): (r.h, r.part) for r in rows.collect()}
+
+    return run
+
+
+def templates(lines, similar):
+    """(leaf, exact, exact of its template, tokens of a template) of lines (leaf, exact, tokens) in order: each goes to the
+    first template of its leaf that agrees in enough places."""
+    seeds, out = [], []
+    for leaf, exact, t in lines:
+        found = next((e for at, e, s in seeds if at == leaf and len(s) == len(t) and sum(a == b for a, b in zip(s, t)) >= similar * len(t)), None)
+        if found is None:
+            seeds.append((leaf, exact, t))
+        out.append((leaf, exact, exact if found is None else found, list(t) if found is None else None))
+    return out
+
+
+def lines(ids, texts, min_docs, similar, hashes):
+    """[(id, text, n_lines, n_dropped)]: rows count each; the order of rows is by id, nulls last, then as given."""
+    rows = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
+    docs = defaultdict(set)  # line -> ranks of its rows
+    for rank, i in enumerate(rows):
+        for x in (texts[i] or "").split("\n"):
+            if spaced(x):
+                docs[tuple(masked(x))].add(rank)
+    known = hashes(docs)
+    ranked = sorted(docs, key=lambda t: (len(t), t[:2], known[t][1], -len(docs[t]), -known[t][0]))
+    first = templates([((len(t), t[:2], known[t][1]), t, t) for t in ranked], similar)
+    seeds = sorted({s for _, _, s, _ in first}, key=lambda t: (len(t), t[:2], -len(docs[t]), -known[t][0]))
+    top = {e: s for _, e, s, _ in templates([((len(t), t[:2]), t, t) for t in seeds], similar)}
+    of = {e: top[s] for _, e, s, _ in first}
+    reached = defaultdict(set)
+    for t, ranks in docs.items():
+        reached[of[t]] |= ranks
+    out = []
+    for rank, i in enumerate(rows):
+        parts = (texts[i] or "").split("\n")
+        kept = [x for x in parts if not spaced(x) or len(r := reached[of[tuple(masked(x))]]) < min_docs or min(r) == rank]
+        out.append((ids[i], "\n".join(kept) if texts[i] is not None else None, len(parts), len(parts) - len(kept)))
+    return out

@@ -20,6 +20,17 @@ P = pytest.importorskip("public_tokenizers")
 ODD = [None, "", " ", "\n\n", "a", "é", "A b", "日本 語", "x\x0by\x0cz", "a\u00a0b c", "\U0001f600 ok", "'s 's", "<|endoftext|> end"]
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+#: Two words that any sum of letter times base to the power of its place takes for one.
+THUE = thue_morse(2048)
+
+
 def frame(spark, texts, ids=None):
     rows = [(i if ids is None else ids[i], t, f"src{i % 3}", "extra") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, n_words string")
@@ -57,6 +68,50 @@ def test_words(texts):
         assert [[w.text(i, i + 1).decode() for i in range(a, b)] for a, b in zip(w.first[:-1], w.first[1:])] == [want(t) for t in texts]
 
 
+@pytest.mark.parametrize("size", [8, 64, 1024, 2048, 16384])
+def test_hashes_tell_thue_morse_words_apart(size):
+    words = [x for t in thue_morse(size) for x in (t, t[: size // 2], t[1:])]
+    w = tv.Words(pa.array([" ".join(words)]), tv.SPACED, False)
+    for seed in (0, 1):
+        assert len(set(w.hashes(seed).tolist())) == len(set(words))
+    letters = tv.Words(pa.array([" ".join(t) for t in thue_morse(size)]), tv.SPACED, False)
+    assert len(set(tv.window_hashes(letters.hashes(), letters.first[:2], size).tolist())) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=80), min_size=1, max_size=30), st.integers(1, 9))
+def test_hashes_are_of_the_bytes(words, n):
+    w = tv.Words(pa.array([" ".join(words)]), tv.SPACED, False)
+    h = w.hashes()
+    assert len(set(h.tolist())) == len(set(words)) and len(set(zip(h.tolist(), words))) == len(set(words))
+    at = np.arange(max(0, len(words) - n + 1))
+    windows = [tuple(words[i : i + n]) for i in at]
+    k = tv.window_hashes(h, at, n).tolist()
+    assert len(set(k)) == len(set(windows)) == len(set(zip(k, windows)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=90), min_size=1, max_size=20))
+def test_same_bytes(parts):
+    data = np.frombuffer(b"".join(parts) * 2, dtype=np.uint8)
+    n = data.size // 2
+    edge = np.r_[0, np.cumsum([len(p) for p in parts])]
+    start, size = edge[:-1], np.diff(edge)
+    assert tv.same_bytes(data, start, start + n, size).all()
+    other = data.copy()
+    other[n] ^= 1
+    assert tv.same_bytes(other, start, start + n, size).tolist() == [False] + [True] * (len(parts) - 1)
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(tv, "span_hashes", lambda data, start, end, seed=0: np.zeros(start.size, dtype=np.uint64))
+    texts = ["one two three two one", "x" * 90 + " " + "y" * 90, None, "one"]
+    ids, counts = pieces.PieceIds(P.PATTERN, lambda new: ([hash(p) % 9999 for p in new], [1] * len(new))).encode(pa.array(texts))
+    import regex
+
+    assert ids.tolist() == [hash(p.encode()) % 9999 for t in texts if t for p in regex.findall(P.PATTERN, t)]
+
+
 def test_hashes_tell_words_apart():
     words = [f"{a}{b}" for a in "abc" for b in range(500)]
     w = tv.Words(pa.array([" ".join(words + words)]), tv.SPACED, False)
@@ -91,6 +146,13 @@ def test_repeats_of_repeated_rows(spark):
     assert sorted((r.n_words, r.n_removed) for r in rows) == [(0, 0), (40, 40), (40, 40), (41, 40)]
 
 
+def test_thue_morse_words_are_not_repeats(spark):
+    rest = [f"v{i}" for i in range(34)]
+    texts = [" ".join([t, *rest]) for t in THUE]
+    assert {r.n_removed for r in repeats.remove_repeats(frame(spark, texts), 35).collect()} == {0}
+    assert [r.text for r in repeats.remove_repeats(frame(spark, texts), 34).orderBy("doc_id").collect()] == list(THUE)
+
+
 def test_cover_has_every_difference():
     for period, cover in repeats.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
@@ -117,6 +179,27 @@ def test_near_duplicates_in_a_chain(spark):
     assert got == {i: c for i, (_, c) in want.items()}
 
 
+def test_thue_morse_words_are_not_near(spark):
+    texts = [t for u in THUE for t in (u, f"{u} b c d e")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: i for i in range(4)}
+
+
+@pytest.mark.parametrize("split", [2, 512])
+def test_one_bucket_of_texts_that_are_not_linked(spark, monkeypatch, split):
+    """With one bin all texts that begin alike share a bucket; rounds go on until all are compared."""
+    monkeypatch.setattr(neardup, "SPLIT", split)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(30)]
+    texts = []
+    for i in range(36):
+        own = [f"o{i % 12}_{j}" for j in range(20)]
+        texts.append(" ".join(base + own + ([f"z{i}"] if i >= 12 else [])))
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, texts), 3, 85, 100, bands=4, rows=1, centers=2).collect()}
+    assert got == brute.components(list(range(36)), texts, 3, 85, 100)
+
+
 def test_near_duplicates_with_odd_ids(spark):
     texts = ["a b c d e f", "a b c d e f", "a b c d e f", "", None]
     rows = neardup.near_duplicates(frame(spark, texts, [4, 4, None, None, 9])).collect()
@@ -146,6 +229,13 @@ def test_decontamination(spark):
         assert r.items_sha256 == brute.sha(",".join(found)) and r.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+def test_thue_morse_words_are_not_benchmark_words(spark):
+    bench = spark.createDataFrame([(1, THUE[0]), (2, f"a {THUE[0]} c")], "item_id long, text string")
+    texts = [*THUE, *(f"a {t} c" for t in THUE), None, "", "-"]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.find_items(frame(spark, texts), bench).collect()}
+    assert got == {0: (1, 1, 1), 1: (1, 0, 0), 2: (3, 3, 2), 3: (3, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (0, 0, 0)}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     texts = corpus(5, 20)
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts[14:20])], "item_id long, text string")
@@ -237,18 +327,52 @@ def test_families_of_one_leaf(spark):
 
 
 @pytest.mark.parametrize("rows", [1, 3, 1000])
-def test_templates_equal_one_line_at_a_time(rows):
+@pytest.mark.parametrize("similar", [0.7, 0.5, 1.0])
+def test_templates_equal_one_line_at_a_time(rows, similar):
     rng = random.Random(rows)
-    lines = sorted({(leaf, -i, tuple(rng.randint(0, 3) for _ in range(4 + leaf % 3))) for i in range(150) for leaf in [rng.randint(1, 5)]})
-    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in lines]), pa.array([-x[1] for x in lines]), pa.array([list(x[2]) for x in lines], type=pa.list_(pa.int64()))], ["leaf", "exact", "tokens"])
-    got = [tuple(r.values()) for b in linededup._families(0.7)(batch.slice(a, rows) for a in range(0, batch.num_rows, rows)) for r in b.to_pylist()]
-    want, seeds = [], []
-    for leaf, i, t in lines:
-        found = next((e for at, e, s in seeds if at == leaf and sum(a == b or not a or not b for a, b in zip(s, t)) >= 0.7 * len(t)), None)
-        if found is None:
-            seeds.append((leaf, -i, t))
-        want.append((leaf, -i, -i if found is None else found))
-    assert got == want
+    lines = sorted({(leaf, -i, (leaf, leaf, *(rng.randint(0, 2) for _ in range(2 + leaf % 9)))) for i in range(300) for leaf in [rng.randint(1, 9)]})
+    columns = [pa.array([x[0] for x in lines]), pa.array([0] * len(lines)), pa.array([-x[1] for x in lines]), pa.array([1] * len(lines)), pa.array([list(x[2]) for x in lines], type=pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["leaf", "part", "exact", "n", "tokens"])
+    got = [(r["leaf"], r["exact"], r["seed"], r["tokens"]) for b in linededup._families(similar)(batch.slice(a, rows) for a in range(0, batch.num_rows, rows)) for r in b.to_pylist()]
+    assert got == brute.templates([(leaf, -i, t) for leaf, i, t in lines], similar)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lines_equal_a_plain_version(spark, seed):
+    """Random families of lines in random documents, with null, repeated and equal ids, ties and repeated rows."""
+    rng = random.Random(seed)
+    shapes = [["Page", "<n>", "of", "<n>"], ["The", "and", "k", "l", "m", "<w>", "n"], ["The", "and", "p", "q", "r", "<w>", "s"], ["Read", "on"], ["<n>", "<n>"], ["By", "<w>", "a", "b", "<w>", "c", "d", "e"]]
+
+    def line():
+        if rng.random() < 0.25:
+            return " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 6)))
+        return rng.choice(["", "  "]) + " ".join(str(rng.randint(1, 99)) if t == "<n>" else rng.choice("uvwxyz") * 2 if t == "<w>" else t for t in rng.choice(shapes))
+
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 9))) for _ in range(50)] + [None, "", "\n"]
+    ids = [rng.choice([None, *range(30)]) for _ in texts]
+    texts += texts[:6]
+    ids += ids[:6]
+    for low in (2, 4):
+        rows = linededup.drop_recurring_lines(frame(spark, texts, ids).coalesce(1), min_docs=low, copies_apart=True).collect()
+        got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows]
+        assert sorted(got, key=str) == sorted(brute.lines(ids, texts, low, linededup.SIMILAR, brute.spark_hashes(spark)), key=str)
+
+
+def test_an_unrelated_row_changes_nothing(spark):
+    texts = [f"Own{chr(97 + i)} words\nAll rights are reserved here" for i in range(12)]
+    want = {i: t if i == 0 else t.split("\n")[0] for i, t in enumerate(texts)}
+    for extra in ([], [(None, "Nothing alike")], [(5, "Nothing alike")]):
+        docs = spark.createDataFrame([*enumerate(texts), *extra], "doc_id long, text string").repartition(3)
+        for apart in (False, True):
+            got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(docs, copies_apart=apart).collect() if r.text != "Nothing alike"}
+            assert got == want
+
+
+def test_a_text_of_very_many_lines(spark):
+    n = 100_000
+    texts = ["\n".join(f"Row{'abcdefghij'[i % 10]} {'xyz'[i % 3] * (i % 7 + 1)} end{i // 7 % 50 * 'q'}" for i in range(n)), "Rowa x end\nOther words", None]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in linededup.drop_recurring_lines(frame(spark, texts), copies_apart=True).collect()}
+    assert got == {0: (n, 0, texts[0]), 1: (2, 1, "Other words"), 2: (1, 0, None)}
 
 
 def test_lines_of_copies(spark):
@@ -287,7 +411,7 @@ def test_segment_tree_merges(piece):
 
 
 def test_bpe(spark):
-    texts = [*corpus(8), "x" * 5000 + " tail", "don't WE'LL  \n\n é"]
+    texts = [*corpus(8), *THUE, "x" * 5000 + " tail", "don't WE'LL  \n\n é"]
     ranks = P.path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(frame(spark, texts), ranks, P.PATTERN), ranks)
     e = encoding()
@@ -307,13 +431,12 @@ def test_token_shards(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(tokenfile, "SHARD_IDS", 300)
-    texts = corpus(9)
+    texts = [*corpus(9), "<|endoftext|>", "a <|endoftext|><|endoftext|> b<|endoftext", None, THUE[0], THUE[1]]
     ids = [3 * i - 20 for i in range(len(texts))]
     ids[5], ids[6] = None, ids[7]
     docs = frame(spark, texts, ids)
     table = tokenfile.write_tokens(docs, f"file://{tmp_path}/t", P.path("byte_bpe_50k.json"), P.PATTERN)
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     enc = [x.ids + [0] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     got = tokenfile.read_tokens(table).collect()
     assert sorted(len(e) for e in enc) == sorted(r.n_tokens for r in got)
@@ -329,6 +452,19 @@ def test_token_shards(spark, tmp_path, monkeypatch):
             assert zlib.crc32(r.ids_le) == zlib.crc32(struct.pack(f"<{len(by[r.doc_id])}I", *by[r.doc_id]))
     found = tokenfile.lookup(table, [ids[0], ids[7], 10**12, ids[-1], -19]).collect()
     assert sorted(r.doc_id for r in found) == sorted([ids[0], ids[7], ids[7], ids[-1]])
+    whole = {(r.doc_id, bytes(r.ids_le)) for r in got}
+    assert all((r.doc_id, bytes(r.ids_le)) in whole for r in found)
+
+
+def test_special_tokens_as_text():
+    from tokenizers import Tokenizer
+
+    texts = ["x <|endoftext|> y", "", "<|endoftext|>"]
+    for as_text in (False, True):
+        t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        t.encode_special_tokens = as_text
+        ids, counts = tokenfile.LibraryIds(P.path("byte_bpe_50k.json"), P.PATTERN, as_text).encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 100, 5000])
@@ -336,8 +472,18 @@ def test_minimal_perfect_hash(n):
     rng = np.random.default_rng(n)
     keys = np.unique(rng.integers(-(1 << 60), 1 << 60, n))
     index = tokenfile.build_index(keys, np.arange(keys.size))
-    assert [tokenfile.find(index, int(k)) for k in keys] == list(range(keys.size))
-    assert sum(tokenfile.find(index, int(k)) >= 0 for k in rng.integers(1 << 61, 1 << 62, 300)) == 0
+    assert tokenfile.find(index, keys).tolist() == list(range(keys.size))
+    assert tokenfile.find(index, keys[::-1][:7]).tolist() == list(range(keys.size))[::-1][:7]
+    assert (tokenfile.find(index, rng.integers(1 << 61, 1 << 62, 300)) < 0).all()
+
+
+def test_a_broken_index_is_noticed():
+    keys = np.arange(50) * 3
+    index = tokenfile.build_index(keys[:-1], np.arange(49))
+    with pytest.raises(ValueError):
+        tokenfile.numbers_of(keys, index, 0)
+    with pytest.raises(ValueError):
+        tokenfile.find(b"none" + index, keys)
 
 
 # ---- secrets and URLs
