@@ -244,6 +244,18 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_hit, r.items_sha256) for r in decontam.find_items(frame(spark, texts), bench).collect()} == whole
 
 
+def test_decontamination_of_odd_tables(spark):
+    texts = [*corpus(11, 15), "w1 w2 " * 3000]
+    items = [(1, texts[20]), (1, texts[20]), (2, texts[20] + " w1"), (3, "w1 w2"), (3, "w1 w2")]
+    docs = frame(spark, texts + texts[:4], [*range(len(texts)), *range(4)]).withColumn("items", F.lit("clash")).withColumn("words", F.lit(1))
+    got = decontam.find_items(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert [c for c in got.columns if c not in docs.columns] == ["n_hit", "n_items", "items_sha256", "contaminated"]
+    found = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect())
+    want = brute.contaminated(texts, items, 13)
+    assert found == sorted((i, *want[i]) for i in [*range(len(texts)), *range(4)])
+    assert decontam.find_items(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_no_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontam.find_items(frame(spark, ODD), none).collect()} == {0}

@@ -27,7 +27,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.find_items(docs, table(spark, sf_dir, "benchmark"), window=13)
+    found = decontam.find_items(docs, table(spark, sf_dir, "benchmark"), window=13, keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
