@@ -303,6 +303,55 @@ def test_licenses(spark):
     assert [got[i].labels for i in range(n - 4, n)] == ["mit", "mit", "", "cc-by-nc"]
 
 
+def brute_spans(words, templates):
+    """Labels of whole templates that stand in the words, and of long ones of which enough word pairs are near one diagonal."""
+    found = set()
+    for text, label in templates:
+        t = text.split()
+        pairs = {}
+        for k in range(len(t) - 1):
+            pairs.setdefault((t[k], t[k + 1]), []).append(k)
+        hits = [(i - k, i, k) for i in range(len(words) - 1) for k in pairs.get((words[i], words[i + 1]), ())]
+        if len(t) < licenses.WHOLE_WORDS:
+            if any(words[i : i + len(t)] == t for i in range(len(words))):
+                found.add(label)
+            continue
+        hits.sort()
+        part = []
+        for h in [*hits, None]:
+            if part and (h is None or h[0] - part[-1][0] > licenses.GAP):
+                start, end = min(x[1] for x in part), max(x[1] for x in part) + 2
+                if len({x[2] for x in part}) >= licenses.SHARE * (len(t) - 1) and end - start <= licenses.STRETCH * len(t):
+                    found.add(label)
+                part = []
+            if h:
+                part.append(h)
+    return found
+
+
+def test_license_texts_equal_a_plain_version(spark):
+    """Whole texts of any length with words left out, put in or changed, in long documents, with repeated rows."""
+    rng = random.Random(5)
+    made = [(" ".join(rng.choice(["the", "of", "software", "is", "and", *(f"k{i}" for i in range(400))]) for _ in range(n)), f"own{n}") for n in (9, 63, 64, 65, 200, 900)]
+    every = (*licenses.TEMPLATES, *made)
+    texts = [None, "", "mit", "The MIT license"]
+    for text, _ in every:
+        for share in (0.0, 0.03, 0.2):
+            words = []
+            for w in text.split():
+                r = rng.random()
+                words += [w] if r >= share else [] if r < share / 3 else ["other"] if r < share / 2 else [w, "more"]
+            texts.append("Intro the of software. " * rng.randint(0, 4) + " ".join(words).capitalize() + " end, of the software" * rng.randint(0, 3))
+    texts.append(" ".join(texts[4:]))
+    ids = [*range(len(texts)), 3, 5, 5]
+    rows = licenses.find_licenses(frame(spark, [*texts, texts[3], texts[5], texts[5]], ids), templates=every).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(ids)
+    for r in rows:
+        words = brute.alnum(texts[r.doc_id])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.phrases(texts[r.doc_id], licenses.PHRASES)
+        assert set(filter(None, r.labels.split(","))) == brute_spans(words, every) | set(filter(None, r.base_labels.split(","))), r.doc_id
+
+
 def test_lines(spark):
     own = [" ".join(f"d{chr(97 + i)}x{chr(97 + j)}" for j in range(6)) + f"\n{i} {i * 7} {i * 13}" for i in range(12)]
     texts = [f"Page {i} of {i + 9} read on\n{t}\n\nAll rights are reserved here" for i, t in enumerate(own)] + [None, "", "\n"]
