@@ -153,3 +153,30 @@ def lines(ids, texts, min_docs, similar, hashes):
         kept = [x for x in parts if not spaced(x) or len(r := reached[of[tuple(masked(x))]]) < min_docs or min(r) == rank]
         out.append((ids[i], "\n".join(kept) if texts[i] is not None else None, len(parts), len(parts) - len(kept)))
     return out
+
+
+def url_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = re.split("[?#]", url.split("://", 1)[1], maxsplit=1)[0]
+    host = rest.split("/", 1)[0]
+    return host.translate(LOWER), rest[len(host) :]
+
+
+def rule_of(host, path, rules):
+    """(rule, action) of the longest rule that fits, the last of equally long ones."""
+    found = (None, None)
+    for action, rule in sorted(rules, key=lambda r: len(r[1])):
+        own, slash, tail = rule.partition("/")
+        if (host == own or host.endswith("." + own)) and path.startswith(slash + tail):
+            found = (rule, action)
+    return found
+
+
+def grams(host, path):
+    out = []
+    for name, text in (("h", host), ("p", path)):
+        marked = "^" + re.sub("[1-9]", "0", text) + "$"
+        for n in (3, 4):
+            out += [name + marked[i : i + n] for i in range(len(marked) - n + 1)]
+    return out

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -591,6 +592,33 @@ def test_urls(spark):
     assert verdict[9] == "block" and verdict[10] == "allow" and verdict[5] == "allow" and verdict[2] == "block"
 
 
+@pytest.mark.parametrize("most", [urls.MOST_RULES, 3])
+def test_urls_equal_a_plain_version(spark, monkeypatch, most):
+    """Host, path, rule, verdict and the model's probability, worked out by hand from its weights."""
+    import math
+
+    from pyspark.ml.feature import HashingTF
+
+    monkeypatch.setattr(urls, "MOST_RULES", most)
+    rng = random.Random(8)
+    hosts = ["a.com", "b.a.com", "com", "xcom", "a.co", "Shop.A.Com", "", "a..com", "x.y.z.net", "é.net", "a.com.", ".com"]
+    paths = ["", "/", "/en/", "/en/x", "/EN/", "/fr/é//", "/e"]
+    rules = [("allow", "com/"), ("block", "a.com/en/"), ("allow", "b.a.com/en/"), ("block", "net/"), ("allow", "z.net/en"), ("block", "com./"), ("allow", "a.com/fr/"), ("block", "a.com/ee/"), ("block", "com/en/x"), ("allow", "com/en/x")]
+    given = [None, "", "a.com/en", "://", "http://", "http:///en/", "a://b://a.com/en/"]
+    given += [f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/en/', '#a', '?#', '/?x'])}" for _ in range(150)]
+    given += given[:20] + ["https://a.com/" + "x" * 20000]
+    rows = urls.filter_urls(spark.createDataFrame(list(enumerate(given)), "page_id long, url string"), rules=rules).collect()
+    model = urls._default_model(spark)
+    weights, slot = model.coefficients.toArray(), cache(HashingTF(numFeatures=urls.FEATURES).indexOf)
+    assert sorted(r.page_id for r in rows) == list(range(len(given)))
+    for r in rows:
+        host, path = brute.url_parts(given[r.page_id])
+        rule, action = brute.rule_of(host, path, rules)
+        p = 1 / (1 + math.exp(-model.intercept - sum(weights[k] for k in {slot(g) for g in set(brute.grams(host, path))})))
+        assert (r.host, r.path, r.rule) == (host, path, rule) and abs(r.p_block - p) < 1e-9
+        assert r.verdict == (action or ("block" if p > urls.THRESHOLD and (host or path) else "allow"))
+
+
 def test_urls_of_hosts_that_are_not_labelled(spark):
     plain = ["https://kalender.se/a", "https://www.librairie.fr/page/2", "https://obchod.cz/", "https://gradina.ro/x/3", "https://bokklubb.no", "https://pogoda.pl/5", "https://chiesa.it/", "https://stadium.org.au/map", "https://bibliotek.dk/"]
     assert not set(urls.UNLISTED) & {h for h, _ in urls.labelled_hosts()}

@@ -26,8 +26,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Size of the hashed feature space; rules that one expression may hold.
-FEATURES, MOST_RULES = 1 << 14, 500
+#: Size of the hashed feature space; rules that one expression holds, and that are sent to all workers beyond it.
+FEATURES, MOST_RULES, SENT_RULES = 1 << 14, 500, 100_000
 #: Rows of the labelled table that the fit may use.
 TRAIN_ROWS = 20_000
 #: From held-out labelled urls, which it parts without error; so does anything from 0.45 to 0.8.
@@ -86,9 +86,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """(rule, its action) of the longest rule that fits, else nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; one expression holds {MOST_RULES}")
+    """(rule, its action) of the longest rule that fits, else nulls; equally long ones: the last in the order of
+    ``rules``."""
     found = F.lit(None).cast("struct<rule:string,action:string>")
     for action, rule in sorted(rules, key=lambda r: len(r[1])):  # the last, longest one is asked first
         own, slash, tail = rule.partition("/")
@@ -97,14 +96,35 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return found["rule"], found["action"]
 
 
+def with_rule(rows: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """Adds ``rule`` and ``action`` to rows with ``host`` and ``path``.
+
+    Few rules are one expression.  Of many, each distinct host and path is joined with the rules of its host
+    and of every domain above it.
+    """
+    if len(rules) <= MOST_RULES:
+        rule, action = rule_of(F.col("host"), F.col("path"), rules)
+        return rows.withColumns({"rule": rule, "action": action})
+    listed = [(r.partition("/")[0], "".join(r.partition("/")[1:]), r, action, (len(r), k)) for k, (action, r) in enumerate(rules)]
+    table = rows.sparkSession.createDataFrame(listed, "own string, head string, rule string, action string, place struct<long: int, nth: int>")
+    table = F.broadcast(table) if len(rules) <= SENT_RULES else table
+    labels = F.split("host", "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    urls = rows.select("host", "path").distinct()
+    hits = urls.select("host", "path", F.explode(above).alias("own")).join(table, "own").filter(F.col("path").startswith(F.col("head")))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), "place").alias("best")).select("host", "path", "best.*")
+    return rows.join(best, ["host", "path"], "left")
+
+
 def with_features(df: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
     """Adds ``grams`` (3- and 4-grams of host and of path) and ``features`` (hashed, present or not)."""
 
     def grams(text: str, n: int) -> Column:
-        # numbers in a path say little, so all digits look alike
+        # numbers in a path say little, so all digits look alike; letters are split once, however long the text is
         marked = F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$"))
-        parts = F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.concat(F.lit(text[0]), marked.substr(i, F.lit(n))))
-        return F.when(F.length(marked) >= n, parts).otherwise(F.array().cast("array<string>"))
+        cut = lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - n), lambda i: F.concat(F.lit(text[0]), *(F.get(cs, i + k) for k in range(n))))
+        parts = F.flatten(F.transform(F.array(F.split(marked, "")), cut))
+        return F.when(F.length(text) + 2 >= n, parts).otherwise(F.array().cast("array<string>"))
 
     df = df.withColumn("grams", reduce(F.concat, [grams(c, n) for c in (host, path) for n in (3, 4)]))
     return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(df)
@@ -134,15 +154,26 @@ def filter_urls(
     """``page_id, host, path, rule, verdict, p_block``, one row per input row.
 
     ``verdict``: ``allow`` or ``block``: the rule's, else ``block`` where the model's probability is over
-    ``threshold``.  URLs without a host and path (null, no ``://``) are allowed.  Repeated rows are
-    judged alike; extra columns are left out; an empty table gives no rows.
+    ``threshold``.  Of rules of one length the last one given wins.  URLs without a host and path (null, no
+    ``://``) are allowed.  Repeated rows are judged alike; extra columns are left out; an empty table gives no rows.
     """
-    model = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession))
+    model = fit(labelled) if labelled is not None else _default_model(pages.sparkSession)
     host, path = url_parts(F.col(url_col).cast("string"))
     host, path = F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
-    rows = with_features(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")))
-    rule, action = rule_of(F.col("host"), F.col("path"), rules)
+    rows = with_features(with_rule(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")), rules))
     scored = model.transform(rows).withColumn("p_block", vector_to_array("probability")[1])
     bare = (F.col("host") == "") & (F.col("path") == "")
     guess = F.when((F.col("p_block") > threshold) & ~bare, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, guess).alias("verdict"), "p_block")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("action", guess).alias("verdict"), "p_block")
+
+
+_models: dict[str, LogisticRegressionModel] = {}
+
+
+def _default_model(spark: SparkSession) -> LogisticRegressionModel:
+    """The model of ``labelled_urls``, fitted once in a Spark application."""
+    key = spark.sparkContext.applicationId
+    if key not in _models:
+        _models.clear()
+        _models[key] = fit(labelled_urls(spark))
+    return _models[key]
