@@ -5,7 +5,9 @@ frequencies are statistically compatible (Hoeffding bound, for all their continu
 merged, which turns the tree into a probabilistic automaton (ALERGIA, Carrasco and Oncina 1994).
 A second automaton is learned from labelled plain tokens.  Every candidate in a text, a run of
 credential characters with a letter and a digit, is scored by its log-likelihood ratio per
-character; those above ``threshold`` are reported next to the fixed formats.
+character, as a whole and by its parts between separators, so that an unknown prefix hides nothing;
+those above ``threshold`` are reported next to the fixed formats.  What these find is scored too, but
+reported whatever its score.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ FORMATS = (
     ("hex", re.compile(r"[0-9a-f]{24,}", re.ASCII), 0, 24),  # runs below 24 would be dropped anyway
 )
 LEARNED = "format"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}", re.ASCII)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}", re.ASCII)
+SEPARATOR, LEAST_PART = re.compile(r"[_.=/-]", re.ASCII), 16
 LETTER_DIGIT = re.compile(r"(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])", re.ASCII)
 END = ""
 _CLASSES = {**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")}
@@ -177,24 +180,42 @@ class Scorer:
         self.secret = learn((t for t, good in labelled if good), alpha)
         self.plain = learn((t for t, good in labelled if not good), alpha)
 
-    def score(self, token: str) -> float:
+    def ratio(self, token: str) -> float:
         symbols = classes(token)
         return (self.plain.cost(symbols) - self.secret.cost(symbols)) / (len(symbols) + 1)
 
+    def score(self, token: str) -> float:
+        """The largest ratio of the token and of its longer parts."""
+        parts = [p for p in SEPARATOR.split(token) if LEAST_PART <= len(p) < len(token) and LETTER_DIGIT.match(p)]
+        return max(map(self.ratio, [token, *parts]))
+
+
+Span = tuple[int, int, int, float]
+
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, number of the kind, end) of the fixed formats, leftmost and non-overlapping in each kind."""
+def base_spans(text: str, scorer: Scorer | None = None) -> list[Span]:
+    """(start, number of the kind, end, score of the value) of the fixed formats, leftmost and non-overlapping in each
+    kind."""
+    score = scorer.score if scorer else lambda token: 0.0
     return sorted(
-        (m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(FORMATS) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least
+        (m.start(), k, m.end(), score(m.group(group)))
+        for k, (_, pattern, group, least) in enumerate(FORMATS)
+        for m in pattern.finditer(text)
+        if m.end(group) - m.start(group) >= least
     )
 
 
-def learned_spans(text: str, scorer: Scorer, threshold: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-    """Candidates over the threshold that no fixed format touches."""
-    out = []
+def learned_spans(text: str, scorer: Scorer, threshold: float, taken: list[Span]) -> list[Span]:
+    """Candidates over the threshold that no fixed format touches.  ``taken`` is sorted, so each of its spans is passed
+    once."""
+    out, k, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][2])
+            k += 1
         token = m.group()
-        if LETTER_DIGIT.match(token) and not any(a < m.end() and m.start() < b for a, _, b in taken):
+        # reach: the farthest end of what begins before this candidate's end
+        if reach <= m.start() and LETTER_DIGIT.match(token):
             score = scorer.score(token)
             if score > threshold:
                 out.append((m.start(), len(FORMATS), m.end(), score))
@@ -203,9 +224,10 @@ def learned_spans(text: str, scorer: Scorer, threshold: float, taken: list[tuple
 
 def find_secrets(docs: DataFrame, labelled: list[tuple[str, bool]] | None = None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """Adds ``spans``: array of (kind, start, end, score), code points with end exclusive, by start,
-    then kind; ``score`` is null for fixed formats.  A column of that name is replaced.
+    then kind; ``score``: bits per character.  A column of that name is replaced.
 
-    Null or empty texts have no spans; repeated rows get the same; all other columns stay.
+    Null or empty texts have no spans; repeated rows get the same; all other columns stay; an empty table gives no
+    rows.  Time grows with a text's length.
     ``labelled``: tokens to learn from (by default ``labelled_credentials()``).
     """
     scorer = Scorer(labelled or labelled_credentials())
@@ -218,9 +240,9 @@ def find_secrets(docs: DataFrame, labelled: list[tuple[str, bool]] | None = None
         for batch in tv.slices(batches, text_col):
             rows = []
             for text in batch[text_col].to_pylist():
-                base = base_spans(text) if text else []
+                base = base_spans(text, scorer) if text else []
                 more = learned_spans(text, scorer, threshold, base) if text else []
-                every = sorted([(a, k, b, None) for a, k, b in base] + more, key=lambda x: x[:3])
+                every = sorted(base + more)
                 rows.append([{"kind": kinds[k], "start": a, "end": b, "score": score} for a, k, b, score in every])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(rows, type=kind)], [*rest, "spans"])
 
@@ -228,19 +250,25 @@ def find_secrets(docs: DataFrame, labelled: list[tuple[str, bool]] | None = None
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", mask: str = "[secret]") -> DataFrame:
-    """Replaces every span in the text by ``mask``; overlapping spans are masked as one."""
-    merged = F.aggregate(
-        F.sort_array(F.transform(spans_col, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))),
-        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(s["b"] <= acc["at"], acc).otherwise(
-            F.struct(
-                F.when(s["a"] < acc["at"], acc["text"]).otherwise(F.concat(acc["text"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, (s["a"] - acc["at"]).cast("int")), F.lit(mask))).alias("text"),
-                s["b"].alias("at"),
-            )
-        ),
-        lambda acc: F.concat(acc["text"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.length(text_col))),
-    )
-    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, merged).otherwise(F.col(text_col)))
+    """Replaces every span in the text by ``mask``; overlapping spans are masked as one.  Null texts stay null."""
+    names = docs.columns
+
+    def masked(text: str | None, spans: list[dict] | None) -> str | None:
+        if not text or not spans:
+            return text
+        parts, at = [], 0
+        for a, b in sorted((s["start"], s["end"]) for s in spans):
+            if a >= at:
+                parts += [text[at:a], mask]
+            at = max(at, b)
+        return "".join([*parts, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tv.slices(batches, text_col):
+            texts = pa.array(map(masked, batch[text_col].to_pylist(), batch[spans_col].to_pylist()), type=pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == text_col else batch[c] for c in names], names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
