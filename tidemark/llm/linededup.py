@@ -163,7 +163,7 @@ def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame
     named = materialize(named.join(wide, ["leaf", "template"]), "named")
     each = lines.select(*line, "unit").join(named.hint("merge"), line).select("leaf", "template", "unit")
     each = materialize(each, "placed").distinct()
-    often = each.groupBy("leaf", "template").agg(F.count("*").alias("all"), F.min("unit").alias("first"))
+    often = materialize(each.groupBy("leaf", "template").agg(F.count("*").alias("all"), F.min("unit").alias("first")), "counted")
     often = materialize(named.join(often, ["leaf", "template"]).select(*line, "all", "first"), "often")
     decided = kinds.select(*line, "n", "keeper").join(often.hint("merge"), line, "left")
     decided = decided.filter(F.coalesce("all", "n") >= min_docs).select(*line, F.coalesce("first", "keeper").alias("keeper"))
