@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from tidemark.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"boosted_fit", "logistic_fit"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")

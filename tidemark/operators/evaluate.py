@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .percentile import exact_percentiles
+
 BUCKETS = 1024
 GRID = [0.05 + i * (0.95 - 0.05) / 18 for i in range(19)]
 METRICS = ("accuracy", "precision", "recall", "f1")
@@ -150,9 +152,11 @@ def array_summary(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
     counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
     mean = F.sum(F.col("x") * F.col("n")) / F.sum("n")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("x") * F.col("x") * F.col("n")) / F.sum("n") - mean * mean))
-    out = counts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), mean.alias("mean"), spread.alias("std"), F.percentile("x", F.array(*map(F.lit, names.values())), F.col("n")).alias("q"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select(*by, "count", *(zero(F.col(c)).alias(c) for c in ("min", "max", "mean", "std")), *(zero(F.col("q")[i]).alias(n) for i, n in enumerate(names)))
+    out = counts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), mean.alias("mean"), spread.alias("std"))
+    q = exact_percentiles(counts, by, "x", names, "n")
+    out = out.join(q, list(by), "left") if by else out.crossJoin(q)  # one row each
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return out.select(*by, "count", *map(zero, ("min", "max", "mean", "std", *names)))
 
 
 def split_diagnostics(scores: DataFrame, key: str, references: dict[str, float]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Fields of run files and columns of the report (fixed values).
 _CONFIG = "struct<seed: bigint, pooling: string, include_summary_features: boolean>"
 _SUMMARY = (
     "model_name string, created_at_utc string, dataset_dir string, window_size bigint, feature_width bigint, feature_count bigint, feature_order array<string>, "
@@ -21,8 +22,11 @@ _DIAGNOSTICS = (
 
 
 def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
-    return rows.withColumn("run_dir", F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""), "^file:/*", "/"))
+    """Files of that name in every run folder below ``root``; a folder ``name=<name>`` with part files will do too."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(root)
+    place = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    at = f"^(.*)/(name=)?{name.replace('.', '[.]')}(/part-[^/]*)?$"
+    return rows.withColumn("run_dir", F.regexp_extract(place, at, 1)).filter("run_dir <> ''")
 
 
 def scan_run_artifacts(spark: SparkSession, root: str) -> DataFrame:

@@ -15,8 +15,9 @@ def fifo_lot_match(trades: DataFrame) -> DataFrame:
 
     Quantities are laid end to end: a buy covers [bought before, bought with it), and a sell covers the
     stretch of sold quantity that stock allowed.  Sells beyond the stock match nothing:
-    sold so far = cs - max(0, max over rows to date of (cs - cb)).  Overlapping stretches match,
-    which is a join of intervals and no loop over trades.
+    sold so far = cs - max(0, max over rows to date of (cs - cb)).  Both sides tile a line, so the starts of
+    buys and sells are put in one order, and every stretch between two of them belongs to the last buy and
+    the last sell before it: one sort of the trades, no product of buys and sells.
     """
     keys = ["market_id", "wallet", "asset"]
     w = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -25,11 +26,19 @@ def fifo_lot_match(trades: DataFrame) -> DataFrame:
     t = t.withColumn("ms", F.col("cs") - F.greatest(F.lit(0.0), F.max(F.col("cs") - F.col("cb")).over(w)))
     prev = Window.partitionBy(*keys).orderBy("ts", "seq")
     t = t.withColumn("ms_before", F.coalesce(F.lag("ms").over(prev), F.lit(0.0)))
-    buys = t.filter(buy).select(*keys, F.col("price").alias("buy_price"), (F.col("cb") - F.col("size")).alias("b0"), F.col("cb").alias("b1"))
-    sells = t.filter(~buy).filter(F.col("ms") > F.col("ms_before") + EPS).select(*keys, F.col("price").alias("sell_price"), F.col("ms_before").alias("s0"), F.col("ms").alias("s1"))
-    both = buys.join(sells, keys).filter((F.col("b0") < F.col("s1")) & (F.col("s0") < F.col("b1")))
-    size = F.least("b1", "s1") - F.greatest("b0", "s0")
-    return both.withColumn("matched_size", size).filter(F.col("matched_size") > EPS).select(*keys, "buy_price", "sell_price", "matched_size")
+    some = buy | (F.col("ms") > F.col("ms_before") + EPS)
+    edges = t.filter(some).select(
+        *keys, "ts", "seq", F.when(buy, F.col("cb") - F.col("size")).otherwise(F.col("ms_before")).alias("at"), F.when(buy, F.col("price")).alias("buy"), F.when(~buy, F.col("price")).alias("sell"),
+        F.when(buy, F.col("cb")).alias("bought"), F.when(~buy, F.col("ms")).alias("sold"),
+    )
+    order = Window.partitionBy(*keys).orderBy("at", "ts", "seq")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(sofar)
+    # a stretch ends at the next start, or where the last buy or sell ends
+    end = F.least(F.lead("at").over(order), last("bought"), last("sold"))
+    found = edges.withColumns({"buy_price": last("buy"), "sell_price": last("sell"), "matched_size": end - F.col("at")})
+    found = found.filter(F.col("buy_price").isNotNull() & F.col("sell_price").isNotNull() & (F.col("matched_size") > EPS))
+    return found.select(*keys, "buy_price", "sell_price", "matched_size")
 
 
 def realized_markout_by_wallet(trades: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .percentile import exact_percentiles
 
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-TOP = 100
+TOP, SENT_CANDIDATES = 100, 100_000
 #: What makes a data set unfit, or fit with weighting (fixed values).
 LEAST_STREAMS, LEAST_WINDOWS, MOST_IMBALANCE, MOST_SHARE, MOST_DRIFT = 100, 1000, 2.0, 0.35, 0.15
 
@@ -16,17 +17,27 @@ def _positives() -> Column:
     return F.sum(F.col("label").cast("long"))
 
 
+def usd_total(n: str = "usd_amount") -> Column:
+    """Amounts have six places, so their sum is exact in any order."""
+    return F.sum(F.col(n).cast("decimal(28,6)"))
+
+
+def usd_mean(n: str = "usd_amount") -> Column:
+    return usd_total(n).cast("double") / F.count(n)
+
+
 def dataset_totals(labeled: DataFrame) -> DataFrame:
-    """One row.  Each distinct count runs on its own narrow shuffle instead of one that expands every
-    row by the number of columns counted."""
-    out = labeled.agg(
-        F.count("*").alias("total_rows"), _positives().alias("positive_rows"), (F.count("*") - _positives()).alias("negative_rows"),
-        F.avg(F.col("label").cast("double")).alias("positive_rate"), F.min("trade_time").alias("min_trade_time"), F.max("trade_time").alias("max_trade_time"),
-        F.avg(F.abs("markout_bps")).alias("avg_abs_markout_bps"), F.avg("usd_amount").alias("avg_usd_amount"),
+    """One row.  Rows are summed by user, market and asset first, so the chain runs once and the distinct counts
+    expand those sums and not every row."""
+    own = labeled.groupBy("user", "market_id", "asset_id").agg(
+        F.count("*").alias("n"), _positives().alias("p"), F.min("trade_time").alias("a"), F.max("trade_time").alias("b"), F.sum(F.abs("markout_bps")).alias("bps"),
+        F.count("markout_bps").alias("n_bps"), usd_total().alias("usd"), F.count("usd_amount").alias("n_usd"),
+    )
+    return own.agg(
+        F.sum("n").alias("total_rows"), F.sum("p").alias("positive_rows"), (F.sum("n") - F.sum("p")).alias("negative_rows"), (F.sum("p") / F.sum("n")).alias("positive_rate"),
+        F.min("a").alias("min_trade_time"), F.max("b").alias("max_trade_time"), (F.sum("bps") / F.sum("n_bps")).alias("avg_abs_markout_bps"), (F.sum("usd").cast("double") / F.sum("n_usd")).alias("avg_usd_amount"),
+        F.count_distinct("user").alias("distinct_users"), F.count_distinct("market_id").alias("distinct_markets"), F.count_distinct("asset_id").alias("distinct_assets"),
     )
-    for column, name in (("user", "distinct_users"), ("market_id", "distinct_markets"), ("asset_id", "distinct_assets")):
-        out = out.crossJoin(labeled.agg(F.count_distinct(column).alias(name)))
-    return out
 
 
 def class_ratios(labeled: DataFrame) -> DataFrame:
@@ -46,16 +57,14 @@ def class_imbalance_ratio(labeled: DataFrame) -> DataFrame:
 
 def percentiles(labeled: DataFrame, columns: tuple[str, ...] = ("markout", "markout_bps", "usd_amount")) -> DataFrame:
     """Interpolated percentiles, one row for each column."""
-    values = labeled.select(F.inline(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in columns)))).filter(F.col("x").isNotNull())
-    counts = values.groupBy("measure", "x").agg(F.count("*").alias("n"))
-    found = counts.groupBy("measure").agg(F.percentile("x", F.array(*map(F.lit, PERCENTILES.values())), F.col("n")).alias("q"))
-    return found.select("measure", *(F.col("q")[i].alias(n) for i, n in enumerate(PERCENTILES)))
+    values = labeled.select(F.inline(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in columns))))
+    return exact_percentiles(values, ["measure"], "x", PERCENTILES)
 
 
 def balance(labeled: DataFrame, key: Column, name: str) -> DataFrame:
     return labeled.groupBy(key.alias(name)).agg(
         F.count("*").alias("row_count"), _positives().alias("positive_rows"), (F.count("*") - _positives()).alias("negative_rows"),
-        F.avg(F.col("label").cast("double")).alias("positive_rate"), F.avg(F.abs("markout_bps")).alias("avg_abs_markout_bps"), F.avg("usd_amount").alias("avg_usd_amount"),
+        F.avg(F.col("label").cast("double")).alias("positive_rate"), F.avg(F.abs("markout_bps")).alias("avg_abs_markout_bps"), usd_mean().alias("avg_usd_amount"),
     )
 
 
@@ -91,10 +100,14 @@ def stream_length_buckets(labeled: DataFrame) -> DataFrame:
 
 
 def window_estimates(labeled: DataFrame, length: int, stride: int) -> DataFrame:
+    return estimates(stream_lengths(labeled), length, stride)
+
+
+def estimates(streams: DataFrame, length: int, stride: int) -> DataFrame:
     n = F.col("stream_len")
     ok = n >= length
     total = lambda c: F.coalesce(F.sum(F.when(ok, c).otherwise(F.lit(0))), F.lit(0)).cast("long")
-    return stream_lengths(labeled).agg(
+    return streams.agg(
         F.count("*").alias("stream_count"), total(F.lit(1)).alias("eligible_stream_count"), total(n - length + 1).alias("dense_window_count"),
         total(F.floor((n - length) / stride) + 1).alias("stride_window_count"),
     )
@@ -114,14 +127,24 @@ def label_integrity(labeled: DataFrame) -> DataFrame:
 
 
 def training_feasibility(labeled: DataFrame, length: int, stride: int) -> DataFrame:
-    """One row with the verdict and what it rests on."""
-    users, markets = concentration(labeled, "user"), concentration(labeled, "market_id")
+    """One row with the verdict and what it rests on.  All of it comes from counts by user, market and month, one
+    shuffle that every part reuses."""
+    own = labeled.groupBy("user", "market_id", F.date_format("trade_time", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), _positives().alias("p"))
+
+    def share(key: str) -> DataFrame:
+        totals = own.groupBy(key).agg(F.sum("n").alias("n"))
+        top = totals.orderBy(F.col("n").desc_nulls_last(), F.col(key).asc_nulls_last()).limit(TOP).agg(F.sum("n").alias("top"))
+        return totals.agg(F.sum("n").alias("whole")).crossJoin(top).select((F.col("top") / F.col("whole")).alias(f"{key.removesuffix('_id')}_row_share"))
+
+    months = own.groupBy("month").agg((F.sum("p") / F.sum("n")).alias("positive_rate"))
+    totals = own.agg(F.sum("n").alias("n"), F.sum("p").alias("p")).withColumn("q", F.col("n") - F.col("p"))
+    ratio = F.when(F.least("p", "q") > 0, F.greatest("p", "q") / F.least("p", "q")).otherwise(F.lit(float("inf")))
     facts = (
-        window_estimates(labeled, length, stride)
-        .crossJoin(class_imbalance_ratio(labeled))
-        .crossJoin(rate_range(monthly_balance(labeled)))
-        .crossJoin(users.select(F.col(f"top_{TOP}_row_share").alias("user_row_share")))
-        .crossJoin(markets.select(F.col(f"top_{TOP}_row_share").alias("market_row_share")))
+        estimates(own.groupBy("user", "market_id").agg(F.sum("n").alias("stream_len")), length, stride)
+        .crossJoin(totals.select(ratio.alias("imbalance_ratio")))
+        .crossJoin(rate_range(months))
+        .crossJoin(share("user"))
+        .crossJoin(share("market_id"))
     )
     blocked = (F.col("eligible_stream_count") < LEAST_STREAMS) | (F.col("stride_window_count") < LEAST_WINDOWS)
     weigh = (F.col("imbalance_ratio") > MOST_IMBALANCE) | (F.col("user_row_share") > MOST_SHARE) | (F.col("market_row_share") > MOST_SHARE) | (F.col("positive_rate_range") > MOST_DRIFT)
@@ -167,15 +190,22 @@ def top_trades_by_usd(prepared: DataFrame, n: int = 20) -> DataFrame:
 
 def candidate_context(candidates: DataFrame, prepared: DataFrame, before_minutes: int, after_minutes: int) -> DataFrame:
     """Every candidate with the trades of its asset from ``before`` to ``after`` its time, bounds cut to
-    whole seconds and included.  Candidates are a short list by construction, so they are sent to the
-    trades."""
+    whole seconds and included.  Candidates are sent to the trades if they are at most ``SENT_CANDIDATES``; more
+    of them meet their trades by asset and day.
+    """
     second = F.date_trunc("second", "trade_time").cast("timestamp_ntz")
     c = candidates.select(
         *(F.col(k).alias(f"c_{k}") for k in _KEY), F.col("asset_id").alias("c_asset"),
         F.timestamp_add("MINUTE", F.lit(-before_minutes), second).alias("lo"), F.timestamp_add("MINUTE", F.lit(after_minutes), second).alias("hi"),
     )
     p = prepared.select("asset_id", "trade_time", "price_yes", "usd_amount", F.col("transaction_hash").alias("context_tx"))
-    return p.join(F.broadcast(c), (F.col("asset_id") == F.col("c_asset")) & F.col("trade_time").between(F.col("lo"), F.col("hi"))).drop("c_asset", "lo", "hi")
+    within = (F.col("asset_id") == F.col("c_asset")) & F.col("trade_time").between(F.col("lo"), F.col("hi"))
+    if c.limit(SENT_CANDIDATES + 1).count() <= SENT_CANDIDATES:
+        return p.join(F.broadcast(c), within).drop("c_asset", "lo", "hi")
+    days = F.sequence(F.date_trunc("day", "lo").cast("timestamp_ntz"), F.date_trunc("day", "hi").cast("timestamp_ntz"), F.expr("INTERVAL 1 DAY"))
+    c = c.withColumn("c_day", F.explode(days))
+    p = p.withColumn("day", F.date_trunc("day", "trade_time").cast("timestamp_ntz"))
+    return p.join(c, within & (F.col("day") == F.col("c_day"))).drop("c_asset", "lo", "hi", "day", "c_day")
 
 
 def context_with_fallback(candidates: DataFrame, prepared: DataFrame, labeled: DataFrame, before_minutes: int, after_minutes: int) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log1p_positive, signed_log1p
+from .percentile import exact_percentiles
 
 # How a feature is transformed, clipped and scaled by default (fixed values).
 LOG1P = (
@@ -120,9 +121,7 @@ def clip_bounds(train: DataFrame, names: Sequence[str], sample_windows: int | No
     if sample_windows is not None:
         train = train.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample_windows)
     values = transformed_steps(train, names).filter(F.col("feature").isin(*CLIPPED))
-    counts = values.groupBy("feature", "x").agg(F.count("*").alias("n"))
-    found = counts.groupBy("feature").agg(F.percentile("x", F.array(*map(F.lit, CLIP_SHARES)), F.col("n")).alias("q"))
-    return found.select("feature", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    return exact_percentiles(values, ["feature"], "x", dict(zip(("lower", "upper"), CLIP_SHARES)))
 
 
 def scaler_fit(train: DataFrame, names: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
@@ -189,5 +188,16 @@ def split_rows(windows: DataFrame, split: str) -> DataFrame:
 
 
 def shuffle_rows(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """The same order for the same seed, however the rows are partitioned."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """The same order for the same seed, however the rows are partitioned: by a digest of seed and key."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
+
+
+def shuffle_places(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds ``place``, a row's number in that order from 0 on.  Rows are numbered inside ranges of the digest, after
+    the totals of the ranges before."""
+    keyed = rows.withColumn("__d", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))).withColumn("__b", F.substring("__d", 1, 3))
+    totals = keyed.groupBy("__b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__d", key)) - 1
+    placed = keyed.withColumn("__in", inside).join(F.broadcast(totals.select("__b", before.alias("__before"))), "__b")  # 4096 ranges
+    return placed.withColumn("place", F.col("__before") + F.col("__in")).drop("__b", "__d", "__in", "__before")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, entry_bps, micros
+from .percentile import exact_percentiles
 
 # Metrics: label, live weight, post-event weight (fixed values).
 METRICS = {
@@ -70,9 +71,8 @@ def first_sell_time(trades: DataFrame) -> DataFrame:
 
 def market_trade_percentiles(trades: DataFrame) -> DataFrame:
     """Interpolated median and p95 of trade USD by market, from counts by value."""
-    counts = trades.groupBy("market_id", "usdc").agg(F.count("*").alias("n"))
-    q = counts.groupBy("market_id").agg(F.percentile("usdc", F.array(F.lit(0.5), F.lit(0.95)), F.col("n")).alias("q"))
-    return q.select("market_id", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("median_usdc"), F.coalesce(F.col("q")[1], F.lit(0.0)).alias("p95_usdc"))
+    q = exact_percentiles(trades.select("market_id", "usdc"), ["market_id"], "usdc", {"median_usdc": 0.5, "p95_usdc": 0.95})
+    return q.select("market_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("median_usdc", "p95_usdc")))
 
 
 def flow_share(trades: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def score_wallets(metrics: DataFrame) -> DataFrame:
         label, on, off = METRICS[name]
         weight = F.when(live, F.lit(on)).otherwise(F.lit(off))
         return F.struct(
-            F.lit(name).alias("id"), F.lit(label).alias("label"), weight.alias("weight"), F.round(F.col(name), 4).alias("normalized"), F.round(F.col(name) * weight, 4).alias("contribution")
+            F.lit(name).alias("id"), F.lit(label).alias("label"), F.col(name).alias("raw"), weight.alias("weight"), F.round(F.col(name), 4).alias("normalized"), F.round(F.col(name) * weight, 4).alias("contribution")
         )
 
     out = metrics.withColumn("metrics", F.array(*map(one, METRICS)))

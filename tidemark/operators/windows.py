@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import compact_time, micros
 from ..params import FEATURES, Params
+from .percentile import exact_percentiles
 from .rolling import enrich, stream_window
 
 SPLITS = ("train", "validation", "test")
@@ -58,11 +59,12 @@ def window_id(end_ts: Column, seq: Column) -> Column:
 def time_cutoffs(rows: DataFrame, time: str, params: Params) -> DataFrame:
     """One row ``train_cutoff, validation_cutoff``: interpolated quantiles of epoch seconds.
 
-    Times are counted first, so that the exact percentile sees each distinct time once.
-    """
-    counts = rows.groupBy((micros(F.col(time)) / 1e6).alias("t")).agg(F.count("*").alias("n"))
-    both = F.percentile("t", F.array(F.lit(params.train_ratio), F.lit(params.train_ratio + params.validation_ratio)), F.col("n"))
-    return counts.agg(both.alias("c")).select(F.col("c")[0].alias("train_cutoff"), F.col("c")[1].alias("validation_cutoff"))
+    Times differ little against their size, so they are bucketed by their distance from the first one."""
+    seconds = rows.select((micros(F.col(time)) / 1e6).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    first = seconds.agg(F.min("t").alias("t0"))
+    shares = {"train_cutoff": params.train_ratio, "validation_cutoff": params.train_ratio + params.validation_ratio}
+    found = exact_percentiles(seconds.crossJoin(F.broadcast(first)).select((F.col("t") - F.col("t0")).alias("d"), "n"), [], "d", shares, "n")
+    return found.crossJoin(F.broadcast(first)).select(*((F.col(c) + F.col("t0")).alias(c) for c in shares))
 
 
 def split_cutoffs(labeled: DataFrame, params: Params) -> DataFrame:

@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def r(c: str | Column, digits: int = 6) -> Column:
-    """Rounded, so that sums of another order give the same value."""
-    col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("double"), digits)
+    """Rounded, so that sums of another order give the same value; halves as the checking engine does it, by
+    scaling, adding a half and cutting."""
+    col = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scale = float(10**digits)
+    big = F.abs(col) * scale
+    out = F.when(big < 4e15, F.signum(col) * F.floor(big + 0.5) / scale).otherwise(col)
     out = F.when(out == 0, F.lit(0.0)).otherwise(out)
     return out.alias(c) if isinstance(c, str) else out
 
@@ -26,6 +29,11 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: r(F.col(n), digits) for n in names})
 
 
+def listed(values: Column, digits: int = 7) -> Column:
+    """All values of an array, each rounded."""
+    return F.transform(values, lambda x: r(x, digits))
+
+
 def trades(spark, sf) -> DataFrame:
     return event_trades(table(spark, sf, "events"))
 
@@ -137,8 +145,8 @@ ENRICHED = (
     BASE
     + """,
 enriched AS (
-  SELECT *, row_number() OVER um AS seq, coalesce(epoch(trade_time) - epoch(lag(trade_time) OVER um), 0.0) AS time_delta_seconds,
-    epoch(trade_time) - epoch(first_value(trade_time) OVER um) AS market_age_seconds, CASE WHEN role = 'maker' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS role_is_maker,
+  SELECT *, row_number() OVER um AS seq, coalesce((epoch_us(trade_time) - epoch_us(lag(trade_time) OVER um)) / 1e6::DOUBLE, 0.0) AS time_delta_seconds,
+    (epoch_us(trade_time) - epoch_us(first_value(trade_time) OVER um)) / 1e6::DOUBLE AS market_age_seconds, CASE WHEN role = 'maker' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS role_is_maker,
     CAST(count(*) OVER mh AS DOUBLE) / 2 AS market_trade_count_1h, coalesce(sum(usd_amount) OVER mh / 2, 0) AS market_volume_1h,
     coalesce(avg(price_yes) OVER mh, price_yes, 0) AS market_price_mean_1h, coalesce(stddev_pop(price_yes) OVER mh, 0) AS market_price_std_1h,
     coalesce(price_yes - first_value(price_yes) OVER mh, 0) AS market_price_return_1h, CAST(count(*) OVER uh AS DOUBLE) AS user_trade_count_1h,
@@ -176,6 +184,10 @@ def _assigned(name: str, cut: str) -> str:
     FROM kept, {cut}) WHERE split IS NOT NULL)"""
 
 
+def listed_sql(values: str, digits: int = 7) -> str:
+    return f"list_transform({values}, lambda x: round(x, {digits}) + 0)"
+
+
 WINDOWS = WINDOWED + _assigned("mw", "win_cut")
 SEQUENCES = WINDOWED + _assigned("sw", "seq_cut")
 

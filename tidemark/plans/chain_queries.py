@@ -181,27 +181,27 @@ def price_return(spark, sf):
 # ---- windows and splits
 
 
-def _digest(features: Column) -> Column:
-    return r(F.aggregate(F.flatten(features), F.lit(0.0), lambda a, x: a + x), 3)
+def _values() -> Column:
+    return B.listed(F.flatten("features")).alias("features")
 
 
-_SUM = "round(list_sum(flatten(features)), 3)"
+_VALUES = f"{B.listed_sql('flatten(features)')} AS features"
 
 
-@query(f"""WITH {WINDOWED} SELECT "user", market_id, seq, start_ts, {_SUM} AS total, len(features) AS n, label FROM kept""", "collect_window_features", "window_start", "window_stride_filter", "feature_vector")
+@query(f"""WITH {WINDOWED} SELECT "user", market_id, seq, start_ts, {_VALUES}, len(features) AS n, label FROM kept""", "collect_window_features", "window_start", "window_stride_filter", "feature_vector")
 def collect_window_features(spark, sf):
     out = windows.collect_windows(rolling.enrich(B.labeled(spark, sf)), P.window, P.stride, P.features)
-    return out.select("user", "market_id", F.col("seq").cast("long"), "start_ts", _digest(F.col("features")).alias("total"), F.size("features").cast("long").alias("n"), "label")
+    return out.select("user", "market_id", F.col("seq").cast("long"), "start_ts", _values(), F.size("features").cast("long").alias("n"), "label")
 
 
-@query(f"""WITH {SEQUENCES} SELECT window_id AS sequence_id, "user", market_id, start_ts AS sequence_start_ts, end_ts AS sequence_end_ts, window_size AS seq_len, {_SUM} AS total, label, split FROM sw""")
+@query(f"""WITH {SEQUENCES} SELECT window_id AS sequence_id, "user", market_id, start_ts AS sequence_start_ts, end_ts AS sequence_end_ts, window_size AS seq_len, {_VALUES}, label, split FROM sw""")
 def sequence_windows(spark, sf):
-    return windows.sequence_windows(B.labeled(spark, sf), P).withColumn("total", _digest(F.col("features"))).drop("features")
+    return windows.sequence_windows(B.labeled(spark, sf), P).withColumn("features", _values())
 
 
-@query(f"""WITH {WINDOWS} SELECT window_id, "user", market_id, window_start_ts, window_end_ts, window_size, {_SUM} AS total, label, split FROM mw""", "model_windows", "assign_split")
+@query(f"""WITH {WINDOWS} SELECT window_id, "user", market_id, window_start_ts, window_end_ts, window_size, {_VALUES}, label, split FROM mw""", "model_windows", "assign_split")
 def model_windows(spark, sf):
-    return B.model_windows(spark, sf).withColumn("total", _digest(F.col("features"))).drop("features")
+    return B.model_windows(spark, sf).withColumn("features", _values())
 
 
 @query(f"WITH {WINDOWED} SELECT round(c1, 3) AS train_cutoff, round(c2, 3) AS validation_cutoff FROM seq_cut")
@@ -252,7 +252,7 @@ def user_time_sort(spark, sf):
 @query(f"""WITH {BASE} SELECT transaction_hash, lower(trim('  ' || market_id || ' ')) AS trimmed, concat_ws('-', market_id, NULL, asset_id) AS joined, lpad(CAST(block_number AS VARCHAR), 8, '0') AS padded,
  strftime(trade_time, '%Y%m%d%H%M%S') AS compact, round(ln(1 + greatest(usd_amount, 0)), 6) AS log_usd, round(sign(price - 0.5) * ln(1 + abs(price - 0.5)), 6) AS signed_log, round(1 / (1 + exp(-price)), 6) AS sig,
  round(ln(price / (1 - price)), 6) AS lgt, least(greatest(price, 0.2::DOUBLE), 0.8::DOUBLE) AS clamped, coalesce(TRY_CAST(substr(transaction_hash, 3) AS DOUBLE), -1) AS num,
- trim(regexp_replace(lower(event_title), '[^a-z0-9]+', ' ', 'g')) AS plain, least(maker, taker) || '|' || greatest(maker, taker) AS pair, regexp_extract('stride=' || (block_number % 9) || '/x', 'stride=([^/]+)', 1) AS part,
+ trim(regexp_replace(lower(event_title), '[^a-z0-9]+', ' ', 'g')) AS plain, least(maker, taker) || '|' || greatest(maker, taker) AS pair, regexp_extract('stride=' || (block_number % 9) || '/x', 'stride=([^/]+)', 1) AS part, substr(trim(regexp_replace(lower(event_title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 7) AS short,
  contains(event_title, market_id) AS has, CAST(block_number % 7 AS BIGINT) AS modulo, CAST(floor(usd_amount) AS BIGINT) AS floored, date_trunc('second', trade_time) + INTERVAL 5 MINUTE AS later FROM prepared""")
 def scalar_functions(spark, sf):
     p = F.col("price")
@@ -261,7 +261,7 @@ def scalar_functions(spark, sf):
         F.lpad(F.col("block_number").cast("string"), 8, "0").alias("padded"), S.compact_time(F.col("trade_time")).alias("compact"), r(S.log1p_positive(F.col("usd_amount"))).alias("log_usd"),
         r(S.signed_log1p(p - 0.5)).alias("signed_log"), r(S.sigmoid(p)).alias("sig"), r(S.logit(p)).alias("lgt"), S.clamp(p, 0.2, 0.8).alias("clamped"),
         S.number(F.substring("transaction_hash", 3, 20), -1.0).alias("num"), S.plain_words(F.col("event_title")).alias("plain"), S.pair_key(F.col("maker"), F.col("taker")).alias("pair"),
-        S.path_part(F.concat(F.lit("stride="), (F.col("block_number") % 9).cast("string"), F.lit("/x")), "stride").alias("part"), S.contains_in_any([F.col("event_title")], F.col("market_id")).alias("has"),
+        S.path_part(F.concat(F.lit("stride="), (F.col("block_number") % 9).cast("string"), F.lit("/x")), "stride").alias("part"), S.slug(F.col("event_title"), 7).alias("short"), S.contains_in_any([F.col("event_title")], F.col("market_id")).alias("has"),
         (F.col("block_number") % 7).alias("modulo"), F.floor("usd_amount").alias("floored"), (F.date_trunc("second", "trade_time").cast("timestamp_ntz") + F.expr("INTERVAL 5 MINUTES")).alias("later"),
     )
 

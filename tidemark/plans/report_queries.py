@@ -27,10 +27,11 @@ def query(sql: str | None = None, *names: str):
 
 
 _RATE = "round(avg(label), 6) AS positive_rate"
-_BALANCE = f"count(*) AS row_count, CAST(sum(label) AS BIGINT) AS positive_rows, CAST(count(*) - sum(label) AS BIGINT) AS negative_rows, {_RATE}, round(avg(abs(markout_bps)), 6) AS avg_abs_markout_bps, round(avg(usd_amount), 6) AS avg_usd_amount"
+_USD = "CAST(sum(CAST(usd_amount AS DECIMAL(28, 6))) AS DOUBLE) / count(usd_amount)"
+_BALANCE = f"count(*) AS row_count, CAST(sum(label) AS BIGINT) AS positive_rows, CAST(count(*) - sum(label) AS BIGINT) AS negative_rows, {_RATE}, round(avg(abs(markout_bps)), 6) AS avg_abs_markout_bps, round({_USD}, 6) AS avg_usd_amount"
 
 
-@query(f"""WITH {BASE} SELECT count(*) AS total_rows, CAST(sum(label) AS BIGINT) AS positive_rows, CAST(count(*) - sum(label) AS BIGINT) AS negative_rows, {_RATE}, count(DISTINCT "user") AS distinct_users, count(DISTINCT market_id) AS distinct_markets, count(DISTINCT asset_id) AS distinct_assets, min(trade_time) AS min_trade_time, max(trade_time) AS max_trade_time, round(avg(abs(markout_bps)), 6) AS avg_abs_markout_bps, round(avg(usd_amount), 6) AS avg_usd_amount FROM labeled""")
+@query(f"""WITH {BASE} SELECT count(*) AS total_rows, CAST(sum(label) AS BIGINT) AS positive_rows, CAST(count(*) - sum(label) AS BIGINT) AS negative_rows, {_RATE}, count(DISTINCT "user") AS distinct_users, count(DISTINCT market_id) AS distinct_markets, count(DISTINCT asset_id) AS distinct_assets, min(trade_time) AS min_trade_time, max(trade_time) AS max_trade_time, round(avg(abs(markout_bps)), 6) AS avg_abs_markout_bps, round({_USD}, 6) AS avg_usd_amount FROM labeled""")
 def dataset_totals(spark, sf):
     return rounded(reports.dataset_totals(B.labeled(spark, sf)), "positive_rate", "avg_abs_markout_bps", "avg_usd_amount")
 
@@ -53,15 +54,15 @@ def percentiles(spark, sf):
     return rounded(reports.percentiles(B.labeled(spark, sf)), *reports.PERCENTILES)
 
 
-@query(f"WITH {BASE} SELECT strftime(trade_time, '%Y-%m') AS month, {_BALANCE} FROM labeled GROUP BY 1", "monthly_balance")
-def monthly_balance(spark, sf):
+@query(f"WITH {BASE} SELECT strftime(trade_time, '%Y-%m') AS month, {_BALANCE} FROM labeled GROUP BY 1", "label_monthly_balance", "monthly_balance")
+def label_monthly_balance(spark, sf):
+    """The flagship: scan, clean, as-of join, unpivot, label, filter, balance by month."""
     return rounded(reports.monthly_balance(B.labeled(spark, sf)), "positive_rate", "avg_abs_markout_bps", "avg_usd_amount")
 
 
-@query(f"WITH {BASE} SELECT strftime(trade_time, '%Y-%m-%d') AS day, {_BALANCE} FROM labeled GROUP BY 1", "label_monthly_balance", "daily_balance")
+@query(f"WITH {BASE} SELECT strftime(trade_time, '%Y-%m-%d') AS day, {_BALANCE} FROM labeled GROUP BY 1", "daily_balance")
 def daily_balance(spark, sf):
-    """The flagship: scan, clean, as-of join, unpivot, label, filter, balance; by day, since the driver's
-    events cover one month."""
+    """By day too, since the driver's events cover one month."""
     return rounded(reports.daily_balance(B.labeled(spark, sf)), "positive_rate", "avg_abs_markout_bps", "avg_usd_amount")
 
 

@@ -5,6 +5,7 @@ Payloads are made from the driver's tables; files go to a scratch folder that al
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import leaderboard as L
-from ..operators import wallets
+from ..operators import run, wallets
 from ..params import QUERY_PARAMS as P
 from ..sources import ingest, sinks
 from ..sources import trades as T
@@ -36,8 +37,12 @@ def query(sql: str | None = None, *names: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one if all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/queries/{name}-{uuid.uuid4().hex}"
 
 
@@ -163,17 +168,44 @@ def sink_overwrite_guard(spark, sf):
     return rounded(spark.read.parquet(path).select("transaction_hash", "usd_amount"), "usd_amount")
 
 
-@query(f"WITH {BASE} SELECT 'label_user_trades' AS stage, count(*) AS row_count, min(trade_time) AS min_time, max(trade_time) AS max_time FROM labeled")
+@query(f"WITH {BASE} SELECT 'labeled' AS stage, count(*) AS row_count, min(trade_time) AS min_time, max(trade_time) AS max_time FROM labeled")
 def stage_manifest(spark, sf):
-    return sinks.stage_manifest(B.labeled(spark, sf), "label_user_trades", "labeled", "trade_time", P).select("stage", "row_count", "min_time", "max_time")
+    """A stage is written with its manifest, a JSON file beside it, which is read back."""
+    path = scratch(spark, "stage")
+    sinks.write_stage(B.labeled(spark, sf), "labeled", path, "trade_time", P)
+    return sinks.read_manifests(spark, path).select("stage", "row_count", "min_time", "max_time")
 
 
-@query(f"WITH {BASE}, n AS (SELECT count(*) AS n FROM labeled) SELECT d AS dataset_dir, d <> 'c' AS manifest_found, CASE d WHEN 'a' THEN n WHEN 'b' THEN n + 1 END AS manifest_row_count, n AS actual_row_count, CASE d WHEN 'a' THEN true WHEN 'b' THEN false END AS row_count_matches FROM n, (SELECT unnest(['a', 'b', 'c']) AS d)")
+@query(f"WITH {BASE}, n AS (SELECT count(*) AS n, count(*) FILTER (role = 'maker') AS m FROM labeled) SELECT d AS dataset, d <> 'none' AS manifest_found, CASE WHEN d <> 'none' THEN n END AS manifest_row_count, CASE WHEN d = 'less' THEN m ELSE n END AS actual_row_count, CASE d WHEN 'same' THEN true WHEN 'less' THEN n = m END AS row_count_matches FROM n, (SELECT unnest(['same', 'less', 'none']) AS d)")
 def manifest_consistency(spark, sf):
-    n = B.labeled(spark, sf).agg(F.count("*").alias("n"))
-    actual = n.select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("dataset_dir"), F.col("n").alias("actual_row_count"))
-    stored = n.select(F.inline(F.array(F.struct(F.lit("a").alias("dataset_dir"), F.col("n").alias("row_count")), F.struct(F.lit("b").alias("dataset_dir"), (F.col("n") + 1).alias("row_count")))))
-    return sinks.manifest_consistency(actual, stored)
+    """Three written stages: one as its manifest says, one cut after it was written, one without a manifest."""
+    root, rows = scratch(spark, "stages"), B.labeled(spark, sf).select("trade_time", "role")
+    for name in ("same", "less"):
+        sinks.write_stage(rows, name, f"{root}/{name}", "trade_time", P)
+    sinks.write_parquet(rows.filter("role = 'maker'"), f"{root}/less/data", overwrite=True)
+    sinks.write_parquet(rows, f"{root}/none/data")
+    found = sinks.manifest_consistency(sinks.actual_counts(spark, {n: f"{root}/{n}" for n in ("same", "less", "none")}), sinks.read_manifests(spark, f"{root}/*"))
+    return found.withColumn("dataset", F.regexp_extract("dataset_dir", "[^/]+$", 0)).drop("dataset_dir")
+
+
+@query(f"""WITH {WINDOWS} SELECT 'prepared' AS stage, count(*) AS row_count, min(trade_time) AS min_time, max(trade_time) AS max_time FROM prepared
+ UNION ALL SELECT 'labeled', count(*), min(trade_time), max(trade_time) FROM labeled UNION ALL SELECT 'windows', count(*), min(window_end_ts), max(window_end_ts) FROM mw""")
+def run_chain(spark, sf):
+    """The chain as a run: three written stages, each read back by the next, with their manifests."""
+    root = scratch(spark, "run")
+    run.run_chain(B.trades(spark, sf), root, P)
+    return sinks.read_manifests(spark, f"{root}/*").select("stage", "row_count", "min_time", "max_time")
+
+
+@query(f"""WITH {BASE}, t AS (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM labeled), s AS (SELECT count(*) AS n FROM labeled GROUP BY "user", market_id)
+SELECT t.n AS total_rows, p AS positive_rows, (SELECT list(m ORDER BY m) FROM (SELECT DISTINCT strftime(trade_time, '%Y-%m') AS m FROM labeled)) AS months, (SELECT count(*) FILTER (n >= 8) FROM s) AS eligible_stream_count FROM t""")
+def nested_report(spark, sf):
+    """The whole analysis as one nested JSON document, read back."""
+    path = scratch(spark, "analysis")
+    sinks.write_json_report(run.analysis_report(B.labeled(spark, sf), P), path)
+    schema = "dataset struct<total_rows: bigint, positive_rows: bigint>, monthly_balance array<struct<month: string>>, feasibility struct<eligible_stream_count: bigint>"
+    back = spark.read.schema(schema).json(path)
+    return back.select("dataset.total_rows", "dataset.positive_rows", F.col("monthly_balance.month").alias("months"), "feasibility.eligible_stream_count")
 
 
 @query(f"WITH {BASE} SELECT market_id, count(*) AS n FROM labeled GROUP BY 1")
@@ -209,7 +241,7 @@ def sink_snapshot_upsert(spark, sf):
     half = e.agg((F.max("version") / 2).alias("half")).first()[0]
     for part in (e.filter(F.col("version") <= half), e.filter(F.col("version") > half)):
         sinks.upsert_snapshot(part.groupBy("market").agg(F.max("version").alias("version")), path, "market", "version")
-    return spark.read.parquet(path)
+    return sinks.read_snapshot(spark, path)
 
 
 # ---- run reports: runs are made from the windows of every market, so that they grow with the data
@@ -228,17 +260,12 @@ def _runs(spark, sf) -> DataFrame:
 
 
 def _written_runs(spark, sf) -> str:
-    """Writes every run as JSON files below run folders; a run with an even name length has no metrics."""
+    """Writes every run as JSON files below run folders; one run has no metrics."""
     root = scratch(spark, "runs")
-    rows = _runs(spark, sf)
-    for row in rows.toLocalIterator():  # a run report covers some dozen runs
-        folder = f"{root}/{row.market_id}"
-        for name, text in (("summary", row.summary), ("metrics", row.metrics)):
-            if name == "summary" or row.market_id != "view":
-                at, fs = sinks._fs(spark, f"{folder}/{name}.json")
-                out = fs.create(at)
-                out.write(bytearray(text.encode()))
-                out.close()
+    files = F.array(F.struct(F.lit("summary.json").alias("name"), F.col("summary").alias("value")), F.struct(F.lit("metrics.json").alias("name"), F.col("metrics").alias("value")))
+    rows = _runs(spark, sf).select("market_id", F.inline(files)).filter("name = 'summary.json' or market_id <> 'view'")
+    # the executors write each run's files to folders of their own; a run is named by its market
+    rows.write.partitionBy("market_id", "name").text(root)
     return root
 
 
@@ -287,13 +314,28 @@ def _drained(spark, df: DataFrame, name: str, mode: str = "append") -> DataFrame
 _MSG = "msg AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 9)"
 
 
-@query(f"WITH {_MSG} SELECT event_type AS market, 'u' || user_id AS wallet, round(value, 6) AS size, epoch_us(ts) AS us FROM msg WHERE k % 4 <> 0", "stream_parse_messages", "stream_filter_events", "stream_periodic_refresh")
+@query(f"WITH {_MSG} SELECT event_type AS market, 'u' || user_id AS wallet, round(value, 6) AS size, epoch_us(ts) AS us FROM msg WHERE k % 4 <> 0", "stream_parse_messages", "stream_filter_events")
 def stream_parse_messages(spark, sf):
     out = _drained(spark, _messages(spark, sf), "messages")
     return out.select("market", "wallet", r("size"), F.unix_micros("ts").alias("us"))
 
 
-@query(None)
+@query(f"WITH {_MSG} SELECT event_type AS market, count(*) AS n FROM msg WHERE k % 4 <> 0 GROUP BY 1")
+def stream_periodic_refresh(spark, sf):
+    """The trigger of a minute: its first batch comes at once and takes all that is there; the query then stops."""
+    out = scratch(spark, "refreshed")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.groupBy("market").agg(F.count("*").alias("n")).write.mode("append").parquet(out)
+
+    writer = Z.every_minute(_messages(spark, sf).writeStream.foreachBatch(keep).option("checkpointLocation", out + ".state"))
+    Z.first_batch(writer)
+    return spark.read.schema("market string, n long").parquet(out).groupBy("market").agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_MSG}, m AS (SELECT event_type AS market, epoch_us(ts) AS us FROM msg WHERE k % 4 <> 0),
+ t AS (SELECT market, min(us) AS us FROM m GROUP BY 1 UNION ALL SELECT t.market, min(m.us) FROM t JOIN m ON m.market = t.market AND m.us >= t.us + 600000000 GROUP BY t.market, t.us)
+SELECT market, us FROM t""")
 def stream_throttle(spark, sf):
     return _drained(spark, Z.throttle(_messages(spark, sf), 600), "throttled").select("market", F.unix_micros("ts").alias("us"))
 
@@ -316,10 +358,10 @@ def stream_snapshot(spark, sf):
     path = scratch(spark, "stream-snapshots")
 
     def rebuild(markets: DataFrame) -> None:
-        t = B.wallet_trades(spark, sf).join(F.broadcast(markets.withColumnRenamed("market", "market_id")), "market_id")  # the markets of one batch
+        t = B.wallet_trades(spark, sf).join(markets.withColumnRenamed("market", "market_id"), "market_id", "left_semi")
         w = wallets.wallet_context(t)
         snap = w.groupBy("market_id").agg(F.sum("trade_count").alias("trade_count"), F.count("*").alias("wallet_count")).withColumn("version", F.current_timestamp())
         sinks.upsert_snapshot(snap, path, "market_id", "version")
 
     Z.drain(Z.snapshot_stream(Z.throttle(_messages(spark, sf), 600), rebuild, path + ".state"))
-    return spark.read.parquet(path).select("market_id", "trade_count", "wallet_count")
+    return sinks.read_snapshot(spark, path).select("market_id", "trade_count", "wallet_count")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
@@ -32,10 +32,6 @@ N = P.features
 W = len(N)
 
 
-def _sum(vector: Column) -> Column:
-    return r(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 4)
-
-
 def _train(spark, sf) -> DataFrame:
     return B.model_windows(spark, sf).filter("split = 'train'")
 
@@ -54,11 +50,9 @@ def _long(source: str) -> str:
 lg AS (SELECT *, CASE WHEN feature IN ({_LOGS}) THEN ln(1 + greatest(x0, 0)) WHEN feature IN ({_SIGNED}) THEN sign(x0) * ln(1 + abs(x0)) ELSE x0 END AS x FROM st)"""
 
 
-@query(f"""WITH {WINDOWS} SELECT window_id, len(flatten(features)) AS n, round(list_sum(flatten(features)), 4) AS total, round(features[2][1], 4) AS at_1_0 FROM mw""")
+@query(f"""WITH {WINDOWS} SELECT window_id, {B.listed_sql('flatten(features)')} AS vector FROM mw""")
 def flatten_window(spark, sf):
-    w = B.model_windows(spark, sf)
-    flat = X.flatten_window(F.col("features"))
-    return w.select("window_id", F.size(flat).cast("long").alias("n"), _sum(flat).alias("total"), r(F.get(flat, W), 4).alias("at_1_0"))
+    return B.model_windows(spark, sf).select("window_id", B.listed(X.flatten_window(F.col("features"))).alias("vector"))
 
 
 @query(f"""WITH {WINDOWS}, {_long("mw")} SELECT feature || '__step_' || lpad(CAST(position AS VARCHAR), 2, '0') AS name, count(*) AS n, round(sum(x0), 5) AS total FROM st GROUP BY 1""")
@@ -70,24 +64,25 @@ def flatten_long(spark, sf):
 _STATS = "[first(x0 ORDER BY position), last(x0 ORDER BY position), avg(x0), stddev_pop(x0), min(x0), max(x0), last(x0 ORDER BY position) - first(x0 ORDER BY position), avg(x0) FILTER (position >= 3)]"
 
 
-@query(f"""WITH {WINDOWS}, {_long("mw")}, a AS (SELECT window_id, feature, {_STATS} AS v FROM st GROUP BY ALL) SELECT name, count(*) AS n, round(avg(x), 3) + 0 AS value FROM (SELECT ({[f"{f}__summary_" for f in FEATURES]})[list_position({_NAMES}, feature)] || (['first', 'last', 'mean', 'std', 'min', 'max', 'delta', 'last5_mean'])[k] AS name, v[k] AS x FROM a, (SELECT unnest(range(1, 9)) AS k)) GROUP BY 1""")
+_SUMMED = f"{WINDOWS}, {_long('mw')}, a AS (SELECT window_id, feature, j, {_STATS} AS v FROM st GROUP BY ALL), b AS (SELECT window_id, list(round(v[k], 6) + 0 ORDER BY k, j) AS vector FROM a, (SELECT unnest(range(1, 9)) AS k) GROUP BY 1)"
+
+
+@query(f"WITH {_SUMMED} SELECT window_id, ([{', '.join(repr(n) for n in X.summary_names(FEATURES))}])[k] AS name, vector[k] AS value FROM b, (SELECT unnest(range(1, {8 * W + 1})) AS k)")
 def window_summary_features(spark, sf):
+    """One row for each window and summary."""
     w = B.model_windows(spark, sf).select("window_id", X.window_summary(F.col("features"), W).alias("v"))
     names = F.array(*map(F.lit, X.summary_names(N)))
-    long = w.select(F.posexplode("v").alias("j", "x")).select(F.get(names, F.col("j")).alias("name"), "x")
-    return long.groupBy("name").agg(F.count("*").alias("n"), F.avg("x").alias("value")).select("name", "n", r("value", 3))
+    return w.select("window_id", F.posexplode("v").alias("j", "x")).select("window_id", F.get(names, F.col("j")).alias("name"), r(F.col("x")).alias("value"))
 
 
-@query(f"""WITH {WINDOWS}, {_long("mw")}, a AS (SELECT window_id, feature, {_STATS} AS v FROM st GROUP BY ALL), b AS (SELECT window_id, sum(list_sum(v)) AS s FROM a GROUP BY 1) SELECT window_id, len(flatten(features)) + {8 * W} AS n, round(list_sum(flatten(features)) + s, 3) AS total FROM mw JOIN b USING (window_id)""")
+@query(f"WITH {_SUMMED} SELECT window_id, list_concat({B.listed_sql('flatten(features)', 6)}, vector) AS vector FROM mw JOIN b USING (window_id)")
 def augmented_vector(spark, sf):
-    v = X.augmented_vector(F.col("features"), W)
-    return B.model_windows(spark, sf).select("window_id", v.alias("v")).select("window_id", F.size("v").cast("long").alias("n"), r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return B.model_windows(spark, sf).select("window_id", B.listed(X.augmented_vector(F.col("features"), W), 6).alias("vector"))
 
 
-@query(f"""WITH {WINDOWS}, {_long("mw")} SELECT window_id, round(sum(x), 4) AS total FROM lg GROUP BY 1""")
+@query(f"""WITH {WINDOWS}, {_long("mw")} SELECT window_id, list(round(x, 6) + 0 ORDER BY position, j) AS vector FROM lg GROUP BY 1""")
 def transform_features(spark, sf):
-    w = B.model_windows(spark, sf)
-    return w.select("window_id", _sum(F.flatten(X.transform_features(F.col("features"), N))).alias("total"))
+    return B.model_windows(spark, sf).select("window_id", B.listed(F.flatten(X.transform_features(F.col("features"), N)), 6).alias("vector"))
 
 
 _BOUNDS = f"bd AS (SELECT feature, quantile_cont(x, 0.005) AS lower, quantile_cont(x, 0.995) AS upper FROM lg WHERE feature IN ({_CLIPPED}) AND split = 'train' GROUP BY 1)"
@@ -100,13 +95,14 @@ def clip_bounds(spark, sf):
     return rounded(X.clip_bounds(_train(spark, sf), N), "lower", "upper")
 
 
-@query(f"WITH {WINDOWS}, {_long('mw')}, {_BOUNDS}, {_CLIP} SELECT window_id, round(sum(y), 4) AS total FROM cl GROUP BY 1")
+@query(f"WITH {WINDOWS}, {_long('mw')}, {_BOUNDS}, {_CLIP} SELECT window_id, list(round(y, 6) + 0 ORDER BY position, j) AS vector FROM cl GROUP BY 1")
 def clip_features(spark, sf):
     bounds = X.clip_bounds(_train(spark, sf), N)
     every = spark.createDataFrame([(n,) for n in N], "feature string").join(bounds, "feature", "left")
     row = X.stats_row(every.select("feature", F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale")), bounds, N)
     w = B.model_windows(spark, sf).crossJoin(F.broadcast(row.select("lower", "upper")))
-    return w.select("window_id", _sum(F.flatten(X.clip_features(X.transform_features(F.col("features"), N), N, F.col("lower"), F.col("upper")))).alias("total"))
+    clipped = X.clip_features(X.transform_features(F.col("features"), N), N, F.col("lower"), F.col("upper"))
+    return w.select("window_id", B.listed(F.flatten(clipped), 6).alias("vector"))
 
 
 @query(f"WITH {WINDOWS}, {_long('mw')}, {_BOUNDS}, {_CLIP}, {_SCALER} SELECT feature, round(mean, 6) + 0 AS mean, round(scale, 5) AS scale FROM sc")
@@ -125,9 +121,9 @@ _SCALED = f"sd AS (SELECT cl.*, CASE WHEN feature IN ({_UNSCALED}) THEN y ELSE (
 _ALL = f"{WINDOWS}, {_long('mw')}, {_BOUNDS}, {_CLIP}, {_SCALER}, {_SCALED}"
 
 
-@query(f"WITH {_ALL} SELECT window_id, round(sum(z), 3) + 0 AS total FROM sd GROUP BY 1")
+@query(f"WITH {_ALL} SELECT window_id, list(round(z, 5) + 0 ORDER BY position, j) AS vector FROM sd GROUP BY 1")
 def standardize_windows(spark, sf):
-    return _standardized(spark, sf).select("window_id", r(F.aggregate(F.flatten("features"), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return _standardized(spark, sf).select("window_id", B.listed(F.flatten("features"), 5).alias("vector"))
 
 
 @query(f"WITH {WINDOWS}, v AS (SELECT features[8] AS v FROM mw WHERE split = 'train'), s AS (SELECT avg(v[1]) AS m1, stddev_pop(v[1]) AS s1, avg(v[3]) AS m2, stddev_pop(v[3]) AS s2 FROM v) SELECT window_id, round((features[8][1] - m1) / s1, 5) + 0 AS a, round((features[8][3] - m2) / s2, 5) + 0 AS b FROM mw, s")
@@ -169,15 +165,21 @@ def train_class_weights(spark, sf):
     return rounded(X.class_weights(_train(spark, sf)), "pos_weight")
 
 
-@query(f"WITH {WINDOWS} SELECT window_id, len(features) AS n, label FROM mw WHERE split = 'train'")
+@query(f"WITH {WINDOWS} SELECT window_id, {B.listed_sql('flatten(features)')} AS vector, label FROM mw WHERE split = 'validation' UNION ALL SELECT window_id, {B.listed_sql('flatten(features)')}, label FROM mw WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM mw WHERE split = 'validation')")
 def scan_split(spark, sf):
-    return X.split_rows(B.model_windows(spark, sf), "train").select("window_id", F.size("features").cast("long").alias("n"), "label")
+    """The validation split; a table too small to have one refuses it, and then the train split is read."""
+    w = B.model_windows(spark, sf)
+    try:
+        rows = X.split_rows(w, "validation")
+    except ValueError:
+        rows = X.split_rows(w, "train")
+    return rows.select("window_id", B.listed(F.flatten("features")).alias("vector"), "label")
 
 
-@query()
+@query(f"WITH {_TRAIN} SELECT window_id, row_number() OVER (ORDER BY md5('7:' || window_id), window_id) - 1 AS place FROM tr")
 def shuffle_rows_seeded(spark, sf):
-    """The order depends on the engine's hash, so there is no SQL; a test checks that it repeats."""
-    return X.shuffle_rows(_train(spark, sf), "window_id", 7).select("window_id")
+    """The shuffled order as every row's place in it."""
+    return X.shuffle_places(X.shuffle_rows(_train(spark, sf), "window_id", 7), "window_id", 7).select("window_id", "place")
 
 
 # ---- evaluation
@@ -291,26 +293,39 @@ def predictions(spark, sf):
     return E.predictions(B.scores(spark, sf))
 
 
-# ---- fits: compared by their scores in the tests, not by SQL
+# ---- fits: SQL tells which rows are scored and what any fit must hold; tests compare the models themselves
 
 
 def _vectors(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """train, validation and all rows, standardised, as vectors; kept in memory for the rounds of a fit."""
+    """train, validation and all rows, standardised, as vectors; kept in memory for the rounds of a fit.  A table too
+    small for a validation split is judged on its train split."""
     rows = _standardized(spark, sf).select("window_id", "split", "label", "features")
     rows = fit.with_vector(rows, F.flatten("features")).select("window_id", "split", "label", "vector").persist()
-    return rows.filter("split = 'train'"), rows.filter("split = 'validation'"), rows
+    train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+    return train, train if validation.isEmpty() else validation, rows
 
 
-@query(None, "logistic_fit", "score_split")
+@query(f"WITH {WINDOWS} SELECT window_id, split, label, true AS scored FROM mw", "logistic_fit", "score_split")
 def logistic_fit(spark, sf):
+    """Every row with its split and label; ``scored``: a probability that its logit agrees with, from a model that is
+    no worse than chance on validation."""
     train, validation, rows = _vectors(spark, sf)
-    model, auc, reg = fit.logistic_fit(train, validation, regs=(0.01, 0.1), rounds=20)
-    return fit.score(model, rows.withColumn("label", F.col("label").cast("double"))).select("window_id", "split", "label", "probability", "logit", F.lit(reg).alias("reg"), F.lit(auc).alias("validation_auc"))
+    model, auc, _ = fit.logistic_fit(train, validation, regs=(0.01, 0.1), rounds=20)
+    out = fit.score(model, rows.withColumn("label", F.col("label").cast("int")))
+    agrees = F.abs(1 / (1 + F.exp(-F.col("logit"))) - F.col("probability")) < 2e-6
+    fair = F.col("probability").between(0.0, 1.0) & agrees & F.lit(0.0 <= auc <= 1.0)
+    out = out.select("window_id", "split", "label", fair.alias("scored"))
+    rows.unpersist()
+    return out
 
 
-@query(None, "boosted_fit", "run_history")
+@query("SELECT CAST(i AS INTEGER) AS iteration, true AS in_range, true AS best_is_first_highest FROM range(5) t(i)", "boosted_fit", "run_history")
 def boosted_fit(spark, sf):
-    train, validation, _ = _vectors(spark, sf)
-    _, best, history = fit.boosted_fit(train, validation, depth=2, rounds=5)
-    rows = spark.createDataFrame(history, "iteration int, dataset_metric string, value double")
-    return fit.run_history(rows).withColumn("best_iteration", F.lit(best))
+    """The rounds that were looked at (all, since patience is longer than the run), and the choice among them."""
+    train, validation, rows = _vectors(spark, sf)
+    _, best, history = fit.boosted_fit(train, validation, depth=2, rounds=5, patience=5)
+    rows.unpersist()
+    top = max(v for _, _, v in history)
+    first = min(i for i, _, v in history if v == top)
+    wide = fit.run_history(spark.createDataFrame(history, "iteration int, dataset_metric string, value double"))
+    return wide.select("iteration", F.col("validation_auc_roc").between(0.0, 1.0).alias("in_range"), F.lit(best == first).alias("best_is_first_highest"))

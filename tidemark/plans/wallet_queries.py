@@ -174,15 +174,16 @@ def price_history_forward_or_last(spark, sf):
 
 _HORIZON_SQL = " UNION ALL ".join(
     f"SELECT market_id, wallet, {_WEIGHTED}, '{name}' AS horizon FROM (SELECT *, CASE WHEN future IS NOT NULL THEN greatest(price * size, usdc, 1.0::DOUBLE) END AS n FROM f_{name}) GROUP BY 1, 2"
-    for name in ("5m", "4h", "to_resolution")
+    for name in wallets.HORIZONS
 )
 _SETTLED = "f_to_resolution AS (SELECT wt.*, CASE WHEN resolved THEN CASE WHEN resolution = outcome THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS future FROM wt JOIN mk USING (market_id))"
+_AHEAD = ", ".join(_FUTURE.format(m=minutes).replace("fut AS", f"f_{name} AS") for name, minutes in wallets.HORIZONS.items() if minutes)
 
 
-@query(f"WITH {WALLETS}, {_FUTURE.format(m=5).replace('fut AS', 'f_5m AS')}, {_FUTURE.format(m=240).replace('fut AS', 'f_4h AS')}, {_SETTLED} {_HORIZON_SQL}", "horizon_markout_by_wallet", "horizon_wallet_order")
+@query(f"WITH {WALLETS}, {_AHEAD}, {_SETTLED} {_HORIZON_SQL}", "horizon_markout_by_wallet", "horizon_wallet_order")
 def horizon_markout_by_wallet(spark, sf):
     out = None
-    for horizon in ("5m", "4h", "to_resolution"):
+    for horizon in wallets.HORIZONS:
         one = wallets.horizon_markout(B.markets(spark, sf), B.wallet_trades(spark, sf), _history(spark, sf), horizon)
         out = one if out is None else out.unionByName(one)
     return rounded(wallets.horizon_wallet_order(out), "weighted_bps", digits=4)
@@ -239,20 +240,41 @@ def _scored(spark, sf) -> DataFrame:
     return wallets.score_wallets(_metrics(spark, sf))
 
 
-@query(f"WITH {WALLETS}, {_SCORED} SELECT market_id, wallet, round(s, 1) AS combined_score FROM raw_score", "weighted_wallet_score", "metric_struct")
+_SCORES = "round(s, 2) AS combined_score, round(CASE WHEN mode = 'live' THEN s ELSE s * 0.92::DOUBLE END, 2) AS live_score, round(CASE WHEN mode = 'live' THEN s * 0.88::DOUBLE ELSE s END, 2) AS post_event_score"
+
+
+@query(f"WITH {WALLETS}, {_SCORED} SELECT market_id, wallet, {_SCORES} FROM raw_score")
 def weighted_wallet_score(spark, sf):
-    total = F.aggregate("metrics", F.lit(0.0), lambda a, m: a + m["contribution"]) / F.aggregate("metrics", F.lit(0.0), lambda a, m: a + m["weight"]) * 100
-    return _scored(spark, sf).select("market_id", "wallet", r(total, 1).alias("combined_score"))
+    return rounded(_scored(spark, sf).select("market_id", "wallet", "combined_score", "live_score", "post_event_score"), "combined_score", "live_score", "post_event_score", digits=2)
+
+
+_IDS = "[" + ", ".join(f"'{k}'" for k in wallets.METRICS) + "]"
+_LABELS = "[" + ", ".join(f"'{v[0]}'" for v in wallets.METRICS.values()) + "]"
+_VALUES = "[" + ", ".join(wallets.METRICS) + "]"
+_WEIGHTS = "CASE WHEN mode = 'live' THEN [" + ", ".join(str(a) for a, _ in _W.values()) + "] ELSE [" + ", ".join(str(b) for _, b in _W.values()) + "] END"
+_STRUCTS = f"{_MET}, ms AS (SELECT market_id, wallet, mode, k, ({_IDS})[k] AS id, ({_LABELS})[k] AS label, ({_VALUES})[k] AS raw, ({_WEIGHTS})[k] AS weight FROM met_all, (SELECT unnest(range(1, {len(_W) + 1})) AS k))"
 
 
-@query(None, "wallet_reasons")
+@query(f"WITH {WALLETS}, {_STRUCTS} SELECT market_id, wallet, id, label, round(raw, 7) + 0 AS raw, CAST(weight AS INTEGER) AS weight, round(raw, 4) + 0 AS normalized, round(raw * weight, 4) + 0 AS contribution FROM ms")
+def metric_struct(spark, sf):
+    """One row for each metric of a wallet."""
+    out = _scored(spark, sf).select("market_id", "wallet", F.inline("metrics"))
+    return out.select("market_id", "wallet", "id", "label", r("raw", 7), "weight", r("normalized", 4), r("contribution", 4))
+
+
+@query(f"""WITH {WALLETS}, {_STRUCTS}, strong AS (SELECT *, row_number() OVER (PARTITION BY market_id, wallet ORDER BY round(raw * weight, 4) DESC, k) AS n FROM ms WHERE round(raw, 4) >= 0.65 AND weight > 0),
+said AS (SELECT market_id, wallet, list(label || CASE WHEN id = 'realizedMarkout' AND mode <> 'live' THEN ' lit up after the market closed.' ELSE '.' END ORDER BY n) AS reasons FROM strong WHERE n <= 3 GROUP BY 1, 2)
+SELECT market_id, wallet, coalesce(reasons, []) AS reasons FROM met_all LEFT JOIN said USING (market_id, wallet)""")
 def wallet_reasons(spark, sf):
-    return _scored(spark, sf).select("market_id", "wallet", "combined_score", "live_score", "post_event_score", "reasons")
+    return _scored(spark, sf).select("market_id", "wallet", "reasons")
+
+
+_TOP = f"{_SCORED}, tw AS (SELECT * FROM (SELECT market_id, wallet, round(s, 2) AS combined_score, row_number() OVER (PARTITION BY market_id ORDER BY round(s, 2) DESC, first_ts, wallet) AS k FROM raw_score) WHERE k <= 15)"
 
 
-@query(None, "top_wallets")
+@query(f"WITH {WALLETS}, {_TOP} SELECT market_id, wallet, combined_score, CAST(k AS INTEGER) AS wallet_rank FROM tw")
 def top_wallets(spark, sf):
-    return wallets.top_wallets(_scored(spark, sf)).select("market_id", "wallet", "combined_score", "wallet_rank")
+    return wallets.top_wallets(_scored(spark, sf)).select("market_id", "wallet", r("combined_score", 2), "wallet_rank")
 
 
 @query(f"WITH {WALLETS} SELECT market_id, seq, CAST(k AS INTEGER) AS recent_rank FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY ts DESC, seq DESC) AS k FROM wt) WHERE k <= 20")
@@ -268,12 +290,17 @@ def interesting_wallets(spark, sf):
     return wallets.interesting_wallets(B.wallet_trades(spark, sf), B.holders(spark, sf)).select("market_id", "wallet", "priority")
 
 
-@query(f"""WITH {WALLETS} SELECT market_id, CASE WHEN active AND NOT closed AND NOT resolved THEN 'live' ELSE 'post_event' END AS mode, n AS trade_count, w AS wallet_count, round(v, 2) AS total_volume_usdc, round(realized_volatility, 4) AS realized_volatility, 15 AS n_wallets, 20 AS n_recent, np AS n_pairs
-FROM mk JOIN (SELECT market_id, count(*) AS n, count(DISTINCT wallet) AS w, sum(usdc) AS v FROM wt GROUP BY 1) USING (market_id) JOIN vol USING (market_id) LEFT JOIN (SELECT market_id, CAST(count(*) AS INTEGER) AS np FROM top_pairs GROUP BY 1) USING (market_id)""")
+@query(f"""WITH {WALLETS}, {_TOP},
+ a AS (SELECT market_id, list(wallet ORDER BY k) AS suspicious_wallets, list(combined_score ORDER BY k) AS scores FROM tw GROUP BY 1),
+ b AS (SELECT market_id, list(pair_key ORDER BY pair_rank) AS linked_pairs FROM top_pairs GROUP BY 1),
+ c AS (SELECT market_id, list(wallet || ' ' || side ORDER BY k) AS recent_trades FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY ts DESC, seq DESC) AS k FROM wt) WHERE k <= 20 GROUP BY 1)
+SELECT market_id, CASE WHEN active AND NOT closed AND NOT resolved THEN 'live' ELSE 'post_event' END AS mode, n AS trade_count, w AS wallet_count, round(v, 2) AS total_volume_usdc, round(realized_volatility, 4) AS realized_volatility, suspicious_wallets, scores, linked_pairs, recent_trades
+FROM mk JOIN (SELECT market_id, count(*) AS n, count(DISTINCT wallet) AS w, sum(usdc) AS v FROM wt GROUP BY 1) USING (market_id) JOIN vol USING (market_id) LEFT JOIN a USING (market_id) LEFT JOIN b USING (market_id) LEFT JOIN c USING (market_id)""")
 def market_snapshot(spark, sf):
     t = B.wallet_trades(spark, sf)
     out = wallets.market_snapshot(B.markets(spark, sf), t, _scored(spark, sf), pairs.top_pairs(_pairs(spark, sf)), B.books(spark, sf))
     return out.select(
-        "market_id", "mode", "trade_count", "wallet_count", "total_volume_usdc", "realized_volatility",
-        F.size("suspicious_wallets").alias("n_wallets"), F.size("recent_trades").alias("n_recent"), F.size("linked_pairs").alias("n_pairs"),
+        "market_id", "mode", "trade_count", "wallet_count", r("total_volume_usdc", 2), r("realized_volatility", 4), F.col("suspicious_wallets.wallet").alias("suspicious_wallets"),
+        B.listed(F.col("suspicious_wallets.combined_score"), 2).alias("scores"), F.col("linked_pairs.pair_key").alias("linked_pairs"),
+        F.transform("recent_trades", lambda x: F.concat_ws(" ", x["wallet"], x["side"])).alias("recent_trades"),
     )

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..params import Params
 
 
+#: Times in JSON reports keep their microseconds.
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -49,7 +53,7 @@ def stage_manifest(stage: DataFrame, name: str, path: str, time_column: str, par
 
 def write_json_report(df: DataFrame, path: str, overwrite: bool = True) -> None:
     """A report of a few rows as one JSON file."""
-    df.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    df.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").option("timestampNTZFormat", _TIME).json(path)
 
 
 def write_csv_report(df: DataFrame, path: str, overwrite: bool = True) -> None:
@@ -73,19 +77,66 @@ def manifest_consistency(datasets: DataFrame, manifests: DataFrame) -> DataFrame
     )
 
 
+def write_stage(df: DataFrame, name: str, path: str, time_column: str, params: Params, by: str | None = None, overwrite: bool = False) -> DataFrame:
+    """Writes a stage to ``path/data`` and its manifest to ``path/manifest``; returns the stage as read back.  An
+    existing stage is an error unless ``overwrite``."""
+    spark = df.sparkSession
+    if by is None:
+        write_parquet(df, f"{path}/data", overwrite)
+    else:
+        write_partitioned(df, f"{path}/data", by, overwrite)
+    stage = spark.read.parquet(f"{path}/data")
+    write_json_report(stage_manifest(stage, name, path, time_column, params), f"{path}/manifest")
+    return stage
+
+
+MANIFEST = "stage string, dataset_dir string, row_count long, min_time timestamp_ntz, max_time timestamp_ntz, config string, config_hash string"
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """The manifests of the stages at ``path`` (which may hold wildcards); without one there are no rows."""
+    at, fs = _fs(spark, f"{path}/manifest")
+    found = fs.globStatus(at)
+    if not found:
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).option("timestampNTZFormat", _TIME).json(f"{path}/manifest")
+
+
+def actual_counts(spark: SparkSession, stages: dict[str, str]) -> DataFrame:
+    """``dataset_dir, actual_row_count`` of written stages, one job for each."""
+    out = None
+    for path in stages.values():
+        one = spark.read.parquet(f"{path}/data").agg(F.count("*").alias("actual_row_count")).select(F.lit(path).alias("dataset_dir"), "actual_row_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def upsert_snapshot(new: DataFrame, path: str, key: str, version: str) -> None:
-    """Keeps the latest row of every key: the new rows and the stored ones are merged and written beside
-    the old table, which is then replaced."""
+    """Keeps the latest row of every key.  The new rows and the current version are merged into a new version
+    folder, and then a marker names it; readers see the old version or the new one, and a crash
+    leaves the old one.  One writer at a time."""
     spark = new.sparkSession
-    rows = new
-    if path_exists(spark, path):
-        rows = spark.read.parquet(path).unionByName(new, allowMissingColumns=True)
+    at = _versions(spark, path)
+    rows = read_snapshot(spark, path).unionByName(new, allowMissingColumns=True) if at else new
     latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), version).alias("r")).select("r.*")
-    beside = path.rstrip("/") + ".next"
-    latest.write.mode("overwrite").parquet(beside)
-    at, fs = _fs(spark, path)
-    fs.delete(at, True)
-    fs.rename(_fs(spark, beside)[0], at)
+    number = at[-1] + 1 if at else 1
+    latest.write.mode("overwrite").parquet(f"{path}/v{number:09d}")
+    marker, fs = _fs(spark, f"{path}/current/{number:09d}")
+    fs.create(marker, False).close()
+    for old in at[:-1]:  # the version before stays for readers that have begun
+        fs.delete(_fs(spark, f"{path}/v{old:09d}")[0], True)
+        fs.delete(_fs(spark, f"{path}/current/{old:09d}")[0], False)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of complete versions, the latest last."""
+    at, fs = _fs(spark, f"{path}/current")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The latest complete version."""
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]:09d}")
 
 
 def latest_by_key(rows: DataFrame, key: str, version: str) -> DataFrame:

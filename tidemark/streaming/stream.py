@@ -72,6 +72,23 @@ def every_minute(writer: DataStreamWriter) -> DataStreamWriter:
     return writer.trigger(processingTime="1 minute")
 
 
+def first_batch(writer: DataStreamWriter, timeout: int = 120) -> StreamingQuery:
+    """Starts a stream with its trigger, waits for what is there to be done, and stops it."""
+    import time
+
+    query, end = writer.start(), time.time() + timeout
+    try:
+        while query.lastProgress is None or not query.recentProgress:
+            if query.exception() is not None:
+                raise query.exception()
+            if time.time() > end:
+                raise TimeoutError("the stream's first batch did not end in time")
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    return query
+
+
 def drain(writer: DataStreamWriter, timeout: int = 120) -> StreamingQuery:
     """Runs a stream over what is there and waits for its end."""
     query = writer.trigger(availableNow=True).start()
