@@ -130,14 +130,19 @@ def templates(lines, similar):
     return out
 
 
-def lines(ids, texts, min_docs, similar, hashes):
-    """[(id, text, n_lines, n_dropped)]: rows count each; the order of rows is by id, nulls last, then as given."""
+def lines(ids, texts, min_docs, similar, hashes, groups=None):
+    """[(id, text, n_lines, n_dropped)] by rank of the row: by id, nulls last, then as given.  Rows count each, or all rows
+    of one group (``groups``: by row) count once."""
     rows = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
-    docs = defaultdict(set)  # line -> ranks of its rows
+    unit = {}
+    for rank, i in enumerate(rows):
+        unit.setdefault(i if groups is None else groups[i], rank)
+    of_row = [unit[i if groups is None else groups[i]] for i in rows]
+    docs = defaultdict(set)  # line -> ranks of its units
     for rank, i in enumerate(rows):
         for x in (texts[i] or "").split("\n"):
             if spaced(x):
-                docs[tuple(masked(x))].add(rank)
+                docs[tuple(masked(x))].add(of_row[rank])
     known = hashes(docs)
     ranked = sorted(docs, key=lambda t: (len(t), t[:2], known[t][1], -len(docs[t]), -known[t][0]))
     first = templates([((len(t), t[:2], known[t][1]), t, t) for t in ranked], similar)
@@ -150,11 +155,27 @@ def lines(ids, texts, min_docs, similar, hashes):
     out = []
     for rank, i in enumerate(rows):
         parts = (texts[i] or "").split("\n")
-        kept = [x for x in parts if not spaced(x) or len(r := reached[of[tuple(masked(x))]]) < min_docs or min(r) == rank]
+        kept = [x for x in parts if not spaced(x) or len(r := reached[of[tuple(masked(x))]]) < min_docs or min(r) == of_row[rank]]
         out.append((ids[i], "\n".join(kept) if texts[i] is not None else None, len(parts), len(parts) - len(kept)))
     return out
 
 
+def quality_kept(rows):
+    """Whether each of the rows (host, text) is kept."""
+    found = [measures(t) for _, t in rows]
+    failed = [n < 50 or 100 * repeat > 50 * n for n, _, _, _, repeat in found]
+    by = defaultdict(list)
+    for (host, _), bad in zip(rows, failed):
+        by[host].append(bad)
+    mean = sum(failed) / len(failed)
+    rates = [sum(x) / len(x) for x in by.values()]
+    spread = sum((r - sum(rates) / len(rates)) ** 2 for r in rates) / len(rates)
+    weight = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1 if spread > 0 else 1000.0))
+    bad = {h for h, x in by.items() if (sum(x) + mean * weight) / (len(x) + weight) > 0.5}
+    strict = [n < 100 or 100 * repeat > 30 * n or 10 * symbols > chars or dup >= 5 for n, chars, symbols, dup, repeat in found]
+    return [not f and not (host in bad and s) for (host, _), f, s in zip(rows, failed, strict)]
+
+
 def url_parts(url):
     if url is None or "://" not in url:
         return "", ""

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline as cp
-from tidemark.llm import bpe, linededup, quality
+from tidemark.llm import bpe, linededup
 from tidemark.llm import queries as Q
 
 from . import brute
@@ -12,13 +12,14 @@ from .test_operators import encoding
 P = pytest.importorskip("public_tokenizers")
 
 
-def test_pipeline_equals_its_parts(spark, sf):
-    """Stage by stage against plain Python; the stages before line dedup and near-dedup are judged by their own
-    tests, so their rows are taken from the operators."""
+def test_pipeline_equals_a_plain_version(spark, sf):
+    """All stages in plain Python, from the whole table on."""
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    judged = {r.doc_id: r.kept for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    kept = sorted(i for i in docs if judged[i])
-    lines = {r.doc_id: r.text for r in linededup.drop_recurring_lines(spark.createDataFrame([(i, docs[i].text) for i in kept], "doc_id long, text string")).collect()}
+    ids = sorted(docs)
+    kept = [i for i, ok in zip(ids, brute.quality_kept([(docs[i].source, docs[i].text) for i in ids])) if ok]
+    texts = [docs[i].text for i in kept]
+    group = {k: c for k, (_, c) in brute.components(kept, texts, 5, 80, 100).items()}
+    lines = {i: t for i, t, _, _ in brute.lines(kept, texts, linededup.MIN_DOCS, linededup.SIMILAR, brute.spark_hashes(spark), group)}
     comp = brute.components(kept, [lines[i] for i in kept], 5, 80, 100)
     kept = [i for k, i in enumerate(kept) if comp[k][1] == i or comp[k][0] == 0]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -37,6 +38,7 @@ def test_stages(spark, sf):
     for _, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() == 0
+    assert cp.STAGES[-1][1](spark, docs, sf).count() == 0
 
 
 def test_one_row_of_each_near_duplicate_group(spark, sf):
