@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, linededup, neardup, quality
-from tidemark.llm.scratch import materialize
+from tidemark.llm.scratch import drop_since, mark, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +33,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group (five words, similarity 0.8 or more): the one with the smallest
     id, null ids last.  Rows without words are in no group and stay."""
     # the number is written, so that it is the same whenever it is read
+    place = mark()
     keyed = materialize(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
     ids = keyed.select(F.col("__number").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = neardup.groups(ids).filter("n_shingles > 0")
     members = materialize(found.select("row", "comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("own")), "members")
     first = members.groupBy("comp").agg(F.min("own").alias("first")).select("comp", F.col("first.row").alias("keeper"))
     gone = members.join(materialize(first, "firsts"), "comp").filter("row <> keeper").select(F.col("row").alias("__number"))
-    return keyed.join(materialize(gone, "gone").hint("merge"), "__number", "left_anti").select(*docs.columns)
+    gone = materialize(gone, "gone")
+    drop_since(spark, place, keyed, gone)
+    return keyed.join(gone.hint("merge"), "__number", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .neardup import groups
 from .quality import SPACES, words_of
-from .scratch import materialize
+from .scratch import drop_since, mark, materialize
 
 FIELD = "<*>"
 DEPTH, SIMILAR, MIN_DOCS = 2, 0.7, 2
@@ -137,6 +137,7 @@ def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame
     """``row, nth`` of lines whose template recurs, but for those in the template's first document.  ``keyed``: ``row, text``
     and ``unit``, what counts as one document (the smallest one is the first); or units come from ``units`` (``row,
     unit``)."""
+    place = mark()
     lines = lines_of(keyed)
     lines = materialize(lines if units is None else lines.join(units, "row"), "lines")
     line = ["leaf", "exact"]
@@ -168,7 +169,9 @@ def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame
     decided = kinds.select(*line, "n", "keeper").join(often.hint("merge"), line, "left")
     decided = decided.filter(F.coalesce("all", "n") >= min_docs).select(*line, F.coalesce("first", "keeper").alias("keeper"))
     decided = materialize(decided, "decided")
-    return materialize(lines.join(decided.hint("merge"), line).filter("unit <> keeper").select("row", "nth"), "gone")
+    gone = materialize(lines.join(decided.hint("merge"), line).filter("unit <> keeper").select("row", "nth"), "gone")
+    drop_since(keyed.sparkSession, place, gone)
+    return gone
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, text_col: str = "text", copies_apart: bool = False) -> DataFrame:
@@ -184,6 +187,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: flo
     from copies and repeated rows too.
     """
     docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "__row", "__gone")))
+    place = mark()
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     keyed = numbered.select(F.col("__row").alias("row"), F.col("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
@@ -195,9 +199,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: flo
         first = materialize(named.groupBy("comp").agg(F.min("own").alias("unit")), "firsts")
         units = materialize(named.select("row", "comp").join(first, "comp").select("row", "unit"), "units")
         gone = recurring(keyed.select("row", "text"), min_docs, similar, units)
-    gone = gone.groupBy(F.col("row").alias("__row")).agg(F.collect_list("nth").alias("__gone"))
+    cuts = materialize(gone.groupBy(F.col("row").alias("__row")).agg(F.collect_list("nth").alias("__gone")), "cuts")
+    drop_since(docs.sparkSession, place, numbered, cuts)
     # the same plan at every size
-    out = numbered.join(materialize(gone, "cuts").hint("merge"), "__row", "left")
+    out = numbered.join(cuts.hint("merge"), "__row", "left")
     kept = once(split_lines(F.col(text_col)), lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "__gone"), lambda k: F.get(s, k)), "\n"))
     return out.withColumns(
         {

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import materialize, numbered
+from .scratch import drop, drop_since, mark, materialize, numbered
 
 #: Centers of a bucket in its second round, and how many times more each round after it takes.
 BANDS, ROWS, CENTERS, MORE_CENTERS = 24, 5, 256, 4
@@ -222,6 +222,7 @@ def groups(
 ) -> DataFrame:
     """``row, doc_id, n_shingles, comp, component_id`` of ``keyed`` (``row, doc_id, text``, rows unique): ``comp`` is the
     smallest row reachable, ``component_id`` the smallest id."""
+    place = mark()
     signed = keyed.mapInArrow(_sign(width, bands, rows), "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
     signed = materialize(signed, "signatures")
     key = ["set_a", "set_b", "n_shingles"]
@@ -285,6 +286,7 @@ def groups(
     named = classes.select(*key, "cid", "cdoc").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     low = materialize(named.groupBy("comp").agg(F.min("cdoc").alias("component_id")), "low")
     named = materialize(named.join(low, "comp").select(*key, "comp", "component_id"), "named")
+    drop_since(spark, place, signed, named)
     alone = signed.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("comp"), F.col("doc_id").alias("component_id"))
     grouped = signed.filter("n_shingles > 0").join(named, key).select("row", "doc_id", "n_shingles", "comp", "component_id")
     return grouped.union(alone)
@@ -300,5 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     all rows that carry the smallest id are kept.  Null ids: the component's id is the smallest
     other one, or null.  Extra columns are left out; an empty table gives no rows.
     """
-    found = groups(numbered(docs), width, num, den, bands, rows, centers)
+    keyed = numbered(docs)
+    found = groups(keyed, width, num, den, bands, rows, centers)
+    drop(keyed)  # groups() is made of tables of its own
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

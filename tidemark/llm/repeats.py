@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import materialize, numbered, tasks_for
+from .scratch import drop, materialize, numbered, tasks_for
 
 #: Optimal difference covers (fixed values): period -> residues.
 COVERS = {
@@ -210,6 +210,7 @@ def repeated_windows(docs: DataFrame, length: int = 35) -> DataFrame:
     anchors = materialize(repeated_places(anchors, n), "anchors")
     windows = keyed.select("row", "text").join(anchors, "row").mapInArrow(_window_places(length, period), _PLACES)
     windows = materialize(repeated_places(windows, n), "windows")
+    drop(anchors)
     return keyed.join(windows, "row", "left")
 
 

@@ -47,15 +47,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that ``materialize`` wrote in this session."""
-    for path in _made:
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _made.clear()
+        _made.remove(path)
+
+
+def mark() -> int:
+    """A place in the order of written tables, for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, place: int, *needed: DataFrame) -> None:
+    """Deletes the tables written since ``mark`` gave ``place``, but for ``needed``: all that what comes still reads."""
+    keep = {df._scratch_path for df in needed}
+    _delete(spark, [path for path in _made[place:] if path not in keep])
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, [df._scratch_path])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that ``materialize`` wrote in this session."""
+    _delete(spark, list(_made))
 
 
 def tasks_for(df: DataFrame, most: int = 64 << 20) -> int:
