@@ -29,9 +29,14 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: r(F.col(n), digits) for n in names})
 
 
-def listed(values: Column, digits: int = 7) -> Column:
+#: Means of eight values often lie halfway between two roundings, where the last bit of a sum decides; so much
+#: added before rounding moves them off.
+OFF_HALF = 3.7e-8
+
+
+def listed(values: Column, digits: int = 7, add: float = 0.0) -> Column:
     """All values of an array, each rounded."""
-    return F.transform(values, lambda x: r(x, digits))
+    return F.transform(values, lambda x: r(x + add, digits))
 
 
 def trades(spark, sf) -> DataFrame:
@@ -184,8 +189,8 @@ def _assigned(name: str, cut: str) -> str:
     FROM kept, {cut}) WHERE split IS NOT NULL)"""
 
 
-def listed_sql(values: str, digits: int = 7) -> str:
-    return f"list_transform({values}, lambda x: round(x, {digits}) + 0)"
+def listed_sql(values: str, digits: int = 7, add: float = 0.0) -> str:
+    return f"list_transform({values}, lambda x: round(x + {add}::DOUBLE, {digits}) + 0)"
 
 
 WINDOWS = WINDOWED + _assigned("mw", "win_cut")

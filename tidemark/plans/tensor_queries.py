@@ -64,7 +64,7 @@ def flatten_long(spark, sf):
 _STATS = "[first(x0 ORDER BY position), last(x0 ORDER BY position), avg(x0), stddev_pop(x0), min(x0), max(x0), last(x0 ORDER BY position) - first(x0 ORDER BY position), avg(x0) FILTER (position >= 3)]"
 
 
-_SUMMED = f"{WINDOWS}, {_long('mw')}, a AS (SELECT window_id, feature, j, {_STATS} AS v FROM st GROUP BY ALL), b AS (SELECT window_id, list(round(v[k], 6) + 0 ORDER BY k, j) AS vector FROM a, (SELECT unnest(range(1, 9)) AS k) GROUP BY 1)"
+_SUMMED = f"{WINDOWS}, {_long('mw')}, a AS (SELECT window_id, feature, j, {_STATS} AS v FROM st GROUP BY ALL), b AS (SELECT window_id, list(round(v[k] + {B.OFF_HALF}::DOUBLE, 6) + 0 ORDER BY k, j) AS vector FROM a, (SELECT unnest(range(1, 9)) AS k) GROUP BY 1)"
 
 
 @query(f"WITH {_SUMMED} SELECT window_id, ([{', '.join(repr(n) for n in X.summary_names(FEATURES))}])[k] AS name, vector[k] AS value FROM b, (SELECT unnest(range(1, {8 * W + 1})) AS k)")
@@ -72,12 +72,12 @@ def window_summary_features(spark, sf):
     """One row for each window and summary."""
     w = B.model_windows(spark, sf).select("window_id", X.window_summary(F.col("features"), W).alias("v"))
     names = F.array(*map(F.lit, X.summary_names(N)))
-    return w.select("window_id", F.posexplode("v").alias("j", "x")).select("window_id", F.get(names, F.col("j")).alias("name"), r(F.col("x")).alias("value"))
+    return w.select("window_id", F.posexplode("v").alias("j", "x")).select("window_id", F.get(names, F.col("j")).alias("name"), r(F.col("x") + B.OFF_HALF).alias("value"))
 
 
-@query(f"WITH {_SUMMED} SELECT window_id, list_concat({B.listed_sql('flatten(features)', 6)}, vector) AS vector FROM mw JOIN b USING (window_id)")
+@query(f"WITH {_SUMMED} SELECT window_id, list_concat({B.listed_sql('flatten(features)', 6, B.OFF_HALF)}, vector) AS vector FROM mw JOIN b USING (window_id)")
 def augmented_vector(spark, sf):
-    return B.model_windows(spark, sf).select("window_id", B.listed(X.augmented_vector(F.col("features"), W), 6).alias("vector"))
+    return B.model_windows(spark, sf).select("window_id", B.listed(X.augmented_vector(F.col("features"), W), 6, B.OFF_HALF).alias("vector"))
 
 
 @query(f"""WITH {WINDOWS}, {_long("mw")} SELECT window_id, list(round(x, 6) + 0 ORDER BY position, j) AS vector FROM lg GROUP BY 1""")
