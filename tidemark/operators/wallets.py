@@ -161,7 +161,9 @@ def score_wallets(metrics: DataFrame) -> DataFrame:
         )
 
     out = metrics.withColumn("metrics", F.array(*map(one, METRICS)))
-    total = lambda f: F.aggregate(F.col("metrics"), F.lit(0.0), lambda a, m: a + m[f])
+    # contributions have four places, so their sum is exact, and scores are rounded as decimals, halves up
+    total = lambda f: F.aggregate(F.col("metrics"), F.lit(0).cast("decimal(28,4)"), lambda a, m: (a + m[f].cast("decimal(28,4)")).cast("decimal(28,4)")).cast("double")
+    two = lambda c: F.round(c.cast("decimal(18,8)"), 2).cast("double")
     out = out.withColumn("__score", total("contribution") / total("weight") * 100)
     # strongest first; metrics of equal contribution keep their order
     strong = F.filter("metrics", lambda m: (m["normalized"] >= 0.65) & (m["weight"] > 0))
@@ -169,9 +171,9 @@ def score_wallets(metrics: DataFrame) -> DataFrame:
     after = lambda m: F.when((m["id"] == "realizedMarkout") & ~live, " lit up after the market closed.").otherwise(".")
     return out.withColumns(
         {
-            "combined_score": F.round("__score", 2),
-            "live_score": F.round(F.when(live, F.col("__score")).otherwise(F.col("__score") * 0.92), 2),
-            "post_event_score": F.round(F.when(live, F.col("__score") * 0.88).otherwise(F.col("__score")), 2),
+            "combined_score": two(F.col("__score")),
+            "live_score": two(F.when(live, F.col("__score")).otherwise(F.col("__score") * 0.92)),
+            "post_event_score": two(F.when(live, F.col("__score") * 0.88).otherwise(F.col("__score"))),
             "reasons": F.transform(F.slice(ranked, 1, 3), lambda m: F.concat(m["label"], after(m))),
         }
     ).drop("__score")

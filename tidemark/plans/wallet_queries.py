@@ -232,15 +232,20 @@ for _name, _metric in (
 
 _W = {k: v[1:] for k, v in wallets.METRICS.items()}
 _TOTAL = {"live": sum(v[0] for v in _W.values()), "post": sum(v[1] for v in _W.values())}
-_CONTRIB = " + ".join(f"round({k} * CASE WHEN mode = 'live' THEN {a} ELSE {b} END, 4)" for k, (a, b) in _W.items())
-_SCORED = f"{_MET}, raw_score AS (SELECT *, ({_CONTRIB}) / (CASE WHEN mode = 'live' THEN {_TOTAL['live']} ELSE {_TOTAL['post']} END) * 100 AS s FROM met_all)"
+_CONTRIB = " + ".join(f"CAST(round({k} * CASE WHEN mode = 'live' THEN {a} ELSE {b} END, 4) AS DECIMAL(18, 4))" for k, (a, b) in _W.items())
+_SCORED = f"{_MET}, raw_score AS (SELECT *, CAST({_CONTRIB} AS DOUBLE) / (CASE WHEN mode = 'live' THEN {_TOTAL['live']} ELSE {_TOTAL['post']} END) * 100 AS s FROM met_all)"
 
 
 def _scored(spark, sf) -> DataFrame:
     return wallets.score_wallets(_metrics(spark, sf))
 
 
-_SCORES = "round(s, 2) AS combined_score, round(CASE WHEN mode = 'live' THEN s ELSE s * 0.92::DOUBLE END, 2) AS live_score, round(CASE WHEN mode = 'live' THEN s * 0.88::DOUBLE ELSE s END, 2) AS post_event_score"
+def _two(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 8)), 2) AS DOUBLE)"
+
+
+_LIVE, _POST = "CASE WHEN mode = 'live' THEN s ELSE s * 0.92::DOUBLE END", "CASE WHEN mode = 'live' THEN s * 0.88::DOUBLE ELSE s END"
+_SCORES = f"{_two('s')} AS combined_score, {_two(_LIVE)} AS live_score, {_two(_POST)} AS post_event_score"
 
 
 @query(f"WITH {WALLETS}, {_SCORED} SELECT market_id, wallet, {_SCORES} FROM raw_score")
@@ -269,7 +274,7 @@ def wallet_reasons(spark, sf):
     return _scored(spark, sf).select("market_id", "wallet", "reasons")
 
 
-_TOP = f"{_SCORED}, tw AS (SELECT * FROM (SELECT market_id, wallet, round(s, 2) AS combined_score, row_number() OVER (PARTITION BY market_id ORDER BY round(s, 2) DESC, first_ts, wallet) AS k FROM raw_score) WHERE k <= 15)"
+_TOP = f"{_SCORED}, tw AS (SELECT * FROM (SELECT market_id, wallet, {_two('s')} AS combined_score, row_number() OVER (PARTITION BY market_id ORDER BY {_two('s')} DESC, first_ts, wallet) AS k FROM raw_score) WHERE k <= 15)"
 
 
 @query(f"WITH {WALLETS}, {_TOP} SELECT market_id, wallet, combined_score, CAST(k AS INTEGER) AS wallet_rank FROM tw")
