@@ -110,12 +110,15 @@ def find_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col:
     come as often as they were given.  Extra columns are left out; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), words_of(text).alias("w"))
-    gram = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
-    # position 0 is the document's own row, so that every document gets a result
-    marks = F.when(F.size("w") < 2, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.array(F.lit(0).cast("long")), gram))
+    words, none = words_of(text), F.array(F.lit(0).cast("long"))
+    gram = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1)))
+    # position 0 is the document's own row, so that every document gets a result; words are bound once, as the only
+    # element of an array, or they would be split anew for every gram
+    marks = F.flatten(F.transform(F.array(words), lambda ws: F.when(F.size(ws) < 2, none).otherwise(F.concat(none, gram(ws)))))
     row = ["doc_id", "h1", "h2", "n_words"]
-    grams = own.select("doc_id", "h1", "h2", F.size("w").cast("long").alias("n_words"), marks.alias("marks"))
+    grams = docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.size(words).cast("long").alias("n_words"), marks.alias("marks")
+    )
     grams = grams.select(*row, F.posexplode("marks").alias("at", "gram"))
     n_grams = sum(len(t.split()) for t, _ in (*phrases, *templates))
     table = template_grams(docs.sparkSession, phrases, templates)
