@@ -182,8 +182,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         # done when every node has one edge and no edge leads to a node that has one
-        more = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
-        if more.union(edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+        ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if ends.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty():
             break
     comp = edges.groupBy("u").agg(F.min("v").alias("comp"))
     return comp.select(F.col("u").alias("node"), "comp").union(comp.select(F.col("comp").alias("node"), "comp").distinct())
@@ -203,7 +205,7 @@ def _centers(state: DataFrame, first: bool, most: int) -> DataFrame:
     parts = materialize(salted(parts.withColumn("place", F.pmod(F.xxhash64("comp", F.lit(7)), F.lit(1 << 30))), "comp"), "parts")
     whole = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("parts"), F.min("place").alias("least"), F.first("salts").alias("salts"))
     some = (F.col("comp") != F.col("largest")) & (F.col("place") * F.col("parts") < F.lit(most << 30))
-    joined = parts.drop("salts").join(copied(materialize(whole, "whole")), ["bucket", "salt"])
+    joined = parts.drop("salts").join(copied(whole), ["bucket", "salt"])
     return joined.filter(some | (F.col("place") == F.col("least"))).select("bucket", "salts", "c.*")
 
 
@@ -274,8 +276,8 @@ def groups(
             rest = rest.withColumns({"lo": 1 - F.coalesce("sim", F.least("n", "cn") / F.greatest("n", "cn")), "hi": F.coalesce(1 - F.col("sim"), F.lit(1.0))})
         rest = materialize(rest.select(*columns), "rest")
         live = rest.groupBy("bucket").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.first("salts").alias("salts")).filter("first <> last")
-        live = materialize(live.select("bucket", "salts"), "live")
-        state = materialize(rest.join(copied(live).drop("salts"), ["bucket", "salt"], "left_semi"), "buckets")
+        live = copied(live.select("bucket", "salts")).drop("salts")
+        state = materialize(rest.join(live, ["bucket", "salt"], "left_semi"), "buckets")
         if opening:
             maps = texts.join(state.select(F.col("cid").alias("row")).distinct(), "row", "left_semi")
             maps = maps.mapInArrow(_maps(width), "cid long, map array<long>, filled long")
