@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, linededup, neardup, quality, secrets, tokenfile, urls
+from . import bpe, collocations, decontam, licenses, linededup, neardup, quality, secrets, spelling, tokenfile, urls
 from .repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
@@ -93,7 +101,10 @@ QUERIES: dict[str, Query] = {
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality.SQL,
+    "op13_phrase_collocations": collocations.SQL,
 }

@@ -1,21 +1,41 @@
 """Written tables in the cluster's shared folder, and row numbers.
 
 ``spark.checkpoint.dir`` names the folder.  Where it is unset, as in tests or on a laptop, a temporary
-folder is used if driver and executors share one machine; on a cluster that is an error.  Tables
-stay until ``clear_scratch`` is called.
+folder is used if driver and executors share one machine; on a cluster that is an error.
+
+Each call of an operator keeps its tables in a ``Scope`` of its own, which belongs to the thread
+that opened it: ``drop_since`` deletes what this call wrote and nothing that another thread or
+query wrote.  Tables that no scope deleted stay until ``clear_scratch`` is called.
 """
 
 from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_made: list[str] = []
+_lock = threading.Lock()
+_left: set[str] = set()  # written and not yet deleted; only clear_scratch goes through it
+_writing = [0, None]  # how many writes run, and the setting's value before the first
+_open = threading.local()
+
+
+class Scope:
+    """The tables that one call wrote, in the thread that opened the scope."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+def _scopes() -> list[Scope]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,23 +50,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def made(path: str) -> str:
-    """Notes a path for ``clear_scratch``."""
-    _made.append(path)
+    """Notes a path for the open scopes of this thread and for ``clear_scratch``."""
+    for scope in _scopes():
+        scope.paths.append(path)
+    with _lock:
+        _left.add(path)
     return path
 
 
+class _Cleanup:
+    """Shuffle files go as soon as a write ends; the setting is put back after the last of all writes at once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        with _lock:
+            if not _writing[0]:
+                _writing[1] = self.conf.get(_CLEANUP, None)
+                self.conf.set(_CLEANUP, "true")
+            _writing[0] += 1
+
+    def __exit__(self, *_) -> None:
+        with _lock:
+            _writing[0] -= 1
+            if not _writing[0]:
+                self.conf.unset(_CLEANUP) if _writing[1] is None else self.conf.set(_CLEANUP, _writing[1])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet and reads it back: later steps start from the files, and
     the shuffle files behind it are dropped as soon as it is written."""
     spark = df.sparkSession
     path = made(f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}")
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _Cleanup(spark):
         # small row groups: a task that writes whole texts keeps less in memory
         df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -56,18 +95,25 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _made.remove(path)
+        with _lock:
+            _left.discard(path)
 
 
-def mark() -> int:
-    """A place in the order of written tables, for ``drop_since``."""
-    return len(_made)
+def mark() -> Scope:
+    """Opens a scope for the tables that this thread writes from now on, until ``drop_since``."""
+    scope = Scope()
+    _scopes().append(scope)
+    return scope
 
 
-def drop_since(spark: SparkSession, place: int, *needed: DataFrame) -> None:
-    """Deletes the tables written since ``mark`` gave ``place``, but for ``needed``: all that what comes still reads."""
+def drop_since(spark: SparkSession, scope: Scope, *needed: DataFrame) -> None:
+    """Closes a scope and deletes its tables, but for ``needed``: all that what comes still reads."""
     keep = {df._scratch_path for df in needed}
-    _delete(spark, [path for path in _made[place:] if path not in keep])
+    open_ = _scopes()
+    del open_[open_.index(scope) :]  # and those that an error left open within it
+    with _lock:
+        gone = [path for path in scope.paths if path not in keep and path in _left]
+    _delete(spark, gone)
 
 
 def drop(*tables: DataFrame) -> None:
@@ -77,8 +123,10 @@ def drop(*tables: DataFrame) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that ``materialize`` wrote in this session."""
-    _delete(spark, list(_made))
+    """Deletes all tables that ``materialize`` wrote and that are still there."""
+    with _lock:
+        left = list(_left)
+    _delete(spark, left)
 
 
 def tasks_for(df: DataFrame, most: int = 64 << 20) -> int:
