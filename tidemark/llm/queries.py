@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontam, licenses, linededup, neardup, quality, secrets, spelling, tokenfile, urls
+from . import bpe, collocations, decontam, licenses, linededup, neardup, quality, secrets, spelling, templates, tokenfile, urls
 from .repeats import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_html_extraction": op12_html_extraction,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES: dict[str, str] = {
