@@ -50,7 +50,7 @@ def test_one_row_of_each_near_duplicate_group(spark, sf):
 
 
 def test_registered_queries(spark, sf):
-    assert sorted(Q.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(Q.QUERIES) == 10
+    assert sorted(Q.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(Q.QUERIES) == 13
     for name in ("op4_quality_rules", "op9_secret_scan", "op1_url_filter"):
         assert Q.QUERIES[name](spark, sf).count() > 0
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .scratch import materialize
+from .scratch import materialize, set_aside
 
 #: Windows and their bytes in a block of patterns, and words in a lane.
 BLOCK, BLOCK_BYTES, LANE = 1 << 18, 32 << 20, 512
@@ -146,7 +146,7 @@ _known: dict[str, list[tuple[Search, np.ndarray]]] = {}
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``n_words, n_hit, n_items, items, items_sha256, contaminated`` to ``docs`` (columns of these
-    names are replaced; without ``keep_text`` the text is left out).
+    names are replaced, all others come back as they are; without ``keep_text`` the text is left out).
 
     Words: runs of a-z, 0-9 and anything beyond ASCII, after lower-casing A-Z.  A word inside any
     occurrence of a window is hit.  ``items``: ids (strings, sorted) of items with an occurring
@@ -155,7 +155,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str
     repeated items count once; an empty table gives no rows.
     """
     made = ["n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"]
-    docs = docs.select(*(c for c in docs.columns if c not in made))
+    docs, restored = set_aside(docs, *made)
     rest = docs.columns
     empty = F.array().cast("array<long>")
     state = docs.withColumns({"__spans": empty, "__windows": empty, "__n": F.lit(0).cast("long")})
@@ -183,7 +183,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str
     hits = F.aggregate("__spans", F.lit(0).cast("long"), lambda total, x: total + x.bitwiseAND(F.lit(0xFFFFFFFF)))
     state = state.withColumns({"n_words": F.col("__n"), "n_hit": hits, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
     state = state.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
-    return state.select(*rest, *made)
+    return restored(state.select(*rest, *made))
 
 
 def _pass(block, name: str, rest: list[str], text_col: str):

@@ -11,8 +11,8 @@ content is not lost.
 A leaf is dealt to ``PARTS`` parts by the hash of a line; templates of the parts are then sorted
 into templates of the leaf in the same way, so that a leaf with many lines has several tasks and
 only its templates meet in one.  A task reads lines in order and keeps templates alone.  Lines that
-agree in enough places agree in one of a few blocks of neighbouring places, so a line is compared
-with templates of which it shares a block.
+agree in enough places agree in several of a few blocks of neighbouring places at once, so a line is compared
+with templates of which it shares such a choice of blocks, which are hardly more than those that it agrees with.
 
 Lines travel as hashes; texts of lines are fetched only for the distinct lines of leaves that enough
 documents reach and that hold more than one.
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,13 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .neardup import groups
 from .quality import SPACES, words_of
-from .scratch import drop_since, mark, materialize
+from .scratch import drop_since, mark, materialize, set_aside
 
 FIELD = "<*>"
 DEPTH, SIMILAR, MIN_DOCS = 2, 0.7, 2
 PARTS = 16
+#: Choices of blocks that a line is known by.
+MOST_KEYS = 64
 
 
 def masked(line: Column) -> Column:
@@ -65,36 +69,48 @@ def lines_of(keyed: DataFrame) -> DataFrame:
     return lines.select(*rest, "nth", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("exact"))
 
 
+@cache
+def shared_blocks(size: int, similar: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """For lines of ``size`` tokens: in how many places two must agree, where the blocks of their later tokens start and
+    end, and which blocks make a key.
+
+    At most ``size - least`` places differ, so of that many blocks and g more, g are free of differences.  Keys are all
+    choices of g blocks; there are as many blocks as leave at most ``MOST_KEYS`` of them, or one more than may differ."""
+    least = math.ceil(similar * size - 1e-9)
+    rest, differ = max(0, size - DEPTH), size - least
+    if rest <= differ:  # all later tokens may differ
+        return least, np.zeros(1, dtype=np.int64), np.zeros((1, 0), dtype=np.int64)
+    blocks = max([m for m in range(differ + 1, rest + 1) if math.comb(m, differ) <= MOST_KEYS], default=differ + 1)
+    edges = np.arange(blocks + 1) * rest // blocks
+    return least, edges, np.array(list(combinations(range(blocks), blocks - differ)), dtype=np.int64)
+
+
 class Templates:
     """The templates of one leaf, in the order in which they were found."""
 
     def __init__(self, similar: float):
         self.similar = similar
         self.tokens: list[np.ndarray] = []
-        self.blocks: dict[tuple[int, int, int], list[int]] = {}
+        self.keyed: dict[tuple[int, int, int], list[int]] = {}
 
     def place(self, tokens: np.ndarray) -> int:
         """The number of the first template that agrees with the line; a new one if none does."""
         size = tokens.size
-        least = math.ceil(self.similar * size - 1e-9)
-        # so many places may differ, so one of one block more is free of them; leading tokens are alike anyway
-        rest = tokens[min(DEPTH, size) :]
-        n = size - least + 1 if rest.size > size - least else 1
-        edge = np.arange(n + 1) * rest.size // n if rest.size > size - least else np.zeros(2, dtype=np.int64)
-        sums = np.zeros(n, dtype=np.uint64)
-        if edge[-1]:
-            step = tv.mix(rest.view(np.uint64) + (np.arange(rest.size, dtype=np.uint64) << np.uint64(40)))
-            sums = np.add.reduceat(step, edge[:-1])
-        keys = [(size, b, s) for b, s in enumerate(sums.tolist())]
+        least, edges, chosen = shared_blocks(size, self.similar)
+        sums = np.zeros(max(1, edges.size - 1), dtype=np.uint64)
+        if edges[-1]:
+            rest = tokens[DEPTH:].view(np.uint64)
+            sums = np.add.reduceat(tv.mix(rest + (np.arange(rest.size, dtype=np.uint64) << np.uint64(40))), edges[:-1])
+        keys = [(size, k, h) for k, h in enumerate(tv.mix(sums[chosen]).sum(axis=1, dtype=np.uint64).tolist())]
         seen = set()
         for key in keys:
-            seen.update(self.blocks.get(key, ()))
+            seen.update(self.keyed.get(key, ()))
         for k in sorted(seen):
             if int((self.tokens[k] == tokens).sum()) >= least:
                 return k
         self.tokens.append(tokens)
         for key in keys:
-            self.blocks.setdefault(key, []).append(len(self.tokens) - 1)
+            self.keyed.setdefault(key, []).append(len(self.tokens) - 1)
         return len(self.tokens) - 1
 
 
@@ -176,7 +192,7 @@ def recurring(keyed: DataFrame, min_docs: int, similar: float, units: DataFrame
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, text_col: str = "text", copies_apart: bool = False) -> DataFrame:
     """``docs`` with recurring lines cut out of ``text``, plus ``n_lines`` and ``n_dropped`` (long; columns of these
-    names are replaced).
+    names are replaced, all others come back as they are).
 
     Lines are set apart by \\n; lines without a token stay and recur nowhere.  A null or empty text
     has one line and stays as it is.  The first document of a template is the one with the smallest
@@ -186,7 +202,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: flo
     that a near-dedup after this step still finds them; with ``copies_apart`` every row counts, and lines go
     from copies and repeated rows too.
     """
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped", "__row", "__gone")))
+    docs, restored = set_aside(docs, "n_lines", "n_dropped")
     place = mark()
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     keyed = numbered.select(F.col("__row").alias("row"), F.col("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -204,10 +220,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: flo
     # the same plan at every size
     out = numbered.join(cuts.hint("merge"), "__row", "left")
     kept = once(split_lines(F.col(text_col)), lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "__gone"), lambda k: F.get(s, k)), "\n"))
-    return out.withColumns(
+    out = out.withColumns(
         {
             "n_lines": F.size(split_lines(F.col(text_col))).cast("long"),
             "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
             text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
         }
-    ).select(*docs.columns, "n_lines", "n_dropped")
+    )
+    return restored(out.select(*docs.columns, "n_lines", "n_dropped"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, set_aside
 
 SPACES = " \t\n\x0b\f\r"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -95,11 +95,11 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows.
     ``kept``: passes that, and the strict rules too if its host's shrunk failure rate is over
     ``limit``.  Documents without a host are one host.  Null or empty texts fail.  Repeated rows
-    count and are judged each; an empty table gives no rows.  The measured rows are written once,
+    count and are judged each; an empty table gives no rows.  Columns of the made names are replaced, all others come back as
+    they are, whatever they are called.  The measured rows are written once,
     and both the sum by host and the verdicts read them.
     """
-    made = {*MEASURES, "base_failed", "host_failed", "kept"}
-    docs = docs.select(*(c for c in docs.columns if c not in made))
+    docs, restored = set_aside(docs, *MEASURES, "base_failed", "host_failed", "kept")
     judged = measure(docs, text_col).withColumn("base_failed", base_failed())
     if not keep_text:
         judged = judged.drop(text_col)
@@ -112,7 +112,7 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", kee
         own = judged.withColumn("__own", F.pmod(F.xxhash64(*MEASURES), F.lit(SALTS)).cast("int"))
         out = own.join(salted, F.col(host_col).eqNullSafe(F.col("__host")) & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
     out = out.withColumn("host_failed", F.coalesce("__bad", F.lit(False))).drop("__host", "__bad")
-    return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & strict_failed()))
+    return restored(out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & strict_failed())))
 
 
 #: The same for DuckDB over ``documents``.

@@ -14,6 +14,7 @@ import re
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,22 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, left)
 
 
+def set_aside(docs: DataFrame, *made: str, known: tuple[str, ...] | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` without columns of the ``made`` names (in any case), and with those renamed that begin with ``__`` as an operator's own
+    columns do, or that are not ``known``; and the function that gives a result the old names again."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made))
+    taken, away = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.startswith("__") or known is not None and c not in known:
+            new = f"aside{len(away)}"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+            away[c] = new
+    back = {new: c for c, new in away.items()}
+    return docs.withColumnsRenamed(away), lambda out: out.withColumnsRenamed(back)
+
+
 def tasks_for(df: DataFrame, most: int = 64 << 20) -> int:
     """How many tasks a shuffle of ``df`` needs, so that each gets about ``most`` bytes: the session's number, or
     more if the planner's estimate of the table's size asks for it."""
