@@ -149,7 +149,7 @@ def test_collocations_equal_a_plain_version(spark, least, percent, top):
     assert got == plain_collocations(rows, least, percent, top)
 
 
-def test_collocations_of_one_value_prints(spark, monkeypatch):
+def test_collocations_of_colliding_prints(spark, monkeypatch):
     """All fingerprints of a size collide; the texts tell the phrases apart."""
     rows = texts_with_phrases(9, 20)
     block = collocations.Block(pa.array([t for _, t in rows]), pa.array([x for x, _ in rows]))

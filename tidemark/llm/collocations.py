@@ -6,13 +6,13 @@ Everything is counted per language.
 1. Fingerprints.  Inside a block of texts the word hashes are summed up as a prefix polynomial
    ``S[i] = w[0] + w[1] B + ... + w[i-1] B**(i-1)`` modulo 2**64; the n-gram at i has
    ``(S[i+n] - S[i]) / B**i``, whatever n is.  B is odd, so it has an inverse.
-2. Counting.  A task adds up equal fingerprints, the shuffle adds up the tasks'.  Three passes: words;
-   pairs of two frequent words; phrases of 3 to 5 words all of whose pairs are frequent.  What is
-   frequent is passed on as a bit map of fixed size, which may let too much through but never too
-   little.
-3. Verification.  A last pass follows every occurrence of a frequent fingerprint to its text, compares it with the
-   first occurrence in the block word by word, and sets those that differ apart.  Only these phrases are ever made
-   into strings; they are added up by their text, so a collision of fingerprints costs time and no exactness.
+2. Counting.  A task adds up equal fingerprints, the shuffle adds up the tasks'.  Three passes: words; pairs of two frequent
+   words; phrases of 3 to 5 words all of whose pairs are frequent, with the frequent words and pairs once more.  What is
+   frequent is passed on as a bit map of fixed size, which may let too much through but never too little.  The last pass
+   sends the place of the first occurrence along, and a second fingerprint.
+3. Verification.  In a block every occurrence is compared with the first one word by word, and those that differ are set apart.
+   A fingerprint that comes with two second fingerprints is a collision; its phrases are counted again by their text.
+   The texts of all others are read at their places: only frequent phrases are ever made into strings, each of them once.
 4. Scores, on the table of frequent phrases alone: a part of a frequent phrase is itself in that table.
 """
 
@@ -44,6 +44,9 @@ BLOCK = 8 << 20
 HELD = 1 << 21
 #: log2 of the bits of the map of frequent fingerprints; it is the size that is sent to the workers, whatever the corpus is.
 MAP_BITS = 26
+#: Bytes of places that are sent to all workers; more are joined.
+SENT_BYTES = 32 << 20
+_PHRASES = "lang string, phrase string, words int, n long"
 #: Parts of a language that are ranked on their own before the last ranking.
 RANK_PARTS = 64
 
@@ -76,8 +79,11 @@ class Block:
         own[names.doc] = names.hashes(7)
         self.seed = own[self.lang] if len(self.langs) else np.zeros(0, dtype=U64)
         h = w.hashes()
-        self.prefix = np.r_[U64(0), np.cumsum(h * powers(BASE, h.size), dtype=U64)]
-        self.back = powers(INVERSE, h.size)
+        self.ahead, self.back = powers(BASE, h.size), powers(INVERSE, h.size)
+        self.prefix = self._prefix(h)
+
+    def _prefix(self, h: np.ndarray) -> np.ndarray:
+        return np.r_[U64(0), np.cumsum(h * self.ahead, dtype=U64)]
 
     def places(self, n: int) -> np.ndarray:
         """Where an n-gram starts that lies inside one piece."""
@@ -89,6 +95,11 @@ class Block:
         poly = (self.prefix[at + n] - self.prefix[at]) * self.back[at]
         return tv.mix(poly ^ tv.mix(self.seed[at] + U64(n)))
 
+    def second(self):
+        """A function for fingerprints of hashes of another seed."""
+        prefix = self._prefix(self.words.hashes(1))
+        return lambda at, n: tv.mix((prefix[at + n] - prefix[at]) * self.back[at])
+
     def frequent(self, n: int, bits: np.ndarray, of: int) -> np.ndarray:
         """Places of n-grams all of whose parts of ``of`` words are in the map."""
         all_ = np.arange(max(0, len(self.words) - of + 1))
@@ -136,20 +147,19 @@ def _summed(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return prints[first], np.add.reduceat(counts, first) if first.size else counts
 
 
-def _counts(sizes: tuple[int, ...], frequent: Broadcast | None, of: int):
+def _counts(n: int, frequent: Broadcast | None):
     """Fingerprints of n-grams with their number in the task; those of 1-grams come with the number of all words by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
         words: dict[str, int] = {}
         for block in _blocks(batches):
-            for n in sizes:
-                at = block.places(n) if frequent is None else block.frequent(n, frequent.value, of)
-                found = _summed(block.prints(at, n), np.ones(at.size, dtype=np.int64))
-                held = _summed(np.r_[held[0], found[0]], np.r_[held[1], found[1]])
-                if held[0].size >= HELD:
-                    yield _sent(*held)
-                    held = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+            at = block.places(n) if frequent is None else block.frequent(n, frequent.value, 1)
+            found = _summed(block.prints(at, n), np.ones(at.size, dtype=np.int64))
+            held = _summed(np.r_[held[0], found[0]], np.r_[held[1], found[1]])
+            if held[0].size >= HELD:
+                yield _sent(*held)
+                held = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
             if frequent is None:
                 for code, k in enumerate(np.bincount(block.lang, minlength=len(block.langs))):
                     words[block.langs[code]] = words.get(block.langs[code], 0) + int(k)
@@ -176,29 +186,96 @@ def same_words(block: Block, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray
     return out
 
 
-def _verified(frequent: Broadcast):
-    """(lang, phrase, words, n) of the n-grams whose fingerprint is frequent, told apart by their text."""
+def _apart(block: Block, at: np.ndarray, prints: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the first one, fingerprint, number) of the occurrences of each text; two texts of one fingerprint are apart."""
+    while at.size:
+        order = np.argsort(prints, kind="stable")
+        at, prints = at[order], prints[order]
+        first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
+        leader = np.repeat(at[first], np.diff(np.r_[first, at.size]))
+        same = same_words(block, at, leader, n)
+        yield at[first], prints[first], np.add.reduceat(same.astype(np.int64), first)
+        at, prints = at[~same], prints[~same]  # collisions: the next of them leads
+
+
+class Placed:
+    """Fingerprints of a task with their second ones, their number, and the first place of each."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.held += columns[0].size
+        if self.held > 2 * HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        prints, check, n, row, place, words = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((check, prints))  # stable, so the first place stays first
+        prints, check = prints[order], check[order]
+        first = np.flatnonzero(np.r_[True, (prints[1:] != prints[:-1]) | (check[1:] != check[:-1])][: prints.size])
+        at = order[first]
+        n = np.add.reduceat(n[order], first) if first.size else n
+        self.parts, self.held = [(prints[first], check[first], n, row[at], place[at], words[at])], first.size
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self.merge()
+            prints, check, n, row, place, words = self.parts[0]
+            arrays = [prints.view(np.int64), check.view(np.int64), n, row, place.astype(np.int64), words.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["print", "check", "n", "row", "place", "words"])
+        self.parts, self.held = [], 0
+
+
+def _placed(frequent: Broadcast):
+    """All phrases that may be frequent, with the place of their first occurrence in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Placed()
+        for batch in tv.slices(batches, "text", BLOCK):
+            block, rows = Block(batch["text"], batch["lang"]), batch["row"].to_numpy()
+            second = block.second()
+            for n in range(1, LONGEST + 1):
+                at = block.frequent(n, frequent.value, min(n, 2))
+                for first, prints, count in _apart(block, at, block.prints(at, n), n):
+                    doc = block.words.doc[first]
+                    found.add(prints, second(first, n), count, rows[doc], first - block.words.first[doc], np.full(first.size, n))
+            if found.held > HELD:
+                yield from found.flush()
+        yield from found.flush()
+
+    return run
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, words, n) of the places of a text."""
+    for batch in tv.slices(batches, "text", BLOCK):
+        block = Block(batch["text"], batch["lang"])
+        out: tuple[list, ...] = ([], [], [], [])
+        for doc, places in enumerate(batch["places"].to_pylist()):
+            lang = batch["lang"][doc].as_py()
+            for p in places:
+                i = int(block.words.first[doc]) + p["place"]
+                for column, value in zip(out, ("und" if lang is None else lang, block.words.text(i, i + p["words"]).decode("utf-8", "replace"), p["words"], p["n"])):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "phrase", "words", "n"])
+
+
+def _verified(collided: Broadcast):
+    """(lang, phrase, words, n) of the n-grams whose fingerprint is in the map, told apart by their text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, int], int] = {}
         for block in _blocks(batches):
+            held: dict[tuple[str, str, int], int] = {}
             for n in range(1, LONGEST + 1):
-                at = block.frequent(n, frequent.value, n)
-                prints = block.prints(at, n)
-                while at.size:
-                    order = np.argsort(prints, kind="stable")
-                    at, prints = at[order], prints[order]
-                    first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
-                    leader = np.repeat(at[first], np.diff(np.r_[first, at.size]))
-                    same = same_words(block, at, leader, n)
-                    for i, k in zip(at[first], np.add.reduceat(same.astype(np.int64), first)):
+                at = block.frequent(n, collided.value, n)
+                for first, _, count in _apart(block, at, block.prints(at, n), n):
+                    for i, k in zip(first, count):
                         key = block.langs[block.lang[i]], block.words.text(i, i + n).decode("utf-8", "replace"), n
                         held[key] = held.get(key, 0) + int(k)
-                    at, prints = at[~same], prints[~same]  # collisions: the next of them leads
-            if len(held) >= HELD // 8:
-                yield _texts(held)
-                held = {}
-        yield _texts(held)
+            yield _texts(held)
 
     return run
 
@@ -211,30 +288,47 @@ def _texts(held: dict[tuple[str, str, int], int]) -> pa.RecordBatch:
 def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of 1 to 5 words with n >= ``least``, and (lang, total) of all words."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    row = "lang string, print long, n long"
+    scope = mark()
+    row = F.monotonically_increasing_id().alias("row")
+    texts = materialize(docs.select(row, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "texts")
 
-    def counted(sizes: tuple[int, ...], frequent: Broadcast | None, of: int, name: str) -> DataFrame:
-        found = texts.mapInArrow(_counts(sizes, frequent, of), row)
+    def counted(n: int, frequent: Broadcast | None, name: str) -> DataFrame:
+        found = texts.select("lang", "text").mapInArrow(_counts(n, frequent), "lang string, print long, n long")
         return materialize(found.groupBy("lang", "print").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("lang").isNotNull()), name)
 
-    scope = mark()
-    ones = counted((1,), None, 1, "words")
+    ones = counted(1, None, "words")
     totals = ones.filter("print is null").select("lang", F.col("n").alias("total"))
     known = bit_map(ones.filter("print is not null"))
-    twos = counted((2,), known, 1, "pairs")
-    known.destroy()
-    known = bit_map(twos)
-    more = counted(tuple(range(3, LONGEST + 1)), known, 2, "longer")
+    twos = counted(2, known, "pairs")
     known.destroy()
-    known = bit_map(ones.filter("print is not null").union(twos).union(more))
-    found = texts.mapInArrow(_verified(known), "lang string, phrase string, words int, n long")
-    found = materialize(found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
+    known = bit_map(ones.filter("print is not null").union(twos))
+    placed = texts.mapInArrow(_placed(known), "print long, check long, n long, row long, place long, words int")
+    place = F.struct("row", "place", "words")
+    sums = placed.groupBy("print").agg(F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), F.min(place).alias("at"))
+    sums = materialize(sums.filter(F.col("n") >= least), "placed")
     known.destroy()
+    wanted = sums.filter("check = other").groupBy("at.row").agg(F.collect_list(F.struct("at.place", "at.words", "n")).alias("places"))
+    wanted = materialize(wanted, "wanted")
+    read = texts.join(_few(wanted), "row").select("lang", "text", "places")
+    found = read.mapInArrow(_read, _PHRASES)
+    collided = sums.filter("check <> other")
+    if not collided.isEmpty():
+        known = bit_map(collided)
+        again = texts.select("lang", "text").mapInArrow(_verified(known), _PHRASES).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+        # the map may let more through, and those phrases are known already
+        found = materialize(found, "read")
+        found = found.union(again.filter(F.col("n") >= least).join(found, ["lang", "phrase"], "left_anti").select("lang", "phrase", "words", "n"))
+    found = materialize(found, "phrases")
     drop_since(spark, scope, ones, found)
     return found, totals
 
 
+def _few(wanted: DataFrame) -> DataFrame:
+    """Sent to all workers if that takes at most ``SENT_BYTES``; otherwise texts are dealt by row."""
+    size = wanted.agg(F.coalesce(F.sum(F.size("places") * 24 + 32), F.lit(0))).first()[0]
+    return F.broadcast(wanted) if size <= SENT_BYTES else wanted.hint("merge")
+
+
 def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int = 2000) -> DataFrame:
     """The ``top`` phrases of each language whose words go together.
 

@@ -1,7 +1,7 @@
 """HTML pages as blocks of text and as sequences of tokens.
 
-A token is a start tag, an end tag or a block of text.  A tag is told apart by its path: the names, classes and ids (without
-digits) of all elements that it stands in.  Only elements that make blocks are in paths; inline ones are part of their text.
+A token is a start tag, an end tag or a block of text.  A tag is told apart by its path: the names, classes and ids of all
+elements that it stands in, without the numbers that ids and classes may hold for a page.  Only elements that make blocks are in paths; inline ones are part of their text.
 End tags that HTML lets out are put in.
 """
 
@@ -50,7 +50,7 @@ HOLDERS = set("body div section article main center table tbody tr td span html"
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
-_DIGITS = re.compile(r"\d+")
+_DIGITS, _LONG = re.compile(r"\d+"), re.compile(r"\d{3,}")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 END = 0x5DEECE66D
 
@@ -75,7 +75,7 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
             out = out or bool(words) and not NEGATED & set(words) and (words[0] in LABELS or words[-1] in LABELS)
     elif not out and tag == "article":
         out = any(set(w.lower() for w in _WORDS.findall(label)) & {"comment", "comments", "ad", "advert", "promo"} for label in classes)
-    name = tag + "".join("." + _DIGITS.sub("", c) for c in classes) + ("#" + _DIGITS.sub("", own) if own else "")
+    name = tag + "".join("." + _LONG.sub("", c) for c in classes) + ("#" + _DIGITS.sub("", own) if own else "")
     return name, out, tag == "main" or role == "main"
 
 

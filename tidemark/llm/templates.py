@@ -34,6 +34,9 @@ PAGES = 3
 CLASS_PERCENT, TEXT_PERCENT = 50, 90
 #: A slot with ``SLOT_TEXTS`` texts or more of which at most a tenth differ is the host's own.
 SLOT_TEXTS, SLOT_SHARE = 10, 10
+#: Percent of a host's candidate text that may be the host's own: where the pages mark their articles, and where they don't.  More of
+#: it means pages that are copies of one another, of which nothing says what is the host's own.
+MARKED_PERCENT, OWN_PERCENT = 20, 50
 #: Percent of a host's text that the article's place holds.
 PLACE_PERCENT = 70
 #: Bytes of templates that are sent to all workers; more are joined by host, each host dealt to ``SALTS`` parts.
@@ -92,11 +95,11 @@ def class_order(tokens: list[int], kind: dict[int, int]) -> Iterator[tuple[int,
             continue
         i = turn[c][t]
         if i:
-            while stack and stack[-1][0] != c:
-                order[stack.pop()[0]] = 0  # it goes on past the end of a slot
-            if not stack:
-                order[c] = 0
+            if all(above != c for above, _ in stack):
+                order[c] = 0  # another class has cut it off
                 continue
+            while stack[-1][0] != c:
+                order[stack.pop()[0]] = 0  # it goes on past the end of its slot
             stack[-1] = c, i
         else:
             above = number(np.array(stack[-1], dtype=np.int64).tobytes()) if stack else 1
@@ -135,7 +138,7 @@ def _bytes(table: DataFrame, *lists: str) -> int:
 
 def host_templates(scanned: DataFrame) -> DataFrame:
     """(host, place, texts, slots): the article's place, and the texts and slots that are the host's own."""
-    once = scanned.groupBy("host", "page").agg(F.any_value(F.struct("tok", "times", "seq", "txt", "slot", "chars")).alias("x"))
+    once = scanned.groupBy("host", "page").agg(F.any_value(F.struct("tok", "times", "seq", "txt", "slot", "chars", (F.size("path") == 0).alias("marked"))).alias("x"))
     once = materialize(once.select("host", "page", "x.*"), "pages")
     hosts = once.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= PAGES)
     seen = once.select("host", "page", F.explode(F.arrays_zip("tok", "times")).alias("x")).select("host", "page", "x.tok", "x.times")
@@ -168,8 +171,9 @@ def host_templates(scanned: DataFrame) -> DataFrame:
         F.sum("chars").alias("chars"), F.sum(F.when(F.col("own"), F.col("chars")).otherwise(F.coalesce("fixed_chars", F.lit(0)))).alias("own_chars"),
         F.collect_list(F.when(F.col("own"), F.col("slot"))).alias("slots"), F.flatten(F.collect_list(F.when(~F.col("own"), F.col("texts")))).alias("texts"),
     )
-    # pages that are all alike: copies of an article, of which nothing says what is the host's own
-    found = found.filter(2 * F.col("own_chars") <= F.col("chars")).select("host", "texts", "slots")
+    marks = once.filter(F.size("txt") > 0).groupBy("host").agg(F.bool_or("marked").alias("marked"))
+    most = F.when(F.col("marked"), MARKED_PERCENT).otherwise(OWN_PERCENT)
+    found = found.join(marks, "host").filter(100 * F.col("own_chars") <= most * F.col("chars")).select("host", "texts", "slots")
     # the article's place on pages that mark none
     held = scanned.select("host", F.explode(F.arrays_zip("path", "depth", "vol")).alias("x")).select("host", "x.*")
     held = held.groupBy("host", "path").agg(F.max("depth").alias("depth"), F.sum("vol").alias("vol"))
