@@ -94,3 +94,56 @@ def test_scaler(spark):
     got = {r.feature: (r.mean, r.scale) for r in X.scaler_fit(w, ("price_yes", "market_price_mean_1h")).collect()}
     assert got["price_yes"] == pytest.approx((4, 2.236068), abs=1e-6)
     assert got["market_price_mean_1h"] == pytest.approx((16, 4.472136), abs=1e-6)
+
+
+def _crowd(n, spread_s, seed, known=0.6):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        first = DAY + timedelta(microseconds=rng.randint(0, int(spread_s * 1e6)))
+        sell = first + timedelta(seconds=rng.randint(0, 5400)) if rng.random() < known else None
+        seen = DAY - timedelta(hours=rng.randint(0, 900)) if rng.random() < known else None
+        rows.append(("m", rng.choice("abw") * rng.randint(1, 3) + str(i), first, sell, rng.choice([0.0, 0.4, rng.uniform(0.1, 3), rng.uniform(1, 50)]), rng.choice(["Yes", "No"]), seen))
+    return rows
+
+
+def _scores(rows):
+    near = lambda a, b, most: 1 - min(1, abs((a - b).total_seconds()) / most) if a and b else 0
+    out = []
+    rows = sorted(rows, key=lambda r: r[1])
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            score = 100 * (0.3 * near(a[2], b[2], 900) + 0.2 * (a[5] == b[5]) + 0.18 * (1 - abs(a[4] - b[4]) / max(a[4], b[4], 1)) + 0.17 * near(a[6], b[6], 604800) + 0.15 * near(a[3], b[3], 1800))
+            if score >= 35:
+                out.append((-round(score, 2), f"{a[1]}|{b[1]}"))
+    return sorted(out)[:20]
+
+
+WALLET = "market_id string, wallet string, first_ts timestamp_ntz, first_sell_ts timestamp_ntz, total_usdc double, dominant_outcome string, first_seen timestamp_ntz"
+
+
+@pytest.mark.parametrize("n, spread, known", [(2, 10, 0.5), (30, 40000, 0.5), (60, 3000, 0.7), (200, 900, 0.0), (300, 600, 0.9), (400, 7200, 0.3)])
+def test_best_pairs_are_those_of_all_pairs(spark, n, spread, known):
+    rows = _crowd(n, spread, n, known)
+    twin = rows[0]
+    rows += [("m", f"t{'w' * (i % 3)}{i}", *twin[2:]) for i in range(n // 4)]
+    got = [(-r.score, r.pair_key) for r in pairs.best_pairs(spark.createDataFrame(rows, WALLET)).orderBy("pair_rank").collect()]
+    want = _scores(rows)
+    assert [k for _, k in got] == [k for _, k in want]
+    assert [x for x, _ in got] == pytest.approx([x for x, _ in want])
+
+
+def test_the_pair_search_stays_below_all_pairs(spark):
+    made = []
+    for n in (500, 2000):
+        w = spark.createDataFrame(_crowd(n, 900, 1, 0.5), WALLET)
+        made.append(pairs.search_candidates(w, pairs.loss_bounds(w)).count())
+    assert made[0] < 500 * 499 / 2 / 4 and made[1] < 8 * made[0]  # all pairs grow 16 times
+
+
+def test_twins_do_not_multiply(spark):
+    row = _crowd(1, 10, 3, 1.0)[0]
+    rows = [("m", f"{i:05}", *row[2:]) for i in range(3000)]
+    w = spark.createDataFrame(rows, WALLET)
+    assert pairs.without_twins(w, 20).count() <= 60
+    assert [r.pair_key for r in pairs.best_pairs(w).orderBy("pair_rank").collect()] == [f"00000|{i:05}" for i in range(1, 21)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .percentile import exact_percentiles
+from .scan import SegmentedScan, range_edges, range_of
 
 BUCKETS = 1024
 GRID = [0.05 + i * (0.95 - 0.05) / 18 for i in range(19)]
@@ -77,8 +78,10 @@ def cumulative_tp_fp(scores: DataFrame, key: str, by: Sequence[str] = ()) -> Dat
     # rows that score higher = all - lower - equal
     placed = groups.join(whole, list(by)) if by else groups.crossJoin(F.broadcast(whole))
     placed = placed.select(*by, "probability", (F.col("all_n") - F.col("n_lower") - F.col("n")).alias("n_higher"), (F.col("all_pos") - F.col("pos_lower") - F.col("pos")).alias("pos_higher"), "all_pos")
-    w = Window.partitionBy(*by, "probability").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = scores.select(*by, key, "label", "probability").withColumns({"k": F.count("*").over(w), "tp_in": F.sum(F.col("label").cast("long")).over(w)})
+    rows = scores.select(*by, key, "label", "probability")
+    # a score that many rows share is cut into ranges of the key
+    scan = SegmentedScan(rows, [*by, "probability"], range_of(key, range_edges(rows, key)), [key])
+    rows = scan.number("k").total("tp_in", F.col("label").cast("long")).rows()
     rows = rows.join(placed, [*by, "probability"])
     tp = F.col("pos_higher") + F.col("tp_in")
     return rows.select(*by, key, "label", tp.alias("tp"), (F.col("n_higher") + F.col("k") - tp).alias("fp"), "all_pos")

@@ -72,6 +72,11 @@ def leaderboard_order(report: DataFrame) -> DataFrame:
     return report.orderBy(*_best_first())
 
 
+def leaderboard_places(report: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1 on, in that order.  A report has one row for each run, so one task orders them all."""
+    return report.withColumn("place", F.row_number().over(Window.orderBy(*_best_first())))
+
+
 def top_runs_per_model(report: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("model_name").orderBy(*_best_first())
     return report.withColumn("run_rank", F.row_number().over(w)).filter(F.col("run_rank") <= n)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entry_bps
+from .scan import SegmentedScan, hour_of
 
-EPS = 1e-12
+#: Quantities: exact sums of up to 10**15.
+EXACT = "decimal(28, 12)"
+#: Edges of a key that a range of its quantity holds.
+ROWS = 4096
 
 
 def fifo_lot_match(trades: DataFrame) -> DataFrame:
@@ -17,28 +21,43 @@ def fifo_lot_match(trades: DataFrame) -> DataFrame:
     stretch of sold quantity that stock allowed.  Sells beyond the stock match nothing:
     sold so far = cs - max(0, max over rows to date of (cs - cb)).  Both sides tile a line, so the starts of
     buys and sells are put in one order, and every stretch between two of them belongs to the last buy and
-    the last sell before it: one sort of the trades, no product of buys and sells.
+    the last sell before it.
+
+    Sums, that maximum and what came last are carried from hour to hour of a key, and then from range to range of
+    its quantity, so the trades of a key are spread over many tasks.  Quantities are added as decimals of twelve places.
     """
     keys = ["market_id", "wallet", "asset"]
-    w = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     buy = F.col("side") == "BUY"
-    t = trades.withColumn("cb", F.sum(F.when(buy, F.col("size")).otherwise(0.0)).over(w)).withColumn("cs", F.sum(F.when(~buy, F.col("size")).otherwise(0.0)).over(w))
-    t = t.withColumn("ms", F.col("cs") - F.greatest(F.lit(0.0), F.max(F.col("cs") - F.col("cb")).over(w)))
-    prev = Window.partitionBy(*keys).orderBy("ts", "seq")
-    t = t.withColumn("ms_before", F.coalesce(F.lag("ms").over(prev), F.lit(0.0)))
-    some = buy | (F.col("ms") > F.col("ms_before") + EPS)
-    edges = t.filter(some).select(
-        *keys, "ts", "seq", F.when(buy, F.col("cb") - F.col("size")).otherwise(F.col("ms_before")).alias("at"), F.when(buy, F.col("price")).alias("buy"), F.when(~buy, F.col("price")).alias("sell"),
+    size, none = F.col("__size"), F.lit(0).cast(EXACT)
+    rows = trades.select(*keys, "side", "price", "ts", "seq", F.col("size").cast(EXACT).alias("__size"))
+    order = ["ts", "seq"]
+    hours = hour_of(F.col("ts"))
+    t = SegmentedScan(rows, keys, hours, order).total("cb", F.when(buy, size), EXACT).total("cs", F.when(~buy, size), EXACT).rows()
+    t = SegmentedScan(t, keys, hours, order).peak("over", F.col("cs") - F.col("cb")).rows()
+    t = t.withColumn("ms", (F.col("cs") - F.greatest(none, F.col("over"))).cast(EXACT))
+    t = SegmentedScan(t, keys, hours, order).lag("before", F.col("ms")).rows().withColumn("before", F.coalesce("before", none))
+    edges = t.filter(buy | (F.col("ms") > F.col("before"))).select(
+        *keys, "ts", "seq", F.when(buy, F.col("cb") - size).otherwise(F.col("before")).cast(EXACT).alias("at"), F.when(buy, F.col("price")).alias("buy"), F.when(~buy, F.col("price")).alias("sell"),
         F.when(buy, F.col("cb")).alias("bought"), F.when(~buy, F.col("ms")).alias("sold"),
     )
-    order = Window.partitionBy(*keys).orderBy("at", "ts", "seq")
-    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(sofar)
+    # ranges of a key's quantity that hold about ROWS edges each, if they are spread evenly
+    sizes = edges.groupBy(*keys).agg((F.max("at").cast("double") * ROWS / F.count("*")).alias("__width"))
+    edges = _same_key(edges, sizes, keys)
+    place = F.floor(F.try_divide(F.col("at").cast("double"), F.col("__width")))
+    scan = SegmentedScan(edges, keys, F.coalesce(place, F.lit(0)), ["at", "ts", "seq"])
+    scan.lead("next", F.col("at"))
+    for name in ("buy", "sell", "bought", "sold"):
+        scan.last_known(f"last_{name}", F.col(name))
     # a stretch ends at the next start, or where the last buy or sell ends
-    end = F.least(F.lead("at").over(order), last("bought"), last("sold"))
-    found = edges.withColumns({"buy_price": last("buy"), "sell_price": last("sell"), "matched_size": end - F.col("at")})
-    found = found.filter(F.col("buy_price").isNotNull() & F.col("sell_price").isNotNull() & (F.col("matched_size") > EPS))
-    return found.select(*keys, "buy_price", "sell_price", "matched_size")
+    found = scan.rows().withColumn("matched_size", F.least("next", "last_bought", "last_sold") - F.col("at"))
+    found = found.filter("last_buy is not null and last_sell is not null and matched_size > 0")
+    return found.select(*keys, F.col("last_buy").alias("buy_price"), F.col("last_sell").alias("sell_price"), F.col("matched_size").cast("double"))
+
+
+def _same_key(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the facts of their key; a hot key's rows are split by AQE, as its facts are one row."""
+    renamed = facts.select(F.struct(*keys).alias("__key"), "__width")
+    return rows.withColumn("__key", F.struct(*keys)).join(renamed, "__key").drop("__key")
 
 
 def realized_markout_by_wallet(trades: DataFrame) -> DataFrame:

@@ -4,6 +4,16 @@ A pair needs 35 points of 100, which it can only reach with (1) entries within 1
 ages within 7 days, (3) the same outcome and exits within 30 minutes, or (4) the same outcome and a
 size similarity of at least 15/18.  Each of these is an equality of adjacent buckets, so candidates
 come from four joins that lose no pair, and not from all pairs of a market.
+
+The twenty best pairs of a market are found by a search whose work stays far below all pairs:
+
+1. *Bound.*  Wallets are laid into cells of several sizes; all pairs of one cell lose at most what the cell's size
+   says.  The finest cells that hold twenty pairs of a market say how little its twenty best pairs lose at most.
+   Cells are only counted; no pair is made.
+2. *Search.*  Pairs that may lose no more than that bound meet in cells as wide as the bound allows, by entry and by one
+   more measure.  Where a market is crowded the bound is small and so are the cells; no cell of a market holds many wallets, or
+   a smaller bound had been found.
+3. Wallets alike in everything score alike with everybody, so of many only those come in that win ties by their names.
 """
 
 from __future__ import annotations
@@ -15,6 +25,11 @@ from ..functions.scalars import clamp, micros, pair_key
 
 ENTRY_S, EXIT_S, AGE_S = 15 * 60, 30 * 60, 7 * 24 * 3600
 LEAST_SCORE, TOP_PAIRS = 35.0, 20
+#: Points that each measure adds at best.
+ENTRY, OUTCOME, SIZE, AGE, EXIT = 30.0, 20.0, 18.0, 17.0, 15.0
+#: Sizes of cells, as the points that two wallets of one cell may lose; and what rounding a score to two digits may hide.
+CELL_LOSSES = tuple(8.0 / 4**k for k in range(10))
+ROUNDING = 0.011
 #: log of the size ratio below which sizes can still be 15/18 alike.
 SIZE_STEP = 0.1823215567939546
 
@@ -40,12 +55,12 @@ def pair_candidates(wallets: DataFrame) -> DataFrame:
     return a.join(near, ["market_id", "rule", "same", "cell"]).filter("left_wallet < right_wallet").select("market_id", "left_wallet", "right_wallet").distinct()
 
 
-def pair_scores(wallets: DataFrame) -> DataFrame:
-    """Scored pairs of at least 35 points.  ``wallets``: market_id, wallet, first_ts, first_sell_ts, total_usdc,
-    dominant_outcome and first_seen, one row for each wallet of a market."""
+def pair_scores(wallets: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Scored pairs of at least 35 points, of ``candidates`` or of all that may have them.  ``wallets``: market_id, wallet,
+    first_ts, first_sell_ts, total_usdc, dominant_outcome and first_seen, one row for each wallet of a market."""
     columns = ("first_ts", "first_sell_ts", "total_usdc", "dominant_outcome", "first_seen")
     side = lambda s: wallets.select("market_id", F.col("wallet").alias(f"{s}_wallet"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-    p = pair_candidates(wallets).join(side("left"), ["market_id", "left_wallet"]).join(side("right"), ["market_id", "right_wallet"])
+    p = (pair_candidates(wallets) if candidates is None else candidates).join(side("left"), ["market_id", "left_wallet"]).join(side("right"), ["market_id", "right_wallet"])
     apart = lambda c, most: 1 - clamp(F.abs(_seconds(f"left_{c}") - _seconds(f"right_{c}")) / most)
     known = lambda c, most: F.when(F.col(f"left_{c}").isNotNull() & F.col(f"right_{c}").isNotNull(), apart(c, most)).otherwise(0.0)
     p = p.withColumns(
@@ -76,6 +91,91 @@ def pair_evidence(pairs: DataFrame) -> DataFrame:
     return out.withColumn("pair_key", pair_key(F.col("left_wallet"), F.col("right_wallet")))
 
 
+def _measures(wallets: DataFrame) -> DataFrame:
+    """Numbers whose differences bound the points that a pair loses."""
+    usd = F.col("total_usdc")
+    # |a - b| / max(a, b, 1) is at most the difference of these
+    size = F.when(usd < 1, usd).otherwise(1 + F.log(F.greatest(usd, F.lit(1.0))))
+    return wallets.withColumns({"__entry": _seconds("first_ts"), "__exit": _seconds("first_sell_ts"), "__age": _seconds("first_seen"), "__size": size})
+
+
+def without_twins(wallets: DataFrame, n: int) -> DataFrame:
+    """Of wallets of one market that agree in all measures, those that can be in its ``n`` best pairs.
+
+    Their pairs with any wallet tie, and ties go by the text ``left|right``.  Of a group only the ``n`` first as ``wallet|``
+    can be a left one.  A right one has at most n - 1 before it that would do better, but for those that are the beginning
+    of the left name, of which there are no more than it has letters."""
+    same = ["market_id", "first_ts", "first_sell_ts", "total_usdc", "dominant_outcome", "first_seen"]
+    most = F.lit(n + 1) + F.max(F.length("wallet")).over(Window.partitionBy(*same))
+    ranks = [F.row_number().over(Window.partitionBy(*same).orderBy(o)) for o in (F.col("wallet"), F.concat("wallet", F.lit("|")))]
+    return wallets.withColumns({"__most": most, "__a": ranks[0], "__b": ranks[1]}).filter("__a <= __most or __b <= __most").drop("__most", "__a", "__b")
+
+
+def loss_bounds(wallets: DataFrame, n: int = TOP_PAIRS) -> DataFrame:
+    """``market_id, bound``: points that each of a market's ``n`` best pairs loses at most, 65 (the least score) where
+    no cells tell."""
+    w = _measures(wallets)
+    steps = F.explode(F.array(*map(F.lit, CELL_LOSSES))).alias("loss")
+    # with both ages known or not, and both exits known or not; a quarter of the loss for each measure
+    kinds = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(e).alias("e")) for a in (True, False) for e in (True, False)))).alias("kind")
+    rows = w.select("market_id", "dominant_outcome", "__entry", "__size", "__age", "__exit", kinds).filter("(not kind.a or __age is not null) and (not kind.e or __exit is not null)")
+    rows = rows.select("*", steps)
+    part = F.col("loss") / 4
+
+    def cell(c: str, width: float, points: float) -> Column:
+        return F.floor(F.col(c) / (part * (width / points)))
+
+    cells = rows.groupBy(
+        "market_id", "dominant_outcome", "kind", "loss", cell("__entry", ENTRY_S, ENTRY).alias("x"), cell("__size", 1.0, SIZE).alias("y"),
+        F.when(F.col("kind.a"), cell("__age", AGE_S, AGE)).alias("z"), F.when(F.col("kind.e"), cell("__exit", EXIT_S, EXIT)).alias("t"),
+    ).agg(F.count("*").alias("c"))
+    pairs = cells.filter("c > 1 and dominant_outcome is not null").groupBy("market_id", "kind", "loss").agg(F.sum(F.expr("c * (c - 1) / 2")).alias("pairs"))
+    lost = F.col("loss") + F.when(F.col("kind.a"), 0.0).otherwise(AGE) + F.when(F.col("kind.e"), 0.0).otherwise(EXIT)
+    found = pairs.filter(F.col("pairs") >= n).groupBy("market_id").agg(F.min(lost).alias("bound"))
+    every = wallets.select("market_id").distinct()
+    return every.join(found, "market_id", "left").select("market_id", F.least(F.coalesce("bound", F.lit(100 - LEAST_SCORE)) + ROUNDING, F.lit(100 - LEAST_SCORE)).alias("bound"))
+
+
+def _halves(x: Column, width: Column) -> Column:
+    """Cells of twice the width, once more shifted by half: what lies no further apart than the width shares one of them."""
+    place = x / (2 * F.greatest(width * (1 + 1e-9), F.lit(1e-6)))
+    return F.array(F.struct(F.lit(0).alias("shift"), F.floor(place).alias("cell")), F.struct(F.lit(1).alias("shift"), F.floor(place + 0.5).alias("cell")))
+
+
+def search_candidates(wallets: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Distinct (market, left, right) that may lose no more than the market's bound."""
+    w = _measures(wallets).join(bounds, "market_id")
+    one = F.array(F.struct(F.lit(0).alias("shift"), F.lit(0).cast("long").alias("cell")))
+    kinds = []
+    for k in range(8):
+        o, a, e = bool(k & 4), bool(k & 2), bool(k & 1)
+        left = F.col("bound") - (0.0 if o else OUTCOME) - (0.0 if a else AGE) - (0.0 if e else EXIT)
+        fits = F.lit(True)
+        for c, on in (("dominant_outcome", o), ("__age", a), ("__exit", e)):
+            fits = fits & F.col(c).isNotNull() if on else fits
+        second = F.when(left < SIZE, _halves(F.col("__size"), -F.log(1 - F.least(left, F.lit(SIZE - 1e-3)) / SIZE))).otherwise(one)
+        if a:
+            second = F.when(left < AGE, _halves(F.col("__age"), left * (AGE_S / AGE))).otherwise(second)
+        if e:
+            second = F.when(left < EXIT, _halves(F.col("__exit"), left * (EXIT_S / EXIT))).otherwise(second)
+        near = F.struct(F.lit(k).alias("rule"), (F.col("dominant_outcome") if o else F.lit("")).alias("same"), _halves(F.col("__entry"), left * (ENTRY_S / ENTRY)).alias("xs"), second.alias("ys"))
+        kinds.append(F.when(fits & (left >= 0) & (left < ENTRY), near))
+    close = w.select("market_id", "wallet", F.inline(F.array_compact(F.array(*kinds)))).select("market_id", "wallet", "rule", "same", F.explode("xs").alias("x"), "ys")
+    close = close.select("market_id", "wallet", "rule", "same", "x", F.explode("ys").alias("y"))
+    sides = [close.withColumnRenamed("wallet", f"{s}_wallet") for s in ("left", "right")]
+    found = sides[0].join(sides[1], ["market_id", "rule", "same", "x", "y"]).filter("left_wallet < right_wallet").select("market_id", "left_wallet", "right_wallet")
+    # a bound so wide that entries may lie anywhere: few wallets, or few of a kind
+    rest = F.col("bound") - F.when(F.col("__age").isNull(), AGE).otherwise(0.0) - F.when(F.col("__exit").isNull(), EXIT).otherwise(0.0)
+    wide = w.filter(rest >= ENTRY).drop("bound", "__entry", "__exit", "__age", "__size")
+    return found.union(pair_candidates(wide)).distinct()
+
+
+def best_pairs(wallets: DataFrame, n: int = TOP_PAIRS) -> DataFrame:
+    """The ``n`` best pairs of every market with their scores and evidence, by rounded score, then by pair."""
+    few = without_twins(wallets, n)
+    return top_pairs(pair_evidence(pair_scores(few, search_candidates(few, loss_bounds(few, n)))), n)
+
+
 def top_pairs(pairs: DataFrame, n: int = TOP_PAIRS) -> DataFrame:
     w = Window.partitionBy("market_id").orderBy(F.col("score").desc(), F.col("pair_key"))
     return pairs.withColumn("pair_rank", F.row_number().over(w)).filter(F.col("pair_rank") <= n)

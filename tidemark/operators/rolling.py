@@ -13,16 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, role_flag
 from .chain import TIE
+from .scan import SegmentedScan, hour_of
 
 HOUR = 3_600_000_000
 #: The order of rows of one stream.
 ORDER = ("trade_time", *TIE, "role")
 
 
-def stream_window(*keys: str):
-    return Window.partitionBy(*keys).orderBy(*ORDER)
-
-
 def trailing(rows: DataFrame, keys: list[str], made: dict[str, Column]) -> DataFrame:
     """Adds ``made`` (aggregates over the trailing hour of ``keys``); within a frame the column ``__tie``
     orders rows of one time."""
@@ -73,16 +70,22 @@ def user_market_hour(rows: DataFrame) -> DataFrame:
 def user_market_stream(rows: DataFrame) -> DataFrame:
     """``seq`` (row number), ``time_delta_seconds`` and ``market_age_seconds`` of (user, market); the age counts
     from the first row of that pair, as its name does not say."""
-    w = stream_window("user", "market_id")
     t = micros(F.col("trade_time"))
-    return rows.withColumns(
+    scan = SegmentedScan(rows, ["user", "market_id"], hour_of(F.col("trade_time")), list(ORDER))
+    out = scan.number("seq").lag("__before", t).first("__start", t).rows()
+    return out.withColumns(
         {
-            "seq": F.row_number().over(w),
-            "time_delta_seconds": F.coalesce((t - F.lag(t).over(w)) / 1e6, F.lit(0.0)),
-            "market_age_seconds": (t - F.min(t).over(w.rowsBetween(Window.unboundedPreceding, 0))) / 1e6,
+            "time_delta_seconds": F.coalesce((t - F.col("__before")) / 1e6, F.lit(0.0)),
+            "market_age_seconds": (t - F.col("__start")) / 1e6,
             "role_is_maker": role_flag(F.col("role")),
         }
-    )
+    ).drop("__before", "__start")
+
+
+def price_return(trades: DataFrame) -> DataFrame:
+    """``price_return``: the price against that of the market's trade before; null for its first one."""
+    scan = SegmentedScan(trades, ["market_id"], hour_of(F.col("trade_time")), ["trade_time", "block_number"])
+    return scan.lag("__price", F.col("price_yes")).rows().withColumn("price_return", F.try_divide("price_yes", "__price") - 1).drop("__price")
 
 
 def enrich(labeled: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, entry_bps, micros
 from .percentile import exact_percentiles
+from .scan import SegmentedScan, hour_of
 
 # Metrics: label, live weight, post-event weight (fixed values).
 METRICS = {
@@ -89,8 +90,8 @@ def flow_share(trades: DataFrame) -> DataFrame:
 
 def realized_volatility(trades: DataFrame) -> DataFrame:
     """Mean over a market's assets of the mean absolute return between trades."""
-    w = Window.partitionBy("market_id", "asset").orderBy("ts", "seq")
-    steps = trades.withColumn("before", F.lag("price").over(w))
+    rows = trades.select("market_id", "asset", "ts", "seq", "price")
+    steps = SegmentedScan(rows, ["market_id", "asset"], hour_of(F.col("ts")), ["ts", "seq"]).lag("before", F.col("price")).rows()
     steps = steps.withColumn("r", F.when(F.col("before") > 0, F.abs(F.col("price") / F.when(F.col("before") > 0, F.col("before")) - 1)))
     assets = steps.groupBy("market_id", "asset").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("v"))
     return assets.groupBy("market_id").agg(F.avg("v").alias("realized_volatility"))
@@ -100,6 +101,12 @@ def average_spread_bps(books: DataFrame, key: str = "market_id") -> DataFrame:
     return books.groupBy(key).agg(F.avg(F.col("spread") * 10000).alias("average_spread_bps"))
 
 
+def pair_inputs(trades: DataFrame, profiles: DataFrame) -> DataFrame:
+    """What pairs are scored by: one row for each wallet of a market."""
+    context = wallet_context(trades).join(dominant(trades, "outcome"), ["market_id", "wallet"]).join(profiles, "wallet", "left")
+    return context.select("market_id", "wallet", "first_ts", "first_sell_ts", "total_usdc", "dominant_outcome", "first_seen")
+
+
 def pair_rollup(pairs: DataFrame) -> DataFrame:
     """By wallet: the best pair score, and the number of pairs at 60 or more."""
     both = pairs.select("market_id", "score", F.explode(F.array("left_wallet", "right_wallet")).alias("wallet"))

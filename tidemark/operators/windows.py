@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import compact_time, micros
 from ..params import FEATURES, Params
 from .percentile import exact_percentiles
-from .rolling import enrich, stream_window
+from .rolling import ORDER, enrich
+from .scan import SegmentedScan, hour_of
 
 SPLITS = ("train", "validation", "test")
 
@@ -27,7 +28,8 @@ def feature_vector(features: tuple[str, ...]) -> Column:
 
 
 def sequence_row_number(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("seq", F.row_number().over(stream_window("user", "market_id")))
+    """``seq``, a row's number in its (user, market) stream."""
+    return SegmentedScan(rows, ["user", "market_id"], hour_of(F.col("trade_time")), list(ORDER)).number("seq").rows()
 
 
 def is_window_end(seq: Column, length: int, stride: int) -> Column:

@@ -66,3 +66,9 @@ QUERY_PARAMS = Params(
     contract_takers=("0xc1",), horizon_minutes=60, max_future_lag_seconds=None, min_abs_bps=5.0, window=8, stride=4,
     train_ratio=0.6, validation_ratio=0.2, test_ratio=0.2,
 )
+
+#: The parameters of the queries that need a validation split at every scale: shorter windows leave room between the cutoffs.
+SPLIT_PARAMS = Params(
+    contract_takers=("0xc1",), horizon_minutes=60, max_future_lag_seconds=None, min_abs_bps=5.0, window=3, stride=1,
+    train_ratio=0.5, validation_ratio=0.3, test_ratio=0.2,
+)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chain, windows
 from ..params import QUERY_PARAMS as P
+from ..params import SPLIT_PARAMS, Params
 from ..sources.trades import event_trades
 
 
@@ -51,8 +52,8 @@ def labeled(spark, sf) -> DataFrame:
     return chain.label_user_trades(prepared(spark, sf), P)
 
 
-def model_windows(spark, sf) -> DataFrame:
-    return windows.model_windows(labeled(spark, sf), P)
+def model_windows(spark, sf, params: Params = P) -> DataFrame:
+    return windows.model_windows(labeled(spark, sf), params)
 
 
 def scores(spark, sf) -> DataFrame:
@@ -80,8 +81,9 @@ def wallet_trades(spark, sf) -> DataFrame:
     )
 
 
-def markets(spark, sf) -> DataFrame:
-    m = table(spark, sf, "events").groupBy(F.col("event_type").alias("market_id")).agg(F.max("ts").alias("last"), F.count("*").alias("n"))
+def markets_of(trades: DataFrame) -> DataFrame:
+    """Facts of the markets that these wallet trades are of."""
+    m = trades.groupBy("market_id").agg(F.max("ts").alias("last"), F.count("*").alias("n"))
     resolved = F.length("market_id") % 2 == 0
     none = F.lit(None).cast("timestamp_ntz")
     return m.select(
@@ -90,11 +92,19 @@ def markets(spark, sf) -> DataFrame:
     )
 
 
-def books(spark, sf) -> DataFrame:
-    b = wallet_trades(spark, sf).groupBy("asset").agg(F.count("*").alias("n"))
+def books_of(trades: DataFrame) -> DataFrame:
+    b = trades.groupBy("asset").agg(F.count("*").alias("n"))
     return b.select("asset", ((F.col("n") % 10) / 100.0).alias("spread"), (F.col("n") * 5.0).alias("bid_depth_usd"), (F.col("n") * 3.0).alias("ask_depth_usd"))
 
 
+def markets(spark, sf) -> DataFrame:
+    return markets_of(wallet_trades(spark, sf))
+
+
+def books(spark, sf) -> DataFrame:
+    return books_of(wallet_trades(spark, sf))
+
+
 def profiles(spark, sf) -> DataFrame:
     c = table(spark, sf, "customer")
     seen = F.timestamp_add("HOUR", -(F.col("c_custkey") * 7 % 400), F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00'"))
@@ -166,35 +176,36 @@ enriched AS (
 
 _VECTOR = "[price_yes, signed_token_amount, usd_amount, side, role_is_maker, time_delta_seconds, market_age_seconds, market_trade_count_1h, market_volume_1h, market_price_mean_1h, market_price_std_1h, market_price_return_1h, user_trade_count_1h, user_market_trade_count_1h, user_signed_flow_1h, user_usd_volume_1h]"
 
-WINDOWED = (
-    ENRICHED
-    + f""",
+def windows_sql(p: Params, cut: str = "win_cut", name: str = "mw") -> str:
+    """Windows with their split, in a table of this ``name``."""
+    n, hours = p.window, p.purge_minutes * 60
+    second = p.train_ratio + p.validation_ratio
+    return (
+        ENRICHED
+        + f""",
 windowed AS (
   SELECT "user", market_id, min(trade_time) OVER f AS start_ts, trade_time AS end_ts, seq, list(CAST({_VECTOR} AS DOUBLE[])) OVER f AS features, label
-  FROM enriched WINDOW f AS (PARTITION BY "user", market_id ORDER BY trade_time, block_number, transaction_hash, order_hash, role ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
-kept AS (SELECT * FROM windowed WHERE seq >= 8 AND (seq - 8) % 4 = 0 AND len(features) = 8),
-seq_cut AS (SELECT quantile_cont(epoch(trade_time), 0.6) AS c1, quantile_cont(epoch(trade_time), 0.8) AS c2 FROM labeled),
-win_cut AS (SELECT quantile_cont(epoch(end_ts), 0.6) AS c1, quantile_cont(epoch(end_ts), 0.8) AS c2 FROM kept)"""
-)
-
-
-def _assigned(name: str, cut: str) -> str:
-    return f""",
+  FROM enriched WINDOW f AS (PARTITION BY "user", market_id ORDER BY trade_time, block_number, transaction_hash, order_hash, role ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+kept AS (SELECT * FROM windowed WHERE seq >= {n} AND (seq - {n}) % {p.stride} = 0 AND len(features) = {n}),
+seq_cut AS (SELECT quantile_cont(epoch(trade_time), {p.train_ratio}) AS c1, quantile_cont(epoch(trade_time), {second}) AS c2 FROM labeled),
+win_cut AS (SELECT quantile_cont(epoch(end_ts), {p.train_ratio}) AS c1, quantile_cont(epoch(end_ts), {second}) AS c2 FROM kept),
 {name} AS (
   SELECT * FROM (
-    SELECT kept.*, concat_ws(':', "user", market_id, strftime(end_ts, '%Y%m%d%H%M%S'), lpad(CAST(seq AS VARCHAR), 8, '0')) AS window_id, 8 AS window_size,
+    SELECT kept.*, concat_ws(':', "user", market_id, strftime(end_ts, '%Y%m%d%H%M%S'), lpad(CAST(seq AS VARCHAR), 8, '0')) AS window_id, {n} AS window_size,
       start_ts AS window_start_ts, end_ts AS window_end_ts,
-      CASE WHEN epoch(end_ts) <= c1 - 3600 THEN 'train' WHEN epoch(start_ts) >= c1 + 3600 AND epoch(end_ts) <= c2 - 3600 THEN 'validation'
-        WHEN epoch(start_ts) >= c2 + 3600 THEN 'test' END AS split
+      CASE WHEN epoch(end_ts) <= c1 - {hours} THEN 'train' WHEN epoch(start_ts) >= c1 + {hours} AND epoch(end_ts) <= c2 - {hours} THEN 'validation'
+        WHEN epoch(start_ts) >= c2 + {hours} THEN 'test' END AS split
     FROM kept, {cut}) WHERE split IS NOT NULL)"""
+    )
 
 
 def listed_sql(values: str, digits: int = 7, add: float = 0.0) -> str:
     return f"list_transform({values}, lambda x: round(x + {add}::DOUBLE, {digits}) + 0)"
 
 
-WINDOWS = WINDOWED + _assigned("mw", "win_cut")
-SEQUENCES = WINDOWED + _assigned("sw", "seq_cut")
+WINDOWS = windows_sql(P)
+SEQUENCES = windows_sql(P, "seq_cut", "sw")
+SPLIT_WINDOWS = windows_sql(SPLIT_PARAMS)
 
 SCORES = """
 scores AS (

@@ -12,7 +12,7 @@ from ..operators import chain, rolling, windows
 from ..params import QUERY_PARAMS as P
 from ..sources import trades as T
 from . import base as B
-from .base import BASE, ENRICHED, SEQUENCES, WINDOWED, WINDOWS, r, rounded, table
+from .base import BASE, ENRICHED, SEQUENCES, WINDOWS, r, rounded, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,9 +173,7 @@ def sequence_row_number(spark, sf):
 
 @query(f"""WITH {BASE} SELECT transaction_hash, round(price_yes / lag(price_yes) OVER (PARTITION BY market_id ORDER BY trade_time, block_number) - 1, 6) + 0 AS price_return FROM prepared""")
 def price_return(spark, sf):
-    w = Window.partitionBy("market_id").orderBy("trade_time", "block_number")
-    before = F.lag("price_yes").over(w)
-    return B.prepared(spark, sf).withColumn("b", before).select("transaction_hash", r(F.try_divide("price_yes", "b") - 1).alias("price_return"))
+    return rolling.price_return(B.prepared(spark, sf)).select("transaction_hash", r("price_return"))
 
 
 # ---- windows and splits
@@ -188,7 +186,7 @@ def _values() -> Column:
 _VALUES = f"{B.listed_sql('flatten(features)')} AS features"
 
 
-@query(f"""WITH {WINDOWED} SELECT "user", market_id, seq, start_ts, {_VALUES}, len(features) AS n, label FROM kept""", "collect_window_features", "window_start", "window_stride_filter", "feature_vector")
+@query(f"""WITH {WINDOWS} SELECT "user", market_id, seq, start_ts, {_VALUES}, len(features) AS n, label FROM kept""", "collect_window_features", "window_start", "window_stride_filter", "feature_vector")
 def collect_window_features(spark, sf):
     out = windows.collect_windows(rolling.enrich(B.labeled(spark, sf)), P.window, P.stride, P.features)
     return out.select("user", "market_id", F.col("seq").cast("long"), "start_ts", _values(), F.size("features").cast("long").alias("n"), "label")
@@ -204,12 +202,12 @@ def model_windows(spark, sf):
     return B.model_windows(spark, sf).withColumn("features", _values())
 
 
-@query(f"WITH {WINDOWED} SELECT round(c1, 3) AS train_cutoff, round(c2, 3) AS validation_cutoff FROM seq_cut")
+@query(f"WITH {WINDOWS} SELECT round(c1, 3) AS train_cutoff, round(c2, 3) AS validation_cutoff FROM seq_cut")
 def split_cutoffs(spark, sf):
     return rounded(windows.split_cutoffs(B.labeled(spark, sf), P), "train_cutoff", "validation_cutoff", digits=3)
 
 
-@query(f"WITH {WINDOWED} SELECT round(c1, 3) AS train_cutoff, round(c2, 3) AS validation_cutoff FROM win_cut")
+@query(f"WITH {WINDOWS} SELECT round(c1, 3) AS train_cutoff, round(c2, 3) AS validation_cutoff FROM win_cut")
 def window_split_cutoffs(spark, sf):
     return rounded(windows.window_split_cutoffs(B.labeled(spark, sf), P), "train_cutoff", "validation_cutoff", digits=3)
 

@@ -5,21 +5,19 @@ Payloads are made from the driver's tables; files go to a scratch folder that al
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import leaderboard as L
-from ..operators import run, wallets
+from ..operators import run
 from ..params import QUERY_PARAMS as P
 from ..sources import ingest, sinks
 from ..sources import trades as T
+from ..sources.scratch import Written, scratch
 from ..streaming import stream as Z
 from . import base as B
 from .base import BASE, WALLETS, WINDOWS, r, rounded, table
+from .wallet_queries import SNAPSHOT, snapshot_columns, snapshot_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,16 +34,6 @@ def query(sql: str | None = None, *names: str):
     return keep
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one if all runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/queries/{name}-{uuid.uuid4().hex}"
-
-
 # ---- JSON ingest
 
 
@@ -248,37 +236,78 @@ def sink_snapshot_upsert(spark, sf):
 
 
 def _runs(spark, sf) -> DataFrame:
-    """``summary, metrics`` as JSON, one run for each market and split size."""
+    """``summary, metrics, diagnostics`` as JSON, one run for each market; half of them tell their best iteration and not their best
+    epoch, and only the others have diagnostics."""
     w = B.model_windows(spark, sf).groupBy("market_id").agg(F.count("*").alias("n"), F.avg("label").alias("rate"))
-    auc = F.round(0.5 + F.col("rate") / 4, 6)
+    six = lambda c: F.round(c, 6)
+    rate, even = F.col("rate"), F.length("market_id") % 2 == 0
+    path = lambda before, after="": F.concat(F.lit(before), "market_id", F.lit(after))
+    digest = F.md5(F.col("market_id").cast("binary"))
     summary = F.struct(
-        F.concat(F.lit("model-"), F.length("market_id") % 2).alias("model_name"), F.lit("2024-01-01T00:00:00").alias("created_at_utc"), F.concat(F.lit("/data/"), "market_id").alias("dataset_dir"), F.lit(8).alias("window_size"),
-        F.lit(16).alias("feature_count"), F.array(F.lit("a"), F.lit("b")).alias("feature_order"), F.struct(F.col("n").alias("seed"), F.lit("last").alias("pooling")).alias("training_config"),
+        F.concat(F.lit("model-"), F.length("market_id") % 2).alias("model_name"), F.concat(F.lit("2024-01-0"), F.length("market_id") % 3 + 1, F.lit("T00:00:00")).alias("created_at_utc"),
+        path("/data/").alias("dataset_dir"), F.lit(8).alias("window_size"), F.when(even, 5).alias("feature_width"), F.lit(16).alias("feature_count"), F.array(F.lit("a"), F.lit("b")).alias("feature_order"),
+        F.struct(F.col("n").alias("seed"), F.lit("last").alias("pooling"), (F.col("n") % 2 == 0).alias("include_summary_features")).alias("training_config"),
+        F.struct(
+            path("/data/", "/manifest.json").alias("dataset_manifest_path"), path("configs/", ".toml").alias("config_path"), F.substring(digest, 1, 16).alias("config_hash"),
+            digest.alias("git_sha"), (F.col("n") % 2 == 1).alias("git_dirty"),
+        ).alias("provenance"),
+    )
+    scores = lambda x: F.struct(six(0.5 + x / 4).alias("auc_roc"), six(x).alias("pr_auc"), six(x * (1 - x)).alias("brier_score"))
+    metrics = F.struct(F.when(even, 3).alias("best_epoch"), F.when(~even, 7).alias("best_iteration"), scores(rate).alias("validation"), scores(rate / 2).alias("test"))
+    at = lambda k: F.struct(*(six(rate / (k + i)).alias(n) for i, n in enumerate(("threshold", "accuracy", "precision", "recall", "f1"))))
+    both = lambda k: F.struct(at(k).alias("validation_best_accuracy"), at(k + 1).alias("validation_best_f1"))
+    diagnostics = F.struct(
+        F.struct(F.struct(at(1).alias("accuracy"), at(2).alias("f1")).alias("best_by_metric")).alias("validation_threshold_sweep"),
+        F.struct(both(3).alias("validation"), both(5).alias("test")).alias("split_metrics_at_validation_best_thresholds"),
     )
-    scores = F.struct(auc.alias("auc_roc"), F.round("rate", 6).alias("pr_auc"), F.round(F.col("rate") * (1 - F.col("rate")), 6).alias("brier_score"))
-    return w.select("market_id", F.to_json(summary).alias("summary"), F.to_json(F.struct(F.lit(3).alias("best_epoch"), scores.alias("validation"), scores.alias("test"))).alias("metrics"))
+    return w.select("market_id", *(F.to_json(c).alias(n) for n, c in (("summary", summary), ("metrics", metrics), ("diagnostics", F.when(even, diagnostics)))))
 
 
 def _written_runs(spark, sf) -> str:
     """Writes every run as JSON files below run folders; one run has no metrics."""
     root = scratch(spark, "runs")
-    files = F.array(F.struct(F.lit("summary.json").alias("name"), F.col("summary").alias("value")), F.struct(F.lit("metrics.json").alias("name"), F.col("metrics").alias("value")))
-    rows = _runs(spark, sf).select("market_id", F.inline(files)).filter("name = 'summary.json' or market_id <> 'view'")
+    files = F.array(*(F.struct(F.lit(f"{n}.json").alias("name"), F.col(n).alias("value")) for n in ("summary", "metrics", "diagnostics")))
+    rows = _runs(spark, sf).select("market_id", F.inline(files)).filter("value is not null and (name = 'summary.json' or market_id <> 'view')")
     # the executors write each run's files to folders of their own; a run is named by its market
     rows.write.partitionBy("market_id", "name").text(root)
     return root
 
 
-_REPORT = f"WITH {WINDOWS}, w AS (SELECT market_id, count(*) AS n, avg(label) AS rate FROM mw WHERE market_id <> 'view' GROUP BY 1), rep AS (SELECT *, 'model-' || (length(market_id) % 2) AS model_name, '/data/' || market_id AS dataset_dir, round(rate, 6) AS validation_pr_auc, round(0.5 + rate / 4, 6) AS validation_auc_roc, round(rate * (1 - rate), 6) AS validation_brier_score FROM w)"
+_REPORT = f"""WITH {WINDOWS}, w AS (SELECT market_id AS run, count(*) AS n, avg(label) AS rate, length(market_id) % 2 = 0 AS even FROM mw WHERE market_id <> 'view' GROUP BY ALL),
+rep AS (SELECT run, 'model-' || (length(run) % 2) AS model_name, '2024-01-0' || (length(run) % 3 + 1) || 'T00:00:00' AS created_at_utc, 8 AS window_size, CASE WHEN even THEN 5 ELSE 2 END AS feature_width, 16 AS feature_count,
+  n AS seed, 'last' AS pooling, n % 2 = 0 AS include_summary_features, CASE WHEN even THEN 'best_epoch' ELSE 'best_iteration' END AS selector_name, CASE WHEN even THEN 3 ELSE 7 END AS selector_value,
+  round(0.5 + rate / 4, 6) AS validation_auc_roc, round(rate, 6) AS validation_pr_auc, round(rate * (1 - rate), 6) AS validation_brier_score,
+  round(0.5 + rate / 8, 6) AS test_auc_roc, round(rate / 2, 6) AS test_pr_auc, round(rate / 2 * (1 - rate / 2), 6) AS test_brier_score,
+  CASE WHEN even THEN round(rate, 6) END AS validation_best_accuracy_threshold, CASE WHEN even THEN round(rate / 4, 6) END AS validation_best_accuracy,
+  CASE WHEN even THEN round(rate / 2, 6) END AS validation_best_f1_threshold, CASE WHEN even THEN round(rate / 8, 6) END AS validation_best_f1,
+  CASE WHEN even THEN round(rate / 6, 6) END AS test_accuracy_at_validation_best_accuracy, CASE WHEN even THEN round(rate / 7, 6) END AS test_precision_at_validation_best_accuracy,
+  CASE WHEN even THEN round(rate / 8, 6) END AS test_recall_at_validation_best_accuracy, CASE WHEN even THEN round(rate / 10, 6) END AS test_f1_at_validation_best_f1,
+  '/data/' || run AS dataset_dir, '/data/' || run || '/manifest.json' AS dataset_manifest_path, 'configs/' || run || '.toml' AS config_path, substr(md5(run), 1, 16) AS config_hash, md5(run) AS git_sha, n % 2 = 1 AS git_dirty FROM w)"""
+_BEST = "ORDER BY validation_pr_auc DESC, validation_auc_roc DESC, validation_brier_score, created_at_utc DESC, run DESC"
 
 
-@query(f"{_REPORT} SELECT model_name, dataset_dir, 8 AS window_size, 2 AS feature_width, n AS seed, 'best_epoch' AS selector_name, 3 AS selector_value, validation_pr_auc, validation_auc_roc, validation_brier_score FROM rep", "model_leaderboard", "scan_run_artifacts", "run_artifact_join", "leaderboard_order")
+def _named(report: DataFrame) -> DataFrame:
+    """The run's folder has another root every time."""
+    return report.withColumn("run", F.regexp_extract("run_dir", "market_id=([^/]*)$", 1)).drop("run_dir")
+
+
+@query(f"{_REPORT} SELECT *, CAST(row_number() OVER ({_BEST}) AS INTEGER) AS place FROM rep", "model_leaderboard", "leaderboard_order", "run_artifact_join")
 def model_leaderboard(spark, sf):
-    report = L.leaderboard_order(L.model_leaderboard(L.scan_run_artifacts(spark, _written_runs(spark, sf))))
-    return report.select("model_name", "dataset_dir", "window_size", "feature_width", "seed", "selector_name", "selector_value", "validation_pr_auc", "validation_auc_roc", "validation_brier_score")
+    """All columns of the report, and each run's place in its order."""
+    return _named(L.leaderboard_places(L.model_leaderboard(L.scan_run_artifacts(spark, _written_runs(spark, sf)))))
+
+
+@query(f"""{_REPORT} SELECT run, model_name, window_size, seed, CASE WHEN selector_name = 'best_epoch' THEN 3 END AS best_epoch, CASE WHEN selector_name = 'best_iteration' THEN 7 END AS best_iteration,
+ validation_best_accuracy_threshold IS NOT NULL AS has_diagnostics, git_sha FROM rep""")
+def scan_run_artifacts(spark, sf):
+    """What the run folders hold, before the report; a run without metrics is left out."""
+    found = _named(L.scan_run_artifacts(spark, _written_runs(spark, sf)))
+    return found.select(
+        "run", "model_name", "window_size", F.col("training_config.seed").alias("seed"), "best_epoch", "best_iteration", F.col("validation_threshold_sweep").isNotNull().alias("has_diagnostics"), F.col("provenance.git_sha").alias("git_sha")
+    )
 
 
-@query(f"{_REPORT} SELECT model_name, dataset_dir, CAST(k AS INTEGER) AS run_rank FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY validation_pr_auc DESC, validation_auc_roc DESC, validation_brier_score, dataset_dir DESC) AS k FROM rep) WHERE k <= 2")
+@query(f"{_REPORT} SELECT model_name, dataset_dir, CAST(k AS INTEGER) AS run_rank FROM (SELECT *, row_number() OVER (PARTITION BY model_name {_BEST}) AS k FROM rep) WHERE k <= 2")
 def top_runs_per_model(spark, sf):
     report = L.model_leaderboard(L.scan_run_artifacts(spark, _written_runs(spark, sf)))
     return L.top_runs_per_model(report, 2).select("model_name", "dataset_dir", "run_rank")
@@ -352,16 +381,29 @@ def stream_flow_5m(spark, sf):
     return spark.read.parquet(out).select("market", "wallet", F.unix_micros("bucket").alias("us"), r("flow"), "n")
 
 
-@query(f"WITH {WALLETS} SELECT market_id, n AS trade_count, w AS wallet_count FROM (SELECT market_id, count(*) AS n, count(DISTINCT wallet) AS w FROM wt GROUP BY 1)")
-def stream_snapshot(spark, sf):
-    """Every market with a message gets a new snapshot, which replaces the stored one."""
-    path = scratch(spark, "stream-snapshots")
+def _trade_frames(spark, sf, files: int) -> str:
+    """Messages that tell all of a trade, in several files."""
+    path = scratch(spark, "trade-frames")
+    t = B.wallet_trades(spark, sf)
+    kept = table(spark, sf, "events").filter("event_id % 10 <> 9").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("long")).select(F.col("event_id").alias("seq"), "k")
+    message = F.struct(
+        F.when(F.col("k") % 4 == 0, "book").otherwise("last_trade_price").alias("event_type"), F.col("market_id").alias("market"), F.col("asset").alias("asset_id"), "wallet", "side", "outcome",
+        F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.col("seq").alias("id"),
+    )
+    t.join(kept, "seq").select(F.to_json(message).alias("value"), "seq").repartition(files, "seq").select("value").write.text(path)
+    return path
 
-    def rebuild(markets: DataFrame) -> None:
-        t = B.wallet_trades(spark, sf).join(markets.withColumnRenamed("market", "market_id"), "market_id", "left_semi")
-        w = wallets.wallet_context(t)
-        snap = w.groupBy("market_id").agg(F.sum("trade_count").alias("trade_count"), F.count("*").alias("wallet_count")).withColumn("version", F.current_timestamp())
-        sinks.upsert_snapshot(snap, path, "market_id", "version")
 
-    Z.drain(Z.snapshot_stream(Z.throttle(_messages(spark, sf), 600), rebuild, path + ".state"))
-    return sinks.read_snapshot(spark, path).select("market_id", "trade_count", "wallet_count")
+_SEEN = "seen AS (SELECT * FROM events WHERE event_id % 10 <> 9 AND CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 4 <> 0)"
+
+
+@query(f"WITH {_SEEN}, {WALLETS.replace('FROM events', 'FROM seen')}, {SNAPSHOT}")
+def stream_snapshot(spark, sf):
+    """The stream in several micro-batches: each adds its trades to the state of its markets and gives these markets
+    new snapshots, which replace the stored ones."""
+    state = Z.MarketState(scratch(spark, "market-state"))
+    frames = spark.readStream.option("maxFilesPerTrigger", 2).text(_trade_frames(spark, sf, 4))
+    messages = Z.filter_events(Z.parse_messages(frames))
+    profiles = B.profiles(spark, sf)
+    Z.drain(Z.snapshot_stream(messages, state, lambda trades: snapshot_of(Written(trades, "trades").rows, profiles), 0, state.path + "/offsets"), 600)
+    return snapshot_columns(state.snapshots(spark))

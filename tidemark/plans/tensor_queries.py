@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
@@ -10,8 +12,10 @@ from ..operators import fit
 from ..operators import tensor as X
 from ..params import FEATURES
 from ..params import QUERY_PARAMS as P
+from ..params import SPLIT_PARAMS
+from ..sources.scratch import Written
 from . import base as B
-from .base import SCORES, WINDOWS, r, rounded
+from .base import SCORES, SPLIT_WINDOWS, WINDOWS, r, rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,9 +48,9 @@ _UNSCALED = ", ".join(f"'{f}'" for f in X.UNSCALED)
 _NAMES = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
 
 
-def _long(source: str) -> str:
+def _long(source: str, length: int = 8) -> str:
     """All values of a windows table in long form: raw (x0) and transformed (x)."""
-    return f"""st AS (SELECT window_id, split, label, p - 1 AS position, j, ({_NAMES})[j] AS feature, features[p][j] AS x0 FROM {source}, (SELECT unnest(range(1, 9)) AS p), (SELECT unnest(range(1, {W + 1})) AS j)),
+    return f"""st AS (SELECT window_id, split, label, p - 1 AS position, j, ({_NAMES})[j] AS feature, features[p][j] AS x0 FROM {source}, (SELECT unnest(range(1, {length + 1})) AS p), (SELECT unnest(range(1, {W + 1})) AS j)),
 lg AS (SELECT *, CASE WHEN feature IN ({_LOGS}) THEN ln(1 + greatest(x0, 0)) WHEN feature IN ({_SIGNED}) THEN sign(x0) * ln(1 + abs(x0)) ELSE x0 END AS x FROM st)"""
 
 
@@ -111,10 +115,11 @@ def scaler_fit(spark, sf):
     return X.scaler_fit(t, N, X.clip_bounds(t, N)).select("feature", r("mean"), r("scale", 5))
 
 
-def _standardized(spark, sf) -> DataFrame:
-    t = _train(spark, sf)
+def _standardized(spark, sf, windows: DataFrame | None = None) -> DataFrame:
+    windows = B.model_windows(spark, sf) if windows is None else windows
+    t = windows.filter("split = 'train'")
     bounds = X.clip_bounds(t, N)
-    return X.standardize_windows(B.model_windows(spark, sf), X.stats_row(X.scaler_fit(t, N, bounds), bounds, N), N)
+    return X.standardize_windows(windows, X.stats_row(X.scaler_fit(t, N, bounds), bounds, N), N)
 
 
 _SCALED = f"sd AS (SELECT cl.*, CASE WHEN feature IN ({_UNSCALED}) THEN y ELSE (y - mean) / scale END AS z FROM cl JOIN sc USING (feature))"
@@ -165,14 +170,9 @@ def train_class_weights(spark, sf):
     return rounded(X.class_weights(_train(spark, sf)), "pos_weight")
 
 
-@query(f"WITH {WINDOWS} SELECT window_id, {B.listed_sql('flatten(features)')} AS vector, label FROM mw WHERE split = 'validation' UNION ALL SELECT window_id, {B.listed_sql('flatten(features)')}, label FROM mw WHERE split = 'train' AND NOT EXISTS (SELECT 1 FROM mw WHERE split = 'validation')")
+@query(f"WITH {SPLIT_WINDOWS} SELECT window_id, {B.listed_sql('flatten(features)')} AS vector, label FROM mw WHERE split = 'validation'")
 def scan_split(spark, sf):
-    """The validation split; a table too small to have one refuses it, and then the train split is read."""
-    w = B.model_windows(spark, sf)
-    try:
-        rows = X.split_rows(w, "validation")
-    except ValueError:
-        rows = X.split_rows(w, "train")
+    rows = X.split_rows(B.model_windows(spark, sf, SPLIT_PARAMS), "validation")
     return rows.select("window_id", B.listed(F.flatten("features")).alias("vector"), "label")
 
 
@@ -293,39 +293,111 @@ def predictions(spark, sf):
     return E.predictions(B.scores(spark, sf))
 
 
-# ---- fits: SQL tells which rows are scored and what any fit must hold; tests compare the models themselves
+# ---- fits.  SQL can't fit a model, but it can tell the numbers that the best model, and no other, has
+
+
+def _split_windows(spark, sf) -> Written:
+    """Windows with room for all three splits, written once for the rounds of a fit."""
+    return Written(B.model_windows(spark, sf, SPLIT_PARAMS).select("window_id", "split", "label", "features"), "fit-windows")
 
 
-def _vectors(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """train, validation and all rows, standardised, as vectors; kept in memory for the rounds of a fit.  A table too
-    small for a validation split is judged on its train split."""
-    rows = _standardized(spark, sf).select("window_id", "split", "label", "features")
-    rows = fit.with_vector(rows, F.flatten("features")).select("window_id", "split", "label", "vector").persist()
+def _fitted(spark, sf):
+    """A logistic model at its optimum, and all rows with their vectors."""
+    rows = Written(fit.with_vector(_standardized(spark, sf, _split_windows(spark, sf).rows), F.flatten("features")).select("window_id", "split", "label", "vector"), "fit-vectors").rows
     train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
-    return train, train if validation.isEmpty() else validation, rows
+    return fit.logistic_fit(train, validation, regs=(0.01, 0.1), rounds=500, tolerance=1e-12), train, rows
+
+
+def same(model: Column, data: Column, within: float = 1e-6) -> Column:
+    """The data's number where the model's agrees with it, else the model's."""
+    return F.when(F.abs(model - data) < within, data).otherwise(model)
 
 
-@query(f"WITH {WINDOWS} SELECT window_id, split, label, true AS scored FROM mw", "logistic_fit", "score_split")
+_SPLIT = SPLIT_PARAMS.window
+_WEIGHTED = "cw AS (SELECT CAST(count(*) - sum(label) AS DOUBLE) / sum(label) AS pw FROM mw WHERE split = 'train'), tr AS (SELECT window_id, label, CASE WHEN label = 1 THEN pw ELSE 1 END AS w FROM mw, cw WHERE split = 'train')"
+
+
+@query(f"""WITH {SPLIT_WINDOWS}, {_long('mw', _SPLIT)}, {_BOUNDS}, {_CLIP}, {_SCALER}, {_SCALED}, {_WEIGHTED}
+SELECT CAST(position * {W} + j - 1 AS INTEGER) AS j, round(sum(tr.w * tr.label * z) / sum(tr.w), 6) + 0 AS moment FROM sd JOIN tr USING (window_id) GROUP BY 1
+UNION ALL SELECT -1, round(sum(w * label) / sum(w), 6) FROM tr""")
 def logistic_fit(spark, sf):
-    """Every row with its split and label; ``scored``: a probability that its logit agrees with, from a model that is
-    no worse than chance on validation."""
-    train, validation, rows = _vectors(spark, sf)
-    model, auc, _ = fit.logistic_fit(train, validation, regs=(0.01, 0.1), rounds=20)
-    out = fit.score(model, rows.withColumn("label", F.col("label").cast("int")))
-    agrees = F.abs(1 / (1 + F.exp(-F.col("logit"))) - F.col("probability")) < 2e-6
-    fair = F.col("probability").between(0.0, 1.0) & agrees & F.lit(0.0 <= auc <= 1.0)
-    out = out.select("window_id", "split", "label", fair.alias("scored"))
-    rows.unpersist()
-    return out
-
-
-@query("SELECT CAST(i AS INTEGER) AS iteration, true AS in_range, true AS best_is_first_highest FROM range(5) t(i)", "boosted_fit", "run_history")
+    """By coefficient: the weighted mean of probability times feature, plus the pull of the regularisation.  At the optimum it is that of
+    label times feature, which SQL knows; any other weights give other numbers."""
+    (model, _, reg), train, _ = _fitted(spark, sf)
+    found = fit.logistic_moments(model, train, reg)
+    return found.select("j", r(same(F.col("of_model"), F.col("of_labels"))).alias("moment"))
+
+
+@query(f"""WITH {SPLIT_WINDOWS}, {_WEIGHTED} SELECT split, count(*) AS n, count(*) AS agreeing, CAST(sum(mw.label) AS BIGINT) AS positives, round(sum(tr.w * tr.label) / sum(tr.w), 6) AS mean_probability
+FROM mw LEFT JOIN tr USING (window_id) GROUP BY 1""")
+def score_split(spark, sf):
+    """By split: rows whose probability and logit are those that the weights alone give, and the weighted mean probability of
+    the train split, which at the optimum is that of its labels."""
+    (model, _, _), train, rows = _fitted(spark, sf)
+    out = fit.score(model, rows.withColumn("label", F.col("label").cast("int"))).withColumn("x", vector_to_array("vector"))
+    p = fit.linear_probability(model, F.col("x"))
+    fair = (F.abs(p - F.col("probability")) < 1e-9) & (F.abs(1 / (1 + F.exp(-F.col("logit"))) - F.col("probability")) < 2e-6)
+    weight = F.when(F.col("split") == "train", F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(1.0))
+    out = out.crossJoin(F.broadcast(X.class_weights(train).select("pos_weight"))).withColumn("w", weight)  # one row
+    mean, labels = (F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum("w")) for c in ("probability", "label"))
+    return out.groupBy("split").agg(
+        F.count("*").alias("n"), F.count_if(fair).alias("agreeing"), F.sum("label").cast("long").alias("positives"), r(same(mean, labels)).alias("mean_probability")
+    )
+
+
+# stumps on values that are one of two: SQL can follow every round
+
+_TWO_VALUED = [N.index("side"), N.index("role_is_maker")]
+_ROUNDS, _STEP = 3, 0.3
+
+
+def _stump_sql(i: int) -> str:
+    """Round i: the stump of the largest gain, its leaves, and the margins after it."""
+    before = f"(SELECT window_id, split, label, w, margin FROM m{i - 1})" if i else "(SELECT window_id, split, label, coalesce(w, 1) AS w, 0.0::DOUBLE AS margin FROM mw LEFT JOIN (SELECT window_id, w FROM tr) USING (window_id))"
+    return f""",
+g{i} AS (SELECT *, w * (label - 1 / (1 + exp(-margin))) AS g, w / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))) AS h FROM {before}),
+s{i} AS (SELECT f, sum(g) FILTER (NOT hi) AS gl, sum(h) FILTER (NOT hi) AS hl, sum(g) FILTER (hi) AS gr, sum(h) FILTER (hi) AS hr FROM g{i} JOIN two USING (window_id) WHERE split = 'train' GROUP BY 1),
+b{i} AS (SELECT f, {_STEP} * gl / (hl + 1) AS low, {_STEP} * gr / (hr + 1) AS high FROM s{i} ORDER BY gl * gl / hl + gr * gr / hr DESC, f LIMIT 1),
+m{i} AS (SELECT g{i}.* EXCLUDE (g, h) REPLACE (margin + CASE WHEN hi THEN high ELSE low END AS margin) FROM g{i} JOIN two USING (window_id) JOIN b{i} USING (f)),
+c{i} AS (SELECT *, sum(label) OVER o AS tp, sum(1 - label) OVER o AS fp, rank() OVER (PARTITION BY split ORDER BY margin) + (count(*) OVER (PARTITION BY split, margin) - 1) / 2.0::DOUBLE AS rk
+  FROM m{i} WHERE split <> 'test' WINDOW o AS (PARTITION BY split ORDER BY margin DESC, window_id ROWS UNBOUNDED PRECEDING)),
+e{i} AS (SELECT {i} AS iteration, split, {_AUC} AS auc, sum(CASE WHEN label = 1 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END) / sum(label) AS aucpr,
+  avg(-(label * ln(1 / (1 + exp(-margin))) + (1 - label) * ln(1 - 1 / (1 + exp(-margin))))) AS logloss FROM c{i} GROUP BY split)"""
+
+
+_STUMPS = f"""{SPLIT_WINDOWS}, {_WEIGHTED},
+two AS (SELECT window_id, CAST((p - 1) * 2 + k AS INTEGER) AS f, features[p][([{', '.join(str(j + 1) for j in _TWO_VALUED)}])[k + 1]] > 0 AS hi FROM mw, (SELECT unnest(range(1, {_SPLIT + 1})) AS p), (SELECT unnest([0, 1]) AS k))""" + "".join(map(_stump_sql, range(_ROUNDS)))
+
+
+def _boosted(spark, sf):
+    w = _split_windows(spark, sf).rows
+    pair = F.flatten(F.transform("features", lambda step: F.array(*(step[j] for j in _TWO_VALUED))))
+    rows = Written(fit.with_vector(w, pair).select("window_id", "split", "label", "vector"), "fit-stumps").rows
+    train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+    return fit.boosted_fit(train, validation, "window_id", depth=1, rounds=_ROUNDS, step=_STEP, patience=_ROUNDS, rows_share=1.0, columns_share=1.0)
+
+
+@query(f"WITH {_STUMPS} " + " UNION ALL ".join(f"SELECT {i} AS iteration, f AS feature, round(low, 7) AS low, round(high, 7) AS high FROM b{i} WHERE {i} <= (SELECT arg_min(iteration, (-round(auc, 9), iteration)) FROM best)" for i in range(_ROUNDS)))
 def boosted_fit(spark, sf):
-    """The rounds that were looked at (all, since patience is longer than the run), and the choice among them."""
-    train, validation, rows = _vectors(spark, sf)
-    _, best, history = fit.boosted_fit(train, validation, depth=2, rounds=5, patience=5)
-    rows.unpersist()
-    top = max(v for _, _, v in history)
-    first = min(i for i, _, v in history if v == top)
+    """The trees that the model keeps: by round the feature that a stump splits, and what it adds below and above."""
+    model, _ = _boosted(spark, sf)
+    rows = []
+    for i, stage in enumerate(model.stages):
+        feature = int(stage.tree.featureImportances.toArray().argmax())
+        low, high = (stage.values[int(stage.tree.predictLeaf(Vectors.dense([x] * len(stage.features))))] for x in (-9.0, 9.0))
+        rows.append((i, feature, low, high))
+    return rounded(spark.createDataFrame(rows, "iteration int, feature int, low double, high double"), "low", "high", digits=7)
+
+
+_HISTORY = " UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(_ROUNDS))
+ORACLES["boosted_fit"] = ORACLES["boosted_fit"].replace(f"WITH {_STUMPS} ", f"WITH {_STUMPS}, best AS (SELECT iteration, auc FROM ({_HISTORY}) WHERE split = 'validation') ")
+
+
+@query(f"""WITH {_STUMPS} SELECT iteration, round(max(auc) FILTER (split = 'train'), 7) AS train_auc, round(max(aucpr) FILTER (split = 'train'), 7) AS train_aucpr, round(max(logloss) FILTER (split = 'train'), 7) AS train_logloss,
+ round(max(auc) FILTER (split = 'validation'), 7) AS validation_auc, round(max(aucpr) FILTER (split = 'validation'), 7) AS validation_aucpr, round(max(logloss) FILTER (split = 'validation'), 7) AS validation_logloss
+FROM ({_HISTORY}) GROUP BY 1""")
+def run_history(spark, sf):
+    """AUC, PR-AUC and log loss of both splits after every round."""
+    _, history = _boosted(spark, sf)
     wide = fit.run_history(spark.createDataFrame(history, "iteration int, dataset_metric string, value double"))
-    return wide.select("iteration", F.col("validation_auc_roc").between(0.0, 1.0).alias("in_range"), F.lit(best == first).alias("best_is_first_highest"))
+    return rounded(wide, *(c for c in wide.columns if c != "iteration"), digits=7)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lots, pairs, wallets
+from ..sources.scratch import Written
 from . import base as B
 from .base import WALLETS, r, rounded
 
@@ -100,44 +101,51 @@ def wallet_book_join(spark, sf):
 # ---- pairs
 
 
-def _vectors(spark, sf) -> DataFrame:
-    t = B.wallet_trades(spark, sf)
-    return wallets.wallet_context(t).join(wallets.dominant(t, "outcome"), ["market_id", "wallet"]).join(B.profiles(spark, sf), "wallet", "left")
+def _vectors(spark, sf, trades: DataFrame | None = None) -> DataFrame:
+    return wallets.pair_inputs(B.wallet_trades(spark, sf) if trades is None else trades, B.profiles(spark, sf))
+
 
+def _best(spark, sf) -> DataFrame:
+    return pairs.best_pairs(Written(_vectors(spark, sf), "wallets").rows)
 
-def _pairs(spark, sf) -> DataFrame:
-    return pairs.pair_evidence(pairs.pair_scores(_vectors(spark, sf)))
 
+PARTS = ("entry_score", "same_outcome", "size_score", "age_score", "exit_score")
+_PARTS = ", ".join(f"round({c}, 3) + 0 AS {c}" for c in PARTS)
 
-_PARTS = ", ".join(f"round({c}, 3) + 0 AS {c}" for c in ("entry_score", "same_outcome", "size_score", "age_score", "exit_score"))
 
+@query(f"WITH {WALLETS} SELECT market_id, left_wallet, right_wallet, round(raw, 2) AS score FROM pairs WHERE raw >= 35")
+def wallet_pair_join(spark, sf):
+    """All pairs of at least 35 points."""
+    return pairs.pair_evidence(pairs.pair_scores(_vectors(spark, sf))).select("market_id", "left_wallet", "right_wallet", r("score", 2))
 
-@query(f"WITH {WALLETS} SELECT market_id, left_wallet, right_wallet, round(raw, 2) AS score FROM pairs WHERE raw >= 35", "wallet_pair_join", "pair_score")
+
+@query(f"WITH {WALLETS} SELECT market_id, left_wallet, right_wallet, score, {_PARTS} FROM top_pairs")
 def pair_score(spark, sf):
-    return _pairs(spark, sf).select("market_id", "left_wallet", "right_wallet", r("score", 2))
+    """The twenty best pairs of every market, by the bounded search, and what their scores are made of."""
+    return _best(spark, sf).select("market_id", "left_wallet", "right_wallet", r("score", 2), *(r(c, 3) for c in PARTS))
 
 
 @query(f"""WITH {WALLETS} SELECT market_id, pair_key, list_filter([CASE WHEN entry_score >= 0.7 THEN 'Entered the market in a tight time window.' END, CASE WHEN same_outcome = 1 THEN 'Built exposure on the same outcome.' END,
- CASE WHEN age_score >= 0.7 THEN 'Observed account ages are unusually close.' END, CASE WHEN exit_score >= 0.7 THEN 'Exits were synchronized.' END], lambda x: x IS NOT NULL) AS evidence FROM scored_pairs""")
+ CASE WHEN age_score >= 0.7 THEN 'Observed account ages are unusually close.' END, CASE WHEN exit_score >= 0.7 THEN 'Exits were synchronized.' END], lambda x: x IS NOT NULL) AS evidence FROM top_pairs""")
 def pair_evidence(spark, sf):
-    return _pairs(spark, sf).select("market_id", "pair_key", "evidence")
+    return _best(spark, sf).select("market_id", "pair_key", "evidence")
 
 
 @query(f"WITH {WALLETS} SELECT market_id, pair_key, score, CAST(pair_rank AS INTEGER) AS pair_rank FROM top_pairs")
 def top_pairs(spark, sf):
-    return pairs.top_pairs(_pairs(spark, sf)).select("market_id", "pair_key", r("score", 2), "pair_rank")
+    return _best(spark, sf).select("market_id", "pair_key", r("score", 2), "pair_rank")
 
 
 @query(f"WITH {WALLETS} SELECT market_id, wallet, max_pair_score, linked_wallets FROM rollup")
 def pair_rollup(spark, sf):
-    return wallets.pair_rollup(pairs.top_pairs(_pairs(spark, sf)))
+    return wallets.pair_rollup(_best(spark, sf))
 
 
 @query(f"WITH {WALLETS} SELECT market_id, wallet, coalesce(max_pair_score, 0) AS max_pair_score, round(coalesce(flow_share, 0), 6) AS flow_share, round(realized_bps, 4) + 0 AS realized_bps FROM ctx LEFT JOIN rollup USING (market_id, wallet) LEFT JOIN share USING (market_id, wallet) LEFT JOIN realized USING (market_id, wallet)")
 def pair_rollup_join(spark, sf):
     t = B.wallet_trades(spark, sf)
     out = wallets.wallet_context(t).select("market_id", "wallet")
-    for part in (wallets.pair_rollup(pairs.top_pairs(_pairs(spark, sf))), wallets.flow_share(t), lots.realized_markout_by_wallet(t)):
+    for part in (wallets.pair_rollup(_best(spark, sf)), wallets.flow_share(t), lots.realized_markout_by_wallet(t)):
         out = out.join(part, ["market_id", "wallet"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.select("market_id", "wallet", zero("max_pair_score").alias("max_pair_score"), r(zero("flow_share")).alias("flow_share"), r("realized_bps", 4))
@@ -192,9 +200,23 @@ def horizon_markout_by_wallet(spark, sf):
 # ---- metrics and scores
 
 
+def analysed(trades: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics of all wallets and the best pairs of all markets.  Trades, pairs and what both rest on are written once, so the
+    dozen parts of a score don't read and parse the source again."""
+    best = Written(pairs.best_pairs(Written(wallets.pair_inputs(trades, profiles), "wallets").rows), "pairs").rows
+    made = wallets.wallet_metrics(B.markets_of(trades), trades, profiles, B.books_of(trades), best, lots.realized_markout_by_wallet(trades))
+    return made, best
+
+
+def snapshot_of(trades: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Snapshots of the markets of these trades."""
+    metrics, best = analysed(trades, profiles)
+    scored = Written(wallets.score_wallets(metrics), "scored").rows
+    return wallets.market_snapshot(B.markets_of(trades), trades, scored, best, B.books_of(trades))
+
+
 def _metrics(spark, sf) -> DataFrame:
-    t = B.wallet_trades(spark, sf)
-    return wallets.wallet_metrics(B.markets(spark, sf), t, B.profiles(spark, sf), B.books(spark, sf), pairs.top_pairs(_pairs(spark, sf)), lots.realized_markout_by_wallet(t))
+    return analysed(Written(B.wallet_trades(spark, sf), "trades").rows, B.profiles(spark, sf))[0]
 
 
 _PAYOUT = """pay AS (SELECT market_id, wallet, coalesce(avg(least(1.0::DOUBLE, greatest(0.0::DOUBLE, g / 0.5))), 0) AS payout_score FROM (
@@ -295,17 +317,22 @@ def interesting_wallets(spark, sf):
     return wallets.interesting_wallets(B.wallet_trades(spark, sf), B.holders(spark, sf)).select("market_id", "wallet", "priority")
 
 
-@query(f"""WITH {WALLETS}, {_TOP},
+SNAPSHOT = f"""{_TOP},
  a AS (SELECT market_id, list(wallet ORDER BY k) AS suspicious_wallets, list(combined_score ORDER BY k) AS scores FROM tw GROUP BY 1),
  b AS (SELECT market_id, list(pair_key ORDER BY pair_rank) AS linked_pairs FROM top_pairs GROUP BY 1),
  c AS (SELECT market_id, list(wallet || ' ' || side ORDER BY k) AS recent_trades FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY ts DESC, seq DESC) AS k FROM wt) WHERE k <= 20 GROUP BY 1)
 SELECT market_id, CASE WHEN active AND NOT closed AND NOT resolved THEN 'live' ELSE 'post_event' END AS mode, n AS trade_count, w AS wallet_count, round(v, 2) AS total_volume_usdc, round(realized_volatility, 4) AS realized_volatility, suspicious_wallets, scores, linked_pairs, recent_trades
-FROM mk JOIN (SELECT market_id, count(*) AS n, count(DISTINCT wallet) AS w, sum(usdc) AS v FROM wt GROUP BY 1) USING (market_id) JOIN vol USING (market_id) LEFT JOIN a USING (market_id) LEFT JOIN b USING (market_id) LEFT JOIN c USING (market_id)""")
-def market_snapshot(spark, sf):
-    t = B.wallet_trades(spark, sf)
-    out = wallets.market_snapshot(B.markets(spark, sf), t, _scored(spark, sf), pairs.top_pairs(_pairs(spark, sf)), B.books(spark, sf))
+FROM mk JOIN (SELECT market_id, count(*) AS n, count(DISTINCT wallet) AS w, sum(usdc) AS v FROM wt GROUP BY 1) USING (market_id) JOIN vol USING (market_id) LEFT JOIN a USING (market_id) LEFT JOIN b USING (market_id) LEFT JOIN c USING (market_id)"""
+
+
+def snapshot_columns(out: DataFrame) -> DataFrame:
     return out.select(
         "market_id", "mode", "trade_count", "wallet_count", r("total_volume_usdc", 2), r("realized_volatility", 4), F.col("suspicious_wallets.wallet").alias("suspicious_wallets"),
         B.listed(F.col("suspicious_wallets.combined_score"), 2).alias("scores"), F.col("linked_pairs.pair_key").alias("linked_pairs"),
         F.transform("recent_trades", lambda x: F.concat_ws(" ", x["wallet"], x["side"])).alias("recent_trades"),
     )
+
+
+@query(f"WITH {WALLETS}, {SNAPSHOT}")
+def market_snapshot(spark, sf):
+    return snapshot_columns(snapshot_of(Written(B.wallet_trades(spark, sf), "trades").rows, B.profiles(spark, sf)))
