@@ -8,18 +8,37 @@ stages see them only if they are run alone; there they are kept.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, linededup, neardup, quality
-from tidemark.llm.scratch import drop_since, mark, materialize
+from tidemark.llm.scratch import drop_since, mark, materialize, set_aside
+
+
+#: Columns that stages read or change.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(stage):
+    """A stage that gets other columns under names of no meaning and gives them back as they were."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        docs, restored = set_aside(docs, known=COLUMNS)
+        return restored(stage(spark, docs, sf_dir))
+
+    return run
 
 
+@carrying
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or their host's verdict reject."""
     return quality.judge(docs).filter("kept").select(*docs.columns)
 
 
+@carrying
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines whose template recurs across documents; a document keeps its row, and ``n_chars`` follows
     its text."""
@@ -29,6 +48,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@carrying
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group (five words, similarity 0.8 or more): the one with the smallest
     id, null ids last.  Rows without words are in no group and stay."""
@@ -45,6 +65,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(gone.hint("merge"), "__number", "left_anti").select(*docs.columns)
 
 
+@carrying
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages (13-word windows over at least a twentieth of their words)."""
     found = decontam.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
