@@ -293,6 +293,17 @@ def test_query_pages(spark, sf):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize(
+    "label, out",
+    [("ad", True), ("ad-slot-3", True), ("text-ad", True), ("user-comments-list", True), ("siteFooter", True), ("topnav", True), ("main-menu", True), ("cookie_notice", True), ("Sidebar left", True)]
+    + [("content", False), ("has-sidebar", False), ("no-comments", False), ("comments-open", False), ("readable", False), ("article-body", False), ("lead", False), ("addition", False), ("formal", False)],
+)
+def test_labels(label, out):
+    page = pagetree.parse(f"<div class='{label}'><p>text</p></div>")
+    assert page.texts[0].at.out is out
+    assert pagetree.parse(f"<div id={label.split()[0]}>text</div>").texts[0].at.out is out
+
+
 # ---- calls side by side
 
 

@@ -43,7 +43,10 @@ LABELS = set(
     "aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login search form comment comments respond replies disqus "
     "related recommended share sharing social toolbar pagination pager copyright legal disclaimer skip".split()
 )
-NEGATED = set("has no not with without is hide show".split())
+#: What a word of a label may end in, wherever the word stands in it; the others count at its beginning or end.
+ENDINGS = tuple("comment comments sidebar footer navbar topnav sidenav menu banner breadcrumb breadcrumbs advert advertisement sponsored cookie cookies newsletter popup modal disqus".split())
+#: Words of labels that say how a page is laid out, not what an element is.
+NEGATED = set("has no not with without is hide show open closed enabled disabled allowed on off".split())
 #: Elements that may hold a whole article; others are parts of one.
 HOLDERS = set("body div section article main center table tbody tr td span html".split())
 
@@ -72,7 +75,8 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
     if not out and tag not in ("html", "body", "article", "main"):
         for label in (*classes, own):
             words = [w.lower() for w in _WORDS.findall(label)]
-            out = out or bool(words) and not NEGATED & set(words) and (words[0] in LABELS or words[-1] in LABELS)
+            if words and not NEGATED & set(words):
+                out = out or words[0] in LABELS or words[-1] in LABELS or any(w.endswith(ENDINGS) for w in words)
     elif not out and tag == "article":
         out = any(set(w.lower() for w in _WORDS.findall(label)) & {"comment", "comments", "ad", "advert", "promo"} for label in classes)
     name = tag + "".join("." + _LONG.sub("", c) for c in classes) + ("#" + _DIGITS.sub("", own) if own else "")
