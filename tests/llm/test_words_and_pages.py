@@ -175,6 +175,14 @@ def test_collocations_extra_columns_and_empty(spark):
     assert collocations.collocations(docs.limit(0), 3).count() == 0
 
 
+def test_texts_in_another_order_are_an_error(spark):
+    rows = [f"{i} new york city {i}" for i in range(60)]
+    docs = spark.createDataFrame([("en", t) for t in rows], "lang string, text string")
+    texts = docs.coalesce(1).selectExpr("monotonically_increasing_id() as row", "lang", "text", "array(named_struct('print', 5L, 'place', 1L, 'words', 2, 'n', 60L)) as places")
+    with pytest.raises(Exception, match="another order"):
+        texts.mapInArrow(collocations._read, collocations._PHRASES).collect()
+
+
 def test_scores_of_large_numbers_are_exact(spark):
     a, n, left, right = 99_999_999_999, 9_999_999_999_999, 100_000_000_003, 100_000_000_019
     sql = "(cast(a as decimal(17)) * cast(1000 * cast(n as decimal(17)) as decimal(20))) div (cast(l as decimal(18)) * cast(r as decimal(18)))"

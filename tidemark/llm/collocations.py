@@ -250,7 +250,7 @@ def _placed(frequent: Broadcast):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, words, n) of the places of a text."""
+    """(lang, phrase, words, n) of the places of a text, which must still have the fingerprints found there."""
     for batch in tv.slices(batches, "text", BLOCK):
         block = Block(batch["text"], batch["lang"])
         out: tuple[list, ...] = ([], [], [], [])
@@ -258,6 +258,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang = batch["lang"][doc].as_py()
             for p in places:
                 i = int(block.words.first[doc]) + p["place"]
+                there = i + p["words"] <= len(block.words) and block.prints(np.array([i]), p["words"]).view(np.int64)[0] == p["print"]
+                if not there:
+                    raise ValueError("the texts came in another order when they were read again; write them to a table first")
                 for column, value in zip(out, ("und" if lang is None else lang, block.words.text(i, i + p["words"]).decode("utf-8", "replace"), p["words"], p["n"])):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "phrase", "words", "n"])
@@ -286,11 +289,12 @@ def _texts(held: dict[tuple[str, str, int], int]) -> pa.RecordBatch:
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, n) of all phrases of 1 to 5 words with n >= ``least``, and (lang, total) of all words."""
+    """(lang, phrase, words, n) of all phrases of 1 to 5 words with n >= ``least``, and (lang, total) of all words.  ``docs`` is read
+    several times, and rows must come in the same order each time, as they do from files; anything else is an error."""
     spark = docs.sparkSession
     scope = mark()
     row = F.monotonically_increasing_id().alias("row")
-    texts = materialize(docs.select(row, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "texts")
+    texts = docs.select(row, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def counted(n: int, frequent: Broadcast | None, name: str) -> DataFrame:
         found = texts.select("lang", "text").mapInArrow(_counts(n, frequent), "lang string, print long, n long")
@@ -307,7 +311,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     sums = placed.groupBy("print").agg(F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), F.min(place).alias("at"))
     sums = materialize(sums.filter(F.col("n") >= least), "placed")
     known.destroy()
-    wanted = sums.filter("check = other").groupBy("at.row").agg(F.collect_list(F.struct("at.place", "at.words", "n")).alias("places"))
+    wanted = sums.filter("check = other").groupBy("at.row").agg(F.collect_list(F.struct("print", "at.place", "at.words", "n")).alias("places"))
     wanted = materialize(wanted, "wanted")
     read = texts.join(_few(wanted), "row").select("lang", "text", "places")
     found = read.mapInArrow(_read, _PHRASES)
