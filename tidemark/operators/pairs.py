@@ -78,6 +78,7 @@ def pair_scores(wallets: DataFrame, candidates: DataFrame | None = None) -> Data
 
 def pair_evidence(pairs: DataFrame) -> DataFrame:
     """Rounded scores and the reasons as text."""
+    # sentences (fixed values)
     reasons = F.array_compact(
         F.array(
             F.when(F.col("entry_score") >= 0.7, "Entered the market in a tight time window."),

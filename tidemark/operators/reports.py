@@ -149,6 +149,7 @@ def training_feasibility(labeled: DataFrame, length: int, stride: int) -> DataFr
     )
     blocked = (F.col("eligible_stream_count") < LEAST_STREAMS) | (F.col("stride_window_count") < LEAST_WINDOWS)
     weigh = (F.col("imbalance_ratio") > MOST_IMBALANCE) | (F.col("user_row_share") > MOST_SHARE) | (F.col("market_row_share") > MOST_SHARE) | (F.col("positive_rate_range") > MOST_DRIFT)
+    # verdicts (fixed values)
     verdict = F.when(blocked, "blocked_for_training").when(weigh, "feasible_with_weighting_or_sampling").otherwise("feasible_now")
     return facts.withColumn("verdict", verdict)
 

@@ -175,6 +175,7 @@ def score_wallets(metrics: DataFrame) -> DataFrame:
     # strongest first; metrics of equal contribution keep their order
     strong = F.filter("metrics", lambda m: (m["normalized"] >= 0.65) & (m["weight"] > 0))
     ranked = F.array_sort(F.transform(strong, lambda m, i: F.struct((-m["contribution"]).alias("c"), i.alias("i"), m["label"].alias("label"), m["id"].alias("id"))))
+    # ends of the reasons (fixed values)
     after = lambda m: F.when((m["id"] == "realizedMarkout") & ~live, " lit up after the market closed.").otherwise(".")
     return out.withColumns(
         {
@@ -227,20 +228,27 @@ def market_snapshot(markets: DataFrame, trades: DataFrame, scored: DataFrame, pa
 HORIZONS = {"5m": 5, "30m": 30, "1h": 60, "4h": 240, "to_resolution": None}
 
 
-def horizon_markout(markets: DataFrame, trades: DataFrame, history: DataFrame, horizon: str) -> DataFrame:
-    """Notional-weighted bps by wallet; ``history`` is (asset, ts, price).  The price is the first at or after the
-    horizon, or else the last one there is."""
-    minutes = HORIZONS[horizon]
-    if minutes is None:
-        t = trades.join(markets.select("market_id", "resolved", "resolution"), "market_id")
-        t = t.withColumn("future", settlement_price(F.col("resolved"), F.col("resolution"), F.col("outcome")))
-    else:
-        t = price_forward_or_last(trades.withColumn("target", F.timestamp_add("MINUTE", F.lit(minutes), F.col("ts"))), history)
+def horizon_markouts(markets: DataFrame, trades: DataFrame, history: DataFrame, horizons: dict[str, int | None] = HORIZONS) -> DataFrame:
+    """Notional-weighted bps by wallet and ``horizon``; ``history`` is (asset, ts, price).  The price is the first at or after the
+    horizon, or else the last one there is; without minutes it is that of the settlement.
+
+    A trade is sent to one as-of join with the targets of all its horizons, so quotes are shuffled once."""
+    ahead = [(name, minutes) for name, minutes in horizons.items() if minutes is not None]
+    columns = ["market_id", "wallet", "asset", "side", "outcome", "price", "size", "usdc"]
+    at = F.explode(F.array(*(F.struct(F.lit(n).alias("horizon"), F.lit(m).alias("minutes")) for n, m in ahead))).alias("at") if ahead else None
+    out = None
+    if ahead:
+        probes = trades.select(*columns, "ts", at).select(*columns, "at.horizon", F.timestamp_add("MINUTE", F.col("at.minutes"), F.col("ts")).alias("target"))
+        out = price_forward_or_last(probes, history).select(*columns, "horizon", "future")
+    for name in (n for n, m in horizons.items() if m is None):
+        settled = trades.select(*columns).join(markets.select("market_id", "resolved", "resolution"), "market_id")
+        settled = settled.select(*columns, F.lit(name).alias("horizon"), settlement_price(F.col("resolved"), F.col("resolution"), F.col("outcome")).alias("future"))
+        out = settled if out is None else out.unionByName(settled)
     notional = F.when(F.col("future").isNotNull(), F.greatest(F.col("price") * F.col("size"), F.col("usdc"), F.lit(1.0)))
     bps = entry_bps(F.col("price"), F.col("future"), F.col("side"))
-    return t.groupBy("market_id", "wallet").agg(
+    return out.groupBy("market_id", "wallet", "horizon").agg(
         F.try_divide(F.sum(bps * notional), F.sum(notional)).alias("weighted_bps"), F.count("future").alias("matched_trades"), F.count("*").alias("trade_count")
-    ).withColumn("horizon", F.lit(horizon))
+    )
 
 
 def price_forward_or_last(probes: DataFrame, history: DataFrame) -> DataFrame:

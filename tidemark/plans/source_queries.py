@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import leaderboard as L
 from ..operators import run
+from ..operators.reports import PERCENTILES
 from ..params import QUERY_PARAMS as P
 from ..sources import ingest, sinks
 from ..sources import trades as T
@@ -17,6 +18,7 @@ from ..sources.scratch import Written, scratch
 from ..streaming import stream as Z
 from . import base as B
 from .base import BASE, WALLETS, WINDOWS, r, rounded, table
+from .report_queries import ORACLES as REPORTS
 from .wallet_queries import SNAPSHOT, snapshot_columns, snapshot_of
 
 QUERIES: dict = {}
@@ -185,15 +187,40 @@ def run_chain(spark, sf):
     return sinks.read_manifests(spark, f"{root}/*").select("stage", "row_count", "min_time", "max_time")
 
 
-@query(f"""WITH {BASE}, t AS (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM labeled), s AS (SELECT count(*) AS n FROM labeled GROUP BY "user", market_id)
-SELECT t.n AS total_rows, p AS positive_rows, (SELECT list(m ORDER BY m) FROM (SELECT DISTINCT strftime(trade_time, '%Y-%m') AS m FROM labeled)) AS months, (SELECT count(*) FILTER (n >= 8) FROM s) AS eligible_stream_count FROM t""")
+#: Parts of the report: the query that has the same numbers, what names an item of a list, and the fields.
+_BALANCE = ("row_count", "positive_rows", "negative_rows", "positive_rate", "avg_abs_markout_bps", "avg_usd_amount")
+PARTS = {
+    "dataset": ("dataset_totals", None, ("total_rows", *_BALANCE[1:], "distinct_users", "distinct_markets", "distinct_assets")),
+    "class_ratios": ("class_ratios", None, ("negative_rate", "positive_to_negative_ratio", "majority_to_minority_ratio")),
+    "monthly_balance": ("label_monthly_balance", "month", _BALANCE),
+    "percentiles": ("percentiles", "measure", tuple(PERCENTILES)),
+    "stream_lengths": ("stream_length_buckets", "bucket", ("stream_count", "avg_stream_len")),
+    "windows": ("window_estimates", None, ("stream_count", "eligible_stream_count", "dense_window_count", "stride_window_count")),
+    "label_integrity": ("label_integrity", None, ("invalid_future_time_rows", "null_label_rows", "null_markout_bps_rows")),
+    "feasibility": ("training_feasibility", None, ("eligible_stream_count", "stride_window_count", "imbalance_ratio", "user_row_share", "market_row_share", "positive_rate_range")),
+}
+
+
+def _part_sql(part: str) -> str:
+    name, item, fields = PARTS[part]
+    names, values = ", ".join(f"'{f}'" for f in fields), ", ".join(f"CAST({f} AS DOUBLE)" for f in fields)
+    return f"SELECT '{part}' AS part, {item or 'CAST(NULL AS VARCHAR)'} AS item, unnest([{names}]) AS field, unnest([{values}]) AS value FROM ({REPORTS[name]})"
+
+
+@query(" UNION ALL ".join(map(_part_sql, PARTS)) + f" UNION ALL SELECT 'feasibility', verdict, 'verdict', NULL FROM ({REPORTS['training_feasibility']})")
 def nested_report(spark, sf):
-    """The whole analysis as one nested JSON document, read back."""
+    """The whole analysis as one nested JSON document, read back; a row for each number, and the verdict."""
     path = scratch(spark, "analysis")
-    sinks.write_json_report(run.analysis_report(B.labeled(spark, sf), P), path)
-    schema = "dataset struct<total_rows: bigint, positive_rows: bigint>, monthly_balance array<struct<month: string>>, feasibility struct<eligible_stream_count: bigint>"
-    back = spark.read.schema(schema).json(path)
-    return back.select("dataset.total_rows", "dataset.positive_rows", F.col("monthly_balance.month").alias("months"), "feasibility.eligible_stream_count")
+    report = run.analysis_report(Written(B.labeled(spark, sf), "labeled").rows, P)
+    sinks.write_json_report(report, path)
+    back = spark.read.schema(report.schema).option("timestampNTZFormat", sinks.TIME).json(path)
+    out = back.select(F.lit("feasibility").alias("part"), F.col("feasibility.verdict").alias("item"), F.lit("verdict").alias("field"), F.lit(None).cast("double").alias("value"))
+    for part, (_, item, fields) in PARTS.items():
+        rows = back.select(F.col(part).alias("x")) if item is None else back.select(F.explode(part).alias("x"))
+        pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"x.{f}").cast("double").alias("value")) for f in fields))
+        named = F.lit(None).cast("string") if item is None else F.col(f"x.{item}")
+        out = out.unionByName(rows.select(F.lit(part).alias("part"), named.alias("item"), F.inline(pairs)))
+    return rounded(out, "value")
 
 
 @query(f"WITH {BASE} SELECT market_id, count(*) AS n FROM labeled GROUP BY 1")

@@ -305,7 +305,7 @@ def _fitted(spark, sf):
     """A logistic model at its optimum, and all rows with their vectors."""
     rows = Written(fit.with_vector(_standardized(spark, sf, _split_windows(spark, sf).rows), F.flatten("features")).select("window_id", "split", "label", "vector"), "fit-vectors").rows
     train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
-    return fit.logistic_fit(train, validation, regs=(0.01, 0.1), rounds=500, tolerance=1e-12), train, rows
+    return fit.logistic_fit(train, validation, regs=(0.01, 0.1), rounds=500, tolerance=1e-10), train, rows
 
 
 def same(model: Column, data: Column, within: float = 1e-6) -> Column:

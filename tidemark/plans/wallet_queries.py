@@ -190,10 +190,7 @@ _AHEAD = ", ".join(_FUTURE.format(m=minutes).replace("fut AS", f"f_{name} AS") f
 
 @query(f"WITH {WALLETS}, {_AHEAD}, {_SETTLED} {_HORIZON_SQL}", "horizon_markout_by_wallet", "horizon_wallet_order")
 def horizon_markout_by_wallet(spark, sf):
-    out = None
-    for horizon in wallets.HORIZONS:
-        one = wallets.horizon_markout(B.markets(spark, sf), B.wallet_trades(spark, sf), _history(spark, sf), horizon)
-        out = one if out is None else out.unionByName(one)
+    out = wallets.horizon_markouts(B.markets(spark, sf), B.wallet_trades(spark, sf), _history(spark, sf))
     return rounded(wallets.horizon_wallet_order(out), "weighted_bps", digits=4)
 
 

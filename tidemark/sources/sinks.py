@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..params import Params
 
 #: Times in JSON reports keep their microseconds.
-_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -49,7 +49,7 @@ def config_hash(params: Params) -> str:
 
 def write_json_report(df: DataFrame, path: str, overwrite: bool = True) -> None:
     """A report of a few rows as one JSON file."""
-    df.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").option("timestampNTZFormat", _TIME).json(path)
+    df.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").option("timestampNTZFormat", TIME).json(path)
 
 
 def write_csv_report(df: DataFrame, path: str, overwrite: bool = True) -> None:
@@ -101,7 +101,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     found = fs.globStatus(at)
     if not found:
         return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).option("timestampNTZFormat", _TIME).json(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).option("timestampNTZFormat", TIME).json(f"{path}/manifest")
 
 
 def actual_counts(spark: SparkSession, stages: dict[str, str]) -> DataFrame:
