@@ -563,20 +563,20 @@ def test_learned_formats():
     labelled = secrets.labelled_credentials(each, seed=7)
     scorer = secrets.Scorer(labelled)
     held = secrets.labelled_credentials(each=30, seed=99)
-    good = [scorer.score(t) > 0.5 for t, label in held if label]
-    plain = [scorer.score(t) > 0.5 for t, label in held if not label]
+    good = [scorer.score(t) > secrets.THRESHOLD for t, label in held if label]
+    plain = [scorer.score(t) > secrets.THRESHOLD for t, label in held if not label]
     assert sum(good) / len(good) >= 0.95 and sum(plain) / len(plain) < 0.02
     good = [x for x in labelled if x[1]]
     found = []
     for k in range(len(good) // each):
         own = slice(k * each, (k + 1) * each)
         rest = secrets.Scorer(good[: own.start] + good[own.stop :] + [x for x in labelled if not x[1]])
-        found.append(sum(rest.score(t) > 0.5 for t, _ in good[own]) / each)
-    assert sum(found) / len(found) >= 0.95 and min(found) >= 0.8
+        found.append(sum(rest.score(t) > secrets.THRESHOLD for t, _ in good[own]) / each)
+    assert sum(found) / len(found) >= 0.95 and min(found) >= 0.9
 
 
 def plain_secrets(text, scorer):
-    """Base spans by scanning from the left, and candidates that touch none of them."""
+    """Base spans by scanning from the left, and what they leave of the candidates."""
     spans = []
     for k, (_, pattern, group, least) in enumerate(secrets.FORMATS):
         at = 0
@@ -586,10 +586,18 @@ def plain_secrets(text, scorer):
             at = m.end()
     base = list(spans)
     for m in secrets.CANDIDATE.finditer(text):
-        t = m.group()
-        if any(c.isalpha() for c in t) and any(c.isdigit() for c in t) and all(b <= m.start() or a >= m.end() for a, _, b in base):
-            if scorer.score(t) > 0.5:
-                spans.append((m.start(), 3, m.end()))
+        cover = {i for a, _, b in base if a < m.end() and b > m.start() for i in range(max(a, m.start()), min(b, m.end()))}
+        left, a = [], None
+        for i in range(m.start(), m.end() + 1):
+            if i < m.end() and i not in cover:
+                a = i if a is None else a
+            elif a is not None:
+                left.append((a, i))
+                a = None
+        for a, b in left:
+            t = text[a:b]
+            if b - a >= 12 and any(c.isalpha() for c in t) and any(c.isdigit() for c in t) and scorer.score(t) > secrets.THRESHOLD:
+                spans.append((a, 3, b))
     return sorted(spans)
 
 
