@@ -102,3 +102,30 @@ def test_time_range_is_half_open(spark):
     raw = goldens.four(spark)
     assert T.scan_time_range(raw, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 10)).count() == 2
     assert T.scan_time_range_closed(raw, goldens.START, goldens.START + 600).count() == 3
+
+
+def test_trailing_features_are_running_frames_and_right_at_their_bounds(spark):
+    """A frame that is gone through anew for each row made the time of a full hour quadratic."""
+    import random
+    import statistics
+    from datetime import datetime, timedelta
+
+    draw, start = random.Random(3), datetime(2024, 1, 1)
+    hour = 3_600_000_000
+    times = [draw.choice((0, 1, 7)) * hour + draw.choice((0, 1, hour // 2, hour - 1, draw.randrange(hour))) for _ in range(120)]
+    data = [(f"u{draw.randrange(3)}", f"m{draw.randrange(2)}", start + timedelta(microseconds=t), i, f"t{i}", f"o{i}", "maker", draw.choice((None, draw.random())), draw.random(), draw.uniform(-9, 9)) for i, t in enumerate(times)]
+    kinds = "user string, market_id string, trade_time timestamp_ntz, block_number long, transaction_hash string, order_hash string, role string, usd_amount double, price_yes double, signed_token_amount double"
+    found = rolling.trailing_features(spark.createDataFrame(data, kinds))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe" in plan and str(hour) not in "".join(x[:90] for x in plan.split("specifiedwindowframe")[1:])
+    of = {r.block_number: r for r in found.collect()}
+    assert len(of) == len(data)
+    for row in data:
+        frame = [x for x in data if timedelta(0) <= row[2] - x[2] <= timedelta(hours=1)]
+        market, user = [x for x in frame if x[1] == row[1]], [x for x in frame if x[0] == row[0]]
+        prices, amount = [x[8] for x in market], lambda rows: sum(x[7] or 0.0 for x in rows)
+        first = min(market, key=lambda x: x[2:7])[8]
+        r = of[row[3]]
+        got = (r.market_trade_count_1h, r.market_volume_1h, r.market_price_mean_1h, r.market_price_std_1h, r.market_price_return_1h, r.user_trade_count_1h, r.user_market_trade_count_1h, r.user_signed_flow_1h, r.user_usd_volume_1h)
+        wanted = (len(market) / 2, amount(market) / 2, statistics.fmean(prices), statistics.pstdev(prices), row[8] - first, len(user), sum(x[1] == row[1] for x in user), sum(x[9] for x in user), amount(user))
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, wanted)), (row, got, wanted)
