@@ -147,3 +147,14 @@ def test_twins_do_not_multiply(spark):
     w = spark.createDataFrame(rows, WALLET)
     assert pairs.without_twins(w, 20).count() <= 60
     assert [r.pair_key for r in pairs.best_pairs(w).orderBy("pair_rank").collect()] == [f"00000|{i:05}" for i in range(1, 21)]
+
+
+def test_pair_score_and_evidence_tell_of_all_pairs(spark, sf):
+    """They told of the twenty best of a market only."""
+    from tidemark.plans import wallet_queries as Q
+
+    scored, evidence = Q.pair_score(spark, sf), Q.pair_evidence(spark, sf)
+    assert scored.groupBy("market_id").count().agg({"count": "max"}).first()[0] > 20
+    every = {(x.market_id, x.left_wallet, x.right_wallet) for x in Q.QUERIES["wallet_pair_join"](spark, sf).collect()}
+    assert {(x.market_id, x.left_wallet, x.right_wallet) for x in scored.collect()} == every
+    assert {(x.market_id, *x.pair_key.split("|")) for x in evidence.collect()} == every
