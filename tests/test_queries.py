@@ -79,3 +79,15 @@ def test_throttle_lets_one_through(spark, sf):
     for times in by.values():
         times.sort()
         assert all(b - a >= 600_000_000 for a, b in zip(times, times[1:]))
+
+
+def test_streams_wait_for_their_end_however_long_it_takes(spark, sf, monkeypatch):
+    """A snapshot of a larger input was given up after ten minutes, flows after two."""
+    from pyspark.sql.streaming import StreamingQuery
+
+    waits = []
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: waits.append(timeout) or wait(self, timeout))
+    assert registry.queries()["stream_snapshot"](spark, sf).count() > 0
+    assert registry.queries()["stream_flow_5m"](spark, sf).count() > 0
+    assert waits == [None, None]

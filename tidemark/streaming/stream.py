@@ -193,8 +193,9 @@ def first_batch(writer: DataStreamWriter, timeout: int = 120) -> StreamingQuery:
     return query
 
 
-def drain(writer: DataStreamWriter, timeout: int = 120) -> StreamingQuery:
-    """Runs a stream over what is there and waits for its end."""
+def drain(writer: DataStreamWriter, timeout: int | None = None) -> StreamingQuery:
+    """Runs a stream over what is there and waits for its end, for at most ``timeout`` seconds if they are given; what is there may be
+    of any size."""
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination(timeout)
     if query.isActive:
