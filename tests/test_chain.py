@@ -129,3 +129,35 @@ def test_trailing_features_are_running_frames_and_right_at_their_bounds(spark):
         got = (r.market_trade_count_1h, r.market_volume_1h, r.market_price_mean_1h, r.market_price_std_1h, r.market_price_return_1h, r.user_trade_count_1h, r.user_market_trade_count_1h, r.user_signed_flow_1h, r.user_usd_volume_1h)
         wanted = (len(market) / 2, amount(market) / 2, statistics.fmean(prices), statistics.pstdev(prices), row[8] - first, len(user), sum(x[1] == row[1] for x in user), sum(x[9] for x in user), amount(user))
         assert all(abs(a - b) < 1e-9 for a, b in zip(got, wanted)), (row, got, wanted)
+
+
+def enriched_rows(spark, sizes):
+    """Streams of these sizes with all columns of windows; a feature says user and place."""
+    from tidemark.params import FEATURES
+
+    day = datetime(2024, 1, 1)
+    rows = [(f"u{u}", "m", i + 1, day + timedelta(minutes=i), (i * 7 + u) % 2, float(1000 * u + i)) for u, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "user string, market_id string, seq int, trade_time timestamp_ntz, label int, price_yes double")
+    return rows, df.withColumns({f: F.lit(0.0) for f in FEATURES if f != "price_yes"})
+
+
+@pytest.mark.parametrize("length, stride", [(3, 1), (8, 4), (2, 5), (1, 1), (50, 16), (20, 7)])
+def test_windows_from_blocks_equal_brute_force(spark, length, stride):
+    sizes = (0, 1, 2, 7, 8, 64, 65, 66, 71, 72, 130, 200, 201, 202, 409)
+    rows, df = enriched_rows(spark, sizes)
+    got = sorted((r.user, r.seq, r.start_ts, r.end_ts, r.label, tuple(x[0] for x in r.features)) for r in windows.collect_windows(df, length, stride, ("price_yes",)).collect())
+    wanted = []
+    for u in range(len(sizes)):
+        mine = [r for r in rows if r[0] == f"u{u}"]
+        for s in range(0, len(mine) - length + 1, stride):
+            w = mine[s : s + length]
+            wanted.append((f"u{u}", w[-1][2], w[0][3], w[-1][3], w[-1][4], tuple(x[5] for x in w)))
+    assert got == sorted(wanted)
+
+
+def test_windows_without_features_need_no_trailing_hour(spark, sf):
+    from tidemark.plans import base as B
+
+    for made in (windows.split_summary, windows.split_time_ranges):
+        plan = made(B.model_windows(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" in plan and "__a_" not in plan and "vector" not in plan

@@ -35,6 +35,17 @@ def plain_scan(rows):
     return out
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scan_that_cuts_only_large_keys_equals_a_plain_scan(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), DAY + timedelta(minutes=rng.randint(0, 60 * 9)), i, rng.choice([None, rng.randint(-5, 9)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long, v long")
+    v = F.col("v")
+    for large in (0, 40, 1000):
+        scan = SegmentedScan(df, ["k"], hour_of(F.col("ts")), ["ts", "id"], large).number("n").total("sum", v).peak("top", v).lag("before", v).lead("after", v).first("start", v).last_known("known", v)
+        assert {r.id: tuple(r)[4:] for r in scan.rows().collect()} == plain_scan(rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_segmented_scan_equals_a_plain_scan(spark, seed):
     rng = random.Random(seed)
