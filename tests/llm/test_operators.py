@@ -201,6 +201,29 @@ def test_one_bucket_of_texts_that_are_not_linked(spark, monkeypatch, split):
     assert got == brute.components(list(range(36)), texts, 3, 85, 100)
 
 
+def test_near_duplicates_frees_the_numbered_texts_before_pairs_are_linked(spark, monkeypatch):
+    """They lay on the disk beside the texts to compare until the end."""
+    from pathlib import Path
+
+    numbered, components, path, there = neardup.numbered, neardup.components, [], []
+
+    def kept(docs):
+        out = numbered(docs)
+        path.append(Path(out._scratch_path.removeprefix("file://")))
+        there.append(path[0].exists())
+        return out
+
+    def linked(edges):
+        there.append(path[0].exists())
+        return components(edges)
+
+    monkeypatch.setattr(neardup, "numbered", kept)
+    monkeypatch.setattr(neardup, "components", linked)
+    words = " ".join(f"w{i}" for i in range(60))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, [words, words + " x", "other text of few words", None])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3} and there[0] and there[1:] and not any(there[1:])
+
+
 def test_near_duplicates_with_odd_ids(spark):
     texts = ["a b c d e f", "a b c d e f", "a b c d e f", "", None]
     rows = neardup.near_duplicates(frame(spark, texts, [4, 4, None, None, 9])).collect()

@@ -220,10 +220,11 @@ def copied(buckets: DataFrame) -> DataFrame:
 
 
 def groups(
-    keyed: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, centers: int = CENTERS
+    keyed: DataFrame, width: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, centers: int = CENTERS, spend: bool = False
 ) -> DataFrame:
     """``row, doc_id, n_shingles, comp, component_id`` of ``keyed`` (``row, doc_id, text``, rows unique): ``comp`` is the
-    smallest row reachable, ``component_id`` the smallest id."""
+    smallest row reachable, ``component_id`` the smallest id.  ``spend``: ``keyed`` is a written table that is deleted once the texts to
+    compare are written, so that both don't lie on the disk while pairs are shuffled."""
     place = mark()
     signed = keyed.mapInArrow(_sign(width, bands, rows), "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
     signed = materialize(signed, "signatures")
@@ -237,6 +238,8 @@ def groups(
     member = materialize(member.join(shared, "bucket"), "buckets")
     texts = keyed.select("row", "text").join(member.select(F.col("cid").alias("row")).distinct().hint("merge"), "row")
     texts = materialize(texts, "texts")
+    if spend:
+        drop(keyed)
 
     spark = keyed.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
@@ -305,6 +308,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     other one, or null.  Extra columns are left out; an empty table gives no rows.
     """
     keyed = numbered(docs)
-    found = groups(keyed, width, num, den, bands, rows, centers)
-    drop(keyed)  # groups() is made of tables of its own
+    found = groups(keyed, width, num, den, bands, rows, centers, spend=True)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
