@@ -161,3 +161,15 @@ def test_windows_without_features_need_no_trailing_hour(spark, sf):
     for made in (windows.split_summary, windows.split_time_ranges):
         plan = made(B.model_windows(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" in plan and "__a_" not in plan and "vector" not in plan
+
+
+def test_long_values_are_named_by_group_and_not_one_by_one(spark, sf):
+    from tidemark.operators import tensor
+    from tidemark.plans.tensor_queries import flatten_long
+
+    w = spark.createDataFrame([("a", [[1.0, 2.0], [3.0, 4.0]])], "window_id string, features array<array<double>>")
+    got = {(r.step, r.j, r.name, r.value) for r in tensor.flatten_long(w, ("x", "y")).collect()}
+    assert got == {(0, 0, "x__step_00", 1.0), (0, 1, "y__step_00", 2.0), (1, 0, "x__step_01", 3.0), (1, 1, "y__step_01", 4.0)}
+    plan = flatten_long(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Aggregate [step", 1)[1].split("\n", 1)[1]
+    assert "step_" in plan and "step_" not in below
