@@ -173,3 +173,14 @@ def test_long_values_are_named_by_group_and_not_one_by_one(spark, sf):
     plan = flatten_long(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("Aggregate [step", 1)[1].split("\n", 1)[1]
     assert "step_" in plan and "step_" not in below
+
+
+def test_later_parts_of_frames_are_made_of_own_rows_alone(spark, sf):
+    from tidemark.plans import base as B
+
+    out = rolling.trailing_features(B.labeled(spark, sf))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line.strip(" :+-") for line in plan.splitlines() if "Window [" in line or "Filter (__late" in line or "Generate explode([0,1])" in line]
+    kinds = ["own" if s.startswith("Filter") else "sent" if s.startswith("Generate") else "early" if "DESC NULLS LAST" in s else "late" for s in steps]
+    runs = [k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1]]
+    assert runs[:8] == ["late", "own", "early", "sent"] * 2  # from the result down: users, markets, then the labels
