@@ -114,3 +114,33 @@ def test_an_empty_split_is_typed(spark):
     w = spark.createDataFrame([("a", "train", 1, [[1.0]])], "window_id string, split string, label int, features array<array<double>>")
     empty = X.split_rows(w, "validation")
     assert empty.count() == 0 and empty.columns == ["window_id", "features", "label"]
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_scaler_makes_no_row_for_each_value(spark, bounded):
+    names = ("price_yes", "side", "usd_amount")
+    rng = random.Random(3)
+    tensors = [[[rng.random(), 1.0, rng.uniform(-1, 50)] for _ in range(4)] for _ in range(30)]
+    w = spark.createDataFrame([(f"w{i}", t) for i, t in enumerate(tensors)], "window_id string, features array<array<double>>")
+    bounds = spark.createDataFrame([("usd_amount", 0.5, 2.0)], "feature string, lower double, upper double") if bounded else None
+    out = X.scaler_fit(w, names, bounds)
+    x = np.array(tensors).reshape(-1, 3)
+    x[:, 2] = np.log1p(np.maximum(x[:, 2], 0))
+    if bounded:
+        x[:, 2] = np.clip(x[:, 2], 0.5, 2.0)
+    scale = x.std(axis=0)
+    scale[1] = 1.0
+    got = {r.feature: (r.mean, r.scale) for r in out.collect()}
+    assert got == {n: (pytest.approx(x[:, j].mean()), pytest.approx(scale[j])) for j, n in enumerate(names)}
+    assert X.scaler_fit(w.filter("false"), names, bounds).count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan.split("Aggregate")[-1]  # values are columns below the aggregate
+
+
+def test_windows_are_standardised_in_one_pass(spark):
+    names = ("price_yes", "side", "usd_amount")
+    w = spark.createDataFrame([("a", [[0.5, 1.0, math.e - 1], [0.1, -1.0, -4.0]])], "window_id string, features array<array<double>>")
+    stats = spark.createDataFrame([([None, None, 0.25], [None, None, 0.75], [0.3, 9.0, 0.5], [0.2, 9.0, 0.5])], "lower array<double>, upper array<double>, mean array<double>, scale array<double>")
+    out = X.standardize_windows(w, stats, names)
+    assert out.first().features == [pytest.approx([1.0, 1.0, 0.5]), pytest.approx([-1.0, -1.0, -0.5])]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
