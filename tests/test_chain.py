@@ -184,3 +184,21 @@ def test_later_parts_of_frames_are_made_of_own_rows_alone(spark, sf):
     kinds = ["own" if s.startswith("Filter") else "sent" if s.startswith("Generate") else "early" if "DESC NULLS LAST" in s else "late" for s in steps]
     runs = [k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1]]
     assert runs[:8] == ["late", "own", "early", "sent"] * 2  # from the result down: users, markets, then the labels
+
+
+def test_candidates_with_a_fallback_are_picked_once(spark, sf):
+    from tidemark.plans import base as B
+
+    made, prepared = B.labeled(spark, sf), B.prepared(spark, sf)
+    picked = reports.signal_candidates(made, 3, 3).localCheckpoint()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    once = picked.mapInArrow(counted, picked.schema)
+    found = reports.context_with_fallback(once, prepared.filter("market_id <> 'click'"), made, 120, 60)
+    assert found.count() > 0
+    assert seen.value == picked.count()

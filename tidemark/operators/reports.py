@@ -212,7 +212,9 @@ def candidate_context(candidates: DataFrame, prepared: DataFrame, before_minutes
 
 
 def context_with_fallback(candidates: DataFrame, prepared: DataFrame, labeled: DataFrame, before_minutes: int, after_minutes: int) -> DataFrame:
-    """The context, or distinct labelled rows for candidates without prepared ones."""
+    """The context, or distinct labelled rows for candidates without prepared ones.  Candidates are a few picks of all labelled rows and
+    are read three times, so they are written once."""
+    candidates = Written(candidates, "picks").rows
     keys = [f"c_{k}" for k in _KEY]
     columns = [*keys, "asset_id", "trade_time", "price_yes", "usd_amount"]
     found = candidate_context(candidates, prepared, before_minutes, after_minutes).select(*columns)
