@@ -224,6 +224,21 @@ def test_near_duplicates_frees_the_numbered_texts_before_pairs_are_linked(spark,
     assert got == {0: 0, 1: 0, 2: 2, 3: 3} and there[0] and there[1:] and not any(there[1:])
 
 
+def test_only_texts_that_are_compared_are_shuffled(spark, monkeypatch):
+    keyed = spark.range(5000).select(F.col("id").alias("row"), F.concat(F.lit("text "), "id").alias("text"))
+    wanted = keyed.filter("row % 1000 = 7").select("row")
+    texts = neardup.texts_of(keyed, wanted)
+    assert sorted(map(tuple, texts.collect())) == [(i, f"text {i}") for i in range(7, 5000, 1000)]
+    found = neardup.bit_map(wanted.select(F.xxhash64("row").alias("print")))
+    rows = keyed.select("row", "text", F.xxhash64("row").alias("print")).mapInArrow(neardup._in(found), "row long, text string")
+    assert 5 <= rows.count() <= 10
+    pairs = spark.createDataFrame([(7, 1007), (7, 4007), (2007, 3007)], "a long, b long")
+    want = [(a, b, f"text {a}", f"text {b}") for a, b in ((7, 1007), (7, 4007), (2007, 3007))]
+    for most in (3, 2):
+        monkeypatch.setattr(neardup, "SENT_PAIRS", most)
+        assert sorted(map(tuple, neardup.with_texts(pairs, texts).collect())) == want
+
+
 def test_near_duplicates_with_odd_ids(spark):
     texts = ["a b c d e f", "a b c d e f", "a b c d e f", "", None]
     rows = neardup.near_duplicates(frame(spark, texts, [4, 4, None, None, 9])).collect()

@@ -28,16 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .collocations import bit_map, in_map
 from .scratch import drop, drop_since, mark, materialize, numbered
 
 #: Centers of a bucket in its second round, and how many times more each round after it takes.
 BANDS, ROWS, CENTERS, MORE_CENTERS = 24, 5, 256, 4
 #: Cells of the map of a set; members of a bucket that one task takes.
 CELLS, SPLIT = 2048, 512
+#: So many pairs are sent to the texts; more are joined with them by a shuffle of both.
+SENT_PAIRS = 1 << 18
 #: Attempts of the densification before it takes the next filled bin.
 ATTEMPTS = 96
 
@@ -167,6 +171,35 @@ def _confirm(width: int, num: int, den: int):
     return run
 
 
+def _in(wanted: Broadcast):
+    """Rows whose fingerprint is in a map, which may let more through, without the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = pa.array(in_map(wanted.value, batch["print"].to_numpy().view(np.uint64)))
+            yield batch.select(["row", "text"]).filter(here)
+
+    return run
+
+
+def texts_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``row, text`` of the ``wanted`` rows, written.  A map of fixed size goes to the texts first, so that those of other
+    rows are not shuffled."""
+    found = bit_map(wanted.select(F.xxhash64("row").alias("print")))
+    some = keyed.select("row", "text", F.xxhash64("row").alias("print")).mapInArrow(_in(found), "row long, text string")
+    texts = materialize(some.join(wanted.hint("merge"), "row"), "texts")
+    found.destroy()
+    return texts
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, text_a, text_b`` of written pairs.  Few pairs are sent to the texts, so that only texts of pairs are shuffled, once each."""
+    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    if pairs.count() <= SENT_PAIRS:
+        pairs, right = F.broadcast(pairs), right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(pairs, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges ``a, b`` -> ``node, comp`` with comp the smallest node reachable.
 
@@ -236,8 +269,7 @@ def groups(
     shared = member.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
     shared = materialize(shared.select("bucket", (F.floor(F.col("k") / SPLIT) + 1).alias("salts")), "shared")
     member = materialize(member.join(shared, "bucket"), "buckets")
-    texts = keyed.select("row", "text").join(member.select(F.col("cid").alias("row")).distinct().hint("merge"), "row")
-    texts = materialize(texts, "texts")
+    texts = texts_of(keyed, member.select(F.col("cid").alias("row")).distinct())
     if spend:
         drop(keyed)
 
@@ -263,8 +295,8 @@ def groups(
         pairs = pairs.select(F.least("cid", "center").alias("a"), F.greatest("cid", "center").alias("b")).distinct()
         if labels is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        judged = materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, num, den), "a long, b long, linked boolean, sim double"), "judged")
+        pairs = with_texts(materialize(pairs, "pairs"), texts)
+        judged = materialize(pairs.mapInArrow(_confirm(width, num, den), "a long, b long, linked boolean, sim double"), "judged")
         links, tested = links.union(judged.filter("linked").select("a", "b")), tested.union(judged.filter("not linked").select("a", "b"))
         opening = labels is None
         if opening or not judged.filter("linked").isEmpty():  # else the components are as before
