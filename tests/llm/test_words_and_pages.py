@@ -167,6 +167,29 @@ def test_collocations_of_colliding_prints(spark, monkeypatch):
     assert want[True] == want[False] and len(block.words) > 100
 
 
+def test_collocations_send_no_phrase_of_a_rare_triple(spark, monkeypatch):
+    """All pairs of three words are frequent and few triples are, so the last pass sends few of the longer phrases."""
+    rng = random.Random(5)
+    rows = [("en", " ".join(rng.choice("abcdef") for _ in range(40))) for _ in range(20)]
+    sent, real = spark.sparkContext.accumulator(0), collocations._placed
+
+    def placed(known):
+        run = real(known)
+
+        def counting(batches):
+            for batch in run(batches):
+                sent.add(batch.num_rows)
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(collocations, "_placed", placed)
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    found, _ = collocations.frequent_phrases(docs, 13)
+    assert sorted({r.words for r in found.select("words").collect()}) == [1, 2]
+    assert sent.value <= 60  # 6 words and 36 pairs
+
+
 def test_collocations_extra_columns_and_empty(spark):
     rows = texts_with_phrases(3)
     docs = spark.createDataFrame(rows, "lang string, text string")

@@ -6,10 +6,10 @@ Everything is counted per language.
 1. Fingerprints.  Inside a block of texts the word hashes are summed up as a prefix polynomial
    ``S[i] = w[0] + w[1] B + ... + w[i-1] B**(i-1)`` modulo 2**64; the n-gram at i has
    ``(S[i+n] - S[i]) / B**i``, whatever n is.  B is odd, so it has an inverse.
-2. Counting.  A task adds up equal fingerprints, the shuffle adds up the tasks'.  Three passes: words; pairs of two frequent
-   words; phrases of 3 to 5 words all of whose pairs are frequent, with the frequent words and pairs once more.  What is
-   frequent is passed on as a bit map of fixed size, which may let too much through but never too little.  The last pass
-   sends the place of the first occurrence along, and a second fingerprint.
+2. Counting.  A task adds up equal fingerprints, the shuffle adds up the tasks'.  Four passes: words; pairs of two frequent
+   words; triples of two frequent pairs; phrases of 4 and 5 words all of whose triples are frequent, with the frequent words,
+   pairs and triples once more.  What is frequent is passed on as a bit map of fixed size, which may let too much through but
+   never too little.  The last pass sends the place of the first occurrence along, and a second fingerprint.
 3. Verification.  In a block every occurrence is compared with the first one word by word, and those that differ are set apart.
    A fingerprint that comes with two second fingerprints is a collision; its phrases are counted again by their text.
    The texts of all others are read at their places: only frequent phrases are ever made into strings, each of them once.
@@ -39,9 +39,11 @@ KIND = ~BREAKS
 KIND[[0x20, 0x09]] = False
 BASE = 0x9FB21C651E98DF25  # any odd number
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes of text whose fingerprints are compared at once, and the sums that a task holds before it sends them on.
-BLOCK = 8 << 20
+#: Bytes of text whose fingerprints are compared at once (a worker needs some thirty times as many), and the sums and the
+#: places that a task holds before it sends them on.
+BLOCK = 2 << 20
 HELD = 1 << 21
+PLACES = 1 << 20
 #: log2 of the bits of the map of frequent fingerprints; it is the size that is sent to the workers, whatever the corpus is.
 MAP_BITS = 26
 #: Bytes of places that are sent to all workers; more are joined.
@@ -154,7 +156,7 @@ def _counts(n: int, frequent: Broadcast | None):
         held = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
         words: dict[str, int] = {}
         for block in _blocks(batches):
-            at = block.places(n) if frequent is None else block.frequent(n, frequent.value, 1)
+            at = block.places(n) if frequent is None else block.frequent(n, frequent.value, n - 1)
             found = _summed(block.prints(at, n), np.ones(at.size, dtype=np.int64))
             held = _summed(np.r_[held[0], found[0]], np.r_[held[1], found[1]])
             if held[0].size >= HELD:
@@ -208,7 +210,7 @@ class Placed:
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
         self.held += columns[0].size
-        if self.held > 2 * HELD:
+        if self.held > 2 * PLACES:
             self.merge()
 
     def merge(self) -> None:
@@ -238,11 +240,13 @@ def _placed(frequent: Broadcast):
             block, rows = Block(batch["text"], batch["lang"]), batch["row"].to_numpy()
             second = block.second()
             for n in range(1, LONGEST + 1):
-                at = block.frequent(n, frequent.value, min(n, 2))
+                at = block.frequent(n, frequent.value, min(n, 3))
                 for first, prints, count in _apart(block, at, block.prints(at, n), n):
                     doc = block.words.doc[first]
                     found.add(prints, second(first, n), count, rows[doc], first - block.words.first[doc], np.full(first.size, n))
-            if found.held > HELD:
+            if found.held > PLACES:
+                found.merge()
+            if found.held > PLACES:
                 yield from found.flush()
         yield from found.flush()
 
@@ -305,7 +309,10 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     known = bit_map(ones.filter("print is not null"))
     twos = counted(2, known, "pairs")
     known.destroy()
-    known = bit_map(ones.filter("print is not null").union(twos))
+    known = bit_map(twos)
+    threes = counted(3, known, "triples")
+    known.destroy()
+    known = bit_map(ones.filter("print is not null").union(twos).union(threes))
     placed = texts.mapInArrow(_placed(known), "print long, check long, n long, row long, place long, words int")
     place = F.struct("row", "place", "words")
     sums = placed.groupBy("print").agg(F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"), F.min(place).alias("at"))
