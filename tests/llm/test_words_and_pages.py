@@ -97,6 +97,19 @@ def test_places_tile_a_word(spark, size):
     assert len(rows) >= 2 and max(r.stop - r.start for r in rows) <= max(spelling.WIDE, -(-size // spelling.MOST_PLACES))
 
 
+def test_no_variants_go_through_the_driver(spark, monkeypatch):
+    """Keys are sized as the words that they are exploded from: a vocabulary below the broadcast threshold made keys that the driver could not hold."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    write = spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, name: plan(df) or write(df, name))
+    docs = spark.createDataFrame([(i, "colour colour color garden gardens gardens") for i in range(6)], "doc_id long, text string")
+    out = spelling.group_variants(docs)
+    plan(out)
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)
+
+
 # ---- collocations
 
 

@@ -11,6 +11,7 @@ Two words are near if one inserted, deleted or replaced code point makes one of
   such chunks may lie, for words of its own length and of one code point less.
 * Words that meet are verified.  A pair may meet at two keys; it counts at the one that holds the place where
   the two first differ, so no pairs are gathered to be told apart.
+* All joins are sort-merge joins: tables grow with the vocabulary, so none is sent through the driver.
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ def near_words(words: DataFrame, shortest: int = 5) -> DataFrame:
     keys = _keys(words, shortest)
     chunks = keys.filter(F.length("word") == F.col("size"))
     grams = keys.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"), F.col("start").alias("other_start"))
-    met = chunks.join(grams, "key").filter("word <> other and size = other_size and start = other_start")
+    # the planner sizes the keys as the words that they are exploded from, and would send them through the driver
+    met = chunks.join(grams.hint("merge"), "key").filter("word <> other and size = other_size and start = other_start")
     rest = F.col("size") - F.col("stop")
     place = F.substr("word", F.col("start") + 1, F.col("stop") - F.col("start"))
     other_place = F.substr("other", F.col("start") + 1, F.length("other") - rest - F.col("start"))
@@ -87,7 +89,7 @@ def roots(forms: DataFrame) -> DataFrame:
     state = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = state.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        after = state.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved"))
+        after = state.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved"))
         before, state = state, materialize(after, "roots")
         drop(before)
         if not state.filter("moved").head(1):
@@ -108,7 +110,7 @@ def group_variants(docs: DataFrame, every: int = 97, shortest: int = 5, least: i
     scope = mark()
     words = materialize(word_counts(docs, every, shortest, least), "words")
     found = near_words(words, shortest).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best"))
-    known = words.join(found, "word", "left")
+    known = words.join(found.hint("merge"), "word", "left")
     fits = -F.col("best.minus") >= F.lit(times) * F.col("n")
     known = known.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.other")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n")
@@ -116,5 +118,5 @@ def group_variants(docs: DataFrame, every: int = 97, shortest: int = 5, least: i
     known = materialize(known, "near")
     last = roots(known.filter("form is not null"))
     drop_since(docs.sparkSession, scope, known, last)
-    out = known.join(last.select("word", "root"), "word", "left")
+    out = known.join(last.select("word", "root").hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
