@@ -61,6 +61,41 @@ def test_pair_blocks_lose_no_pair(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def _wallet_rows(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        first = DAY + timedelta(minutes=rng.randint(0, 900))
+        left = first + timedelta(minutes=rng.randint(0, 300)) if rng.random() < 0.6 else None
+        seen = DAY - timedelta(hours=rng.choice([0, 1, 100, 300, 301])) if rng.random() < 0.8 else None
+        rows.append(("m", f"w{i:02}", first, left, rng.choice([0.0, 0.5, 7.25, 8.0, 30.0]), rng.choice(["Yes", "No", None]), seen))
+    return rows
+
+
+_WALLETS = "market_id string, wallet string, first_ts timestamp_ntz, first_sell_ts timestamp_ntz, total_usdc double, dominant_outcome string, first_seen timestamp_ntz"
+
+
+@pytest.mark.parametrize("most", [3, 4096])
+def test_full_cells_lose_no_pair_and_none_counts_twice(spark, monkeypatch, most):
+    """Equal ages and sizes make full marks without an outcome; outcomes, exits and ages may be unknown."""
+    monkeypatch.setattr(pairs, "MOST_IN_CELL", most)
+    w = spark.createDataFrame(_wallet_rows(90, 3), _WALLETS)
+    sides = w.toDF("m", *(f"l_{c}" for c in w.columns[1:])).join(w.toDF("m", *(f"r_{c}" for c in w.columns[1:])), "m").filter("l_wallet < r_wallet")
+    every = sides.select(F.col("m").alias("market_id"), F.col("l_wallet").alias("left_wallet"), F.col("r_wallet").alias("right_wallet"))
+    want = sorted((r.left_wallet, r.right_wallet, r.score) for r in pairs.pair_scores(w, every).collect())
+    got = sorted((r.left_wallet, r.right_wallet, r.score) for r in pairs.pair_scores(w).collect())
+    assert len(want) > 500 and got == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Pairs are as many as the square of wallets: shuffled to be told apart and joined with their sides they filled the disk."""
+    w = spark.createDataFrame(_wallet_rows(30, 4), _WALLETS)
+    plan = pairs.with_reasons(pairs.pair_scores(w))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    before = plan[: plan.index("SortMergeJoin")]
+    assert not any(step in before for step in ("Exchange", "Aggregate", "HashJoin"))
+
+
 def test_auc_of_a_separable_set(spark):
     s = spark.createDataFrame([(1, 0, 0.1), (2, 0, 0.4), (3, 1, 0.6), (4, 1, 0.9)], "key long, label int, probability double")
     assert E.roc_auc(s).first()[0] == 1.0
