@@ -193,3 +193,18 @@ def test_pair_score_and_evidence_tell_of_all_pairs(spark, sf):
     every = {(x.market_id, x.left_wallet, x.right_wallet) for x in Q.QUERIES["wallet_pair_join"](spark, sf).collect()}
     assert {(x.market_id, x.left_wallet, x.right_wallet) for x in scored.collect()} == every
     assert {(x.market_id, *x.pair_key.split("|")) for x in evidence.collect()} == every
+
+
+def test_steps_of_lots_are_made_once(spark, sf):
+    """Each scan reads its rows twice: four of them one on the other made the work of a snapshot many times over."""
+    from tidemark.plans import base as B
+    from tidemark.plans import wallet_queries as Q
+
+    trades = B.written(B.wallet_trades(spark, sf))
+    metrics, _ = Q.analysed(trades, B.profiles(spark, sf))
+    plan = metrics._jdf.queryExecution().executedPlan().toString()
+    assert "__in_next" in plan
+    assert "__in_cb" not in plan and "__in_over" not in plan
+    got, want = (sorted(map(tuple, lots.realized_markout_by_wallet(trades, kept).collect())) for kept in (B.written, lambda rows: rows))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(a[2] == pytest.approx(b[2]) for a, b in zip(got, want))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ EXACT = "decimal(28, 12)"
 ROWS = 4096
 
 
-def fifo_lot_match(trades: DataFrame) -> DataFrame:
+def fifo_lot_match(trades: DataFrame, kept: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Matches of (market, wallet, asset): ``buy_price, sell_price, matched_size``.
 
     Quantities are laid end to end: a buy covers [bought before, bought with it), and a sell covers the
@@ -25,6 +27,9 @@ def fifo_lot_match(trades: DataFrame) -> DataFrame:
 
     Sums, that maximum and what came last are carried from hour to hour of a key, and then from range to range of
     its quantity, so the trades of a key are spread over many tasks.  Quantities are added as decimals of twelve places.
+
+    Each scan reads its rows twice, and they rest on the scan before, so every one of them doubles the work; ``kept`` may write what the
+    next one reads, so that it is made once.
     """
     keys = ["market_id", "wallet", "asset"]
     buy = F.col("side") == "BUY"
@@ -33,13 +38,15 @@ def fifo_lot_match(trades: DataFrame) -> DataFrame:
     order = ["ts", "seq"]
     hours = hour_of(F.col("ts"))
     t = SegmentedScan(rows, keys, hours, order).total("cb", F.when(buy, size), EXACT).total("cs", F.when(~buy, size), EXACT).rows()
+    t = kept(t)
     t = SegmentedScan(t, keys, hours, order).peak("over", F.col("cs") - F.col("cb")).rows()
-    t = t.withColumn("ms", (F.col("cs") - F.greatest(none, F.col("over"))).cast(EXACT))
+    t = kept(t.withColumn("ms", (F.col("cs") - F.greatest(none, F.col("over"))).cast(EXACT)).drop("cs", "over"))
     t = SegmentedScan(t, keys, hours, order).lag("before", F.col("ms")).rows().withColumn("before", F.coalesce("before", none))
     edges = t.filter(buy | (F.col("ms") > F.col("before"))).select(
         *keys, "ts", "seq", F.when(buy, F.col("cb") - size).otherwise(F.col("before")).cast(EXACT).alias("at"), F.when(buy, F.col("price")).alias("buy"), F.when(~buy, F.col("price")).alias("sell"),
         F.when(buy, F.col("cb")).alias("bought"), F.when(~buy, F.col("ms")).alias("sold"),
     )
+    edges = kept(edges)
     # ranges of a key's quantity that hold about ROWS edges each, if they are spread evenly
     sizes = edges.groupBy(*keys).agg((F.max("at").cast("double") * ROWS / F.count("*")).alias("__width"))
     edges = _same_key(edges, sizes, keys)
@@ -60,9 +67,9 @@ def _same_key(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__key", F.struct(*keys)).join(renamed, "__key").drop("__key")
 
 
-def realized_markout_by_wallet(trades: DataFrame) -> DataFrame:
+def realized_markout_by_wallet(trades: DataFrame, kept: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Notional-weighted bps over a wallet's matches; wallets without one have no row."""
-    m = fifo_lot_match(trades)
+    m = fifo_lot_match(trades, kept)
     notional = F.col("matched_size") * F.col("buy_price")
     bps = entry_bps(F.col("buy_price"), F.col("sell_price"), F.lit("BUY"))
     return m.groupBy("market_id", "wallet").agg(F.try_divide(F.sum(bps * notional), F.sum(notional)).alias("realized_bps"))

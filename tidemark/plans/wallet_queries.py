@@ -203,10 +203,10 @@ def horizon_markout_by_wallet(spark, sf):
 
 
 def analysed(trades: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Metrics of all wallets and the best pairs of all markets.  Trades, pairs and what both rest on are written once, so the
-    dozen parts of a score don't read and parse the source again."""
+    """Metrics of all wallets and the best pairs of all markets.  Trades, pairs, what both rest on and the steps of lots are written once, so
+    the dozen parts of a score don't read and parse the source again."""
     best = Written(pairs.best_pairs(Written(wallets.pair_inputs(trades, profiles), "wallets").rows), "pairs").rows
-    made = wallets.wallet_metrics(B.markets_of(trades), trades, profiles, B.books_of(trades), best, lots.realized_markout_by_wallet(trades))
+    made = wallets.wallet_metrics(B.markets_of(trades), trades, profiles, B.books_of(trades), best, lots.realized_markout_by_wallet(trades, B.written))
     return made, best
 
 
